@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.sources.tables import table
 
 
+def op1_decontaminate(spark: SparkSession, root: str) -> DataFrame:
+    found = decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ","))
+
+
 def op2_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup(table(spark, root, "documents"))
 
@@ -23,7 +30,10 @@ FROM t WINDOW w AS (PARTITION BY text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_exact_dedup": op2_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
