@@ -11,6 +11,7 @@ from tessera.llm.chat_format import END, ESCAPE, START, format_chat, read_loss,
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import HOST, line_dedup
+from tessera.llm.mixture import mix
 from tessera.plans.scratch import materialize
 from tessera.sources.tables import table
 
@@ -99,12 +100,18 @@ FROM s LEFT JOIN k ON s.page_no = k.page_no
 """
 
 
+def op10_mixture(spark: SparkSession, root: str) -> DataFrame:
+    found = mix(table(spark, root, "documents"), label_col="lang")
+    return found.select("doc_id", "tokens", "domain", F.round("posterior", 6).alias("posterior"), F.round("rate", 6).alias("rate"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_exact_dedup": op2_exact_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
+        "op10_mixture": op10_mixture,
     }
 
 
