@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import materialize
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
@@ -31,15 +33,10 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """Lines to drop: ``host, line, pages, host_pages`` from ``pages (host, lines)``."""
+def boilerplate(lines: DataFrame, pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    """Lines to drop, ``host, h1, h2, pages, host_pages``, from ``lines (host, h1, h2)``, each once a page, and ``pages (host)``."""
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = (
-        pages.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("pages"))
-        .filter(F.col("pages") >= min_pages)
-    )
+    often = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     return often.join(totals, "host").filter(F.col("pages") > max_ratio * F.col("host_pages"))
 
 
@@ -62,23 +59,22 @@ def line_dedup(
     """
     lines = html_lines(F.col("html")) if lines is None else lines
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines.alias("lines"))
-    # rows that agree in all of these have one result, so it is worked out once for each such key
+    # rows that agree in all of these have one result; written once, as the lines are dear to find
     base = base.withColumn("key", F.xxhash64("page_id", "host", "lines")).withColumn("key2", F.xxhash64(F.lit(1), "page_id", "host", "lines"))
-    drop = boilerplate(base.filter("host IS NOT NULL"), max_ratio, min_pages)
-    hashed = [F.xxhash64("host", "line").alias("h1"), F.xxhash64(F.lit(1), "host", "line").alias("h2")]
-    drop = drop.select(*hashed, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    once = base.filter("host IS NOT NULL").groupBy("key", "key2").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
-    each = once.select("key", "key2", "host", F.posexplode("lines").alias("pos", "line")).select(
-        "key", "key2", "pos", "line", *hashed, F.pmod("key", F.lit(salts)).cast("int").alias("salt")
-    )
-    kept = (
-        each.join(drop, ["h1", "h2", "salt"], "left_anti")
-        .groupBy("key", "key2")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("kept"))
+    base = materialize(base, "page-lines")
+    sited = base.filter("host IS NOT NULL")
+    # two 64-bit hashes stand for a line, so that its text is not shuffled
+    both = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+    counted = sited.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", *both)
+    drop = boilerplate(counted, sited, max_ratio, min_pages).select("host", "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    placed = sited.select("key", "key2", "host", F.posexplode("lines").alias("pos", "line")).select(
+        "key", "key2", "host", "pos", *both, F.pmod("key", F.lit(salts)).cast("int").alias("salt")
     )
-    out = F.when(F.col("host").isNull(), F.col("lines")).otherwise(F.coalesce(F.transform("kept", lambda x: x["line"]), F.array().cast("array<string>")))
+    gone = placed.join(drop, ["host", "h1", "h2", "salt"], "left_semi").groupBy("key", "key2").agg(F.collect_set("pos").alias("gone"))
+    left = F.array_except(F.expr("sequence(0, size(lines) - 1)"), F.col("gone"))
+    out = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i)))
     return (
-        base.join(kept, ["key", "key2"], "left")
+        base.join(gone, ["key", "key2"], "left")
         .withColumn("out", out)
         .select(
             "page_id",
