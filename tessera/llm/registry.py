@@ -13,6 +13,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import HOST, line_dedup
 from tessera.llm.mixture import mix
+from tessera.llm.token_table import read_token_table, write_token_table
 from tessera.plans.scratch import materialize
 from tessera.sources.tables import table
 
@@ -34,6 +35,17 @@ FROM t WINDOW w AS (PARTITION BY text)
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_table(spark: SparkSession, root: str) -> DataFrame:
+    manifest = write_token_table(table(spark, root, "documents"), tokenizer_path())
+    return read_token_table(manifest, with_ids=False)
+
+
 def held_out(parts: int, rest: int) -> Column:
     """Rows that no model learns from: those whose crc32 of the id as text leaves ``rest``."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == rest, F.lit(False))
@@ -121,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_token_table": op3_token_table,
         "op4_language_id": op4_language_id,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
