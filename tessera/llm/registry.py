@@ -61,7 +61,7 @@ def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     labels = table(spark, root, "labels").select("doc_id", "toxic").filter(~held_out(5, 0))
-    found = score_toxicity(docs, labels.join(docs, "doc_id"))
+    found = score_toxicity(docs, labels)
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 

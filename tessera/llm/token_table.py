@@ -171,6 +171,14 @@ class ShardReader:
         return out
 
 
+def _visible() -> dict[int, str]:
+    """Byte-level vocabularies spell printable Latin-1 bytes as themselves and the others by the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+VISIBLE = _visible()
 #: Two white-space characters side by side, or one at either end.
 UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -178,21 +186,43 @@ _coders: dict[str, Coder] = {}
 
 
 class Coder:
-    """A tokenizer with a bounded memory of pieces.
+    """A byte-level tokenizer with a bounded memory of pieces.
 
-    A byte-level tokenizer starts a new token at every blank that stands between two visible characters, so
-    a text is encoded piece by piece from such blank to blank, and pieces that occurred before are looked up.
+    A byte-level tokenizer starts a new word at every blank that stands between two visible characters, so
+    a text is encoded piece by piece from such blank to blank. Pieces that occurred before are looked up; a new one is
+    cut into words by the tokenizer's own rule, and only words that are new go through its merges.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        tokenizer = Tokenizer.from_file(path)
+        rule = tokenizer.pre_tokenizer
+        if tokenizer.normalizer is not None or type(rule).__name__ != "ByteLevel" or rule.add_prefix_space:
+            raise ValueError("only byte-level tokenizers without normalizer and prefix blank are cut at blanks")
+        self.words_of, self.merge = rule.pre_tokenize_str, tokenizer.model.tokenize
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, shown: str) -> bytes:
+        """The ids of a word as the vocabulary spells it, with a visible character for each byte."""
+        return np.array([t.id for t in self.merge(shown)], self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = self._ids(word.encode().decode("latin-1").translate(VISIBLE))
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        """Special strings in a text are ordinary text here, as only words and merges are asked for."""
+        core = piece.rstrip(".,;:!?")
+        if core[core[:1] == " " :].isalpha():  # letters after a blank or none are one word, marks after them another
+            return self._word(core) + (self._word(piece[len(core) :]) if len(core) < len(piece) else b"")
+        return b"".join([self._ids(shown) for shown, _ in self.words_of(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in ``kind``."""
@@ -205,16 +235,15 @@ class Coder:
             else:
                 first, *rest = t.split(" ")
                 split.append([first, *[" " + r for r in rest]])
-        new = {p for parts in split for p in parts} - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
+        known = self.pieces
+        new = {p for parts in split for p in parts} - known.keys()
+        if len(known) + len(new) > self.most:
+            known.clear()
             new = {p for parts in split for p in parts}
-        new = list(new)
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.kind).tobytes()
-        known = self.known
+        if len(self.words) > 3 * self.most:
+            self.words.clear()
+        for p in new:
+            known[p] = self._piece(p)
         return [b"".join([known[p] for p in parts]) for parts in split]
 
 
