@@ -179,6 +179,7 @@ def _visible() -> dict[int, str]:
 
 
 VISIBLE = _visible()
+FIRST, NEWLINE = "\t", chr(256 + 10)
 #: Two white-space characters side by side, or one at either end.
 UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -205,46 +206,65 @@ class Coder:
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = most
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # by the vocabulary's spelling
+        self.raw: dict[str, bytes] = {}  # by the text's
 
-    def _ids(self, shown: str) -> bytes:
+    def _word(self, shown: str) -> bytes:
         """The ids of a word as the vocabulary spells it, with a visible character for each byte."""
-        return np.array([t.id for t in self.merge(shown)], self.kind).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.words.get(shown)
         if found is None:
-            found = self.words[word] = self._ids(word.encode().decode("latin-1").translate(VISIBLE))
+            found = self.words[shown] = self._merged(shown)
         return found
 
+    def _merged(self, shown: str) -> bytes:
+        return np.array([t.id for t in self.merge(shown)], self.kind).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         """Special strings in a text are ordinary text here, as only words and merges are asked for."""
         core = piece.rstrip(".,;:!?")
         if core[core[:1] == " " :].isalpha():  # letters after a blank or none are one word, marks after them another
-            return self._word(core) + (self._word(piece[len(core) :]) if len(core) < len(piece) else b"")
-        return b"".join([self._ids(shown) for shown, _ in self.words_of(piece)])
+            found = self.raw.get(core)
+            if found is None:
+                found = self.raw[core] = self._merged(core.encode().decode("latin-1").translate(VISIBLE))
+            return found if len(core) == len(piece) else found + self._word(piece[len(core) :])
+        return b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
+
+    def _new(self, key: str) -> bytes:
+        if key[0] == FIRST:
+            return self._piece(key[1:])
+        return self._word(NEWLINE) + self._piece(key[1:]) if key[0] == "\n" else self._piece(" " + key)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian, in ``kind``."""
-        split = []
+        """The ids of each text, little-endian, in ``kind``.
+
+        A piece is known by what follows its blank; one that begins a line by the line break and what follows,
+        and one that begins a text by ``FIRST`` and what follows.
+        """
+        split: list[list[str]] = []
         for t in texts:
             if not t:
                 split.append([])
             elif UNEVEN.search(t):
-                split.append(BREAK.split(t))
+                first, *rest = BREAK.split(t)
+                split.append([FIRST + first, *[r[1:] for r in rest]])
             else:
-                first, *rest = t.split(" ")
-                split.append([first, *[" " + r for r in rest]])
+                keys: list[str] = []
+                for k, line in enumerate(t.split("\n")):
+                    parts = line.split(" ")
+                    parts[0] = ("\n" if k else FIRST) + parts[0]
+                    keys += parts
+                split.append(keys)
         known = self.pieces
-        new = {p for parts in split for p in parts} - known.keys()
+        new = set().union(*split) - known.keys()
         if len(known) + len(new) > self.most:
             known.clear()
-            new = {p for parts in split for p in parts}
-        if len(self.words) > 3 * self.most:
-            self.words.clear()
-        for p in new:
-            known[p] = self._piece(p)
-        return [b"".join([known[p] for p in parts]) for parts in split]
+            new = set().union(*split)
+        for memo, most in ((self.words, self.most), (self.raw, 2 * self.most)):
+            if len(memo) > most:
+                memo.clear()
+        for key in new:
+            known[key] = self._new(key)
+        return [b"".join(map(known.__getitem__, keys)) for keys in split]
 
 
 def coder(path: str) -> Coder:
