@@ -13,6 +13,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import HOST, line_dedup
 from tessera.llm.mixture import mix
+from tessera.llm.quality import rate_quality
 from tessera.llm.token_table import read_token_table, write_token_table
 from tessera.llm.toxicity import score_toxicity
 from tessera.plans.scratch import materialize
@@ -132,6 +133,11 @@ FROM s LEFT JOIN k ON s.page_no = k.page_no
 """
 
 
+def op9_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return rate_quality(docs, table(spark, root, "labels")).select("doc_id", "expected_grade", "tail", "selected")
+
+
 def op10_mixture(spark: SparkSession, root: str) -> DataFrame:
     found = mix(table(spark, root, "documents"), label_col="lang")
     return found.select("doc_id", "tokens", "domain", F.round("posterior", 6).alias("posterior"), F.round("rate", 6).alias("rate"), "copies")
@@ -146,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
+        "op9_quality": op9_quality,
         "op10_mixture": op10_mixture,
     }
 
