@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat_format import END, ESCAPE, START, format_chat, read_loss, read_turns, text_part
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.jaccard_join import similarity_classes
 from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import HOST, line_dedup
 from tessera.llm.mixture import mix
@@ -133,6 +134,27 @@ FROM s LEFT JOIN k ON s.page_no = k.page_no
 """
 
 
+def op8_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return similarity_classes(table(spark, root, "documents"))
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) c ON c.x = d.doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return rate_quality(docs, table(spark, root, "labels")).select("doc_id", "expected_grade", "tail", "selected")
@@ -152,10 +174,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_quality": op9_quality,
         "op10_mixture": op10_mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL}

@@ -6,6 +6,7 @@ does not follow the batch size (a longer text is a chunk of its own).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +84,7 @@ def shingles(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
     Words are lower-cased (A-Z) runs without white space; a text of fewer words has its whole sequence as
     one shingle, and a text without words has none.
     """
-    odd = [np.uint64(2 * k + 1) * BASE for k in range(1, size + 1)]
+    odd = [np.uint64(int.from_bytes(hashlib.sha256(bytes([k])).digest()[:8], "big") | 1) for k in range(size)]
     with np.errstate(over="ignore"):
         for _, _, raw, starts in chunks(texts):
             buf = LOWER[raw]
