@@ -15,10 +15,12 @@ or repeated tasks are never read.
 
 from __future__ import annotations
 
+import array
 import bisect
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -179,9 +181,8 @@ def _visible() -> dict[int, str]:
 
 
 VISIBLE = _visible()
-FIRST, NEWLINE = "\t", chr(256 + 10)
-#: Two white-space characters side by side, or one at either end.
-UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+FIRST, NEWLINE, BLANK, MARKS = "\t", VISIBLE[10], VISIBLE[32], ".,;:!?"
+#: Before a blank between two visible characters.
 BREAK = re.compile(r"(?<=\S)(?= \S)")
 _coders: dict[str, Coder] = {}
 
@@ -194,7 +195,7 @@ class Coder:
     cut into words by the tokenizer's own rule, and only words that are new go through its merges.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
 
@@ -204,35 +205,46 @@ class Coder:
             raise ValueError("only byte-level tokenizers without normalizer and prefix blank are cut at blanks")
         self.words_of, self.merge = rule.pre_tokenize_str, tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.most = most
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # by the vocabulary's spelling
-        self.raw: dict[str, bytes] = {}  # by the text's
+        self.after_blank: dict[str, bytes] = {}  # letters after a blank
 
-    def _word(self, shown: str) -> bytes:
+    def _merged(self, shown: str) -> bytes:
         """The ids of a word as the vocabulary spells it, with a visible character for each byte."""
+        ids = array.array(self.code, [t.id for t in self.merge(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _word(self, shown: str) -> bytes:
         found = self.words.get(shown)
         if found is None:
             found = self.words[shown] = self._merged(shown)
         return found
 
-    def _merged(self, shown: str) -> bytes:
-        return np.array([t.id for t in self.merge(shown)], self.kind).tobytes()
-
     def _piece(self, piece: str) -> bytes:
         """Special strings in a text are ordinary text here, as only words and merges are asked for."""
-        core = piece.rstrip(".,;:!?")
-        if core[core[:1] == " " :].isalpha():  # letters after a blank or none are one word, marks after them another
-            found = self.raw.get(core)
-            if found is None:
-                found = self.raw[core] = self._merged(core.encode().decode("latin-1").translate(VISIBLE))
-            return found if len(core) == len(piece) else found + self._word(piece[len(core) :])
         return b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
 
-    def _new(self, key: str) -> bytes:
-        if key[0] == FIRST:
-            return self._piece(key[1:])
-        return self._word(NEWLINE) + self._piece(key[1:]) if key[0] == "\n" else self._piece(" " + key)
+    def _learn(self, new: set[str]) -> None:
+        known, after = self.pieces, self.after_blank
+        for key in new:
+            if key[0] == FIRST:
+                known[key] = self._piece(key[1:])
+            elif key[0] == "\n":
+                known[key] = self._word(NEWLINE) + self._piece(key[1:])
+            else:
+                core = key.rstrip(MARKS)
+                if not core.isalpha():
+                    known[key] = self._piece(" " + key)
+                    continue
+                found = after.get(core)  # letters after a blank are one word, marks after them another
+                if found is None:
+                    shown = core if core.isascii() else core.encode().decode("latin-1").translate(VISIBLE)
+                    found = after[core] = self._merged(BLANK + shown)
+                known[key] = found if len(core) == len(key) else found + self._word(key[len(core) :])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in ``kind``.
@@ -244,26 +256,30 @@ class Coder:
         for t in texts:
             if not t:
                 split.append([])
-            elif UNEVEN.search(t):
+                continue
+            words = t.split()
+            if words != t.replace("\n", " ").split(" "):  # white space side by side, at an end, or of another kind
                 first, *rest = BREAK.split(t)
-                split.append([FIRST + first, *[r[1:] for r in rest]])
-            else:
-                keys: list[str] = []
+                keys = [FIRST + first, *[r[1:] for r in rest]]
+            elif "\n" in t:
+                keys = []
                 for k, line in enumerate(t.split("\n")):
                     parts = line.split(" ")
                     parts[0] = ("\n" if k else FIRST) + parts[0]
                     keys += parts
-                split.append(keys)
+            else:
+                keys = words
+                keys[0] = FIRST + keys[0]
+            split.append(keys)
         known = self.pieces
         new = set().union(*split) - known.keys()
         if len(known) + len(new) > self.most:
             known.clear()
             new = set().union(*split)
-        for memo, most in ((self.words, self.most), (self.raw, 2 * self.most)):
-            if len(memo) > most:
+        for memo in (self.words, self.after_blank):
+            if len(memo) > self.most:
                 memo.clear()
-        for key in new:
-            known[key] = self._new(key)
+        self._learn(new)
         return [b"".join(map(known.__getitem__, keys)) for keys in split]
 
 
