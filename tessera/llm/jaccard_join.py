@@ -1,12 +1,13 @@
 """Exact similarity classes of word-shingle sets, with skipping by set relations.
 
 1. Every document becomes its set of shingle hashes; documents with one set are one set from here on.
-2. Sets that share a minimum under one of a few hash functions are compared with one of them, their leader.
-   A group of any size costs one comparison a member. Leaders and members at ``similarity`` or more are joined to
-   components.
+2. Sets that share a minimum under one of a few hash functions are compared with one of them, their leader, and with
+   the next one in order of further minima. A group of any size costs two comparisons a member. Sets at ``similarity``
+   or more are joined to components.
 3. Prefix filter: a set enters the index lists of its rarest shingles. Lists are sorted by set size and position of the
    shingle in its set; a whole block of one size is skipped when the sizes or the positions leave too few
-   shingles, and pairs of one component need no answer any more.
+   shingles, and pairs of one component need no answer any more. Sets that have a neighbour from step 2 also carry a parity
+   bitmap, whose difference bounds the overlap from above.
 4. A candidate pair whose sets have the same leader takes its answer from the two overlaps with that leader, if these
    bound it from below or above enough. The remaining pairs are compared as a whole.
 
@@ -106,9 +107,28 @@ def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long, nx int, ny int, inter int")
 
 
+def neighbours(keyed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``x, y``: sets next to each other among those with two minima in common, in order of a third one.
+
+    Rows are dealt by range of all of these, so a large group spreads over tasks; a pair across a task's border is left to the index lists.
+    """
+    a, b = share
+    order = ["k", "low", "low2", "low3", "sid"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, low, low2, sid, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "low", "low2", "sid", "n"))
+            ok = (k[1:] == k[:-1]) & (low[1:] == low[:-1]) & (low2[1:] == low2[:-1]) & (b * np.minimum(n[1:], n[:-1]) >= a * np.maximum(n[1:], n[:-1]))
+            at = np.flatnonzero(ok)
+            x, y = sid[at], sid[at + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["x", "y"])
+
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "x long, y long")
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length, byte plane by byte plane, compressed."""
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -125,8 +145,15 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 KINDS = ["<u4", "<u1", "<i8", "<i8", "<u4", "<u4"]  # two parts of a hash, id (as a difference), root (as a difference), set size, position
 
 
+WORDS = 8  # 64-bit words of a bitmap
+
+
 def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[int, int], buckets: int) -> DataFrame:
-    """Packed index entries ``bucket, data`` of the prefix of each set of ``sets (sid, root, text)``."""
+    """Packed index entries ``bucket, data, maps`` of the prefix of each set of ``sets (sid, root, crowded, text)``.
+
+    ``maps`` has, once for each crowded set of a packet, its parity bitmap: bit i says whether an odd number of its
+    shingles falls on i.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(levels)  # 2 ** sketch_bits bytes
     a, b = share
 
@@ -134,6 +161,7 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
         level = shared.value
         low = np.uint64(len(level) - 1)
         held: list[tuple[np.ndarray, int, int, int]] = []
+        maps: dict[int, np.ndarray] = {}
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -151,32 +179,42 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
                     (h[part] & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h[part] >> np.uint64(32)) & np.uint64(0xFF)).astype("<u1"),
                     np.diff(i, prepend=0).astype("<i8"), (root[part] - i).astype("<i8"), n[part].astype("<u4"), pos[part].astype("<u4"),
                 )
-                yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[part[0]])], "data": [data]})
+                drawn = np.array([x for x in np.unique(i).tolist() if x in maps], np.int64)
+                bits = np.array([maps[x] for x in drawn.tolist()], "<u8").reshape(-1, WORDS)
+                both = _pack(np.diff(drawn, prepend=0).astype("<i8"), *(np.ascontiguousarray(bits[:, w]) for w in range(WORDS)))
+                yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[part[0]])], "data": [data], "maps": [both]})
 
         for batch in batches:
-            sids, roots = batch.column("sid").to_pylist(), batch.column("root").to_pylist()
+            sids, roots, crowded = (batch.column(c).to_pylist() for c in ("sid", "root", "crowded"))
             for k, s in enumerate(shingles([t.encode() for t in batch.column("text").to_pylist()], size)):
                 n = len(s)
                 if n:
                     keep = n - -(-a * n // b) + 1
                     rank = (level[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     held.append((s[np.argsort(rank, kind="stable")[:keep]], sids[k], roots[k], n))
+                    if crowded[k]:
+                        odd = (np.bincount((s >> np.uint64(8)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1).astype(bool)
+                        maps[sids[k]] = np.packbits(odd, bitorder="little").view("<u8")
                     count += keep
                     if count >= 2_000_000:
                         yield from flush()
                         held.clear()
+                        maps.clear()
                         count = 0
         if held:
             yield from flush()
 
-    return sets.select("sid", "root", "text").mapInArrow(run, "bucket long, data binary")
+    return sets.select("sid", "root", "crowded", "text").mapInArrow(run, "bucket long, data binary, maps binary")
 
 
-def list_pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, p: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(
+    roots: np.ndarray, n: np.ndarray, p: np.ndarray, share: tuple[int, int], row: np.ndarray | None = None, bits: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate index pairs of one list, whose entries are sorted by set size, then position.
 
     Entries of one size are a block. Two blocks are skipped when the smaller size can't reach the larger one's share; of
-    a block that stays, only entries up to the last position that leaves enough shingles are read.
+    a block that stays, only entries up to the last position that leaves enough shingles are read. Where both sets have a bitmap (``row`` in ``bits``,
+    else -1), the bits in which these differ are shingles in which the sets do, and too many of them skip the pair.
     """
     a, b = share
     edge = np.flatnonzero(np.diff(n)) + 1
@@ -189,14 +227,22 @@ def list_pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, p: np.ndarray,
             x_end = begin[i] + np.searchsorted(p[begin[i] : end[i]], m - need, side="right")
             y_end = begin[j] + np.searchsorted(p[begin[j] : end[j]], k - need, side="right")
             xs, ys = np.arange(begin[i], x_end), np.arange(begin[j], y_end)
-            for c in range(0, len(xs), 1024):
-                u, v = xs[c : c + 1024, None], ys[None, :]
+            for c in range(0, len(xs), 256):
+                u, v = xs[c : c + 256, None], ys[None, :]
                 ok = roots[u] != roots[v]
                 if i == j:
                     ok &= u < v
                 u, v = np.nonzero(ok)
+                u, v = xs[c + u], ys[v]
+                if len(u) and row is not None:
+                    ru, rv = row[u], row[v]
+                    seen = np.flatnonzero((ru >= 0) & (rv >= 0))
+                    differ = np.bitwise_count(bits[ru[seen]] ^ bits[rv[seen]]).sum(1, dtype=np.int64)
+                    keep = np.ones(len(u), bool)
+                    keep[seen] = differ <= m + k - 2 * need
+                    u, v = u[keep], v[keep]
                 if len(u):
-                    yield xs[c + u], ys[v]
+                    yield u, v
 
 
 def candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -217,11 +263,22 @@ def candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
         mixed = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)  # a list of one component is skipped as a whole
         keep = order[np.repeat(mixed, length)]
         keep = keep[np.lexsort((p[keep], n[keep], np.repeat(np.arange(len(first))[mixed], length[mixed])))]
+        drawn, bits = [np.empty(0, np.int64)], [np.empty((0, WORDS), np.uint64)]
+        for data in pdf["maps"]:
+            i, *words = _unpack(data, ["<i8"] + ["<u8"] * WORDS)
+            drawn.append(np.cumsum(i))
+            bits.append(np.stack(words, 1))
+        drawn, first_of = np.unique(np.concatenate(drawn), return_index=True)
+        bits = np.concatenate(bits)[first_of]
+        row = np.full(len(ids), -1)
+        if len(drawn):
+            near = np.minimum(np.searchsorted(drawn, ids), len(drawn) - 1)
+            row = np.where(drawn[near] == ids, near, -1)
         out, at = [], 0
         for m in length[mixed].tolist():
             k = keep[at : at + m]
             at += m
-            for u, v in list_pairs(ids[k], roots[k], n[k], p[k], share):
+            for u, v in list_pairs(roots[k], n[k], p[k], share, row[k], bits):
                 out.append(np.stack([ids[k[u]], ids[k[v]], n[k[u]], n[k[v]]], 1))
             if len(out) > 1000:
                 out = [np.unique(np.concatenate(out), axis=0)]
@@ -287,21 +344,29 @@ def similarity_classes(
     texts = spark.table(name)
 
     # step 2: leaders
-    keyed = sets.select(F.col("id").alias("doc_id"), "th", "sid", "n").join(mins, ["doc_id", "th"]).select("sid", "n", F.posexplode("mins").alias("k", "low"))
-    keyed = materialize(keyed, "jac-mins")
-    groups = keyed.groupBy("k", "low").agg(F.min("sid").alias("y"), F.min_by("n", "sid").alias("ny"), F.count("*").alias("m")).filter("m > 1")
+    following = F.transform("mins", lambda m, k: F.struct(k.alias("k"), m.alias("low"), F.get("mins", (k + 1) % hashes).alias("low2"), F.get("mins", (k + 2) % hashes).alias("low3")))
+    keyed = sets.select(F.col("id").alias("doc_id"), "th", "sid", "n").join(mins, ["doc_id", "th"]).select("sid", "n", F.explode(following).alias("m"))
+    keyed = materialize(keyed.select("sid", "n", "m.*"), "jac-mins")
+    # the leader has the most common minima of all: it is the set from which the others of its group differ least
+    crowd = keyed.groupBy("k", "low").agg(F.count("*").alias("m")).filter("m > 1")
+    fame = keyed.join(crowd, ["k", "low"]).groupBy("sid").agg(F.sum("m").alias("fame"))
+    famed = materialize(keyed.join(fame, "sid").select("sid", "n", "k", "low", "fame"), "jac-famed")
+    groups = famed.groupBy("k", "low").agg(F.max(F.struct("fame", "sid", "n")).alias("top"), F.count("*").alias("m")).filter("m > 1")
+    groups = groups.select("k", "low", F.col("top.sid").alias("y"), F.col("top.n").alias("ny"))
     stars = (
         keyed.join(groups, ["k", "low"])
         .filter(f"sid <> y AND {b} * least(n, ny) >= {a} * greatest(n, ny)")
         .select(F.col("sid").alias("x"), "y")
-        .distinct()
     )
+    stars = stars.unionByName(neighbours(keyed, similarity)).distinct()
     led = materialize(overlaps(stars, texts, size), "jac-led")
     linked = f"{b} * inter >= {a} * (nx + ny - inter)"
     first_roots = materialize(components(led.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))), "jac-roots")
 
     # step 3: index lists
-    tagged = texts.join(first_roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "text")
+    crowded = famed.select("sid", F.lit(True).alias("crowded")).distinct()
+    marks = first_roots.withColumnRenamed("node", "sid").join(crowded, "sid", "full")
+    tagged = texts.join(marks, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "text")
     index_buckets = min(1 << 16, max(16, math.ceil((total[0] or 0) * (b - a) / b / entries_a_bucket)))
     pairs = materialize(candidates(index_entries(tagged, levels, size, similarity, index_buckets), similarity), "jac-pairs")
 
