@@ -1,0 +1,85 @@
+"""Views that map the driver's tables to the shapes that the operators take. The SQL runs in Spark and in DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.sources.tables import table
+
+FX: dict[str, tuple[list[str], str]] = {
+    "files": (
+        ["documents"],
+        """SELECT doc_id, source AS repo_id,
+  concat('src/', CASE WHEN doc_id % 11 = 0 THEN 'tests/' ELSE '' END, 'f', CAST(doc_id AS STRING),
+    CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.go' WHEN 3 THEN '.java' WHEN 4 THEN '.rs' ELSE '.txt' END) AS file_path,
+  CASE doc_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'go' WHEN 3 THEN 'java' WHEN 4 THEN 'rust' END AS language,
+  text AS content FROM {documents}""",
+    ),
+    "repos": (
+        ["customer"],
+        """SELECT c_custkey AS repo_id, c_nationkey AS user_id, c_name AS name, c_custkey % 17 = 0 AS deleted,
+  CASE c_custkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS min_severity FROM {customer}""",
+    ),
+    "scans": (
+        ["orders"],
+        """SELECT o_orderkey AS scan_id, o_custkey AS repo_id, o_orderdate AS created_at,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'hunting' ELSE 'failed' END AS status FROM {orders}""",
+    ),
+    "findings": (
+        ["lineitem", "orders"],
+        """SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING)) AS finding_id,
+  l_orderkey AS scan_id, o_custkey AS repo_id,
+  CASE CAST(l_quantity AS INT) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+  CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE l_partkey % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'fixed' WHEN 3 THEN 'dismissed' ELSE 'false_positive' END AS status,
+  l_discount > 0.085 AS poc_validated, concat('rule-', CAST(l_suppkey % 45 AS STRING)) AS title,
+  concat('CWE-', CAST(CASE l_suppkey % 7 WHEN 0 THEN 89 WHEN 1 THEN 78 WHEN 2 THEN 79 WHEN 3 THEN 798 WHEN 4 THEN 502 WHEN 5 THEN 22 ELSE 120 END AS STRING)) AS cwe_id,
+  concat('src/f', CAST(l_partkey % 1000 AS STRING), '.py') AS file_path, CAST(l_linenumber * 10 AS INT) AS line_start, l_shipdate AS created_at
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    ),
+    "events": (
+        ["events"],
+        """SELECT event_id, user_id AS scan_id, ts AS created_at,
+  CASE event_id % 9 WHEN 0 THEN 'ingest' WHEN 1 THEN 'tyr' WHEN 2 THEN 'static_analysis' WHEN 3 THEN 'taint_analysis' WHEN 4 THEN 'config_scan' WHEN 5 THEN 'hunt' WHEN 6 THEN 'vidarr' WHEN 7 THEN 'garmr' ELSE 'report' END AS stage,
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status FROM {events}""",
+    ),
+    "edges": (
+        ["lineitem"],
+        """SELECT DISTINCT concat('f', CAST(l_suppkey % 97 AS STRING)) AS caller, concat('f', CAST(l_partkey % 97 AS STRING)) AS callee
+  FROM {lineitem} WHERE l_quantity >= 50 AND l_suppkey % 97 <> l_partkey % 97""",
+    ),
+    "packages": (
+        ["part"],
+        """SELECT concat('pkg', CAST(p_partkey % 50 AS STRING)) AS name, CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'crates.io' END AS ecosystem,
+  concat(CAST(p_size % 5 AS STRING), '.', CAST(p_size % 10 AS STRING), '.', CAST(p_partkey % 7 AS STRING)) AS version, p_partkey AS occurrence_id FROM {part}""",
+    ),
+    "advisories": (
+        ["supplier"],
+        """SELECT concat('ADV-', CAST(s_suppkey AS STRING)) AS advisory_id, concat('pkg', CAST(s_suppkey % 50 AS STRING)) AS name,
+  CASE s_suppkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'crates.io' END AS ecosystem, '0' AS introduced,
+  concat(CAST(1 + s_nationkey % 4 AS STRING), '.0.0') AS fixed FROM {supplier}""",
+    ),
+    "tool_calls": (
+        ["conversations"],
+        "SELECT conv_id AS scan_id, turn AS call_no, role AS stage, CAST(length(text) AS INT) AS total_tokens FROM {conversations}",
+    ),
+}
+
+
+def fx(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The view ``name`` over the tables of ``root``."""
+    tables, sql = FX[name]
+    return spark.sql(sql, **{t: table(spark, root, t) for t in tables})
+
+
+def with_views(names: str, body: str) -> str:
+    """DuckDB SQL: ``body`` after common table expressions ``fx_<name>``."""
+    ctes = []
+    for n in names.split():
+        tables, sql = FX[n]
+        ctes.append(f"fx_{n} AS ({sql.format(**{t: t for t in tables})})")
+    head = ",\n".join(ctes)
+    body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body.removeprefix('WITH RECURSIVE ')}"
+    return f"WITH {head},\n{body.removeprefix('WITH ')}" if body.startswith("WITH ") else f"WITH {head}\n{body}"
