@@ -198,13 +198,13 @@ def shannon_entropy(c: Column) -> Column:
     )
 
 
-def looks_secret(c: Column) -> Column:
+def looks_secret(c: Column, entropy: Column | None = None) -> Column:
     """Whether a quoted literal may be a secret: long, not a path or UUID, of mixed characters (or long hex), and of high entropy."""
     path_like = c.rlike(r"^/|^\./|^\.\./|://|[?&\\ \t]|/.*/")
     uuid = c.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
     classes = sum((c.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", r"[+/=_-]")), F.lit(0))
     hexes = c.rlike("^[0-9a-fA-F]+$") & (F.octet_length(c) >= 32)
-    return (F.octet_length(c) >= 24) & ~path_like & ~uuid & ((classes >= 3) | hexes) & (shannon_entropy(c) >= 3.5)
+    return (F.octet_length(c) >= 24) & ~path_like & ~uuid & ((classes >= 3) | hexes) & ((shannon_entropy(c) if entropy is None else entropy) >= 3.5)
 
 
 def assigned_variable(line: Column) -> Column:

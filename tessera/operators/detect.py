@@ -115,12 +115,13 @@ def scan_secrets(files: DataFrame, mask: bool = True) -> DataFrame:
     The literal is masked but for four characters, unless ``mask`` is off.
     """
     lines = to_lines(files.filter("language IS NOT NULL").select(*KEYS, "content")).filter(F.col("line").rlike(SECRET_NAME))
-    found = F.try_element_at(F.filter(F.regexp_extract_all("line", F.lit(QUOTED), F.lit(1)), looks_secret), F.lit(1))
-    hits = lines.withColumn("literal", found).filter("literal IS NOT NULL")
+    measured = F.transform(F.regexp_extract_all("line", F.lit(QUOTED), F.lit(1)), lambda x: F.struct(x.alias("literal"), shannon_entropy(x).alias("entropy")))
+    found = F.try_element_at(F.filter(measured, lambda m: looks_secret(m["literal"], m["entropy"])), F.lit(1))
+    hits = lines.withColumn("m", found).filter("m IS NOT NULL").select("*", "m.*")
     shown = F.concat(F.substring("literal", 1, 4), F.repeat(F.lit("*"), F.length("literal") - 4)) if mask else F.col("literal")
     return hits.select(
         *KEYS, F.col("line_no").alias("line_start"), F.lit("high").alias("severity"), F.lit("medium").alias("confidence"), F.lit("CWE-798").alias("cwe_id"), F.lit("static").alias("source"),
-        F.lit("hardcoded-secret").alias("rule_id"), shown.alias("literal"), F.round(shannon_entropy(F.col("literal")), 6).alias("entropy"),
+        F.lit("hardcoded-secret").alias("rule_id"), shown.alias("literal"), F.round("entropy", 6).alias("entropy"),
         fingerprint("hardcoded-secret", F.col("file_path"), F.col("line_no").cast("string")).alias("fingerprint"),
     )
 
