@@ -19,11 +19,11 @@ SKIPPED_DIRS = (".git", "node_modules", "target", "dist", "build", "vendor", ".v
 MOST_BYTES = 1_048_576
 
 
-def read_corpus(spark: SparkSession, root: str, repo_id: str, include_hidden: bool = False) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """Text files below a folder: ``repo_id, file_path, content, byte_size, language``.
 
-    Skipped directories, hidden files (unless asked for), files over ``MOST_BYTES`` and files that aren't UTF-8 are left out. Sizes and paths are tested before
-    contents are read.
+    Skipped directories, hidden files, files over ``MOST_BYTES`` and files that aren't UTF-8 are left out. Sizes and paths are
+    tested before contents are read. Spark's listing also leaves out names that begin with an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= MOST_BYTES)
     path = F.regexp_replace("path", r"^[a-z0-9+.-]+:/*(?=/)", "")
@@ -31,8 +31,7 @@ def read_corpus(spark: SparkSession, root: str, repo_id: str, include_hidden: bo
     files = files.withColumn("file_path", F.substring(path, len(base) + 1, 4096))
     skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
     files = files.filter(~F.col("file_path").rlike(rf"(?:^|/)(?:{skipped})/"))
-    if not include_hidden:
-        files = files.filter(~F.col("file_path").rlike(r"(?:^|/)\.[^/]*$"))
+    files = files.filter(~F.col("file_path").rlike(r"(?:^|/)\.[^/]*$"))
     return with_language(
         files.select(F.lit(repo_id).alias("repo_id"), "file_path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.col("length").cast("int").alias("byte_size")).filter("content IS NOT NULL")
     )

@@ -38,17 +38,14 @@ def stage_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("scan_id", "stage").agg(last).select("scan_id", "stage", F.col("m.status").alias("status"), F.col("m.created_at").alias("created_at"))
 
 
-def until_terminal(stream: DataFrame, timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Events up to and with the first terminal one of a scan; state is one flag a scan and goes after ``timeout_ms`` without events.
+def until_terminal(stream: DataFrame) -> DataFrame:
+    """Events up to and with the first terminal one of a scan; state is one flag a scan, which is kept.
 
     ``stream`` has ``scan_id, event_id, event_type, created_at``.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         done = state.exists and state.get[0]
         rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
         if not done:
@@ -57,11 +54,10 @@ def until_terminal(stream: DataFrame, timeout_ms: int = 24 * 3600 * 1000) -> Dat
                 rows, done = rows.iloc[: end.argmax() + 1], True
             yield rows
         state.update((done,))
-        state.setTimeoutDuration(timeout_ms)
 
     schema = "scan_id long, event_id long, event_type string, created_at timestamp"
     rows = stream.select("scan_id", "event_id", "event_type", "created_at")
-    return rows.groupBy("scan_id").applyInPandasWithState(run, schema, "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("scan_id").applyInPandasWithState(run, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def snapshot_then_tail(snapshot: DataFrame, stream: DataFrame, path: str, checkpoint: str, watermark: str = "1 hour"):
