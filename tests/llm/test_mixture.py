@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.mixture import apply_mix, fit_rates, mix
@@ -62,3 +63,24 @@ def test_apply(spark):
     out = apply_mix(docs, mixed)
     assert out.columns == docs.columns
     assert out.count() == sum(1 if r["doc_id"] is None else r["doc_id"] % 3 for r in docs.collect())
+
+
+def one_hot(spark, sizes):
+    rows = [(i, 100, *[1.0 if k == d else 0.0 for k in range(len(sizes))]) for d, n in enumerate(sizes) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, " + ", ".join(f"p{k} double" for k in range(len(sizes))))
+
+
+@pytest.mark.parametrize("sizes", [(1994, 4, 2), (9000, 999, 1)])
+def test_rare_domains_reach_their_targets_within_the_production_steps(spark, sizes):
+    total = 100.0 * sum(sizes)
+    raw = [(n / sum(sizes)) ** 0.7 for n in sizes]
+    shares = [x / sum(raw) for x in raw]
+    out = fit_rates(one_hot(spark, sizes), shares, total, 1e-4, 60, 4)
+    got = out.agg(*[F.sum(F.expr(f"rate * tokens * p{k}")) for k in range(len(sizes))]).first()
+    assert all(abs(got[k] / total / shares[k] - 1) <= 1e-4 for k in range(len(sizes))), (list(got), shares)
+
+
+def test_targets_out_of_reach_raise(spark):
+    soft = spark.createDataFrame([(i, 10, 0.6, 0.4) for i in range(20)], "doc_id long, tokens long, p0 double, p1 double")
+    with pytest.raises(ValueError, match="miss their targets"):
+        fit_rates(soft, [0.1, 0.9], 200.0, 1e-4, 60, 4)
