@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of scarce languages are repeated towards flattened shares of tokens; every document stays at least once."""
+    """Documents of scarce languages are repeated towards flattened shares of tokens, which the written tokens meet; every document stays at least once."""
     return apply_mix(docs, mix(docs, label_col="lang", min_copies=1))
 
 

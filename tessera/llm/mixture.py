@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tessera.plans.scratch import materialize
 
-#: Steps without a thousandth of progress after which targets count as out of reach.
+#: Steps without a thousandth of progress after which targets count as out of reach; tries with a larger total.
 STALLED = 50
+GROWTHS = 12
 
 
 def words(text: Column) -> Column:
@@ -131,6 +132,29 @@ def fit_rates(soft: DataFrame, shares: list[float], total_tokens: float, toleran
     raise ValueError(f"after {done} steps domains miss their targets by a part of {[float(f'{x:.3g}') for x in miss]} (shares {shares}); allowed is {tolerance}")
 
 
+def fit_with_least(soft: DataFrame, shares: list[float], total: float, tolerance: float, max_steps: int, steps_per_table: int, low: float) -> DataFrame:
+    """``fit_rates`` with rates of at least ``low`` and the total scaled up until the shares can be met under it.
+
+    The unbounded fit is ``p . mu`` for one ``mu``; where it is positive, the total is scaled so that the smallest
+    of these rates is ``low``. Else the total grows from the least that any fit needs.
+    """
+    if not low:
+        return fit_rates(soft, shares, total, tolerance, max_steps, steps_per_table)
+    ids = range(len(shares))
+    mu = _inverse(_gram(soft, len(shares))) @ (np.array(shares) * total)
+    rate = sum((F.col(f"p{k}") * float(mu[k]) for k in ids), F.lit(0.0))
+    sums = soft.filter("tokens > 0").agg(F.min(rate).alias("least"), *[F.sum(F.col("tokens") * F.col(f"p{k}")).alias(f"s{k}") for k in ids]).first()
+    if sums["least"] > 0:
+        return fit_rates(soft, shares, total * max(1.0, low / sums["least"]), tolerance, max_steps, steps_per_table, low)
+    times = max(1.0, *(low * sums[f"s{k}"] / (shares[k] * total) for k in ids if shares[k] > 0))
+    for grown in range(GROWTHS):
+        try:
+            return fit_rates(soft, shares, total * times * 1.5**grown, tolerance, max_steps, steps_per_table, low)
+        except ValueError as missed:
+            reason = missed
+    raise ValueError(f"no total meets the targets with rates of {low} at least") from reason
+
+
 def mix(
     docs: DataFrame,
     targets: dict[str, float] | None = None,
@@ -153,11 +177,11 @@ def mix(
 
     targets: the wanted share of tokens of each domain (scaled to sum 1; domains left out get 0); by
     default the expected shares raised to ``temperature``. Each target is met within ``tolerance`` of itself, or a
-    ``ValueError`` is raised. The total stays that of ``docs``. The table of
+    ``ValueError`` is raised. The total stays that of ``docs``; with ``min_copies`` no rate is below it, and the
+    total grows until the shares are met all the same. The table of
     likelihoods is learned from ``labelled`` (by default ``docs``), of whose rows with a label about
     ``fit_rows`` are used, chosen by hash: the bound of the classifier's sample. Posteriors, token totals and rates cover
-    all rows. ``copies`` is the rate rounded up or down at random by a hash of the id, and at least
-    ``min_copies``.
+    all rows. ``copies`` is the rate rounded up or down at random by a hash of the id.
 
     Rows that share an id (or have none) count as one document whose texts are joined. Null and empty texts
     have no tokens, the prior as posteriors and the rate that follows. Without any label there are no domains:
@@ -185,7 +209,7 @@ def mix(
     wanted = [targets.get(d, 0.0) for d in domains] if targets else [x**temperature if x > 0 else 0.0 for x in raw]
     whole = sum(wanted)
     shares = [x / whole for x in wanted] if whole else raw
-    rated = fit_rates(soft, shares, total, tolerance, max_steps, steps_per_table) if total else soft.withColumn("rate", F.lit(1.0))
+    rated = fit_with_least(soft, shares, total, tolerance, max_steps, steps_per_table, float(min_copies)) if total else soft.withColumn("rate", F.lit(1.0))
     top = F.greatest(*[F.col(f"p{k}") for k in ids]) if len(domains) > 1 else F.col("p0")
     name = F.coalesce(*[F.when(F.col(f"p{k}") == top, d) for k, d in enumerate(domains)])
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)

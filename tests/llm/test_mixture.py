@@ -84,3 +84,16 @@ def test_targets_out_of_reach_raise(spark):
     soft = spark.createDataFrame([(i, 10, 0.6, 0.4) for i in range(20)], "doc_id long, tokens long, p0 double, p1 double")
     with pytest.raises(ValueError, match="miss their targets"):
         fit_rates(soft, [0.1, 0.9], 200.0, 1e-4, 60, 4)
+
+
+def test_written_shares_meet_the_targets_when_every_document_stays(spark):
+    docs = corpus(spark).filter("doc_id IS NOT NULL")
+    want = {"a": 0.3, "b": 0.4, "c": 0.3}
+    out = mix(docs, want, min_copies=1).cache()
+    assert out.filter("copies < 1 OR rate < 1").count() == 0
+    p = out.groupBy("domain").agg(F.sum(F.expr("copies * tokens")).alias("n"), F.sum(F.expr("rate * tokens")).alias("r")).collect()
+    for c, near in (("n", 0.03), ("r", 0.01)):
+        total = sum(x[c] for x in p)
+        assert all(abs(x[c] / total - want[x["domain"]]) < near for x in p), p
+    with pytest.raises(ValueError):
+        mix(docs, {"a": 0.0, "b": 1.0}, min_copies=1, max_steps=5)
