@@ -4,11 +4,14 @@ A fixed mask such as ``110110111`` picks some of the words of a window and ignor
 windows that differ only in ignored places have one hash. The seeds of the benchmark are joined with
 those of every document position; the join, the hashing and the test around each hit run in one
 pass over the documents, without a shuffle of their text. Around a hit the benchmark item is laid along
-the document, and some window of ``window`` words must agree in ``similarity`` of its words.
+the document, and some window of ``window`` words must agree in ``similarity`` of its words. The masks are
+completed for each window size until every allowed choice of differing words leaves some mask intact, and all
+windows around a hit are tested, so nothing is missed.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Six words each; together they bridge single and double substitutions at varied distances.
 MASKS = ("111111", "1111011", "11011011", "111000111")
+#: With more choices of differing words than this, masks are not searched: a plain run is long enough by pigeonhole.
+MOST_CHOICES = 500
 
 
 def words(text: Column) -> Column:
@@ -23,12 +28,46 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(masks: tuple[str, ...], array: str, at: str, size: str) -> Column:
-    """The hashes of all masks that fit at word ``at``; null for a mask that doesn't."""
+def _hits(mask: str, size: int, changed: tuple[int, ...]) -> bool:
+    """Whether ``mask`` fits somewhere into ``size`` words so that it ignores all changed ones."""
+    return any(all(c == "0" or at + i not in changed for i, c in enumerate(mask)) for at in range(size - len(mask) + 1))
+
+
+def _lighter(size: int, weight: int) -> list[str]:
+    """All masks of ``weight`` words within ``size``, short ones first."""
+    if weight == 1:
+        return ["1"]
+    inner = [(span, c) for span in range(weight, size + 1) for c in itertools.combinations(range(1, span - 1), weight - 2)]
+    return ["".join("1" if i in (0, span - 1, *c) else "0" for i in range(span)) for span, c in inner]
+
+
+def masks_for(size: int, similarity: float, masks: tuple[str, ...], known: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Masks that find every window of ``size`` words of which ``similarity`` agree: those of ``masks`` that fit, and
+    as few more as a greedy search needs, heavy ones and those of ``known`` first."""
+    changes = max(d for d in range(size) if d == 0 or (size - d) / size >= similarity)
+    found = [m for m in masks if len(m) <= size]
+    if math.comb(size, changes) > MOST_CHOICES:
+        return (*found, "1" * math.ceil((size - changes) / (changes + 1)))
+    left = [c for c in itertools.combinations(range(size), changes) if not any(_hits(m, size, c) for m in found)]
+    weight = min(max((m.count("1") for m in masks), default=size), size - changes)
+    while left:
+        pools = [[m for m in known if m.count("1") == weight and len(m) <= size], _lighter(size, weight)]
+        best = next((m for n, m in (max(((sum(_hits(m, size, c) for c in left), m) for m in pool), default=(0, "")) for pool in pools) if n), None)
+        if best is None:
+            weight -= 1
+            continue
+        found.append(best)
+        left = [c for c in left if not _hits(best, size, c)]
+    return tuple(found)
+
+
+def _seeds(masks: dict[str, list[int]], array: str, at: str, size: str, span: str | None = None) -> Column:
+    """The hashes of all masks that fit at word ``at``, and with ``span`` only of those that windows of this size use; else null."""
     out = []
-    for k, mask in enumerate(masks):
+    for k, (mask, spans) in enumerate(masks.items()):
         picked = ", ".join(f"get({array}, {at} + {i})" for i, c in enumerate(mask) if c == "1")
-        out.append(f"CASE WHEN {at} + {len(mask)} <= {size} THEN xxhash64({k}, {picked}) END")
+        used = f" AND {span} IN ({', '.join(map(str, spans))})" if span else ""
+        out.append(f"CASE WHEN {at} + {len(mask)} <= {size}{used} THEN xxhash64({k}, {picked}) END")
     return F.expr(f"array({', '.join(out)})")
 
 
@@ -63,23 +102,24 @@ def find_overlaps(
         .filter(F.size("item_words") >= min_words)
         .distinct()
     )
-    spans = [len(m) for m in masks]
-    shortest = items.select(F.min(F.size("item_words"))).first()[0]
-    if shortest is not None and shortest < max(spans):  # short items have seeds of their own
-        masks = (*masks, "1" * max(min_words, min(spans) - 1))
+    spans = [r[0] for r in items.select(F.least(F.lit(window), F.size("item_words"))).distinct().collect()]  # `window` sizes at most
+    used: dict[str, list[int]] = {}
+    for span in sorted({*spans, window}, reverse=True):
+        for mask in masks_for(span, similarity, masks, tuple(used)):
+            used.setdefault(mask, []).append(span)
     blocks = _blocks(items, block_words)
     items = items.select("item_id", "item_words", F.size("item_words").alias("item_size"), F.xxhash64("item_words", "item_id").alias("item_key"))
     items = items.withColumn("block", F.pmod("item_key", F.lit(blocks)))
     seeds = (
         items.select("block", "item_key", "item_words", "item_size", F.posexplode("item_words").alias("item_at", "w"))
-        .select("block", "item_key", "item_at", F.explode(_seeds(masks, "item_words", "item_at", "item_size")).alias("seed"))
+        .select("block", "item_key", "item_at", F.explode(_seeds(used, "item_words", "item_at", "item_size", f"least({window}, item_size)")).alias("seed"))
         .filter("seed IS NOT NULL")
     )
     at_words = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("doc_words")).select(
         "doc_id", "doc_words", F.size("doc_words").alias("doc_size"), F.posexplode("doc_words").alias("at", "w")
     )
     keyed = at_words.select(
-        "doc_id", "doc_words", "doc_size", "at", F.explode(_seeds(masks, "doc_words", "at", "doc_size")).alias("seed")
+        "doc_id", "doc_words", "doc_size", "at", F.explode(_seeds(used, "doc_words", "at", "doc_size")).alias("seed")
     ).filter("seed IS NOT NULL")
     out = None
     for b in range(blocks):
@@ -91,16 +131,15 @@ def find_overlaps(
 
 
 def _matched(window: int) -> Column:
-    """The best share of agreeing words in the windows that end at, surround and begin at the hit."""
+    """The best share of agreeing words in all windows of the item that hold the first word of the hit."""
     span = f"least({window}, item_size)"
-    agree = []
-    for shift in (f"{span} - 1", f"({span} div 2)", "0"):
-        start = f"greatest(0, least(item_at - ({shift}), item_size - {span}))"
-        agree.append(
-            f"aggregate(sequence({start}, {start} + {span} - 1), 0, "
-            "(n, j) -> n + CASE WHEN at - item_at + j >= 0 AND get(doc_words, at - item_at + j) = get(item_words, j) THEN 1 ELSE 0 END)"
-        )
-    return F.expr(f"greatest({', '.join(agree)}) / {span}")
+    low, high = f"greatest(0, item_at - {span} + 1)", f"least(item_size, item_at + {span}) - 1"
+    agree = "CASE WHEN at - item_at + {j} >= 0 AND get(doc_words, at - item_at + {j}) = get(item_words, {j}) THEN 1 ELSE 0 END"
+    # x.n agreeing words in the window that ends at j; x.best of the whole windows so far
+    new = f"x.n + {agree.format(j='j')} - CASE WHEN j - {span} >= {low} THEN {agree.format(j=f'(j - {span})')} ELSE 0 END"
+    # windows that are not whole yet are part of the first whole one, so they never hold more
+    step = f"named_struct('n', {new}, 'best', greatest(x.best, {new}))"
+    return F.expr(f"aggregate(sequence({low}, {high}), named_struct('n', 0, 'best', 0), (x, j) -> {step}, x -> x.best) / {span}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -1,9 +1,12 @@
+import itertools
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.decontaminate import MASKS, clean_only, decontaminate
+from tessera.llm.decontaminate import MASKS, clean_only, decontaminate, masks_for
 
 SPLIT = re.compile(r"[\W_]+")
 
@@ -84,3 +87,49 @@ def test_tolerates_substitutions_and_leaves_clean_documents(spark):
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert clean_only(docs, bench.limit(0)).count() == 3
+
+
+def every_window(docs, items, window=13, similarity=0.8, min_words=5):
+    """All diagonals and all windows, without seeds."""
+    items = [(k, toks(t)) for k, t in items if len(toks(t)) >= min_words]
+    out = {}
+    for d, t in docs:
+        w, out[d] = toks(t), []
+        for k, item in items:
+            n = min(window, len(item))
+            grids = ([0 <= diag + j < len(w) and w[diag + j] == x for j, x in enumerate(item)] for diag in range(-len(item) + 1, len(w)))
+            if any(sum(g[s : s + n]) / n >= similarity for g in grids if sum(g) >= similarity * n for s in range(len(item) - n + 1)):
+                out[d].append(k)
+    return out
+
+
+def quotes():
+    """An excerpt of an item of each size, with every choice of the most substitutions that are allowed, and one more."""
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 30)]
+    docs = []
+    for n, text in items:
+        size, first = min(13, n), 9 if n == 30 else 0
+        most = size - math.ceil(0.8 * size)
+        for changed in [*itertools.combinations(range(size), most), tuple(range(most + 1))]:
+            part = [f"s{j}" if j in changed else w for j, w in enumerate(text.split()[first : first + size])]
+            docs.append((len(docs), " ".join(["before", *part, "after"] if len(docs) % 2 else part)))
+    return docs, items
+
+
+def test_all_allowed_substitutions_are_found_in_items_of_every_size(spark):
+    docs, items = quotes()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = every_window(docs, items)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate(d, b).collect()}
+    assert got == want and sum(map(bool, want.values())) == len(docs) - len(items)
+
+
+@pytest.mark.parametrize(("size", "similarity"), [(13, 0.8), (5, 0.8), (12, 0.7), (10, 0.5), (30, 0.8)])
+def test_masks_leave_no_choice_of_substitutions_out(size, similarity):
+    masks = masks_for(size, similarity, MASKS)
+    most = max(d for d in range(size) if (size - d) / size >= similarity)
+    rng = random.Random(1)
+    choices = itertools.combinations(range(size), most) if size < 14 else [rng.sample(range(size), most) for _ in range(2000)]
+    for changed in choices:
+        assert any(all(c == "0" or at + i not in changed for i, c in enumerate(m)) for m in masks for at in range(size - len(m) + 1))
