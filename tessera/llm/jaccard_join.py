@@ -3,13 +3,16 @@
 1. Every document becomes its set of shingle hashes; documents with one set are one set from here on.
 2. Sets that share a minimum under one of a few hash functions are compared with one of them, their leader, and with
    the next one in order of further minima. A group of any size costs two comparisons a member. Sets at ``similarity``
-   or more are joined to components.
-3. Prefix filter: a set enters the index lists of its rarest shingles. Lists are sorted by set size and position of the
+   or more are joined to components. A set at least half of which its leader shares keeps its difference from it: the
+   shingles that only one of both has.
+3. Answers of sets with one leader follow from their differences: two sets differ exactly where their differences
+   from the leader do. Two sets of different components can't both be near the leader, so that their differences have a shingle in
+   common, and most often several; differences are matched by index lists of their own, rarest shingle first, and no
+   set is read again.
+4. Prefix filter for all other pairs: a set enters the index lists of its rarest shingles. Lists are sorted by set size and position of the
    shingle in its set; a whole block of one size is skipped when the sizes or the positions leave too few
-   shingles, and pairs of one component need no answer any more. Sets that have a neighbour from step 2 also carry a parity
-   bitmap, whose difference bounds the overlap from above.
-4. A candidate pair whose sets have the same leader takes its answer from the two overlaps with that leader, if these
-   bound it from below or above enough. The remaining pairs are compared as a whole.
+   shingles, and pairs of one component or one leader need no answer any more. Sets that have a neighbour from step 2 also carry a parity
+   bitmap, whose difference bounds the overlap from above. The remaining pairs are compared as a whole.
 
 The order of shingles comes from a count sketch over all documents; it decides how long lists are, never
 which pairs are found. Hashes have 64 bits.
@@ -86,25 +89,126 @@ def sketch_levels(profiled: DataFrame, sketch_bits: int) -> np.ndarray:
     return out
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``x, y, nx, ny, inter`` for ``pairs (x, y)``, from the whole texts. ``texts`` is bucketed by ``sid``, so it isn't shuffled."""
+def overlaps(pairs: DataFrame, texts: DataFrame, size: int, levels: np.ndarray | None = None, chunk: int = 4096) -> DataFrame:
+    """``x, y, nx, ny, inter`` for ``pairs (x, y, more columns)``, from the whole texts. ``texts`` is bucketed by ``sid``, so it isn't shuffled.
+
+    The pairs of a ``y`` that has more than ``chunk`` of them are dealt to parts, each with the text of ``y``. With ``levels``, rows whose
+    union is at most twice their overlap also get ``diff``: the shingles of ``x`` only, rare ones first, then those of ``y`` only.
+    """
+    kept = [c for c in pairs.columns if c not in ("x", "y")]
     left = texts.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("text").alias("tx"))
     right = texts.select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("text").alias("ty"))
-    both = pairs.select("x", "y").join(left, "x").join(right, "y")
+    often = pairs.groupBy("y").agg(F.count("*").alias("m")).filter(F.col("m") > chunk).select("y", F.ceil(F.col("m") / chunk).cast("int").alias("parts"))
+    often = F.broadcast(often)  # at most one row for `chunk` pairs
+    with_x = pairs.join(often, "y", "left").join(left, "x")
+    shape = ["x", "y", *kept, "nx", "tx", "ny", "ty"]
+    few = with_x.filter("parts IS NULL").join(right, "y").select(*shape)
+    dealt = right.join(often, "y").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    many = with_x.filter("parts IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).join(dealt, ["y", "part"]).select(*shape)
+    shared = pairs.sparkSession.sparkContext.broadcast(levels) if levels is not None else None  # 2 ** sketch_bits bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] = (-1, np.empty(0))
         for batch in batches:
             ys, ty = batch.column("y").to_pylist(), batch.column("ty")
-            inter = []
+            inter, diffs = [], []
             for k, s in enumerate(shingles([t.encode() for t in batch.column("tx").to_pylist()], size)):
                 if ys[k] != last[0]:
                     last = ys[k], next(shingles([ty[k].as_py().encode()], size))
                 at = np.minimum(np.searchsorted(last[1], s), len(last[1]) - 1)
-                inter.append(int((last[1][at] == s).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "nx", "ny")), pa.array(inter, pa.int32())], ["x", "y", "nx", "ny", "inter"])
+                same = last[1][at] == s
+                inter.append(int(same.sum()))
+                if shared is not None:
+                    near = len(s) + len(last[1]) <= 3 * inter[-1]
+                    diffs.append(_difference(s[~same], np.setdiff1d(last[1], s, assume_unique=True), shared.value) if near else None)
+            cols = [*(batch.column(c) for c in ("x", "y", *kept, "nx", "ny")), pa.array(inter, pa.int32())]
+            if shared is not None:
+                cols.append(pa.array(diffs, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["x", "y", *kept, "nx", "ny", "inter"] + ["diff"] * (levels is not None)
+    fields = "x long, y long, " + "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in kept) + "nx int, ny int, inter int" + ", diff array<long>" * (levels is not None)
+    return few.unionByName(many).mapInArrow(run, fields)
+
+
+def _rank(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Sorting key of shingles: rare ones first."""
+    low = np.uint64(len(level) - 1)
+    return (level[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+
 
-    return both.mapInArrow(run, "x long, y long, nx int, ny int, inter int")
+def _difference(more: np.ndarray, less: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Shingles that only the set has, then those that only its leader has, each rare ones first."""
+    parts = [x[np.argsort(_rank(x, level), kind="stable")] for x in (more, less)]
+    return np.concatenate(parts).astype(np.uint64).view(np.int64)
+
+
+def difference_pairs(roots: np.ndarray, n: np.ndarray, d: np.ndarray, p: np.ndarray, block: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one list of differences (sizes ``d``, position ``p`` of the shingle in each) of sets of sizes ``n`` that may be near enough.
+
+    Entries are sorted by position. Sets differ where their differences do, in at most ``c (nx + ny)`` shingles; the
+    position bounds what the differences can share. Entries of one block meet in a list of their own unless all are of one block.
+    """
+    a, b = share
+    c = (b - a) / (a + b)
+    split = block.min() != block.max()
+    root, times = np.unique(roots, return_counts=True)
+    rare = np.flatnonzero(roots != root[times.argmax()])  # pairs of the most common component with itself need no answer
+    for k in range(0, len(rare), 256):
+        u = rare[k : k + 256]
+        last = np.searchsorted(p, (c * n[u] * (1 + b / a) - p[u]).max() + 1e-6, side="right")
+        v = np.arange(last)
+        x, y = u[:, None], v[None, :]
+        shared = d[x] + d[y] - c * (n[x] + n[y])  # twice the least overlap of the differences
+        ok = (roots[x] != roots[y]) & (shared <= 2 * np.minimum(d[x] - p[x], d[y] - p[y]) + 1e-6)
+        ok &= (b * np.minimum(n[x], n[y]) >= a * np.maximum(n[x], n[y])) & ((roots[y] == root[times.argmax()]) | (x < y))
+        if split:
+            ok &= block[x] != block[y]
+        i, j = np.nonzero(ok)
+        if len(i):
+            yield u[i], v[j]
+
+
+def links_by_leader(led: DataFrame, roots: DataFrame, share: tuple[int, int], buckets: int, longest: int = 20_000) -> DataFrame:
+    """``x, y``: linked sets of different components among those of one leader, from ``led (sid, lead, n, nl, diff)`` and ``roots (node, root)``.
+
+    A list of more than ``longest`` entries is split into blocks, every two of which meet in a task of their own.
+    """
+    a, b = share
+    c = (b - a) / (a + b)
+    rows = led.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = rows.join(roots.select(F.col("node").alias("lead"), F.col("root").alias("near")), "lead", "left").withColumn("d", F.size("diff"))
+    # the least overlap of differences with any set that may be near: partners of a set in the leader's component are outside of it
+    inside = F.floor((F.col("d") + c * (F.col("nl") - F.col("n"))) / 2) + 1
+    outside = F.ceil(F.col("d") - c * (1 + b / a) * F.col("n") - 1e-6)
+    least = F.greatest(F.lit(1), F.when(F.expr("root <=> near"), inside).otherwise(outside)).cast("int")
+    rows = materialize(rows.select("lead", "sid", "root", "n", "d", "diff", least.alias("least")), "jac-differences")
+    entries = rows.filter("d >= least").select("lead", "sid", "root", "n", "d", F.posexplode(F.expr("slice(diff, 1, d - least + 1)")).alias("p", "e"))
+    often = entries.groupBy("lead", "e").agg(F.count("*").alias("m")).filter(F.col("m") > longest)
+    often = F.broadcast(often.select("lead", "e", F.ceil(F.col("m") / longest).cast("int").alias("blocks")))  # at most one row for `longest` entries
+    placed = entries.join(often, ["lead", "e"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.withColumn("list", F.xxhash64("lead", "e", F.least("own", "other"), F.greatest("own", "other"))).withColumn("bucket", F.pmod("list", F.lit(buckets)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["list", "p"], kind="stable")
+        lists, sid, root, n, d, p, own = (pdf[k].to_numpy() for k in ("list", "sid", "root", "n", "d", "p", "own"))
+        cut = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
+        out = []
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if j - i > 1 and root[i:j].min() != root[i:j].max():
+                for u, v in difference_pairs(root[i:j], n[i:j], d[i:j], p[i:j], own[i:j], share):
+                    out.append(np.unique(np.stack([np.maximum(sid[i + u], sid[i + v]), np.minimum(sid[i + u], sid[i + v])], 1), axis=0))
+                if len(out) > 1000:
+                    out = [np.unique(np.concatenate(out), axis=0)]
+        got = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame(got, columns=["x", "y"])
+
+    pairs = placed.select("bucket", "list", "sid", "root", "n", "d", "p", "own").groupBy("bucket").applyInPandas(run, "x long, y long").distinct()
+    side = lambda k: rows.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    return both.filter(apart * (a + b) <= (b - a) * (F.col("nx") + F.col("ny"))).select("x", "y")
 
 
 def neighbours(keyed: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -142,14 +246,14 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-KINDS = ["<u4", "<u1", "<i8", "<i8", "<u4", "<u4"]  # two parts of a hash, id (as a difference), root (as a difference), set size, position
+KINDS = ["<u4", "<u1", "<i8", "<i8", "<i8", "<u4", "<u4"]  # two parts of a hash, id (as a difference), root and leader (as differences from it), set size, position
 
 
 WORDS = 8  # 64-bit words of a bitmap
 
 
 def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[int, int], buckets: int) -> DataFrame:
-    """Packed index entries ``bucket, data, maps`` of the prefix of each set of ``sets (sid, root, crowded, text)``.
+    """Packed index entries ``bucket, data, maps`` of the prefix of each set of ``sets (sid, root, lead, crowded, text)``.
 
     ``maps`` has, once for each crowded set of a packet, its parity bitmap: bit i says whether an odd number of its
     shingles falls on i.
@@ -159,8 +263,7 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        low = np.uint64(len(level) - 1)
-        held: list[tuple[np.ndarray, int, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int, int]] = []
         maps: dict[int, np.ndarray] = {}
         count = 0
 
@@ -168,7 +271,7 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
             held.sort(key=lambda e: e[1])
             h = np.concatenate([e[0] for e in held])
             sizes = [len(e[0]) for e in held]
-            sid, root, n = (np.repeat(np.array([e[k] for e in held], np.int64), sizes) for k in (1, 2, 3))
+            sid, root, lead, n = (np.repeat(np.array([e[k] for e in held], np.int64), sizes) for k in (1, 2, 3, 4))
             pos = np.concatenate([np.arange(x) for x in sizes])
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -177,7 +280,7 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
                 i = sid[part]
                 data = _pack(
                     (h[part] & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h[part] >> np.uint64(32)) & np.uint64(0xFF)).astype("<u1"),
-                    np.diff(i, prepend=0).astype("<i8"), (root[part] - i).astype("<i8"), n[part].astype("<u4"), pos[part].astype("<u4"),
+                    np.diff(i, prepend=0).astype("<i8"), (root[part] - i).astype("<i8"), (lead[part] - i).astype("<i8"), n[part].astype("<u4"), pos[part].astype("<u4"),
                 )
                 drawn = np.array([x for x in np.unique(i).tolist() if x in maps], np.int64)
                 bits = np.array([maps[x] for x in drawn.tolist()], "<u8").reshape(-1, WORDS)
@@ -185,13 +288,12 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
                 yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[part[0]])], "data": [data], "maps": [both]})
 
         for batch in batches:
-            sids, roots, crowded = (batch.column(c).to_pylist() for c in ("sid", "root", "crowded"))
+            sids, roots, leads, crowded = (batch.column(c).to_pylist() for c in ("sid", "root", "lead", "crowded"))
             for k, s in enumerate(shingles([t.encode() for t in batch.column("text").to_pylist()], size)):
                 n = len(s)
                 if n:
                     keep = n - -(-a * n // b) + 1
-                    rank = (level[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                    held.append((s[np.argsort(rank, kind="stable")[:keep]], sids[k], roots[k], n))
+                    held.append((s[np.argsort(_rank(s, level), kind="stable")[:keep]], sids[k], roots[k], leads[k], n))
                     if crowded[k]:
                         odd = (np.bincount((s >> np.uint64(8)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1).astype(bool)
                         maps[sids[k]] = np.packbits(odd, bitorder="little").view("<u8")
@@ -204,13 +306,13 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
         if held:
             yield from flush()
 
-    return sets.select("sid", "root", "crowded", "text").mapInArrow(run, "bucket long, data binary, maps binary")
+    return sets.select("sid", "root", "lead", "crowded", "text").mapInArrow(run, "bucket long, data binary, maps binary")
 
 
 def list_pairs(
-    roots: np.ndarray, n: np.ndarray, p: np.ndarray, share: tuple[int, int], row: np.ndarray | None = None, bits: np.ndarray | None = None
+    roots: np.ndarray, n: np.ndarray, p: np.ndarray, share: tuple[int, int], row: np.ndarray | None = None, bits: np.ndarray | None = None, leads: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate index pairs of one list, whose entries are sorted by set size, then position.
+    """Candidate index pairs of one list, whose entries are sorted by set size, then position. Pairs of one component, or of one leader, are none.
 
     Entries of one size are a block. Two blocks are skipped when the smaller size can't reach the larger one's share; of
     a block that stays, only entries up to the last position that leaves enough shingles are read. Where both sets have a bitmap (``row`` in ``bits``,
@@ -230,6 +332,8 @@ def list_pairs(
             for c in range(0, len(xs), 256):
                 u, v = xs[c : c + 256, None], ys[None, :]
                 ok = roots[u] != roots[v]
+                if leads is not None:
+                    ok &= leads[u] != leads[v]
                 if i == j:
                     ok &= u < v
                 u, v = np.nonzero(ok)
@@ -251,16 +355,17 @@ def candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = []
         for data in pdf["data"]:
-            h, top, i, root, n, p = _unpack(data, KINDS)
+            h, top, i, root, lead, n, p = _unpack(data, KINDS)
             i = np.cumsum(i)
-            cols.append((h.astype(np.uint64) | top.astype(np.uint64) << np.uint64(32), i, root + i, n.astype(np.int64), p.astype(np.int64)))
-        h, ids, roots, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
+            cols.append((h.astype(np.uint64) | top.astype(np.uint64) << np.uint64(32), i, root + i, lead + i, n.astype(np.int64), p.astype(np.int64)))
+        h, ids, roots, leads, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
         order = np.argsort(h, kind="stable")
         h = h[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         length = np.diff(np.append(first, len(h)))
-        r = roots[order]
-        mixed = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)  # a list of one component is skipped as a whole
+        r, leader = roots[order], leads[order]
+        mixed = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)  # a list of one component, or one leader, is skipped as a whole
+        mixed &= np.minimum.reduceat(leader, first) != np.maximum.reduceat(leader, first)
         keep = order[np.repeat(mixed, length)]
         keep = keep[np.lexsort((p[keep], n[keep], np.repeat(np.arange(len(first))[mixed], length[mixed])))]
         drawn, bits = [np.empty(0, np.int64)], [np.empty((0, WORDS), np.uint64)]
@@ -278,7 +383,7 @@ def candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
         for m in length[mixed].tolist():
             k = keep[at : at + m]
             at += m
-            for u, v in list_pairs(roots[k], n[k], p[k], share, row[k], bits):
+            for u, v in list_pairs(roots[k], n[k], p[k], share, row[k], bits, leads[k]):
                 out.append(np.stack([ids[k[u]], ids[k[v]], n[k[u]], n[k[v]]], 1))
             if len(out) > 1000:
                 out = [np.unique(np.concatenate(out), axis=0)]
@@ -291,6 +396,14 @@ def candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
     return entries.groupBy("bucket").applyInPandas(run, "x long, y long, nx long, ny long").distinct()
 
 
+def _with_group(keyed: DataFrame, of_group: DataFrame, crowd: DataFrame, large: int = 2_000, most: int = 100_000) -> DataFrame:
+    """``keyed`` joined with the row of each group ``(k, low)``; rows of large groups are not shuffled but meet a broadcast of at most ``most`` groups."""
+    size = crowd.agg(F.sum("m")).first()[0] or 0
+    hot = F.broadcast(crowd.filter(F.col("m") > max(large, size // most)).select("k", "low"))
+    few = keyed.join(hot, ["k", "low"], "left_anti").join(of_group, ["k", "low"])
+    return few.unionByName(keyed.join(F.broadcast(of_group.join(hot, ["k", "low"], "left_semi")), ["k", "low"]).select(*few.columns))
+
+
 def similarity_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -348,46 +461,32 @@ def similarity_classes(
     keyed = sets.select(F.col("id").alias("doc_id"), "th", "sid", "n").join(mins, ["doc_id", "th"]).select("sid", "n", F.explode(following).alias("m"))
     keyed = materialize(keyed.select("sid", "n", "m.*"), "jac-mins")
     # the leader has the most common minima of all: it is the set from which the others of its group differ least
-    crowd = keyed.groupBy("k", "low").agg(F.count("*").alias("m")).filter("m > 1")
-    fame = keyed.join(crowd, ["k", "low"]).groupBy("sid").agg(F.sum("m").alias("fame"))
+    crowd = materialize(keyed.groupBy("k", "low").agg(F.count("*").alias("m")).filter("m > 1"), "jac-crowds")
+    fame = _with_group(keyed, crowd.select("k", "low", "m"), crowd).groupBy("sid").agg(F.sum("m").alias("fame"))
     famed = materialize(keyed.join(fame, "sid").select("sid", "n", "k", "low", "fame"), "jac-famed")
     groups = famed.groupBy("k", "low").agg(F.max(F.struct("fame", "sid", "n")).alias("top"), F.count("*").alias("m")).filter("m > 1")
-    groups = groups.select("k", "low", F.col("top.sid").alias("y"), F.col("top.n").alias("ny"))
-    stars = (
-        keyed.join(groups, ["k", "low"])
-        .filter(f"sid <> y AND {b} * least(n, ny) >= {a} * greatest(n, ny)")
-        .select(F.col("sid").alias("x"), "y")
-    )
-    stars = stars.unionByName(neighbours(keyed, similarity)).distinct()
-    led = materialize(overlaps(stars, texts, size), "jac-led")
+    groups = materialize(groups.select("k", "low", F.col("top.sid").alias("y"), F.col("top.n").alias("ny"), F.col("top.fame").alias("fame")), "jac-leaders")
+    stars = _with_group(keyed, groups, crowd).filter(f"sid <> y AND {b} * least(n, ny) >= {a} * greatest(n, ny)").select(F.col("sid").alias("x"), "y", "fame")
+    stars = stars.unionByName(neighbours(keyed, similarity).withColumn("fame", F.lit(0).cast("long"))).groupBy("x", "y").agg(F.max("fame").alias("fame"))
+    led = materialize(overlaps(stars, texts, size, levels), "jac-led")
     linked = f"{b} * inter >= {a} * (nx + ny - inter)"
     first_roots = materialize(components(led.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))), "jac-roots")
 
-    # step 3: index lists
-    crowded = famed.select("sid", F.lit(True).alias("crowded")).distinct()
-    marks = first_roots.withColumnRenamed("node", "sid").join(crowded, "sid", "full")
-    tagged = texts.join(marks, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "text")
+    # step 3: sets with one leader; of several leaders the most famous one, so that sets that are near each other have the same
+    mine = led.filter("diff IS NOT NULL AND fame > 0").groupBy("x").agg(F.max_by(F.struct("y", "nx", "ny", "diff"), F.struct("fame", "y")).alias("m"))
+    mine = materialize(mine.select(F.col("x").alias("sid"), F.col("m.y").alias("lead"), F.col("m.nx").alias("n"), F.col("m.ny").alias("nl"), F.col("m.diff").alias("diff")), "jac-mine")
     index_buckets = min(1 << 16, max(16, math.ceil((total[0] or 0) * (b - a) / b / entries_a_bucket)))
-    pairs = materialize(candidates(index_entries(tagged, levels, size, similarity, index_buckets), similarity), "jac-pairs")
+    derived = materialize(links_by_leader(mine, first_roots, similarity, index_buckets), "jac-derived")
 
-    # step 4: answers from a common leader, else by comparison
-    best = led.groupBy("x").agg(F.max_by(F.struct("y", "inter"), F.col("inter")).alias("b"))
-    lead = best.select("x", F.col("b.y").alias("lx"), F.col("b.inter").alias("ix")).unionByName(
-        led.select(F.col("y").alias("x"), F.col("y").alias("lx"), F.col("ny").alias("ix")).distinct()
-    )
-    lead = lead.groupBy("x").agg(F.max_by("lx", "ix").alias("lx"), F.max("ix").alias("ix"))
-    size_of = led.groupBy(F.col("y").alias("lx")).agg(F.max("ny").alias("nl"))
-    known = (
-        pairs.join(lead, "x", "left")
-        .join(lead.select(F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("ix").alias("iy")), "y", "left")
-        .join(size_of, "lx", "left")
-        .withColumn("low", F.when(F.expr("lx = ly"), F.greatest(F.lit(0), F.expr("ix + iy - nl"))).otherwise(0))
-        .withColumn("high", F.when(F.expr("lx = ly"), F.expr("least(iy + nx - ix, ix + ny - iy, nx, ny)")).otherwise(F.least("nx", "ny")))
+    # step 4: index lists
+    crowded = famed.select("sid", F.lit(True).alias("crowded")).distinct()
+    marks = first_roots.withColumnRenamed("node", "sid").join(crowded, "sid", "full").join(mine.select("sid", "lead"), "sid", "full")
+    tagged = texts.join(marks, "sid", "left").select(
+        "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "text"
     )
-    sure = f"{b} * low >= {a} * (nx + ny - low)"
-    open_ = f"NOT ({sure}) AND {b} * high >= {a} * (nx + ny - high)"
-    met = overlaps(known.filter(open_).select("x", "y"), texts, size).filter(linked).select("x", "y")
-    more = materialize(met.unionByName(known.filter(sure).select("x", "y")), "jac-links")
+    pairs = materialize(candidates(index_entries(tagged, levels, size, similarity, index_buckets), similarity), "jac-pairs")
+    met = overlaps(pairs.select("x", "y"), texts, size).filter(linked).select("x", "y")
+    more = materialize(met.unionByName(derived), "jac-links")
     root = first_roots.select(F.col("node"), F.col("root"))
     edges = (
         more.join(root.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left")
