@@ -8,7 +8,8 @@
 3. Answers of sets with one leader follow from their differences: two sets differ exactly where their differences
    from the leader do. Two sets of different components can't both be near the leader, so that their differences have a shingle in
    common, and most often several; differences are matched by index lists of their own, rarest shingle first, and no
-   set is read again.
+   set is read again. In a first round each entry of a list has its best partner tested only; the second one tests all
+   pairs of the components that are left.
 4. Prefix filter for all other pairs: a set enters the index lists of its rarest shingles. Lists are sorted by set size and position of the
    shingle in its set; a whole block of one size is skipped when the sizes or the positions leave too few
    shingles, and pairs of one component or one leader need no answer any more. Sets that have a neighbour from step 2 also carry a parity
@@ -89,7 +90,7 @@ def sketch_levels(profiled: DataFrame, sketch_bits: int) -> np.ndarray:
     return out
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, size: int, levels: np.ndarray | None = None, chunk: int = 4096) -> DataFrame:
+def overlaps(pairs: DataFrame, texts: DataFrame, size: int, levels: np.ndarray | None = None, chunk: int = 1024) -> DataFrame:
     """``x, y, nx, ny, inter`` for ``pairs (x, y, more columns)``, from the whole texts. ``texts`` is bucketed by ``sid``, so it isn't shuffled.
 
     The pairs of a ``y`` that has more than ``chunk`` of them are dealt to parts, each with the text of ``y``. With ``levels``, rows whose
@@ -143,47 +144,61 @@ def _difference(more: np.ndarray, less: np.ndarray, level: np.ndarray) -> np.nda
     return np.concatenate(parts).astype(np.uint64).view(np.int64)
 
 
-def difference_pairs(roots: np.ndarray, n: np.ndarray, d: np.ndarray, p: np.ndarray, block: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+DIFF_WORDS = 4  # 64-bit words of the parity bitmap of a difference
+
+
+def difference_pairs(
+    roots: np.ndarray, n: np.ndarray, d: np.ndarray, p: np.ndarray, bits: np.ndarray, block: np.ndarray, share: tuple[int, int], best: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one list of differences (sizes ``d``, position ``p`` of the shingle in each) of sets of sizes ``n`` that may be near enough.
 
     Entries are sorted by position. Sets differ where their differences do, in at most ``c (nx + ny)`` shingles; the
-    position bounds what the differences can share. Entries of one block meet in a list of their own unless all are of one block.
+    position bounds what the differences can share, and the parity bitmaps ``bits`` bound from below in how much they
+    differ. Entries of one block meet in a list of their own unless all are of one block. best: one pair for each entry at most.
     """
     a, b = share
     c = (b - a) / (a + b)
     split = block.min() != block.max()
     root, times = np.unique(roots, return_counts=True)
-    rare = np.flatnonzero(roots != root[times.argmax()])  # pairs of the most common component with itself need no answer
+    common = root[times.argmax()]
+    rare = np.flatnonzero(roots != common)  # pairs of the most common component with itself need no answer
     for k in range(0, len(rare), 256):
         u = rare[k : k + 256]
-        last = np.searchsorted(p, (c * n[u] * (1 + b / a) - p[u]).max() + 1e-6, side="right")
-        v = np.arange(last)
+        v = np.arange(np.searchsorted(p, (c * n[u] * (1 + b / a) - p[u]).max() + 1e-6, side="right"))
         x, y = u[:, None], v[None, :]
         shared = d[x] + d[y] - c * (n[x] + n[y])  # twice the least overlap of the differences
         ok = (roots[x] != roots[y]) & (shared <= 2 * np.minimum(d[x] - p[x], d[y] - p[y]) + 1e-6)
-        ok &= (b * np.minimum(n[x], n[y]) >= a * np.maximum(n[x], n[y])) & ((roots[y] == root[times.argmax()]) | (x < y))
+        ok &= (b * np.minimum(n[x], n[y]) >= a * np.maximum(n[x], n[y])) & ((roots[y] == common) | (x < y))
         if split:
             ok &= block[x] != block[y]
         i, j = np.nonzero(ok)
-        if len(i):
-            yield u[i], v[j]
+        slack = c * (n[u[i]] + n[v[j]]) - np.bitwise_count(bits[u[i]] ^ bits[v[j]]).sum(1, dtype=np.int64)
+        keep = np.flatnonzero(slack >= -1e-6)
+        if best and len(keep):
+            keep = keep[np.lexsort((-slack[keep], i[keep]))]
+            keep = keep[np.flatnonzero(np.diff(i[keep], prepend=-1))]
+        if len(keep):
+            yield u[i[keep]], v[j[keep]]
 
 
-def links_by_leader(led: DataFrame, roots: DataFrame, share: tuple[int, int], buckets: int, longest: int = 20_000) -> DataFrame:
+def links_by_leader(led: DataFrame, roots: DataFrame, share: tuple[int, int], buckets: int, best: bool, longest: int = 20_000) -> DataFrame:
     """``x, y``: linked sets of different components among those of one leader, from ``led (sid, lead, n, nl, diff)`` and ``roots (node, root)``.
 
-    A list of more than ``longest`` entries is split into blocks, every two of which meet in a task of their own.
+    A list of more than ``longest`` entries is split into blocks, every two of which meet in a task of their own. best: only
+    the best partner of each entry of a list is tested.
     """
     a, b = share
     c = (b - a) / (a + b)
-    rows = led.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rows = rows.join(roots.select(F.col("node").alias("lead"), F.col("root").alias("near")), "lead", "left").withColumn("d", F.size("diff"))
-    # the least overlap of differences with any set that may be near: partners of a set in the leader's component are outside of it
-    inside = F.floor((F.col("d") + c * (F.col("nl") - F.col("n"))) / 2) + 1
+    rows = led.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("d", F.size("diff"))
+    # the least overlap of differences with any set of another component; partners of a set that is linked with the leader are not
+    inside = F.floor((F.col("d") + c * (F.col("nl") - F.col("n"))) / 2 - 1e-6) + 1
     outside = F.ceil(F.col("d") - c * (1 + b / a) * F.col("n") - 1e-6)
-    least = F.greatest(F.lit(1), F.when(F.expr("root <=> near"), inside).otherwise(outside)).cast("int")
-    rows = materialize(rows.select("lead", "sid", "root", "n", "d", "diff", least.alias("least")), "jac-differences")
-    entries = rows.filter("d >= least").select("lead", "sid", "root", "n", "d", F.posexplode(F.expr("slice(diff, 1, d - least + 1)")).alias("p", "e"))
+    least = F.greatest(F.lit(1), F.when(F.col("d") * (a + b) <= (b - a) * (F.col("n") + F.col("nl")), inside).otherwise(outside)).cast("int")
+    word = lambda w: F.expr(f"aggregate(filter(diff, e -> (shiftrightunsigned(e, 6) & {DIFF_WORDS - 1}) = {w}), 0L, (s, e) -> s ^ shiftleft(1L, CAST(e & 63 AS INT)))")
+    words = [f"w{w}" for w in range(DIFF_WORDS)]
+    entries = rows.withColumn("least", least).filter("d >= least").select(
+        "lead", "sid", "root", "n", "d", *[word(w).alias(f"w{w}") for w in range(DIFF_WORDS)], F.posexplode(F.expr("slice(diff, 1, d - least + 1)")).alias("p", "e")
+    )
     often = entries.groupBy("lead", "e").agg(F.count("*").alias("m")).filter(F.col("m") > longest)
     often = F.broadcast(often.select("lead", "e", F.ceil(F.col("m") / longest).cast("int").alias("blocks")))  # at most one row for `longest` entries
     placed = entries.join(often, ["lead", "e"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -193,19 +208,19 @@ def links_by_leader(led: DataFrame, roots: DataFrame, share: tuple[int, int], bu
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["list", "p"], kind="stable")
         lists, sid, root, n, d, p, own = (pdf[k].to_numpy() for k in ("list", "sid", "root", "n", "d", "p", "own"))
+        bits = pdf[words].to_numpy().view(np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
-        out = []
+        out = [np.empty((0, 2), np.int64)]
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if j - i > 1 and root[i:j].min() != root[i:j].max():
-                for u, v in difference_pairs(root[i:j], n[i:j], d[i:j], p[i:j], own[i:j], share):
-                    out.append(np.unique(np.stack([np.maximum(sid[i + u], sid[i + v]), np.minimum(sid[i + u], sid[i + v])], 1), axis=0))
+                for u, v in difference_pairs(root[i:j], n[i:j], d[i:j], p[i:j], bits[i:j], own[i:j], share, best):
+                    out.append(np.stack([np.maximum(sid[i + u], sid[i + v]), np.minimum(sid[i + u], sid[i + v])], 1))
                 if len(out) > 1000:
                     out = [np.unique(np.concatenate(out), axis=0)]
-        got = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(got, columns=["x", "y"])
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["x", "y"])
 
-    pairs = placed.select("bucket", "list", "sid", "root", "n", "d", "p", "own").groupBy("bucket").applyInPandas(run, "x long, y long").distinct()
-    side = lambda k: rows.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
+    pairs = placed.select("bucket", "list", "sid", "root", "n", "d", "p", "own", *words).groupBy("bucket").applyInPandas(run, "x long, y long").distinct()
+    side = lambda k: led.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
     return both.filter(apart * (a + b) <= (b - a) * (F.col("nx") + F.col("ny"))).select("x", "y")
@@ -476,7 +491,10 @@ def similarity_classes(
     mine = led.filter("diff IS NOT NULL AND fame > 0").groupBy("x").agg(F.max_by(F.struct("y", "nx", "ny", "diff"), F.struct("fame", "y")).alias("m"))
     mine = materialize(mine.select(F.col("x").alias("sid"), F.col("m.y").alias("lead"), F.col("m.nx").alias("n"), F.col("m.ny").alias("nl"), F.col("m.diff").alias("diff")), "jac-mine")
     index_buckets = min(1 << 16, max(16, math.ceil((total[0] or 0) * (b - a) / b / entries_a_bucket)))
-    derived = materialize(links_by_leader(mine, first_roots, similarity, index_buckets), "jac-derived")
+    lead_buckets = max(16, math.ceil(index_buckets / 4))
+    best = materialize(links_by_leader(mine, first_roots, similarity, lead_buckets, best=True), "jac-best")
+    first_roots = materialize(components(first_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(best.toDF("a", "b"))), "jac-roots")
+    derived = materialize(links_by_leader(mine, first_roots, similarity, lead_buckets, best=False), "jac-derived")
 
     # step 4: index lists
     crowded = famed.select("sid", F.lit(True).alias("crowded")).distinct()

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import jaccard_join
 from tessera.llm.components import components
 from tessera.llm.jaccard_join import _pack, _unpack, KINDS, list_pairs, similarity_classes
 from tessera.llm.textnum import shingles
@@ -69,6 +70,30 @@ def test_matches_brute_force(spark):
     assert {tuple(r) for r in similarity_classes(docs.filter("doc_id >= 2000 AND doc_id < 2003")).collect()} == {(2000, 0, 2000), (2001, 0, 2001), (2002, 0, 2002)}
 
 
+def test_near_copies_around_a_leader_match_brute_force(spark, monkeypatch):
+    """Copies with few to many changes: some near their leader, some near others only, some near none; also with lists split into blocks."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for base in range(2):
+        words = [rng.choice(vocab) for _ in range(90)]
+        variant = [w if i not in (10, 11, 40, 70) else "v" for i, w in enumerate(words)]
+        for k in range(110):
+            w = list(variant if k % 3 == 0 else words)
+            for _ in range(rng.randint(0, 5)):
+                at, kind = rng.randrange(len(w)), rng.random()
+                w[at : at + 1] = [] if kind < 0.2 else [rng.choice(vocab), w[at]] if kind < 0.4 else [rng.choice(vocab[:40])]
+            rows.append((base * 1000 + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert len({r[2] for r in want}) > 10
+    assert sorted((tuple(r) for r in similarity_classes(docs).collect()), key=str) == want
+    whole = jaccard_join.links_by_leader
+    monkeypatch.setattr(jaccard_join, "links_by_leader", lambda *a, **k: whole(*a, **k, longest=7))
+    monkeypatch.setattr(jaccard_join, "overlaps", lambda *a, f=jaccard_join.overlaps, **k: f(*a, **k, chunk=3))
+    assert sorted((tuple(r) for r in similarity_classes(docs).collect()), key=str) == want
+
+
 def test_shingles_match_plain_sets():
     rng = random.Random(1)
     texts = [" ".join(rng.choice("ab cd\n e\tF g ".split(" ")) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["x" * 600_000, "a b c d e f"]
