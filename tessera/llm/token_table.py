@@ -192,7 +192,8 @@ class Coder:
 
     A byte-level tokenizer starts a new word at every blank that stands between two visible characters, so
     a text is encoded piece by piece from such blank to blank. Pieces that occurred before are looked up; a new one is
-    cut into words by the tokenizer's own rule, and only words that are new go through its merges.
+    cut into words by the tokenizer's own rule, and only words that are new go through its merges. A text that holds one of the tokenizer's
+    added tokens is encoded by the tokenizer as a whole, since these are cut out by rules of their own.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -203,6 +204,9 @@ class Coder:
         rule = tokenizer.pre_tokenizer
         if tokenizer.normalizer is not None or type(rule).__name__ != "ByteLevel" or rule.add_prefix_space:
             raise ValueError("only byte-level tokenizers without normalizer and prefix blank are cut at blanks")
+        self.whole = tokenizer
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words_of, self.merge = rule.pre_tokenize_str, tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -211,13 +215,16 @@ class Coder:
         self.words: dict[str, bytes] = {}  # by the vocabulary's spelling
         self.after_blank: dict[str, bytes] = {}  # letters after a blank
 
-    def _merged(self, shown: str) -> bytes:
-        """The ids of a word as the vocabulary spells it, with a visible character for each byte."""
-        ids = array.array(self.code, [t.id for t in self.merge(shown)])
+    def _bytes(self, found: list[int]) -> bytes:
+        ids = array.array(self.code, found)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
+    def _merged(self, shown: str) -> bytes:
+        """The ids of a word as the vocabulary spells it, with a visible character for each byte."""
+        return self._bytes([t.id for t in self.merge(shown)])
+
     def _word(self, shown: str) -> bytes:
         found = self.words.get(shown)
         if found is None:
@@ -225,7 +232,6 @@ class Coder:
         return found
 
     def _piece(self, piece: str) -> bytes:
-        """Special strings in a text are ordinary text here, as only words and merges are asked for."""
         return b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
 
     def _learn(self, new: set[str]) -> None:
@@ -253,8 +259,11 @@ class Coder:
         and one that begins a text by ``FIRST`` and what follows.
         """
         split: list[list[str]] = []
-        for t in texts:
-            if not t:
+        whole: dict[int, bytes] = {}
+        for k, t in enumerate(texts):
+            if t and self.added and self.added.search(t):
+                whole[k] = self._bytes(self.whole.encode(t, add_special_tokens=False).ids)
+            if not t or k in whole:
                 split.append([])
                 continue
             words = t.split()
@@ -263,9 +272,9 @@ class Coder:
                 keys = [FIRST + first, *[r[1:] for r in rest]]
             elif "\n" in t:
                 keys = []
-                for k, line in enumerate(t.split("\n")):
+                for at, line in enumerate(t.split("\n")):
                     parts = line.split(" ")
-                    parts[0] = ("\n" if k else FIRST) + parts[0]
+                    parts[0] = ("\n" if at else FIRST) + parts[0]
                     keys += parts
             else:
                 keys = words
@@ -280,7 +289,7 @@ class Coder:
             if len(memo) > self.most:
                 memo.clear()
         self._learn(new)
-        return [b"".join(map(known.__getitem__, keys)) for keys in split]
+        return [whole[k] if k in whole else b"".join(map(known.__getitem__, keys)) for k, keys in enumerate(split)]
 
 
 def coder(path: str) -> Coder:

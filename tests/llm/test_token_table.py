@@ -14,7 +14,6 @@ from tessera.llm.registry import op3_token_table, tokenizer_path
 from tessera.llm.token_table import Coder, ShardReader, ShardWriter, id_of, key_of, lookup, read_token_table, write_token_table
 
 PLAIN = Tokenizer.from_file(tokenizer_path())
-PLAIN.encode_special_tokens = True
 CODER = Coder(tokenizer_path(), most=2000)
 
 
@@ -56,7 +55,7 @@ def brute(rows):
 @pytest.mark.parametrize("shard_bytes", [1 << 28, 400])
 def test_table_round_trip(spark, shard_bytes):
     rng = random.Random(2)
-    rows = [(i * 3 - 50, rng.choice(["", None, "one two", "x  y\n z", "long " * 5000, "é"])) for i in range(80)] + [(None, "none")]
+    rows = [(i * 3 - 50, rng.choice(["", None, "one two", "x  y\n z", "long " * 5000, "é", "a<|endoftext|> b", "<|endoftext|>"])) for i in range(80)] + [(None, "none")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("tie", F.lit(1)).repartition(5)
     manifest = write_token_table(docs, tokenizer_path(), shard_bytes=shard_bytes)
     out = read_token_table(manifest)
