@@ -71,6 +71,10 @@ def _seeds(masks: dict[str, list[int]], array: str, at: str, size: str, span: st
     return F.expr(f"array({', '.join(out)})")
 
 
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")
+
+
 def _blocks(items: DataFrame, most_words: int) -> int:
     """In how many blocks the benchmark is broadcast, each of about ``most_words`` words."""
     total = items.select(F.sum(F.size("item_words"))).first()[0] or 0
@@ -90,7 +94,9 @@ def find_overlaps(
     masks: tuple[str, ...] = MASKS,
     block_words: int = 200_000,
 ) -> DataFrame:
-    """One row for each document and benchmark item that overlap: ``doc_id, item_id, matched`` (best share of a window).
+    """One row for each document and benchmark item that overlap: ``doc_id, text_key, item_id, matched`` (best share of a window).
+
+    ``text_key`` is the hash of the document's text, so that rows which share an id, or have none, are judged by their own text.
 
     Items shorter than ``window`` words are compared as a whole; items of fewer than ``min_words`` words
     match nothing, and so do null and empty texts. Repeated rows and repeated items change nothing.
@@ -115,19 +121,19 @@ def find_overlaps(
         .select("block", "item_key", "item_at", F.explode(_seeds(used, "item_words", "item_at", "item_size", f"least({window}, item_size)")).alias("seed"))
         .filter("seed IS NOT NULL")
     )
-    at_words = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("doc_words")).select(
-        "doc_id", "doc_words", F.size("doc_words").alias("doc_size"), F.posexplode("doc_words").alias("at", "w")
+    at_words = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col), words(F.col(text_col)).alias("doc_words")).select(
+        "doc_id", "text_key", "doc_words", F.size("doc_words").alias("doc_size"), F.posexplode("doc_words").alias("at", "w")
     )
     keyed = at_words.select(
-        "doc_id", "doc_words", "doc_size", "at", F.explode(_seeds(used, "doc_words", "at", "doc_size")).alias("seed")
+        "doc_id", "text_key", "doc_words", "doc_size", "at", F.explode(_seeds(used, "doc_words", "at", "doc_size")).alias("seed")
     ).filter("seed IS NOT NULL")
     out = None
     for b in range(blocks):
         small = [F.broadcast(x.filter(F.col("block") == b).drop("block")) for x in (seeds, items)]
         hits = keyed.join(small[0], "seed").join(small[1], "item_key")
-        found = hits.select("doc_id", "item_id", _matched(window).alias("matched")).filter(F.col("matched") >= similarity)
+        found = hits.select("doc_id", "text_key", "item_id", _matched(window).alias("matched")).filter(F.col("matched") >= similarity)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    return out.groupBy("doc_id", "text_key", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def _matched(window: int) -> Column:
@@ -142,21 +148,21 @@ def _matched(window: int) -> Column:
     return F.expr(f"aggregate(sequence({low}, {high}), named_struct('n', 0, 'best', 0), (x, j) -> {step}, x -> x.best) / {span}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, contaminated, n_items, item_ids, matched``.
 
     ``item_ids`` lists the overlapping benchmark items in ascending order and is empty for clean
-    documents; ``matched`` is 0 there. Rows that share an id (or have none) share a decision. Other
+    documents; ``matched`` is 0 there. Every row is judged by its own text, also where ids repeat or are null. Other
     columns are ignored, whatever their names. Options: see ``find_overlaps``.
     """
     found = (
-        find_overlaps(docs, benchmark, id_col=id_col, **options)
-        .groupBy(F.col("doc_id").alias("found_id"))
+        find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+        .groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"))
         .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("matched").alias("matched"))
     )
     return (
-        docs.select(F.col(id_col).alias("doc_id"))
-        .join(found, F.expr("doc_id <=> found_id"), "left")
+        docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col))
+        .join(found, F.expr("doc_id <=> found_id AND text_key = found_key"), "left")
         .select(
             "doc_id",
             F.col("matched").isNotNull().alias("contaminated"),
@@ -167,7 +173,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
-    leaks = find_overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["__leak_id"]), "left_anti")
+def clean_only(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text overlaps no benchmark item, with all their columns."""
+    leaks = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    leaks = leaks.select(F.col("doc_id").alias("__leak_id"), F.col("text_key").alias("__leak_key")).distinct()
+    met = docs[id_col].eqNullSafe(leaks["__leak_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == leaks["__leak_key"])
+    return docs.join(leaks, met, "left_anti")
