@@ -45,7 +45,7 @@ def test_directory_covers_every_slot_once_and_splits_overfull_buckets(spark):
     depth = slots[0]["global_depth"]
     assert sorted(r["slot"] for r in slots) == list(range(2**depth))
     assert len({r["local_depth"] for r in slots}) >= 1
-    sizes = build_index(rows, 300).groupBy("bucket").count().collect()
+    sizes = build_index(rows, 300)[0].groupBy("bucket").count().collect()
     assert max(r["count"] for r in sizes) <= 300 and sum(r["count"] for r in sizes) == 4000
     skew = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").alias("key"))  # all in one slot
     assert directory(skew, 300).filter("overfull").count() == 1
