@@ -61,12 +61,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "size": np.full(len(found), n, np.int32), "gram": found.view(np.int64), "n": times})
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, bits: int = 20, least_share: float = 1e-5, relative: float = 0.2, max_languages: int = 64) -> dict:
+def fit(labelled: DataFrame, text_col: str, lang_col: str, bits: int = 20, least_share: float = 1e-5, max_languages: int = 64) -> dict:
     """The filter: ``languages, slots (2**bits masks), fill`` (false-positive rate of each language).
 
-    An n-gram belongs to a language if it makes up ``least_share`` of the language's n-grams of its length, and
-    at least ``relative`` of its largest share in any language. What reaches the driver is bounded by
-    ``2**bits`` slots of one mask each.
+    The mask of an n-gram names every language that contains it, however much more often another one does. A language
+    contains what makes up ``least_share`` of its n-grams of that length: less comes from quotes and wrong labels, with
+    which in time every text of a language would hold all n-grams of the others. What reaches the driver is bounded by ``2**bits``
+    slots of one mask each.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").limit(max_languages + 1).collect()
@@ -78,15 +79,10 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, bits: int = 20, least
         counts = rows.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text")).mapInArrow(_count, "lang string, size int, gram long, n long")
         counts = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
         totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-        shares = counts.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
-        pivot = shares.groupBy("size", "gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("share"))).alias(f"s{k}") for k, x in enumerate(languages)])
-        each = [F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(len(languages))]
-        top = F.greatest(*each) if len(each) > 1 else each[0]
-        mask = F.lit(0).cast("long")
-        for k, s in enumerate(each):
-            bit = 1 << k if k < 63 else -(1 << 63)
-            mask = mask.bitwiseOR(F.when((s > 0) & (s >= least_share) & (s >= relative * top), F.lit(bit)).otherwise(F.lit(0)).cast("long"))
-        kept = pivot.select("gram", mask.alias("mask")).filter("mask <> 0")
+        bit = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(len(languages))])
+        place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int")
+        inside = counts.join(F.broadcast(totals), ["lang", "size"]).filter(F.col("n") >= least_share * F.col("total"))
+        kept = inside.groupBy("size", "gram").agg(F.bit_or(F.element_at(bit, place)).alias("mask"))
 
         def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -33,11 +33,15 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(lines: DataFrame, pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """Lines to drop, ``host, h1, h2, pages, host_pages``, from ``lines (host, h1, h2)``, each once a page, and ``pages (host)``."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+def boilerplate(lines: DataFrame, pages: DataFrame, max_ratio: float, min_pages: int, salts: int) -> DataFrame:
+    """Lines to drop, ``host, h1, h2, pages, host_pages``, from ``lines (host, h1, h2)``, each once a page, and ``pages (host)``.
+
+    The lines of a host meet its total in ``salts`` parts.
+    """
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     often = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    return often.join(totals, "host").filter(F.col("pages") > max_ratio * F.col("host_pages"))
+    often = often.withColumn("part", F.pmod("h1", F.lit(salts)).cast("int"))
+    return often.join(totals, ["host", "part"]).drop("part").filter(F.col("pages") > max_ratio * F.col("host_pages"))
 
 
 def line_dedup(
@@ -66,7 +70,7 @@ def line_dedup(
     # two 64-bit hashes stand for a line, so that its text is not shuffled
     both = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     counted = sited.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", *both)
-    drop = boilerplate(counted, sited, max_ratio, min_pages).select("host", "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    drop = boilerplate(counted, sited, max_ratio, min_pages, salts).select("host", "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     placed = sited.select("key", "key2", "host", F.posexplode("lines").alias("pos", "line")).select(
         "key", "key2", "host", "pos", *both, F.pmod("key", F.lit(salts)).cast("int").alias("salt")
     )

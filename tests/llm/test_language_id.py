@@ -21,7 +21,7 @@ def grams(text):
 def test_counts_match_plain_sets(spark):
     """A filter without false positives counts what plain sets count."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
-    model = fit(df, "text", "lang", bits=22, least_share=0.0, relative=0.0)
+    model = fit(df, "text", "lang", bits=22, least_share=0.0)
     sets = {x: {g for _, t, at in ROWS if at == x for g in grams(t)} for x in ("de", "en")}
     texts = ["the hund", "", "x", "katze, 12 dog!", "ééé", "a" * 700_000, "und"]
     got, total = counts_of([t.encode() for t in texts], model)
@@ -31,6 +31,18 @@ def test_counts_match_plain_sets(spark):
         assert np.allclose(got[k], [sum(g in sets[x] for g in mine) for x in ("de", "en")], atol=0.5 + 1e-3 * len(mine))
 
 
+def test_decisions_match_plain_counts(spark):
+    """Predictions and scores follow from the counts of the n-grams that each language contains."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    texts = ["the hund", "katze", "dog dog", "number1 und der the", "zzz"]
+    sets = {x: {g for _, t, at in ROWS if at == x for g in grams(t)} for x in ("de", "en")}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in identify(docs, df, bits=24, least_share=0.0).collect():
+        n = {x: sum(g in sets[x] for g in grams(r["text"])) for x in sets}
+        best = max(sorted(n), key=n.get) if any(n.values()) else "de"
+        assert r["lang_pred"] == best and abs(r["score"] - n[best] / max(1, sum(n.values()))) < 0.01
+
+
 def test_defined_results(spark):
     df = spark.createDataFrame([*ROWS, (300, None, "en"), (301, "", None), (302, "12 !?", "de"), (303, "qqq", None), (None, "the dog", None)], "doc_id long, text string, lang string")
     df = df.withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1))
