@@ -1,9 +1,9 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
-A word may be disguised by look-alike signs (``1d10t``), blanks or dots between letters (``i d i o t``) or
-repeated letters (``idiooot``). Such a token is a lattice: each place may be read as itself or as a letter that
-looks like it, and a run of one letter as the whole run or as a shorter one. Viterbi decoding takes the
-path that is best under a character trigram model and the costs of the channel. The restored text is then
+A word may be disguised by look-alike signs (``1d10t``), separators between letters (``i d i o t``) or
+repeated letters (``idiooot``). A span that shows any of these is a lattice: each sign may be read as a letter that
+looks like it, a run of one letter as the whole run or as a shorter one, and separators as nothing or as the end of a word. Viterbi decoding takes the
+path that is best under a character trigram model of all texts' words and the costs of the channel. The restored text is then
 scored by logistic regression on the words, and word beginnings, that tell labelled texts apart.
 """
 
@@ -30,49 +30,72 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i",
 }
 SIGNS = "".join(LOOKS_LIKE)
-#: Letters with single separators between them; a token with a look-alike sign; a token with a letter three times in a row.
-SUSPECT = re.compile(rf"(?<!\w)(?:[^\W_][ .\-_*])(?:[^\W_][ .\-_*])+[^\W_](?!\w)|\S*[{re.escape(SIGNS)}]\S*|\S*?([^\W\d_])\1\1\S*")
-EDGE = re.compile(r"^(\W*)(.*?)([.,;:?\"')\]}]*!*)$", re.S)
-LONGEST = 24  # a longer token is not a disguised word but an address, a key or a number
+#: A look-alike sign, or a letter three times in a row: its token is a lattice.
+TRIGGER = re.compile(rf"[{re.escape(SIGNS)}]|([^\W\d_])\1\1")
+#: Three or more single letters or digits with separators between them: a lattice too, blanks and line breaks included.
+SPACED = re.compile(r"(?<!\w)[^\W_](?:[\s.\-_*]{1,4}[^\W_]){2,}(?!\w)")
+SEPARATORS = frozenset(" \t\r\n\f\v.-_*")
+EDGE = re.compile(r"^([^\w@$]*)(.*?)([.,;:?\"')\]}]*!*)$", re.S)
+#: A path that costs more than this for each character is no word: the span stays as it is.
+WORST = 3.9
+#: Letters of the character model; all others count as one.
+ALPHABET = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))))
+OTHER = "\ufffd"
 
 
 class CharModel:
     """Character trigrams of words with interpolated smoothing; a word is padded with blanks."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.tri: dict[str, int] = {}
-        self.bi: dict[str, int] = {}
-        self.uni: dict[str, int] = {}
-        for word, n in counts.items():
-            padded = f"  {word} "
-            for k in range(2, len(padded)):
-                for table, part in ((self.tri, padded[k - 2 : k + 1]), (self.bi, padded[k - 1 : k + 1]), (self.uni, padded[k])):
-                    table[part] = table.get(part, 0) + n
-        self.pairs: dict[str, int] = {}
-        self.ones: dict[str, int] = {}
-        for part, n in self.tri.items():
-            self.pairs[part[:2]] = self.pairs.get(part[:2], 0) + n
-        for part, n in self.bi.items():
-            self.ones[part[0]] = self.ones.get(part[0], 0) + n
+    def __init__(self, trigrams: dict[str, float]):
+        self.tri = trigrams
+        self.bi: dict[str, float] = {}
+        self.uni: dict[str, float] = {}
+        self.pairs: dict[str, float] = {}
+        self.ones: dict[str, float] = {}
+        for part, n in trigrams.items():
+            for table, key in ((self.bi, part[1:]), (self.uni, part[2]), (self.pairs, part[:2]), (self.ones, part[1])):
+                table[key] = table.get(key, 0) + n
         self.total = sum(self.uni.values())
         self.memo: dict[str, float] = {}
 
     def cost(self, history: str, c: str) -> float:
         """-log P(c | the two characters before it)."""
         key = history + c
-        if key not in self.memo:
-            p = (self.uni.get(c, 0) + 0.1) / (self.total + 30.0)
-            p = (self.bi.get(key[1:], 0) + 4 * p) / (self.ones.get(history[1], 0) + 4)
-            p = (self.tri.get(key, 0) + 4 * p) / (self.pairs.get(history, 0) + 4)
-            self.memo[key] = -math.log(p)
-        return self.memo[key]
+        found = self.memo.get(key)
+        if found is None:
+            if len(self.memo) > 1_000_000:
+                self.memo.clear()
+            a, b, x = (OTHER if y.isalpha() and y not in ALPHABET else y for y in key)
+            p = (self.uni.get(x, 0) + 0.1) / (self.total + 30.0)
+            p = (self.bi.get(b + x, 0) + 4 * p) / (self.ones.get(b, 0) + 4)
+            p = (self.tri.get(a + b + x, 0) + 4 * p) / (self.pairs.get(a + b, 0) + 4)
+            found = self.memo[key] = -math.log(p)
+        return found
+
+
+def trigrams(word: str) -> list[str]:
+    padded = f"  {''.join(c if c in ALPHABET else OTHER for c in word)} "
+    return [padded[k - 2 : k + 1] for k in range(2, len(padded))]
+
+
+def char_model(docs: DataFrame, text_col: str) -> CharModel:
+    """The trigrams of all words of all texts; a word weighs the logarithm of its count. The alphabet bounds the table."""
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
+    known = "".join(sorted(ALPHABET))
+    padded = F.concat(F.lit("  "), F.regexp_replace("w", f"[^{known}]", OTHER), F.lit(" "))
+    counted = words.groupBy("w").agg(F.log2(F.count("*") + 1.0).alias("n")).select("n", padded.alias("w"))
+    parts = counted.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda k: F.substr("w", k, F.lit(3)))).alias("tri"))
+    return CharModel({r["tri"]: r["n"] for r in parts.groupBy("tri").agg(F.sum("n").alias("n")).collect()})
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings ``(letters, channel cost)`` of each run of one character of a lower-case token without separators."""
+    """Readings ``(letters, channel cost)`` of each run of one character, or of separators, of a lower-case span."""
     places = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
+    for m in re.finditer(r"[\s.\-_*]+|(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
+        if c is None or c in SEPARATORS:
+            places.append([("", 0.25 + 0.25 * n), (" ", 0.5)])
+            continue
         letters = [(c, 0.0)] if c.isalpha() else []
         letters += [(x, 0.7) for x in LOOKS_LIKE.get(c, "")]
         if not letters:
@@ -86,53 +109,84 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                     extra = 1.0 * (n - 2)  # three in a row are rarely meant
                 if n == 2 and length == 1:
                     extra = 6.0
-                readings[x * length] = min(readings.get(x * length, 99.0), cost * (1 if x == c else n) + extra)
+                readings[x * length] = min(readings.get(x * length, 1e9), cost * (1 if x == c else n) + extra)
         places.append(sorted(readings.items()))
     return places
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The best path through the lattice of ``token``."""
-    best: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+def decode(token: str, model: CharModel) -> tuple[str, float]:
+    """The best path through the lattice of ``token``, and its cost. Time and memory follow the length."""
+    best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
     for readings in lattice(token):
-        nxt: dict[str, tuple[float, str]] = {}
+        nxt: dict[str, tuple[float, tuple | None]] = {}
         for history, (cost, said) in best.items():
             for letters, channel in readings:
                 c, h = cost + channel, history
                 for x in letters:
+                    if x == " " and h == "  ":
+                        continue  # a word that is over can't end again
                     c += model.cost(h, x)
-                    h = h[1] + x
+                    h = "  " if x == " " else h[1] + x
                 if h not in nxt or c < nxt[h][0]:
-                    nxt[h] = (c, said + letters)
+                    nxt[h] = (c, (said, letters))
         best = nxt
-    return min((cost + model.cost(h, " "), said) for h, (cost, said) in best.items())[1]
-
-
-def restore(text: str, model: CharModel, memo: dict[str, str]) -> str:
-    """``text``, lower-cased, with suspect tokens decoded. Tokens without a letter, with more than twice as many digits as letters, or of more than ``LONGEST`` characters, stay."""
+    cost, said = min(((cost + (0.0 if h == "  " else model.cost(h, " ")), h, said) for h, (cost, said) in best.items()), key=lambda x: x[:2])[::2]
+    parts = []
+    while said is not None:
+        said, letters = said
+        parts.append(letters)
+    return "".join(reversed(parts)), cost
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Begin and end of the spans of ``text`` that are read as lattices, in order and apart."""
+    found, end = [], 0
+    for m in TRIGGER.finditer(text):
+        if m.start() >= end:
+            a, end = m.start(), m.end()
+            while a and not text[a - 1].isspace():
+                a -= 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            if not text[a:end].isdecimal():
+                found.append((a, end))
+    spaced = [m.span() for m in SPACED.finditer(text)]
+    if not spaced:
+        return found
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found + spaced):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
-    def one(m: re.Match) -> str:
-        token = m[0]
-        letters = sum(c.isalpha() for c in token)
-        if not letters or 2 * letters < sum(c.isdigit() for c in token) or len(token) > LONGEST * (1 + bool(SPACED.fullmatch(token))):
-            return token
-        if token not in memo:
-            if len(memo) > 200_000:
-                memo.clear()
-            if SPACED.fullmatch(token):
-                memo[token] = decode(re.sub(r"[ .\-_*]", "", token), model)
-            else:
-                head, core, tail = EDGE.match(token).groups()
-                lead = head[-1:] if head[-1:] in "@$(" and head else ""
-                core = lead + core
-                head = head[: len(head) - len(lead)]
-                memo[token] = head + (decode(core, model) if core else "") + tail
-        return memo[token]
 
-    return SUSPECT.sub(one, text.lower())
+def _restored(span: str, model: CharModel) -> str:
+    """``span`` with its core decoded, unless no path through it looks like words."""
+    head, core, tail = EDGE.match(span).groups()
+    if not core:
+        return span
+    said, cost = decode(core, model)
+    return f"{head}{said}{tail}" if any(c.isalpha() for c in said) and cost <= WORST * (len(said) + 1) else span
 
 
-SPACED = re.compile(r"[^\W_](?:[ .\-_*][^\W_])+")
+def restore(text: str, model: CharModel, memo: dict[str, str]) -> str:
+    """``text``, lower-cased, with disguised spans of any length decoded. Numbers, and spans no reading of which looks like words, stay."""
+    text = text.lower()
+    out, at = [], 0
+    for a, b in _spans(text):
+        span = text[a:b]
+        said = memo.get(span)
+        if said is None:
+            said = _restored(span, model)
+            if len(span) <= 64:
+                if len(memo) > 200_000:
+                    memo.clear()
+                memo[span] = said
+        out += [text[at:a], said]
+        at = b
+    return "".join(out) + text[at:]
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,30 +212,33 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(found)
 
 
-def learn(labelled: DataFrame, max_features: int = 4096, min_texts: int = 5, min_chi2: float = 12.0, min_strong: int = 20, max_words: int = 50_000) -> dict:
-    """Character model, chosen features, weights and bias from ``labelled (text, label)``, the bounded sample.
+def learn(labelled: DataFrame, chars: CharModel, max_features: int = 4096, min_texts: int = 5, min_chi2: float = 12.0, min_strong: int = 20) -> dict:
+    """Chosen features, weights and bias from ``labelled (text, label)``, the bounded sample.
 
-    Equal texts count once. To the driver come ``max_words`` words with counts, ``max_features`` features, and
+    Equal texts count once. To the driver come ``max_features`` features (the size of the model), and
     for each text the list of those of its features that were chosen.
     """
+    shared = labelled.sparkSession.sparkContext.broadcast(chars)  # trigrams of a bounded alphabet
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([restore(t, shared.value, memo) for t in batch.column("text").to_pylist()], pa.string()), batch.column("label")], ["text", "label"])
+
     rows = labelled.groupBy(F.lower("text").alias("text")).agg(F.max((F.col("label") > 0).cast("int")).alias("label"))
-    rows = materialize(rows, "toxic-sample")
-    words = rows.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).filter("length(w) BETWEEN 1 AND 30")
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(max_words).collect()
-    chars = CharModel({r["w"]: min(r["n"], 100) for r in top})
+    rows = materialize(rows.mapInArrow(restored, "text string, label int"), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     model = {"chars": chars, "features": np.empty(0, np.uint64), "strong": np.empty(0, bool), "weights": np.empty(0), "bias": math.log((n1 + 0.5) / (n0 + 0.5))}
     if not n1 or not n0:
         return model
 
-    def texts_of(batch: pa.RecordBatch, memo: dict[str, str]) -> list[bytes]:
-        return [restore(t, chars, memo).encode() for t in batch.column("text").to_pylist()]
+    def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+        return [t.encode() for t in batch.column("text").to_pylist()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str] = {}
         for batch in batches:
-            at, f = features(texts_of(batch, memo))
+            at, f = features(texts_of(batch))
             if len(f):
                 pairs = np.unique(np.rec.fromarrays([f, at]))  # once a text
                 label = batch.column("label").to_numpy(zero_copy_only=False)[pairs.f1]
@@ -212,10 +269,9 @@ def learn(labelled: DataFrame, max_features: int = 4096, min_texts: int = 5, min
     model |= {"features": chosen["f"].to_numpy().view(np.uint64), "strong": ((chosen["a"] == chosen["n"]) & (chosen["n"] >= min_strong)).to_numpy()}
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str] = {}
         for batch in batches:
             lists: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            at, f = present(texts_of(batch, memo), model["features"])
+            at, f = present(texts_of(batch), model["features"])
             for k, x in zip(at.tolist(), f.tolist(), strict=True):
                 lists[k].append(x)
             for k in set(at[model["strong"][f]].tolist()):
@@ -268,13 +324,14 @@ def score_toxicity(
 ) -> DataFrame:
     """The columns of ``docs`` and ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); ``restored`` text on demand.
 
-    ``labels`` (id, label) name the rows of ``docs`` to learn from, of which about ``fit_rows`` are used. A null text
+    ``labels`` (id, label) name the rows of ``docs`` to learn from, of which about ``fit_rows`` are used; the character model
+    counts the words of all rows. A null text
     counts as empty and has the score of the bias, as has a text without any chosen feature. With labels of
     one class, or none, all scores are the smoothed share of the label. Repeated rows and ids change
     nothing; columns of ``docs`` called like the new ones are replaced; an empty table gives no rows.
     """
     sample = labelled_texts(docs, labels, id_col, text_col, label_col, fit_rows, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(sample, **options))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(sample, char_model(docs, text_col), **options))
 
     @F.pandas_udf("struct<score:double,predicted:int,restored:string>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,43 +1,82 @@
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import registry
-from tessera.llm.toxicity import CharModel, decode, features, lattice, present, restore, score_toxicity
-import numpy as np
+from tessera.llm.toxicity import CharModel, char_model, decode, features, lattice, logits, present, restore, score_toxicity, trigrams
 
-CHARS = CharModel({"idiot": 40, "stupid": 40, "the": 90, "this": 60, "trash": 30, "ring": 50, "ship": 50, "worthless": 20})
+WORDS = {"idiot": 40, "stupid": 40, "the": 90, "this": 60, "trash": 30, "ring": 50, "ship": 50, "worthless": 20, "you": 90, "are": 80, "ass": 20}
+COUNTS = Counter()
+for w, n in WORDS.items():
+    for t in trigrams(w):
+        COUNTS[t] += n
+CHARS = CharModel(dict(COUNTS))
 
 
-@pytest.mark.parametrize("token", ["1d10t", "stuuupid", "idi0t", "tr@$h", "7h3"])
+@pytest.mark.parametrize("token", ["1d10t", "stuuupid", "idi0t", "tr@$h", "7h3", "i d.t", "1 5 t"])
 def test_viterbi_finds_the_best_of_all_paths(token):
     def cost(path):
         h, c = "  ", sum(x[1] for x in path)
         for ch in "".join(x[0] for x in path) + " ":
-            c += CHARS.cost(h, ch)
-            h = h[1] + ch
+            if (ch, h) != (" ", "  "):
+                c += CHARS.cost(h, ch)
+                h = "  " if ch == " " else h[1] + ch
         return c
 
     best = min(itertools.product(*lattice(token)), key=cost)
-    got = decode(token, CHARS)
-    assert got == "".join(x[0] for x in best)
+    said, spent = decode(token, CHARS)
+    assert said == "".join(x[0] for x in best) and math.isclose(spent, cost(best))
 
 
 def test_disguises_are_read_and_plain_text_stays():
     memo = {}
-    pairs = {"you 1D10T!": "you idiot!", "i d i o t": "idiot", "s.t.u.p.i.d ship": "stupid ship", "stuuuupid": "stupid", "w0rthl3ss": "worthless", "tr@sh, ok": "trash, ok"}
+    pairs = {"you 1D10T!": "you idiot!", "i d i o t": "idiot", "s.t.u.p.i.d ship": "stupid ship", "stuuuupid": "stupid", "w0rthl3ss": "worthless", "tr@sh, ok": "trash, ok",
+        "y0u.4r3.w0r7hl3ss.1d10t.y0u.1d10t": "you are worthless idiot you idiot", "i  d  i  o  t": "idiot", "i\nd\ni\no\nt": "idiot", "4$$": "ass", "idi" + "o" * 30 + "t": "idiot",
+        "y o u  a r e  w o r t h l e s s  i d i o t  y o u  i d i o t": "you are worthless idiot you idiot",
+    }
     assert {k: restore(k, CHARS, memo) for k in pairs} == pairs
-    for same in ["", "the ship", "call +1 (456) 555-2186", "2024 100%", "a b", "x" * 100 + "111", "http://example.com/" + "1" * 30]:
+    for same in ["", "the ship", "call +1 (456) 555-2186", "2024 100%", "a b", "17 000", "1234567", "http://example.com/" + "1" * 30]:
         assert restore(same, CHARS, memo) == same
 
 
-def test_features_once_a_text():
+def test_features_match_plain_ones():
+    """A word is a feature, and so are its first 4, 5 and 6 bytes if it is longer: equal features have equal numbers."""
+    texts = ["an idiot, idiot", "", "stupidly stupid", "stupidity 12 é", "idio"]
+    at, f = features([t.encode() for t in texts])
+    name, plain = {}, []
+    for k, t in enumerate(texts):
+        words = [w.encode() for w in re.findall(r"[a-zé]+", t)]
+        plain += [(k, ("whole", w)) for w in words] + [(k, ("head", w[:n])) for n in (4, 5, 6) for w in words if len(w) > n]
+    got = Counter(zip(at.tolist(), f.tolist(), strict=True))
+    assert sorted(got.values()) == sorted(Counter(plain).values()) and len(set(f.tolist())) == len({x for _, x in plain})
     chosen = np.sort(np.unique(features([b"idiot stupidity"])[1]))
-    at, f = present([b"an idiot, idiot", b"", b"stupidly"], chosen)
-    assert set(zip(at.tolist(), f.tolist(), strict=True)) == set(zip(at.tolist(), f.tolist(), strict=True)) and len(set(zip(at.tolist(), f.tolist()))) == len(at)
-    assert set(at.tolist()) == {0, 2}
+    found = Counter(present([t.encode() for t in texts], chosen)[0].tolist())
+    assert found == {0: 2, 2: 3, 3: 4}  # idiot, idio; stup, stupi, stupid; these and stupidity
+
+
+def test_scores_match_a_plain_sum():
+    chosen = np.sort(np.unique(features([b"idiot trash"])[1]))
+    model = {"features": chosen, "strong": np.arange(len(chosen)) == 0, "weights": np.arange(1.0, len(chosen) + 2), "bias": -0.5}
+    texts = [b"an idiot idiot", b"", b"trash", b"idiot trash ship"]
+    for t, score in zip(texts, logits(texts, model), strict=True):
+        mine = {int(np.searchsorted(chosen, x)) for x in features([t])[1] if x in chosen}
+        assert math.isclose(score, -0.5 + sum(k + 1 for k in mine) + (len(chosen) + 1) * (0 in mine))
+
+
+def test_character_model_counts_all_words(spark):
+    docs = spark.createDataFrame([("The the cat",), (None,), ("", ), ("cat жж 12 é",)], "text string")
+    want = Counter()
+    for w, n in {"the": 2, "cat": 2, "жж": 1, "é": 1}.items():
+        for t in trigrams(w):
+            want[t] += math.log2(n + 1)
+    got = char_model(docs, "text").tri
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
 def test_defined_results(spark):
