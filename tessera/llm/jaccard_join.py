@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -181,8 +181,14 @@ def difference_pairs(
             yield u[i[keep]], v[j[keep]]
 
 
+def _parity(w: int) -> Column:
+    """Word ``w`` of the parity bitmap of column ``diff``."""
+    mine = f"filter(diff, e -> (shiftrightunsigned(e, 6) & {DIFF_WORDS - 1}) = {w})"
+    return F.expr(f"aggregate({mine}, 0L, (s, e) -> s ^ shiftleft(1L, CAST(e & 63 AS INT)))").alias(f"w{w}")
+
+
 def links_by_leader(led: DataFrame, roots: DataFrame, share: tuple[int, int], buckets: int, best: bool, longest: int = 20_000) -> DataFrame:
-    """``x, y``: linked sets of different components among those of one leader, from ``led (sid, lead, n, nl, diff)`` and ``roots (node, root)``.
+    """``x, y``: linked sets of different components among those of one leader, from ``led (sid, lead, n, nl, diff, w0, ...)`` and ``roots (node, root)``.
 
     A list of more than ``longest`` entries is split into blocks, every two of which meet in a task of their own. best: only
     the best partner of each entry of a list is tested.
@@ -194,11 +200,10 @@ def links_by_leader(led: DataFrame, roots: DataFrame, share: tuple[int, int], bu
     inside = F.floor((F.col("d") + c * (F.col("nl") - F.col("n"))) / 2 - 1e-6) + 1
     outside = F.ceil(F.col("d") - c * (1 + b / a) * F.col("n") - 1e-6)
     least = F.greatest(F.lit(1), F.when(F.col("d") * (a + b) <= (b - a) * (F.col("n") + F.col("nl")), inside).otherwise(outside)).cast("int")
-    word = lambda w: F.expr(f"aggregate(filter(diff, e -> (shiftrightunsigned(e, 6) & {DIFF_WORDS - 1}) = {w}), 0L, (s, e) -> s ^ shiftleft(1L, CAST(e & 63 AS INT)))")
     words = [f"w{w}" for w in range(DIFF_WORDS)]
     entries = rows.withColumn("least", least).filter("d >= least").select(
-        "lead", "sid", "root", "n", "d", *[word(w).alias(f"w{w}") for w in range(DIFF_WORDS)], F.posexplode(F.expr("slice(diff, 1, d - least + 1)")).alias("p", "e")
-    )
+        "lead", "sid", "root", "n", "d", *words, F.posexplode(F.expr("slice(diff, 1, d - least + 1)")).alias("p", "e")
+    )
     often = entries.groupBy("lead", "e").agg(F.count("*").alias("m")).filter(F.col("m") > longest)
     often = F.broadcast(often.select("lead", "e", F.ceil(F.col("m") / longest).cast("int").alias("blocks")))  # at most one row for `longest` entries
     placed = entries.join(often, ["lead", "e"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -489,7 +494,8 @@ def similarity_classes(
 
     # step 3: sets with one leader; of several leaders the most famous one, so that sets that are near each other have the same
     mine = led.filter("diff IS NOT NULL AND fame > 0").groupBy("x").agg(F.max_by(F.struct("y", "nx", "ny", "diff"), F.struct("fame", "y")).alias("m"))
-    mine = materialize(mine.select(F.col("x").alias("sid"), F.col("m.y").alias("lead"), F.col("m.nx").alias("n"), F.col("m.ny").alias("nl"), F.col("m.diff").alias("diff")), "jac-mine")
+    mine = mine.select(F.col("x").alias("sid"), F.col("m.y").alias("lead"), F.col("m.nx").alias("n"), F.col("m.ny").alias("nl"), F.col("m.diff").alias("diff"))
+    mine = materialize(mine.select("*", *[_parity(w) for w in range(DIFF_WORDS)]), "jac-mine")  # once for each set
     index_buckets = min(1 << 16, max(16, math.ceil((total[0] or 0) * (b - a) / b / entries_a_bucket)))
     lead_buckets = max(16, math.ceil(index_buckets / 4))
     best = materialize(links_by_leader(mine, first_roots, similarity, lead_buckets, best=True), "jac-best")
