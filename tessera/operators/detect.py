@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions.columns import assigned_variable, file_matches, fingerprint, is_test_path, looks_secret, shannon_entropy
 from tessera.operators import catalogue
 from tessera.operators.catalogue import Rule
-from tessera.operators.text import around, is_test_line, lines_of, to_lines
+from tessera.operators.text import around, in_test_code, lines_of, to_lines
 from tessera.plans.scratch import materialize
 
 KEYS = ["repo_id", "file_path"]
@@ -50,11 +50,12 @@ def scan_code_rules(files: DataFrame, rules: list[Rule] | None = None, skip_test
     """Findings of code rules in ``files (repo_id, file_path, language, content)``.
 
     A rule without languages is for every file, also of unknown language. Test files, and lines inside test code, are left out.
-    Lines are exploded once; only lines that hold some guard go on.
+    Each row is a file of its own, also where paths repeat or are null. Lines, marks of test code and snippets are found inside
+    the row, so nothing is shuffled; only lines that hold some guard go on.
     """
     rules = catalogue.CODE_RULES if rules is None else rules
     if skip_tests:
-        files = files.filter(~is_test_path(F.col("file_path")))
+        files = files.filter(~F.coalesce(is_test_path(F.col("file_path")), F.lit(False)))
     by_line, by_file = [r for r in rules if r.mode == "line"], [r for r in rules if r.mode == "file"]
 
     def spoken(r: Rule) -> Column:
@@ -62,18 +63,20 @@ def scan_code_rules(files: DataFrame, rules: list[Rule] | None = None, skip_test
 
     guards = sorted({g for r in by_line for g in r.guards})
     open_rules = any(not r.guards for r in by_line)
-    base = files.select(*KEYS, "language", "content")
-    lines = to_lines(base)
-    if skip_tests:  # only Rust marks test code inside a file, so only its lines are put in order
-        rust = is_test_line(lines.filter("language = 'rust'"), KEYS).filter("NOT in_test").drop("in_test")
-        lines = lines.filter("language IS NULL OR language <> 'rust'").unionByName(rust)
+    base = files.select(*KEYS, "language", lines_of(F.col("content")).alias("lines"), F.col("content"))
     if not open_rules:
-        lines = lines.filter(_any([F.lower("line").contains(g) for g in guards]))
-    hits = lines.select(*KEYS, "line_no", F.explode(_matching(by_line, F.col("line"), spoken)).alias("rule_id"))
-    texts = files.select(*KEYS, lines_of(F.col("content")).alias("lines"))
-    hits = hits.join(texts, KEYS).select(*KEYS, "line_no", "rule_id", F.array_join(around(F.col("lines"), F.col("line_no"), 2, 2), "\n").alias("snippet"))
+        base_lines = base.filter(_any([F.lower("content").contains(g) for g in guards]))
+    else:
+        base_lines = base
+    marks = F.when(F.lit(skip_tests) & (F.col("language") == "rust") & F.col("content").contains("#["), in_test_code(F.col("lines")))
+    rows = base_lines.select(*KEYS, "language", "lines", marks.alias("marks")).select(*KEYS, "language", "lines", "marks", F.posexplode("lines").alias("k", "line"))
+    rows = rows.filter(~F.coalesce(F.get("marks", F.col("k")), F.lit(False)))
+    if not open_rules:
+        rows = rows.filter(_any([F.lower("line").contains(g) for g in guards]))
+    hits = rows.select(*KEYS, (F.col("k") + 1).alias("line_no"), "lines", F.explode(_matching(by_line, F.col("line"), spoken)).alias("rule_id"))
+    hits = hits.select(*KEYS, "line_no", "rule_id", F.array_join(around(F.col("lines"), F.col("line_no"), 2, 2), "\n").alias("snippet"))
     if by_file:
-        whole = base.select(*KEYS, F.lit(1).alias("line_no"), F.explode(_matching(by_file, F.col("content"), spoken)).alias("rule_id"), F.array_join(F.slice(lines_of(F.col("content")), 1, 3), "\n").alias("snippet"))
+        whole = base.select(*KEYS, F.lit(1).alias("line_no"), F.explode(_matching(by_file, F.col("content"), spoken)).alias("rule_id"), F.array_join(F.slice(F.col("lines"), 1, 3), "\n").alias("snippet"))
         hits = hits.unionByName(whole)
     return _findings(hits, rules, "static")
 
@@ -218,8 +221,16 @@ def first_pattern_hits(lines: DataFrame, patterns: tuple[str, ...], each: int, c
     return _capped(hits.withColumn("pattern", F.get(F.array(*[F.lit(p) for p in patterns]), F.col("k"))).drop("least", "k"), cap, "file_path", "line_no")
 
 
+#: Endings and parts of names of configuration files.
+CONFIG_NAMES = (".env", ".ini", ".cfg", ".conf", ".toml", ".properties", "config", "settings")
+
+
 def config_hits(lines: DataFrame) -> DataFrame:
-    return first_pattern_hits(lines, ENV_USE, 5, 30)
+    """Lines that read the environment, and the first line of files with a configuration-like name."""
+    named = lines.filter((F.col("line_no") == 1) & _any([F.lower("file_path").contains(n) for n in CONFIG_NAMES]))
+    named = named.select(*KEYS, "line_no", "line", F.lit(1).alias("rank"), F.lit("config file").alias("pattern"))
+    used = first_pattern_hits(lines, ENV_USE, 5, 30)
+    return _capped(used.unionByName(named.join(used.select(*KEYS).distinct(), KEYS, "left_anti")), 30, "file_path", "line_no")
 
 
 def db_hits(lines: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tessera.functions.columns import (
     SEVERITIES, clean_title, confidence_rank, cwe_of, group_fingerprint, looks_like_prose, normalize_remote_url, owasp_code, sarif_level, security_severity, severity_label, severity_rank, slugify, status_rank,
 )
+from tessera.operators.modeltext import extract_json
 
 #: Greatest loss and half-way weight of each severity, weight of each confidence, factor of a validated finding.
 LOSS = {"critical": (35.0, 2.0), "high": (30.0, 5.0), "medium": (18.0, 8.0), "low": (8.0, 20.0)}
@@ -262,12 +263,12 @@ def scan_patches(patches: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def apply_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Findings after reviewer verdicts (``finding_id, verdict`` as JSON with verdict, severity, reasoning).
+    """Findings after reviewer verdicts (``finding_id, verdict``: a model's text that holds JSON with verdict, severity, reasoning).
 
     confirmed: confidence high, and the severity if it is a known one; false_positive: that status and low confidence;
     anything else, also unreadable JSON, changes nothing but for the reasoning that is appended to the description. Adds ``outcome``.
     """
-    v = F.from_json("verdict", "verdict string, severity string, reasoning string")
+    v = F.from_json(extract_json(F.col("verdict")), "verdict string, severity string, reasoning string")
     got = verdicts.select("finding_id", v.alias("v")).select(
         "finding_id", F.lower("v.verdict").alias("__verdict"), F.lower("v.severity").alias("__severity"), F.col("v.reasoning").alias("__why")
     ).dropDuplicates(["finding_id"])
@@ -350,6 +351,14 @@ def tool_usage(calls: DataFrame, rollup: bool = False) -> DataFrame:
     return grouped.agg(F.count("*").alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"))
 
 
+def list_scans(scans: DataFrame, findings: DataFrame, repo_id=None) -> DataFrame:
+    """Scans, perhaps of one repository, newest first by ``position`` within each, with their number of findings."""
+    rows = scans if repo_id is None else scans.filter(F.col("repo_id") == repo_id)
+    n = findings.groupBy("scan_id").agg(F.count("*").alias("finding_count"))
+    w = Window.partitionBy("repo_id").orderBy(F.col("created_at").desc(), F.col("scan_id").desc())
+    return rows.join(n, "scan_id", "left").na.fill(0, ["finding_count"]).withColumn("position", F.row_number().over(w))
+
+
 def list_repos(repos: DataFrame, scans: DataFrame) -> DataFrame:
     """Repositories that aren't deleted with their number of scans and newest scan time."""
     n = scans.groupBy("repo_id").agg(F.count("*").alias("scan_count"), F.max("created_at").alias("last_scan_at"))

@@ -18,8 +18,21 @@ from tessera.plans.scratch import materialize
 KEYS = ["repo_id", "file_path"]
 
 
+def _compiles(query: str) -> bool:
+    """Whether Java, which runs it, takes ``query`` as a regular expression."""
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(query)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def search(files: DataFrame, query: str, glob: str | None = None, context: int = 2, regex: bool = True) -> DataFrame:
-    """Lines that match: ``repo_id, file_path, line_no, line, before, after`` (arrays of up to ``context`` lines). With ``regex`` off the query is plain text."""
+    """Lines that match: ``repo_id, file_path, line_no, line, before, after`` (arrays of up to ``context`` lines). With ``regex`` off, or where the query is no valid expression, it is plain text."""
+    regex = regex and _compiles(query)
     if glob:
         files = files.filter(glob_matches(F.col("file_path"), glob))
     hit = (lambda c: c.rlike(query)) if regex else (lambda c: c.contains(query))
@@ -38,8 +51,9 @@ def search_page(hits: DataFrame, n: int = 30) -> DataFrame:
 
 
 def read_file(files: DataFrame, path: str, most: int = 15_000) -> DataFrame:
-    """A file's content, cut after ``most`` characters with a notice."""
-    cut = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("\n... (cut)"))).otherwise(F.col("content"))
+    """A file's content, cut after ``most`` bytes (and any character that they end in) with a notice."""
+    head = F.regexp_replace(F.decode(F.substring(F.encode("content", "utf-8"), 1, most), "utf-8"), "\ufffd+$", "")
+    cut = F.when(F.octet_length("content") > most, F.concat(head, F.lit("\n... (cut)"))).otherwise(F.col("content"))
     return files.filter(F.col("file_path") == path).select(*KEYS, cut.alias("content"))
 
 
@@ -147,15 +161,25 @@ def callees(edges: DataFrame, name: str) -> DataFrame:
     return edges.filter(F.col("caller") == name)
 
 
+def _repo(df: DataFrame) -> DataFrame:
+    """Rows of a graph without repositories belong to one, null."""
+    return df if "repo_id" in df.columns else df.withColumn("repo_id", F.lit(None).cast("string"))
+
+
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
 def call_degree(edges: DataFrame) -> DataFrame:
-    """``name, callers, callees`` of every name of the graph."""
-    both = edges.select(F.col("caller").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("callee").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")))
-    return both.groupBy("name").agg(F.sum("i").alias("callers"), F.sum("o").alias("callees"))
+    """``repo_id, name, callers, callees`` of every name of each repository's graph."""
+    e = _repo(edges)
+    both = e.select("repo_id", F.col("caller").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(e.select("repo_id", F.col("callee").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return both.groupBy("repo_id", "name").agg(F.sum("i").alias("callers"), F.sum("o").alias("callees"))
 
 
 def callers_summary(edges: DataFrame) -> DataFrame:
-    """A line of sorted callers for each callee."""
-    return edges.groupBy("callee").agg(F.array_join(F.sort_array(F.collect_set("caller")), ", ").alias("callers"))
+    """A line of sorted callers for each callee of a repository."""
+    return _repo(edges).groupBy("repo_id", "callee").agg(F.array_join(F.sort_array(F.collect_set("caller")), ", ").alias("callers"))
 
 
 #: Import patterns of each language; the first group that is set is the target.
@@ -199,27 +223,27 @@ def is_risky(name: Column) -> Column:
 
 
 def risk_chains(entries: DataFrame, edges: DataFrame, depth: int = 4, cap: int | None = 80, risky: Column | None = None) -> DataFrame:
-    """Shortest call paths from ``entries (name)`` to risky names: ``entry, target, depth, path``, breadth first.
+    """Shortest call paths from ``entries (repo_id, name)`` to risky names of the same repository: ``repo_id, entry, target, depth, path``, breadth first.
 
     Of paths of one length to a node the one first in order of names is kept, so the frontier holds a node once for each entry.
     """
     risky = is_risky(F.col("callee")) if risky is None else risky
-    e = edges.select("caller", "callee").distinct()
-    front = entries.select(F.col("name").alias("entry"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
-    seen, found = front.select("entry", "node"), None
+    e = _repo(edges).select(F.col("repo_id").alias("e_repo"), "caller", "callee").distinct()
+    front = _repo(entries).select("repo_id", F.col("name").alias("entry"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
+    seen, found = front.select("repo_id", "entry", "node"), None
     for d in range(1, depth + 1):
-        step = front.join(e, F.col("node") == F.col("caller")).select("entry", "callee", F.concat("path", F.array("callee")).alias("path"))
-        step = step.groupBy("entry", "callee").agg(F.min("path").alias("path"))
-        hits = step.filter(risky).select("entry", F.col("callee").alias("target"), F.lit(d).alias("depth"), F.array_join("path", " > ").alias("path"))
-        hits = hits.join(seen.select("entry", F.col("node").alias("target")), ["entry", "target"], "left_anti")
+        step = front.join(e, _same("node", "caller") & _same("repo_id", "e_repo")).select("repo_id", "entry", "callee", F.concat("path", F.array("callee")).alias("path"))
+        step = step.groupBy("repo_id", "entry", "callee").agg(F.min("path").alias("path"))
+        past = seen.select(F.col("repo_id").alias("s_repo"), F.col("entry").alias("s_entry"), F.col("node").alias("s_node"))
+        new = step.join(past, _same("repo_id", "s_repo") & _same("entry", "s_entry") & _same("callee", "s_node"), "left_anti")
+        hits = new.filter(risky).select("repo_id", "entry", F.col("callee").alias("target"), F.lit(d).alias("depth"), F.array_join("path", " > ").alias("path"))
         found = hits if found is None else found.unionByName(hits)
-        front = step.select("entry", F.col("callee").alias("node"), "path").join(seen, ["entry", "node"], "left_anti")
         if d < depth:
-            front = materialize(front, "chain")
-            seen = seen.unionByName(front.select("entry", "node"))
+            front = materialize(new.select("repo_id", "entry", F.col("callee").alias("node"), "path"), "chain")
+            seen = seen.unionByName(front.select("repo_id", "entry", "node"))
             if front.isEmpty():
                 break
-    return found if cap is None else found.orderBy("depth", "entry", "target").limit(cap)
+    return found if cap is None else found.orderBy("depth", "repo_id", "entry", "target").limit(cap)
 
 
 def api_surface(symbols: DataFrame, edges: DataFrame, files: int = 30, each: int = 10) -> DataFrame:
@@ -244,27 +268,29 @@ def entry_list(symbols: DataFrame, extra: int = 30, cap: int = 50) -> DataFrame:
 
 
 def trace_callers(starts: DataFrame, edges: DataFrame, depth: int = 2, each: int = 20, cap: int | None = 200) -> DataFrame:
-    """Callers of ``starts (name)``, level by level: ``depth, caller, callee``. Of a function ``each`` callers at most, in order of name; each function once."""
-    e = edges.select("caller", "callee").distinct().withColumn("k", F.row_number().over(Window.partitionBy("callee").orderBy("caller"))).filter(F.col("k") <= each).drop("k")
-    front, found = starts.select(F.col("name").alias("node")).distinct(), None
+    """Callers of ``starts (repo_id, name)`` in their repository, level by level: ``repo_id, depth, caller, callee``. Of a function ``each`` callers at most, in order of name; each function once."""
+    e = _repo(edges).select(F.col("repo_id").alias("e_repo"), "caller", "callee").distinct()
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("e_repo", "callee").orderBy("caller"))).filter(F.col("k") <= each).drop("k")
+    front, found = _repo(starts).select("repo_id", F.col("name").alias("node")).distinct(), None
     seen = front
     for d in range(1, depth + 1):
-        step = front.join(e, F.col("node") == F.col("callee")).select(F.lit(d).alias("depth"), "caller", "callee")
+        step = front.join(e, _same("node", "callee") & _same("repo_id", "e_repo")).select("repo_id", F.lit(d).alias("depth"), "caller", "callee")
         found = step if found is None else found.unionByName(step)
-        front = step.select(F.col("caller").alias("node")).distinct().join(seen, "node", "left_anti")
+        past = seen.select(F.col("repo_id").alias("s_repo"), F.col("node").alias("s_node"))
+        front = step.select("repo_id", F.col("caller").alias("node")).distinct().join(past, _same("repo_id", "s_repo") & _same("node", "s_node"), "left_anti")
         if d < depth:
             front = materialize(front, "trace")
             seen = seen.unionByName(front)
             if front.isEmpty():
                 break
-    return found if cap is None else found.orderBy("depth", "callee", "caller").limit(cap)
+    return found if cap is None else found.orderBy("depth", "repo_id", "callee", "caller").limit(cap)
 
 
 def trace_flows(files: DataFrame, symbols: DataFrame, edges: DataFrame, pattern: str, depth: int = 2) -> DataFrame:
     """``trace_callers`` from the functions of matching files that begin at or above a matching line."""
     hits = search(files, pattern, context=0).groupBy(*KEYS).agg(F.max("line_no").alias("last"))  # a function above some match is above the last
     above = symbols.filter(F.col("kind").isin("function", "method")).join(hits, KEYS).filter("line_no <= last")
-    return trace_callers(above.select("name"), edges, depth)
+    return trace_callers(above.select("repo_id", "name"), edges, depth)
 
 
 def finding_callers(findings: DataFrame, symbols: DataFrame, edges: DataFrame, around: int = 5, each: int = 5) -> DataFrame:

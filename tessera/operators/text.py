@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.columns import language_of
 
@@ -83,13 +82,20 @@ def window_snippet(hits: DataFrame, lines_col: str = "lines", line_col: str = "l
     return hits.withColumns({"window": window, "truncated": F.size(part) < F.size(x), "original_line_count": F.size(x)})
 
 
-def is_test_line(lines: DataFrame, keys: list[str], line_col: str = "line_no", text_col: str = "line") -> DataFrame:
-    """Adds ``in_test``: braces opened since the last ``#[cfg(test)]`` within 30 lines are not all closed, or one of the 5 lines before is ``#[test]``."""
-    w = Window.partitionBy(*keys).orderBy(line_col)
-    net = F.length(F.regexp_replace(F.col(text_col), "[^{]", "")) - F.length(F.regexp_replace(F.col(text_col), "[^}]", ""))
-    mark = F.when(F.col(text_col).contains("#[cfg(test)]"), F.struct(F.col(line_col).alias("at"), (F.col("__sum") - net).alias("before")))
-    out = lines.withColumn("__sum", F.sum(net).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("__mark", F.max(mark).over(w.rowsBetween(-30, 0)))
-    near = F.max(F.trim(F.col(text_col)).startswith("#[test]")).over(w.rowsBetween(-5, -1))
-    inside = F.coalesce(F.col("__sum") - F.col("__mark.before") > 0, F.lit(False))
-    return out.withColumn("in_test", inside | F.coalesce(near, F.lit(False))).drop("__sum", "__mark")
+def in_test_code(lines: Column) -> Column:
+    """For each of an array of lines, whether it is test code: braces opened since the last ``#[cfg(test)]`` within 30 lines are not all closed, or one of the 5 lines before is ``#[test]``.
+
+    One walk over the array; nothing leaves the row.
+    """
+    net = lambda x: F.length(F.regexp_replace(x, "[^{]", "")) - F.length(F.regexp_replace(x, "[^}]", ""))
+    start = F.struct(F.lit(0).alias("k"), F.lit(-1000).alias("mark"), F.lit(0).alias("open"), F.lit(-1000).alias("test"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = x.contains("#[cfg(test)]")
+        mark = F.when(here, s["k"]).otherwise(s["mark"])
+        opened = F.when(here, net(x)).otherwise(s["open"] + net(x))
+        inside = ((s["k"] - mark <= 30) & (opened > 0)) | (s["k"] - s["test"] <= 5)
+        test = F.when(F.trim(x).startswith("#[test]"), s["k"]).otherwise(s["test"])
+        return F.struct((s["k"] + 1).alias("k"), mark.alias("mark"), opened.alias("open"), test.alias("test"), F.concat(s["out"], F.array(inside)).alias("out"))
+
+    return F.aggregate(lines, start, step, lambda s: s["out"])

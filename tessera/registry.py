@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import registry_more
 from tessera.functions import columns as C
 from tessera.operators import detect, findings, graph, packages
 from tessera.operators import text as T
-from tessera.operators.catalogue import Rule
+from tessera.operators.catalogue import CODE_RULES, Rule
 from tessera.plans.fixtures import fx, with_views
 from tessera.sources import corpus
 from tessera.streaming import streams
@@ -120,14 +121,27 @@ def absent_rules(spark, root):
     return detect.scan_absent(fx(spark, root, "files"), PROSE_ABSENT).select("rule_id", "file_path")
 
 
-@query("full_catalogue")
+#: Rules that lines of the view ``code`` meet, and in the files of which remainders.
+CODE_LINES = {"unsafe-deserialization-python": "doc_id % 6 = 0", "xss-innerhtml": "doc_id % 6 = 1", "integer-overflow": "doc_id % 6 = 4", "aws-access-key": "doc_id % 6 IN (2, 3, 5)"}
+CATALOGUE_SQL = " UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, 'static' AS source, count(*) AS n FROM fx_code WHERE {CODE_LINES[r.rule_id]} AND NOT {TEST_PATH} HAVING count(*) > 0" for r in CODE_RULES if r.rule_id in CODE_LINES)
+
+
+@query("full_catalogue", "code", CATALOGUE_SQL)
 def full_catalogue(spark, root):
-    """All code and configuration rules over all files; their patterns use look-around, which the SQL side lacks."""
-    files = fx(spark, root, "files")
+    """All code and configuration rules over all files, each of which has lines of code after its text."""
+    files = fx(spark, root, "code")
     both = detect.scan_code_rules(files).unionByName(detect.scan_config_rules(files))
     return both.groupBy("rule_id", "severity", "source").agg(F.count("*").alias("n"))
 
 
+@query("code_taint", "code", f"""WITH a AS (SELECT *, len(string_split(content, chr(10))) AS n FROM fx_code WHERE doc_id % 6 = 0)
+SELECT file_path, 'sql' AS category, p AS sink_pattern, 'name' AS origin, CAST(n - 3 AS INT) AS source_line, CAST(n AS INT) AS sink_line FROM a, (SELECT unnest(['execute(', 'cursor.execute']) AS p)""")
+def code_taint(spark, root):
+    """A value that goes from a request through a second name into a statement, in every Python file."""
+    flows = detect.taint_flows(fx(spark, root, "code")).filter("variable = 'other'")
+    return flows.select("file_path", "category", "sink_pattern", F.lit("name").alias("origin"), "source_line", "sink_line")
+
+
 @query(
     "grep_context", "files",
     f"""WITH {LINES} SELECT file_path, CAST(l.line_no AS INT) AS line_no, l.line,
@@ -361,38 +375,43 @@ def stale_jobs(spark, root):
     return findings.stale_jobs(_jobs(spark, root), F.lit("1997-01-01").cast("timestamp"), 30).select("job_id", "new_status")
 
 
-@query("call_degree", "edges", "SELECT name, sum(i) AS callers, sum(o) AS callees FROM (SELECT caller AS name, 0 AS i, 1 AS o FROM fx_edges UNION ALL SELECT callee, 1, 0 FROM fx_edges) GROUP BY 1")
+@query("call_degree", "edges", "SELECT repo_id, name, sum(i) AS callers, sum(o) AS callees FROM (SELECT repo_id, caller AS name, 0 AS i, 1 AS o FROM fx_edges UNION ALL SELECT repo_id, callee, 1, 0 FROM fx_edges) GROUP BY 1, 2")
 def call_degree(spark, root):
     return graph.call_degree(fx(spark, root, "edges"))
 
 
-@query("callers_summary", "edges", "SELECT callee, string_agg(DISTINCT caller, ', ' ORDER BY caller) AS callers FROM fx_edges GROUP BY 1")
+@query("callers_summary", "edges", "SELECT repo_id, callee, string_agg(DISTINCT caller, ', ' ORDER BY caller) AS callers FROM fx_edges GROUP BY 1, 2")
 def callers_summary(spark, root):
     return graph.callers_summary(fx(spark, root, "edges"))
 
 
 @query(
     "risk_chains", "edges",
-    """WITH RECURSIVE b AS (SELECT DISTINCT caller AS entry, caller AS node, 0 AS d FROM fx_edges WHERE caller IN ('f1', 'f2', 'f3') UNION SELECT b.entry, e.callee, b.d + 1 FROM b JOIN fx_edges e ON e.caller = b.node WHERE b.d < 3)
-SELECT entry, node AS target, min(d) AS depth FROM b GROUP BY 1, 2 HAVING min(d) > 0 AND node LIKE '%7'""",
+    """WITH RECURSIVE b AS (SELECT DISTINCT repo_id, caller AS entry, caller AS node, 0 AS d FROM fx_edges e WHERE NOT EXISTS (SELECT 1 FROM fx_edges x WHERE x.repo_id = e.repo_id AND x.callee = e.caller)
+  UNION SELECT b.repo_id, b.entry, e.callee, b.d + 1 FROM b JOIN fx_edges e ON e.repo_id = b.repo_id AND e.caller = b.node WHERE b.d < 4)
+SELECT repo_id, entry, node AS target, min(d) AS depth FROM b GROUP BY 1, 2, 3 HAVING min(d) > 0 AND node LIKE '%7'""",
 )
 def risk_chains(spark, root):
+    """From every function that no other one of its repository calls."""
     e = fx(spark, root, "edges")
-    entries = e.select(F.col("caller").alias("name")).filter(F.col("name").isin("f1", "f2", "f3")).distinct()
-    return graph.risk_chains(entries, e, depth=3, cap=None, risky=F.col("callee").endswith("7")).select("entry", "target", "depth")
+    called = e.select("repo_id", F.col("callee").alias("name"))
+    entries = e.select("repo_id", F.col("caller").alias("name")).distinct().join(called, ["repo_id", "name"], "left_anti")
+    return graph.risk_chains(entries, e, cap=None, risky=F.col("callee").endswith("7")).select("repo_id", "entry", "target", "depth")
 
 
 @query(
     "trace_callers", "edges",
-    """WITH RECURSIVE e AS (SELECT caller, callee FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller) AS k FROM fx_edges) WHERE k <= 3),
-b AS (SELECT 'f5' AS node, 0 AS d UNION SELECT e.caller, b.d + 1 FROM b JOIN e ON e.callee = b.node WHERE b.d < 3), m AS (SELECT node, min(d) AS d FROM b GROUP BY 1)
-SELECT CAST(m.d + 1 AS INT) AS depth, e.caller, e.callee FROM m JOIN e ON e.callee = m.node WHERE m.d < 3""",
+    """WITH RECURSIVE e AS (SELECT repo_id, caller, callee FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, callee ORDER BY caller) AS k FROM fx_edges) WHERE k <= 20),
+b AS (SELECT DISTINCT repo_id, callee AS node, 0 AS d FROM fx_edges x WHERE NOT EXISTS (SELECT 1 FROM fx_edges y WHERE y.repo_id = x.repo_id AND y.caller = x.callee)
+  UNION SELECT b.repo_id, e.caller, b.d + 1 FROM b JOIN e ON e.repo_id = b.repo_id AND e.callee = b.node WHERE b.d < 2), m AS (SELECT repo_id, node, min(d) AS d FROM b GROUP BY 1, 2)
+SELECT m.repo_id, CAST(m.d + 1 AS INT) AS depth, e.caller, e.callee FROM m JOIN e ON e.repo_id = m.repo_id AND e.callee = m.node WHERE m.d < 2""",
 )
 def trace_callers(spark, root):
+    """To every function that calls no other one."""
     e = fx(spark, root, "edges")
-    start = e.select(F.col("callee").alias("name")).filter("name = 'f5'").distinct()
-    start = start.unionByName(spark.createDataFrame([("f5",)], "name string")).distinct()
-    return graph.trace_callers(start, e, depth=3, each=3, cap=None)
+    calling = e.select("repo_id", F.col("caller").alias("name"))
+    starts = e.select("repo_id", F.col("callee").alias("name")).distinct().join(calling, ["repo_id", "name"], "left_anti")
+    return graph.trace_callers(starts, e, cap=None)
 
 
 _key = "list_transform(string_split({v}, '.'), lambda x: CAST(x AS INT))"
@@ -461,8 +480,8 @@ def list_repos(spark, root):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | registry_more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | registry_more.SQL

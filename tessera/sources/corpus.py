@@ -4,60 +4,103 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import sarif_level, security_severity
 from tessera.operators.findings import sarif_results, sarif_rules
 from tessera.operators.text import with_file_stats, with_language
+from tessera.plans.scratch import materialize
 
 #: Directories that are not read, and the largest file in bytes.
 SKIPPED_DIRS = (".git", "node_modules", "target", "dist", "build", "vendor", ".venv", "venv", "__pycache__", ".tox", ".next", ".idea", ".vscode", "coverage", "out")
 MOST_BYTES = 1_048_576
 
 
+def _skipped(path: Column) -> Column:
+    """Files in skipped directories, and hidden ones."""
+    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
+    return path.rlike(rf"(?:^|/)(?:{skipped})/") | path.rlike(r"(?:^|/)\.[^/]*$")
+
+
 def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """Text files below a folder: ``repo_id, file_path, content, byte_size, language``.
 
-    Skipped directories, hidden files, files over ``MOST_BYTES`` and files that aren't UTF-8 are left out. Sizes and paths are
-    tested before contents are read. Spark's listing also leaves out names that begin with an underscore.
+    Skipped directories (which aren't opened), hidden files, files over ``MOST_BYTES`` and files that aren't UTF-8 are left out;
+    names that begin with an underscore, which Spark's own listing drops, are read. ``root`` is an absolute path or a URI
+    that pyarrow opens. Directories are listed level by level, and files read, in tasks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= MOST_BYTES)
-    path = F.regexp_replace("path", r"^[a-z0-9+.-]+:/*(?=/)", "")
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    files = files.withColumn("file_path", F.substring(path, len(base) + 1, 4096))
-    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
-    files = files.filter(~F.col("file_path").rlike(rf"(?:^|/)(?:{skipped})/"))
-    files = files.filter(~F.col("file_path").rlike(r"(?:^|/)\.[^/]*$"))
-    return with_language(
-        files.select(F.lit(repo_id).alias("repo_id"), "file_path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.col("length").cast("int").alias("byte_size")).filter("content IS NOT NULL")
-    )
+    skipped = set(SKIPPED_DIRS)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        for pdf in batches:
+            for folder in pdf["file_path"]:
+                found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base))
+                rows = [(e.path[len(base) :].lstrip("/"), e.base_name, e.type == pafs.FileType.Directory, e.size or 0) for e in found]
+                rows = [(p, d, n) for p, name, d, n in rows if not (name in skipped if d else name.startswith(".") or n > MOST_BYTES)]
+                yield pd.DataFrame(rows, columns=["file_path", "is_dir", "byte_size"])
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for path, size in zip(pdf["file_path"], pdf["byte_size"], strict=True):
+                with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                    data = f.read()
+                try:
+                    yield pd.DataFrame({"file_path": [path], "content": [data.decode()], "byte_size": [size]})
+                except UnicodeDecodeError:
+                    continue
+
+    schema = "file_path string, is_dir boolean, byte_size int"
+    folders, files = spark.createDataFrame([("",)], "file_path string"), None
+    while True:
+        level = materialize(folders.mapInPandas(listed, schema), "corpus-listing")
+        files = level.filter("NOT is_dir") if files is None else files.unionByName(level.filter("NOT is_dir"))
+        folders = level.filter("is_dir").select("file_path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition("file_path")
+    read = files.select("file_path", "byte_size").repartition("file_path").mapInPandas(opened, "file_path string, content string, byte_size int")
+    return with_language(read.select(F.lit(repo_id).alias("repo_id"), "file_path", "content", "byte_size"))
 
 
 def read_zip_corpus(spark: SparkSession, glob: str) -> DataFrame:
-    """Text files of zip archives: ``archive, file_path, content``. Directories and entries whose name leaves the archive are skipped; a single top folder is cut off."""
+    """Text files of zip archives: ``archive, file_path, content``.
+
+    Directories, skipped and hidden ones, and entries whose name leaves the archive are left out; a single top folder is cut off. An archive
+    that can't be read is one row with neither path nor content; an entry that can't is left out.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 rows = []
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for e in z.infolist():
-                        if e.is_dir() or e.filename.startswith("/") or ".." in e.filename.split("/") or "\\" in e.filename or e.file_size > MOST_BYTES:
-                            continue
-                        try:
-                            rows.append((path, e.filename, z.read(e).decode()))
-                        except UnicodeDecodeError:
-                            continue
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        for e in z.infolist():
+                            if e.is_dir() or e.filename.startswith("/") or ".." in e.filename.split("/") or "\\" in e.filename or e.file_size > MOST_BYTES:
+                                continue
+                            try:
+                                rows.append((path, e.filename, z.read(e).decode()))
+                            except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError):
+                                continue
+                except zipfile.BadZipFile:
+                    yield pd.DataFrame([(path, None, None)], columns=["archive", "file_path", "content"])
+                    continue
                 tops = {r[1].split("/")[0] for r in rows}
                 if len(tops) == 1 and all("/" in r[1] for r in rows):
                     rows = [(a, n.split("/", 1)[1], c) for a, n, c in rows]
                 yield pd.DataFrame(rows, columns=["archive", "file_path", "content"])
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unpack, "archive string, file_path string, content string")
+    found = spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unpack, "archive string, file_path string, content string")
+    return found.filter(~F.coalesce(_skipped(F.col("file_path")), F.lit(False)))
 
 
 def write_snapshots(files: DataFrame, path: str) -> None:
@@ -82,9 +125,9 @@ SCANNER = (
 )
 
 
-def read_scanner_json(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """Findings of an external scanner's JSON: severities ERROR, WARNING, INFO are high, medium, low (else medium)."""
-    r = spark.read.schema(SCANNER).option("multiLine", "true").json(path).select(F.explode("results").alias("r")).select("r.*")
+def read_scanner_json(spark: SparkSession, path: str, root: str = "", multi_line: bool = True) -> DataFrame:
+    """Findings of an external scanner's JSON, a document a file (or, with ``multi_line`` off, a line): severities ERROR, WARNING, INFO are high, medium, low (else medium)."""
+    r = spark.read.schema(SCANNER).option("multiLine", multi_line).json(path).select(F.explode("results").alias("r")).select("r.*")
     sev = F.when(F.col("extra.severity") == "ERROR", "high").when(F.col("extra.severity") == "INFO", "low").otherwise("medium")
     conf = F.when(F.upper("extra.metadata.confidence").isin("HIGH", "LOW"), F.lower("extra.metadata.confidence")).otherwise("medium")
     file_path = F.when(F.col("path").startswith(root), F.regexp_replace(F.substr("path", F.lit(len(root) + 1)), "^/+", "")).otherwise(F.col("path"))

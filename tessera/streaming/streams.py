@@ -17,12 +17,12 @@ from tessera.sources.corpus import read_push_events
 #: Types of live events, and those that end a scan.
 EVENT_TYPES = ("stage_update", "finding_added", "progress", "scan_complete", "error")
 TERMINAL = ("scan_complete", "error")
-PAYLOAD = "stage string, status string, severity string, message string, percent int"
+PAYLOAD = "stage:string,status:string,severity:string,message:string,percent:int"
 
 
 def parse_scan_events(stream: DataFrame, json_col: str = "value") -> DataFrame:
     """Typed events ``scan_id, event_id, event_type, created_at, data`` from JSON lines; unknown types are left out."""
-    e = F.from_json(json_col, f"scan_id long, event_id long, event_type string, timestamp timestamp, data struct<{PAYLOAD.replace(' ', ':')}>")
+    e = F.from_json(json_col, f"scan_id long, event_id long, event_type string, timestamp timestamp, data struct<{PAYLOAD}>")
     rows = stream.select(e.alias("e")).select("e.scan_id", "e.event_id", "e.event_type", F.col("e.timestamp").alias("created_at"), "e.data")
     return rows.filter(F.col("event_type").isin(*EVENT_TYPES))
 
@@ -60,22 +60,51 @@ def until_terminal(stream: DataFrame) -> DataFrame:
     return rows.groupBy("scan_id").applyInPandasWithState(run, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def snapshot_then_tail(snapshot: DataFrame, stream: DataFrame, path: str, checkpoint: str, watermark: str = "1 hour"):
-    """Write the snapshot's events, then the stream's without those or repeats: a started query that appends to ``path``."""
-    snapshot.write.mode("append").parquet(path)
-    known = snapshot.select("event_id")
-    fresh = stream.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["event_id"]).join(known, "event_id", "left_anti")
-    return fresh.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").start(path)
+def snapshot_then_tail(snapshot: DataFrame, stream: DataFrame, path: str, checkpoint: str):
+    """A started query that writes the snapshot's events, then the stream's without those or repeats, below ``path``.
+
+    Each batch overwrites a folder of its own (``batch=<number>``, the snapshot ``batch=-1``), so a batch that runs again, or a query that
+    starts again, writes no event twice. An event is known by ``event_id``, however late its repeat comes.
+    """
+    spark = snapshot.sparkSession
+    snapshot.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = spark.read.parquet(path).filter(F.col("batch") != number).select("event_id")
+        batch.dropDuplicates(["event_id"]).join(known, "event_id", "left_anti").select(*snapshot.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def on_change(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
-    """Rows in which some of ``columns`` differ from the row before of the same key (the first row too)."""
+    """Rows in which some of ``columns`` differ from the row before of the same key (the first row too).
+
+    A stream keeps the last values of each key as state; its rows are put in order within a batch.
+    """
+    if df.isStreaming:
+        return _on_change_stream(df, key, columns, order)
     w = Window.partitionBy(key).orderBy(*order)
     now = F.struct(*columns)
     before = F.lag(now).over(w)
     return df.withColumn("__before", before).filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(now)).drop("__before")
 
 
+def _on_change_stream(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(order)
+        said = rows[columns].astype(object).map(lambda v: None if pd.isna(v) else str(v))
+        last, keep = (state.get[0] if state.exists else None), []
+        for now in map(list, said.itertuples(index=False)):
+            keep.append(last is None or list(last) != now)
+            last = now
+        state.update((last,))
+        yield rows[keep]
+
+    return df.groupBy(key).applyInPandasWithState(run, df.schema, "last array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def scan_requests(push: DataFrame, repos: DataFrame) -> DataFrame:
     """Push events joined with the repositories of their remote URL (stream with static table)."""
     known = repos.select("repo_id", normalize_remote_url(F.col("remote_url")).alias("__url")).groupBy("__url").agg(F.min("repo_id").alias("repo_id"))

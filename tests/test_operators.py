@@ -78,8 +78,7 @@ def test_lines_and_excerpts(spark):
 def test_lines_inside_test_code(spark):
     rng = random.Random(2)
     texts = [rng.choice(["#[cfg(test)]", "mod t {", "}", "fn a() {", "#[test]", "x", "{ {", "} }"]) for _ in range(200)]
-    df = spark.createDataFrame([("r", "a.rs", i + 1, t) for i, t in enumerate(texts)], "repo_id string, file_path string, line_no int, line string")
-    got = [r["in_test"] for r in T.is_test_line(df, ["repo_id", "file_path"]).orderBy("line_no").collect()]
+    got = spark.createDataFrame([(texts,)], "x array<string>").select(T.in_test_code(F.col("x")).alias("t")).first()["t"]
     for i in range(200):
         start = [j for j in range(max(0, i - 30), i + 1) if texts[j] == "#[cfg(test)]"]
         open_ = start and sum(t.count("{") - t.count("}") for t in texts[start[-1] : i + 1]) > 0
@@ -212,15 +211,19 @@ def test_state_changes(spark):
 
 def test_sources(spark, tmp_path):
     root = tmp_path / "repo"
-    for name, data in {"a/x.py": b"print(1)\n", "node_modules/y.js": b"1", ".env": b"K=1", "b.bin": b"\xff\xfe", "big.txt": b"x" * (1 << 20) + b"y"}.items():
+    for name, data in {"a/x.py": b"print(1)\n", "a/__init__.py": b"", "_util.py": b"u = 1", "build/z.py": b"1", "a/b/c/d.go": b"package d", "node_modules/y.js": b"1", ".env": b"K=1", "b.bin": b"\xff\xfe", "big.txt": b"x" * (1 << 20) + b"y"}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
-    got = corpus.read_corpus(spark, str(root), "r").collect()
-    assert [(r["file_path"], r["language"], r["content"]) for r in got] == [("a/x.py", "python", "print(1)\n")]
+    for where in (str(root), f"file://{root}/"):
+        got = corpus.read_corpus(spark, where, "r").collect()
+        assert sorted((r["file_path"], r["language"], r["content"]) for r in got) == [("_util.py", "python", "u = 1"), ("a/__init__.py", "python", ""), ("a/b/c/d.go", "go", "package d"), ("a/x.py", "python", "print(1)\n")]
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("top/a.txt", "1")
         z.writestr("top/d/b.txt", "2")
-    assert sorted(r["file_path"] for r in corpus.read_zip_corpus(spark, str(tmp_path / "*.zip")).collect()) == ["a.txt", "d/b.txt"]
+        z.writestr("top/node_modules/c.js", "3")
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    assert sorted((r["archive"].rsplit("/", 1)[1], r["file_path"]) for r in corpus.read_zip_corpus(spark, str(tmp_path / "*.zip")).collect() if r["file_path"]) == [("z.zip", "a.txt"), ("z.zip", "d/b.txt")]
+    assert [r["archive"].rsplit("/", 1)[1] for r in corpus.read_zip_corpus(spark, str(tmp_path / "*.zip")).filter("file_path IS NULL").collect()] == ["broken.zip"]
     (tmp_path / "s.json").write_text(json.dumps({"results": [{"check_id": "c", "path": "/w/a.py", "start": {"line": 3}, "end": {"line": 4}, "extra": {"message": "m", "severity": "ERROR", "lines": "x", "metadata": {"confidence": "HIGH", "cwe": ["CWE-89: x"]}}}]}))
     r = corpus.read_scanner_json(spark, str(tmp_path / "s.json"), "/w").first()
     assert (r["file_path"], r["severity"], r["confidence"], r["cwe_id"], r["title"], r["fix"]) == ("a.py", "high", "high", "CWE-89", "[semgrep:c] m", "m")
@@ -263,3 +266,55 @@ def test_events_end_with_the_first_terminal_one(spark, tmp_path):
             if r[2] == "error":
                 break
     assert {r["event_id"] for r in ended} == want
+
+
+def test_repeated_and_pathless_files_have_findings_of_their_own(spark):
+    body = "x\npickle.loads(data)\ny"
+    df = spark.createDataFrame([("r", "a.py", "python", body), ("r", "a.py", "python", body), (None, "b.py", "python", body), ("r", None, "python", body)], FILES)
+    got = detect.scan_code_rules(df).collect()
+    assert len(got) == 4 and {r["snippet"] for r in got} == {body}
+    plan = detect.scan_code_rules(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_call_chains_stay_in_their_repository(spark):
+    edges = spark.createDataFrame([("a", "main", "helper"), ("b", "helper", "exec_sql"), ("b", "main", "helper"), (None, "main", "open_it")], "repo_id string, caller string, callee string")
+    entries = spark.createDataFrame([("a", "main"), ("b", "main"), (None, "main")], "repo_id string, name string")
+    assert {(r["repo_id"], r["path"]) for r in graph.risk_chains(entries, edges).collect()} == {("b", "main > helper > exec_sql"), (None, "main > open_it")}
+    starts = spark.createDataFrame([("a", "exec_sql"), ("b", "exec_sql")], "repo_id string, name string")
+    assert {(r["repo_id"], r["depth"], r["caller"]) for r in graph.trace_callers(starts, edges).collect()} == {("b", 1, "helper"), ("b", 2, "main")}
+    assert {(r["repo_id"], r["name"], r["callers"], r["callees"]) for r in graph.call_degree(edges).filter("name = 'helper'").collect()} == {("a", "helper", 1, 0), ("b", "helper", 1, 1)}
+    assert {(r["repo_id"], r["callers"]) for r in graph.callers_summary(edges).filter("callee = 'helper'").collect()} == {("a", "main"), ("b", "main")}
+
+
+def test_search_takes_what_is_no_expression_as_text(spark):
+    df = files_of(spark, {"a.py": ("python", "f(x\nf[x")})
+    assert [r["line_no"] for r in graph.search(df, "f(x").collect()] == [1] and [r["line_no"] for r in graph.search(df, "f[x").collect()] == [2]
+
+
+def _stream(spark, path, rows, schema):
+    df = spark.createDataFrame(rows, schema)
+    df.repartition(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_snapshot_and_tail_survive_a_restart(spark, tmp_path):
+    schema = "scan_id long, event_id long, created_at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    snap = spark.createDataFrame([(1, 1, at)], schema)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for rows in ([(1, 1, at), (1, 2, at), (1, 2, at)], [(1, 3, at), (1, 2, at - datetime.timedelta(days=9))]):
+        streams.snapshot_then_tail(snap, _stream(spark, tmp_path / "in", rows, schema), out, ck).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_changes_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    rng = random.Random(8)
+    at = lambda m: datetime.datetime(2024, 1, 1, m // 60, m % 60)
+    rows = [(rng.randint(0, 3), m, rng.choice(["hunt", "ingest"]), rng.choice(["running", None]), at(m)) for m in range(120)]
+    schema = "scan_id long, event_id long, stage string, status string, created_at timestamp"
+    for k in range(0, 120, 40):
+        stream = _stream(spark, tmp_path / "in", rows[k : k + 40], schema)
+    args = "scan_id", ["stage", "status"], ["created_at", "event_id"]
+    got = streams.drained(streams.on_change(stream, *args), spark, str(tmp_path / "c"), "changes", "append").collect()
+    assert sorted(r["event_id"] for r in got) == sorted(r["event_id"] for r in streams.on_change(spark.createDataFrame(rows, schema), *args).collect())
