@@ -24,9 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    """A path, not used before, in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    """A path, not used before, in the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written between steps. Results that haven't been written elsewhere can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import os
 import random
 import zipfile
 from collections import Counter
@@ -318,3 +319,14 @@ def test_changes_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     args = "scan_id", ["stage", "status"], ["created_at", "event_id"]
     got = streams.drained(streams.on_change(stream, *args), spark, str(tmp_path / "c"), "changes", "append").collect()
     assert sorted(r["event_id"] for r in got) == sorted(r["event_id"] for r in streams.on_change(spark.createDataFrame(rows, schema), *args).collect())
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from tessera.plans import scratch
+
+    kept = scratch.materialize(spark.range(5).toDF("x"), "clear")
+    path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(path)
+    scratch.clear(spark)
+    assert not os.path.exists(path)
+    assert scratch.materialize(spark.range(3).toDF("x"), "clear").count() == 3
