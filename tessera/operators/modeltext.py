@@ -99,6 +99,10 @@ PARTS = {
     "surfaces": ("surfaces", "attack_surfaces", "security_concerns"),
     "data_flows": ("data_flows", "dataflows", "sensitive_data_flows"),
     "boundaries": ("boundaries", "trust_boundaries"),
+    "assumptions": ("assumptions", "model_assumptions"),
+    "mitigations": ("mitigations", "countermeasures", "actions", "remediations"),
+    "validation_plan": ("validation_plan", "validation", "verification"),
+    "assurance_claims": ("assurance_claims", "assurance", "security_claims"),
 }
 #: Keys of each field of an item.
 FIELDS = {
@@ -112,7 +116,58 @@ FIELDS = {
     },
     "data_flows": {"source": ("source", "from", "origin"), "sink": ("sink", "to", "target"), "sensitive_data": ("sensitive_data", "data", "data_type", "kind"), "description": ("description", "detail"), "name": ("name", "title")},
     "boundaries": {"from_zone": ("from_zone", "source", "from", "origin", "trust_from"), "to_zone": ("to_zone", "sink", "to", "target", "trust_to"), "description": ("description", "detail"), "name": ("name", "title", "boundary")},
+    "assumptions": {
+        "statement": ("statement", "assumption", "name", "title"), "why_it_matters": ("why_it_matters", "impact", "risk"),
+        "how_to_validate": ("how_to_validate", "validation", "verification"), "stale_if": ("stale_if", "review_when", "trigger"),
+    },
+    "mitigations": {
+        "threat": ("threat", "threat_name", "risk"), "action": ("action", "mitigation", "countermeasure", "recommendation"), "risk_treatment": ("risk_treatment", "treatment", "decision"),
+        "status": ("status", "state"), "validation": ("validation", "how_to_validate", "verification"), "owner": ("owner", "team", "component"),
+    },
+    "validation_plan": {
+        "target": ("target", "threat", "mitigation", "assumption"), "method": ("method", "test", "check", "validation"), "expected_evidence": ("expected_evidence", "evidence", "proof"),
+        "automation": ("automation", "automated_by", "tool"), "status": ("status", "state"),
+    },
+    "assurance_claims": {"claim": ("claim", "statement", "title"), "confidence": ("confidence", "level")},
+}
+#: Keys of fields that are lists of strings.
+LISTS = {
+    "threats": {"evidence": ("evidence", "references", "files")},
+    "assumptions": {"evidence": ("evidence", "references", "files")},
+    "assurance_claims": {"evidence": ("evidence", "supporting_evidence"), "gaps": ("gaps", "missing_evidence", "open_questions")},
+    "scope": {
+        "in_scope": ("in_scope", "included", "components"), "out_of_scope": ("out_of_scope", "excluded", "limits"),
+        "assets": ("assets", "protected_assets", "sensitive_assets"), "entry_points": ("entry_points", "entrypoints", "inputs"),
+    },
+}
+#: Fields that an item which is a bare string fills, where these are not its name and description.
+SAID = {"assumptions": ("statement",), "mitigations": ("action",), "validation_plan": ("target", "method"), "assurance_claims": ("claim",)}
+#: What a field says where the model says nothing.
+DEFAULTS = {
+    "assumptions": {
+        "statement": "Unspecified assumption", "why_it_matters": "Assumption affects the threat model's accuracy.",
+        "how_to_validate": "Review implementation and runtime configuration.", "stale_if": "Architecture, infrastructure, or authentication behavior changes.",
+    },
+    "mitigations": {"threat": "Unspecified threat", "action": "Define a concrete mitigation.", "validation": "Verify the mitigation through code review or security testing."},
+    "validation_plan": {
+        "target": "Unspecified validation target", "method": "Manual security review", "expected_evidence": "Evidence that the target was checked successfully.", "automation": "manual",
+    },
+    "assurance_claims": {"claim": "Unspecified assurance claim"},
+}
+#: Keys and defaults of a model's head.
+HEAD = {
+    "summary": ("summary", "overview", "description", "analysis_summary"), "scope": ("scope", "subject", "system_scope"),
+    "subject": ("subject", "name", "application", "repo"), "system_type": ("system_type", "type", "architecture"),
+}
+NO_SUMMARY, NO_SUBJECT = "Threat model synthesized from non-standard provider output.", "Modeled system"
+#: Keys of a threat's mappings to attack techniques, and of a mapping's fields.
+ATTACK_KEYS = ("mitre_attack", "mitre", "attack_mappings", "attck", "attack")
+ATTACK = {
+    "tactic": ("tactic", "attack_tactic", "phase"), "technique_id": ("technique_id", "id", "attack_id", "mitre_id"), "technique": ("technique", "name", "attack_technique"),
+    "confidence": ("confidence", "mapping_confidence"), "rationale": ("rationale", "reason", "evidence"),
 }
+#: Names of an item's status; others are proposed.
+STATUSES = {"existing": ("existing", "implemented", "present"), "missing": ("missing", "absent"), "needs_validation": ("needs_validation", "needs validation", "unverified")}
 STRIDE_KEYS = ("stride", "stride_categories", "categories")
 #: Category, its letter and other names, and parts of words that tell it.
 STRIDE = (
@@ -129,13 +184,26 @@ def risk_level(c: Column) -> Column:
     return F.when(low.contains("critical"), "critical").when(low.contains("high"), "high").when(low == "medium", "medium").when(low.contains("low"), "low").otherwise("medium")
 
 
-def treatment(c: Column) -> Column:
-    low, out = F.translate(F.lower(F.trim(c)), "-", "_"), F.lit("mitigate")
-    for name, words in TREATMENTS.items():
+def _named(c: Column, names: dict[str, tuple[str, ...]], other: str) -> Column:
+    low, out = F.translate(F.lower(F.trim(c)), "-", "_"), F.lit(other)
+    for name, words in names.items():
         out = F.when(low.isin(*words), name).otherwise(out)
     return out
 
 
+def treatment(c: Column) -> Column:
+    return _named(c, TREATMENTS, "mitigate")
+
+
+def item_status(c: Column) -> Column:
+    return _named(c, STATUSES, "proposed")
+
+
+def confidence_level(c: Column) -> Column:
+    """``high`` and ``low`` as they are; all else is ``medium``."""
+    return _named(c, {"high": ("high",), "low": ("low",)}, "medium")
+
+
 def stride(values: Column) -> Column:
     """STRIDE categories of an array of names, letters or phrases, each once, in order; others are left out."""
 
@@ -152,13 +220,73 @@ def stride(values: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(values, one)))
 
 
+def _holds(c: Column, *brackets: str) -> Column:
+    """Whether trimmed raw JSON is an object or a list, by its opening brackets."""
+    opens = F.lit(False)
+    for b in brackets:
+        opens = opens | c.startswith(b)
+    return opens & F.try_parse_json(c).isNotNull()
+
+
+def _strings(c: Column) -> Column:
+    """The strings in a value: those of a list, or the value itself; no objects, nulls and blanks."""
+    listed = F.transform(F.when(_holds(c, "["), F.from_json(c, "array<string>")).otherwise(F.array(c)), lambda v: F.trim(v))
+    return F.filter(listed, lambda v: v.isNotNull() & (v != "") & ~_holds(v, "[", "{"))
+
+
 def _first(table: Column, keys: tuple[str, ...]) -> Column:
-    """The first of ``keys`` that has a scalar, not empty, in a map of raw JSON."""
-    return F.coalesce(*[F.when(~F.trim(table[k]).rlike(r"^[\[{]") & (F.trim(table[k]) != ""), F.trim(table[k])) for k in keys])
+    """The first of ``keys`` that says something in a map of raw JSON: a scalar, or the scalars of a list with commas between them."""
+
+    def said(v: Column) -> Column:
+        bracket = v.startswith("[") | v.startswith("{")
+        return F.nullif(F.when(~bracket, v).when(bracket, F.array_join(_strings(v), ", ")), F.lit(""))
+
+    return F.coalesce(*[said(F.trim(table[k])) for k in keys])
+
+
+def _list(table: Column, keys: tuple[str, ...]) -> Column:
+    """The strings under the first of ``keys`` that is there at all; an empty list without one."""
+    found = F.coalesce(*[F.when(F.map_contains_key(table, F.lit(k)), _strings(table[k])) for k in keys])
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _attack(table: Column) -> Column:
+    """Mappings to attack techniques: a list, or one; a bare string is a tactic."""
+    raw = lambda c: F.when(_holds(c, "["), F.from_json(c, "array<string>")).when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
+    found = F.coalesce(*[F.when(F.map_contains_key(table, F.lit(k)), raw(table[k])) for k in ATTACK_KEYS], F.array().cast("array<string>"))
+
+    def one(item: Column) -> Column:
+        said = F.when(~_holds(item, "{"), F.trim(item))
+        o = F.when(said.isNull(), F.from_json(item, "map<string,string>"))
+        got = {f: _first(o, keys) for f, keys in ATTACK.items()}
+        got["tactic"] = F.coalesce(said, got["tactic"], F.lit("unknown"))
+        got["confidence"] = F.when(said.isNotNull(), "low").otherwise(confidence_level(got["confidence"]))
+        got["rationale"] = F.when(said.isNotNull(), "Mapping provided without structured detail.").otherwise(F.coalesce(got["rationale"], F.lit("Mapping was present in provider output.")))
+        return F.struct(*[c.alias(f) for f, c in got.items()])
+
+    return F.transform(F.array_compact(found), one)
+
+
+def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "model") -> DataFrame:
+    """One row for each threat model that is a JSON object: the id, ``summary``, and its scope: ``subject``, ``system_type`` and lists of strings.
+
+    A scope that is a string is its subject. Without a scope, subject and type are null and the lists are empty.
+    """
+    whole = F.from_json(extract_json(F.col(json_col)), "map<string,string>")
+    rows = models.select(id_col, F.explode(F.array_compact(F.array(whole))).alias("m"))  # a filter would parse each text twice
+    rows = rows.withColumn("raw", F.coalesce(*[F.col("m")[k] for k in HEAD["scope"]]))
+    rows = rows.withColumn("o", F.when(_holds(F.col("raw"), "{"), F.from_json("raw", "map<string,string>")))
+    o, said = F.col("o"), F.when(F.col("o").isNull(), F.trim("raw"))
+    there = F.col("raw").isNotNull()
+    return rows.select(
+        id_col, F.coalesce(_first(F.col("m"), HEAD["summary"]), F.lit(NO_SUMMARY)).alias("summary"),
+        F.when(there, F.coalesce(said, _first(o, HEAD["subject"]), F.lit(NO_SUBJECT))).alias("subject"), F.when(there, F.coalesce(_first(o, HEAD["system_type"]), F.lit("unknown"))).alias("system_type"),
+        *[_list(o, keys).alias(f) for f, keys in LISTS["scope"].items()],
+    )
 
 
 def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col: str = "model") -> DataFrame:
-    """One row for each item of a ``part`` of threat models: the id, ``position`` from 1, and the part's fields (and ``stride`` of threats).
+    """One row for each item of a ``part`` of threat models: the id, ``position`` from 1, and the part's fields (of threats also ``stride`` and ``mitre_attack``).
 
     The first key of ``PARTS`` that holds an array counts. An item that is a string is its own name and description. Missing fields get
     the defaults; levels, treatments and categories are brought to known values. Text that is no JSON object gives no rows.
@@ -170,7 +298,11 @@ def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col
     rows = rows.filter("item IS NOT NULL").select(id_col, (F.col("k") + 1).alias("position"), F.when(~is_object, F.trim("item")).alias("said"), F.when(is_object, F.from_json("item", "map<string,string>")).alias("o"))
     got = {f: _first(F.col("o"), keys) for f, keys in FIELDS[part].items()}
     said = F.col("said")
-    if part in ("data_flows", "boundaries"):
+    if part in SAID:
+        for f in SAID[part]:
+            got[f] = F.coalesce(said, got[f])
+        got |= {f: F.coalesce(got[f], F.lit(text)) for f, text in DEFAULTS[part].items()}
+    elif part in ("data_flows", "boundaries"):
         ends = ("source", "sink") if part == "data_flows" else ("from_zone", "to_zone")
         for e in ends:
             got[e] = F.coalesce(got[e], F.lit("unknown"))
@@ -181,17 +313,20 @@ def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col
     if part == "data_flows":
         got["sensitive_data"] = F.coalesce(got["sensitive_data"], F.lit("unknown"))
         got["name"] = F.coalesce(said, got["name"], F.when(got["sensitive_data"] != "unknown", got["sensitive_data"]), got["description"])
-    else:
+    elif "name" in got:
         got["name"] = F.coalesce(said, got["name"], got["description"])
     for f in ("likelihood", "impact", "risk_level"):
         if f in got:
             got[f] = risk_level(got[f])
     if "line" in got:
         got["line"] = got["line"].try_cast("int")
+    for f, known in (("risk_treatment", treatment), ("status", item_status), ("confidence", confidence_level)):
+        if f in got:
+            got[f] = known(got[f])
+    got |= {f: _list(F.col("o"), keys) for f, keys in LISTS.get(part, {}).items()}
     if part == "threats":
-        got["risk_treatment"] = treatment(got["risk_treatment"])
-        listed = F.coalesce(*[F.col("o")[k] for k in STRIDE_KEYS])
-        got["stride"] = F.coalesce(stride(F.when(listed.startswith("["), F.from_json(listed, "array<string>")).otherwise(F.array(listed))), F.array().cast("array<string>"))
+        got["stride"] = stride(_list(F.col("o"), STRIDE_KEYS))
+        got["mitre_attack"] = _attack(F.col("o"))
     return rows.select(id_col, "position", *[c.alias(f) for f, c in got.items()])
 
 

@@ -357,6 +357,52 @@ def threat_items(spark, root):
     return got.select("model_id", "position", "name", "risk_level", "risk_treatment", F.array_join("stride", ",").alias("stride"))
 
 
+def _plans(spark, root) -> DataFrame:
+    """A model for each finding: a head, an assumption, two mitigations, a check and a claim, under keys that vary with its line."""
+    f = fx(spark, root, "findings")
+    odd = F.col("line_start") % 2 == 1
+    state = F.when(F.col("line_start") % 3 == 0, "Implemented").when(F.col("line_start") % 3 == 1, "needs-validation").otherwise("odd")
+    one = lambda **kv: F.struct(*[v.alias(k) for k, v in kv.items()])
+    rest = F.to_json(one(
+        overview=F.col("title"), scope=one(repo=F.col("repo_id"), included=F.array("file_path", F.lit("all"))), model_assumptions=F.array(one(title=F.col("title"), risk=F.col("severity"))),
+        validation=F.array(one(threat=F.col("title"), tool=F.lit("ci"), state=state)), assurance=F.array(one(statement=F.col("cwe_id"), level=F.col("severity"), gaps=F.array("file_path"))),
+    ))
+    acts = F.to_json(F.array(one(risk=F.col("title"), recommendation=F.concat(F.lit("fix "), "file_path"), decision=F.lit("Watch"), status=state)))
+    key = F.when(odd, "countermeasures").otherwise("actions")
+    model = F.concat(F.lit('{"'), key, F.lit('": ["review", '), F.expr("substr(acts, 2)"), F.lit(", "), F.expr("substr(rest, 2)"))
+    return f.select("*", rest.alias("rest"), acts.alias("acts")).select(F.col("finding_id").alias("model_id"), model.alias("model"))
+
+
+STATE_SQL = "CASE line_start % 3 WHEN 0 THEN 'existing' WHEN 1 THEN 'needs_validation' ELSE 'proposed' END"
+
+
+@query("model_heads", "findings", "SELECT finding_id AS model_id, title AS summary, CAST(repo_id AS VARCHAR) AS subject, 'unknown' AS system_type, file_path || ',all' AS in_scope, 0 AS others FROM fx_findings")
+def model_heads(spark, root):
+    got = modeltext.model_heads(_plans(spark, root))
+    return got.select("model_id", "summary", "subject", "system_type", F.array_join("in_scope", ",").alias("in_scope"), (F.size("out_of_scope") + F.size("assets") + F.size("entry_points")).alias("others"))
+
+
+@query(
+    "model_mitigations", "findings",
+    f"""SELECT finding_id AS model_id, 1 AS position, 'Unspecified threat' AS threat, 'review' AS action, 'mitigate' AS risk_treatment, 'proposed' AS status FROM fx_findings
+UNION ALL SELECT finding_id, 2, title, 'fix ' || file_path, 'monitor', {STATE_SQL} FROM fx_findings""",
+)
+def model_mitigations(spark, root):
+    return modeltext.model_items(_plans(spark, root), "mitigations").select("model_id", "position", "threat", "action", "risk_treatment", "status")
+
+
+@query(
+    "model_checks", "findings",
+    f"""SELECT finding_id AS model_id, title AS statement, severity AS why_it_matters, title AS target, 'Manual security review' AS method, {STATE_SQL} AS status, cwe_id AS claim,
+  CASE WHEN severity IN ('high', 'low') THEN severity ELSE 'medium' END AS confidence, file_path AS gaps FROM fx_findings""",
+)
+def model_checks(spark, root):
+    models = _plans(spark, root)
+    parts = [modeltext.model_items(models, p) for p in ("assumptions", "validation_plan", "assurance_claims")]
+    a, v, c = parts[0].select("model_id", "statement", "why_it_matters"), parts[1].select("model_id", "target", "method", "status"), parts[2].select("model_id", "claim", "confidence", F.array_join("gaps", ",").alias("gaps"))
+    return a.join(v, "model_id").join(c, "model_id")
+
+
 @query("ground_surfaces", "findings", "SELECT finding_id AS model_id, file_path AS file FROM fx_findings WHERE line_start % 20 = 0")
 def ground_surfaces(spark, root):
     models = _models(spark, root)

@@ -51,6 +51,26 @@ def test_threat_models_get_one_shape(spark):
     assert [(r["name"], r["from_zone"]) for r in M.model_items(models, "boundaries").collect()] == [("web -> core", "web")]
 
 
+def test_other_parts_of_threat_models(spark):
+    text = """{"overview": ["pays", 2, {"no": 1}, " "], "system_scope": {"application": "shop", "included": ["web", null, " api "], "excluded": "mail", "assets": null, "inputs": {"a": 1}},
+      "assumptions": [" tls ", {"title": ["a", "b"], "impact": "", "risk": "leak", "files": ["x.py", 3]}], "countermeasures": ["rotate", {"risk": "theft", "recommendation": "mask", "treatment": "Watch", "state": "Implemented", "team": "core"}],
+      "verification": [{"threat": "theft", "test": "fuzz", "tool": "ci", "status": "needs-validation"}, "scan"], "security_claims": [{"statement": "sealed", "level": "LOW", "supporting_evidence": "audit", "open_questions": []}, {}],
+      "threats": [{"title": "t", "references": "a.py", "mitre": [{"phase": "access", "id": "T1", "confidence": "High"}, "impact"]}, {"title": "u", "attck": "[odd", "mitre": null}, {"title": "v", "attack": {"name": "n"}}]}"""
+    models = spark.createDataFrame([(1, text), (2, '{"scope": " all "}'), (3, '{"scope": null}'), (4, "none"), (5, None)], "model_id int, model string")
+    heads = [tuple(r) for r in M.model_heads(models).orderBy("model_id").collect()]
+    assert heads == [(1, "pays, 2", "shop", "unknown", ["web", "api"], ["mail"], [], []), (2, M.NO_SUMMARY, "all", "unknown", [], [], [], []), (3, M.NO_SUMMARY, None, None, [], [], [], [])]
+    items = lambda part: [r.asDict(recursive=True) for r in M.model_items(models, part).orderBy("position").collect()]
+    first, second = items("assumptions")
+    assert (first["statement"], first["why_it_matters"], first["evidence"]) == ("tls", M.DEFAULTS["assumptions"]["why_it_matters"], [])
+    assert (second["statement"], second["why_it_matters"], second["evidence"]) == ("a, b", "leak", ["x.py", "3"])
+    assert [(r["threat"], r["action"], r["risk_treatment"], r["status"], r["owner"]) for r in items("mitigations")] == [("Unspecified threat", "rotate", "mitigate", "proposed", None), ("theft", "mask", "monitor", "existing", "core")]
+    assert [(r["target"], r["method"], r["automation"], r["status"]) for r in items("validation_plan")] == [("theft", "fuzz", "ci", "needs_validation"), ("scan", "scan", "manual", "proposed")]
+    assert [(r["claim"], r["confidence"], r["evidence"], r["gaps"]) for r in items("assurance_claims")] == [("sealed", "low", ["audit"], []), ("Unspecified assurance claim", "medium", [], [])]
+    t, u, v = items("threats")
+    assert t["evidence"] == ["a.py"] and [(a["tactic"], a["technique_id"], a["confidence"]) for a in t["mitre_attack"]] == [("access", "T1", "high"), ("impact", None, "low")]
+    assert u["mitre_attack"] == [] and [(a["tactic"], a["technique"], a["confidence"]) for a in v["mitre_attack"]] == [("unknown", "n", "medium")]
+
+
 def test_threat_models_are_grounded(spark):
     files = spark.createDataFrame([("r", "src/auth/login.py"), ("r", "run"), ("q", "src/pay.py")], "repo_id string, file_path string")
     names = ["src/auth/login.py", "./login.py", "/src/auth/login.py", "ogin.py", "n", "pay.py", "src/login.py", None, ""]
