@@ -15,6 +15,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import HOST, line_dedup
 from tessera.llm.mixture import mix
 from tessera.llm.quality import rate_quality
+from tessera.llm.simhash import simhash_classes
 from tessera.llm.token_table import read_token_table, write_token_table
 from tessera.llm.toxicity import score_toxicity
 from tessera.plans.scratch import materialize
@@ -165,6 +166,10 @@ def op10_mixture(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "tokens", "domain", F.round("posterior", 6).alias("posterior"), F.round("rate", 6).alias("rate"), "copies")
 
 
+def op11_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return simhash_classes(table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -177,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quality": op9_quality,
         "op10_mixture": op10_mixture,
+        "op11_simhash": op11_simhash,
     }
 
 
