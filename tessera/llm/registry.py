@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat_format import END, ESCAPE, START, format_chat, read_loss, read_turns, text_part
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.fim import MIDDLE, PREFIX, SUFFIX, fill_in_middle, restored
 from tessera.llm.jaccard_join import similarity_classes
 from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import HOST, line_dedup
@@ -170,6 +171,31 @@ def op11_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash_classes(table(spark, root, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, root: str) -> DataFrame:
+    found = fill_in_middle(table(spark, root, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s
+  FROM documents),
+h AS (
+  SELECT doc_id, text, l, len(l) AS n, CAST('0x' || s[1:8] AS BIGINT) % (len(l) + 1) AS a, CAST('0x' || s[9:16] AS BIGINT) % (len(l) + 1) AS b,
+    CAST('0x' || s[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || s[25:32] AS BIGINT) % 100 AS h4 FROM t),
+f AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') OR h3 >= 100 THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    coalesce(array_to_string(l[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(l[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+    coalesce(array_to_string(l[greatest(a, b) + 1:], ''), '') AS x FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{PREFIX}' || p || '{SUFFIX}' || x || '{MIDDLE}' || m ELSE '{SUFFIX}' || x || '{PREFIX}' || p || '{MIDDLE}' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -183,8 +209,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_mixture": op10_mixture,
         "op11_simhash": op11_simhash,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op12_fill_in_middle": OP12_SQL}
