@@ -16,6 +16,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.line_dedup import HOST, line_dedup
 from tessera.llm.mixture import mix
 from tessera.llm.quality import rate_quality
+from tessera.llm.resample import resample
 from tessera.llm.simhash import simhash_classes
 from tessera.llm.token_table import read_token_table, write_token_table
 from tessera.llm.toxicity import score_toxicity
@@ -196,6 +197,10 @@ FROM f
 """
 
 
+def op13_resample(spark: SparkSession, root: str) -> DataFrame:
+    return resample(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -210,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixture": op10_mixture,
         "op11_simhash": op11_simhash,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_resample": op13_resample,
     }
 
 
