@@ -419,14 +419,13 @@ def ground_flows(spark, root):
     return modeltext.ground_flows(flows, f.select("repo_id", "file_path")).select("finding_id")
 
 
-def streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, parts: int = 4) -> DataFrame:
-    """``rows``, landed as files, run through ``build`` as a stream until all are read; the sink's rows from the shared folder.
+def _drain(spark: SparkSession, landed: str, schema, build: Callable[[DataFrame], DataFrame], mode: str, files: int):
+    """The files of ``landed`` through ``build`` as a stream until all are read: the finished query and the sink's rows from the shared folder.
 
     Each batch of the sink has a folder of its own. In complete mode the last batch counts, in append mode all.
     """
-    landed, out, checkpoint = (new_dir(spark, x) for x in ("landing", "sink", "stream-checkpoint"))
-    rows.repartition(parts).write.parquet(landed)
-    result = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, parts // 2)).parquet(landed))
+    out, checkpoint = (new_dir(spark, x) for x in ("sink", "stream-checkpoint"))
+    result = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landed))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -436,7 +435,34 @@ def streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame],
     found = spark.read.parquet(out)
     if mode == "complete":
         found = found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0])
-    return found.drop("batch")
+    return q, found.drop("batch")
+
+
+def streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, parts: int = 4) -> DataFrame:
+    """``rows``, landed as files, run through ``build`` as a stream."""
+    landed = new_dir(spark, "landing")
+    rows.repartition(parts).write.parquet(landed)
+    return _drain(spark, landed, rows.schema, build, mode, max(1, parts // 2))[1]
+
+
+def streamed_in_order(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame, str], DataFrame], parts: int = 8, late: bool = False):
+    """``rows``, landed in order of time but for up to a sixteenth of their time span, run through ``build(stream, delay)``; query and rows.
+
+    Then come, with ``late``, the rows of the first quarter again, and a row far ahead, with which the watermark passes all others.
+    """
+    landed, at = new_dir(spark, "landing"), F.unix_seconds("created_at")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    span = high - low + 16
+    moved = at + F.pmod(F.xxhash64("event_id"), F.lit(span // 16))
+    part = F.least(F.lit(parts - 1), F.floor((moved - low) * parts / (span + span // 16)))
+    for k in range(parts):
+        rows.filter(part == k).repartition(2).write.mode("append").parquet(landed)
+    if late:
+        rows.filter(at < low + span // 4).repartition(2).write.mode("append").parquet(landed)
+    ahead = F.expr("timestamp'2100-01-01'")
+    end = spark.range(1).select(*[(ahead if c == "created_at" else F.lit(-1) if c in ("scan_id", "event_id") else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    end.write.mode("append").parquet(landed)
+    return _drain(spark, landed, rows.schema, lambda s: build(s, f"{span // 4} seconds"), "append", 2)
 
 
 COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in C.SEVERITIES)
@@ -468,16 +494,40 @@ def stream_session_rates(spark, root):
     return found.select("scan_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 
+CHANGES = "scan_id", ["stage", "status"], ["created_at", "event_id"]
+
+
 @query("stream_on_change", "events", "SELECT scan_id, event_id FROM (SELECT *, lag(stage) OVER w AS a, lag(status) OVER w AS b, row_number() OVER w AS k FROM fx_events WINDOW w AS (PARTITION BY scan_id ORDER BY created_at, event_id)) WHERE k = 1 OR a IS DISTINCT FROM stage OR b IS DISTINCT FROM status")
 def stream_on_change(spark, root):
-    """All events in one batch, since only inside a batch a stream has an order."""
-    return streamed(spark, _events(spark, root), lambda s: streams.on_change(s, "scan_id", ["stage", "status"], ["created_at", "event_id"]), "append", parts=1).select("scan_id", "event_id")
+    return streamed_in_order(spark, _events(spark, root), lambda s, delay: streams.on_change(s, *CHANGES, delay=delay))[1].select("scan_id", "event_id")
 
 
 @query("stream_until_terminal", "events", "WITH t AS (SELECT *, CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS ends FROM fx_events) SELECT scan_id, event_id FROM t QUALIFY coalesce(sum(ends) OVER (PARTITION BY scan_id ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0")
 def stream_until_terminal(spark, root):
     rows = _events(spark, root).select("scan_id", "event_id", F.when(F.col("status") == "failed", "error").otherwise("progress").alias("event_type"), "created_at")
-    return streamed(spark, rows, streams.until_terminal, "append", parts=1).select("scan_id", "event_id")
+    return streamed_in_order(spark, rows, lambda s, delay: streams.until_terminal(s, delay, keep=None))[1].select("scan_id", "event_id")
+
+
+@query("stream_late_rows", "events", "WITH s AS (SELECT epoch(date_trunc('second', created_at)) AS t, min(epoch(date_trunc('second', created_at))) OVER () AS low, max(epoch(date_trunc('second', created_at))) OVER () AS high FROM fx_events) SELECT count(*) AS dropped FROM s WHERE t < low + (high - low + 16) // 4")
+def stream_late_rows(spark, root):
+    """The rows of the first quarter come again after all others: all of them are dropped behind the watermark, and no others."""
+    q, _ = streamed_in_order(spark, _events(spark, root), lambda s, delay: streams.on_change(s, *CHANGES, delay=delay), late=True)
+    return spark.range(1).select(F.lit(streams.late_rows(q)).cast("long").alias("dropped"))
+
+
+@query("stream_rates_late", "events", "SELECT CAST(date_trunc('hour', created_at) AS VARCHAR) AS window_start, stage, count(*) AS n FROM fx_events GROUP BY 1, 2")
+def stream_rates_late(spark, root):
+    """Windows close at the watermark; rows that come later, here all of the first quarter again, are left out."""
+    _, found = streamed_in_order(spark, _events(spark, root), lambda s, delay: streams.event_rates(s, watermark=delay), late=True)
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_sliding_rates", "events", """SELECT CAST(date_trunc('hour', created_at) - to_hours(CAST(k AS INTEGER)) AS VARCHAR) AS window_start, stage, count(*) AS n
+  FROM fx_events CROSS JOIN (SELECT unnest(range(0, 6)) AS k) GROUP BY 1, 2""")
+def stream_sliding_rates(spark, root):
+    """Windows of six hours that begin every hour, closed at the watermark, with late rows."""
+    _, found = streamed_in_order(spark, _events(spark, root), lambda s, delay: streams.event_rates(s, "6 hours", "1 hour", delay), late=True)
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_parsed_events", "events", "SELECT scan_id, event_id, status FROM fx_events WHERE event_id % 4 <> 0")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from tessera.functions.columns import normalize_remote_url
 from tessera.operators.detect import scan_secrets
 from tessera.operators.findings import SEVERITIES, latest_by
 from tessera.sources.corpus import read_push_events
+from tessera.streaming.ordered import Changes, UntilEnd, in_event_time, unseen
 
 #: Types of live events, and those that end a scan.
 EVENT_TYPES = ("stage_update", "finding_added", "progress", "scan_complete", "error")
@@ -38,73 +37,57 @@ def stage_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("scan_id", "stage").agg(last).select("scan_id", "stage", F.col("m.status").alias("status"), F.col("m.created_at").alias("created_at"))
 
 
-def until_terminal(stream: DataFrame) -> DataFrame:
-    """Events up to and with the first terminal one of a scan; state is one flag a scan, which is kept.
+def until_terminal(stream: DataFrame, delay: str = "1 hour", keep: str | None = "1 day") -> DataFrame:
+    """Events of a scan up to and with its first terminal one in order of time, across batches (append mode).
 
-    ``stream`` has ``scan_id, event_id, event_type, created_at``.
+    ``stream`` has ``scan_id, event_id, event_type, created_at``; events may come ``delay`` behind the newest one. ``keep`` after a scan's last event, in
+    event time, its state is forgotten (None: never).
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = state.exists and state.get[0]
-        rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
-        if not done:
-            end = rows["event_type"].isin(TERMINAL).to_numpy()
-            if end.any():
-                rows, done = rows.iloc[: end.argmax() + 1], True
-            yield rows
-        state.update((done,))
-
-    schema = "scan_id long, event_id long, event_type string, created_at timestamp"
     rows = stream.select("scan_id", "event_id", "event_type", "created_at")
-    return rows.groupBy("scan_id").applyInPandasWithState(run, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
+    mark = F.when(F.col("event_type").isin(*TERMINAL), UntilEnd.END)
+    return in_event_time(rows, UntilEnd(_micros(keep)), "scan_id", "created_at", "event_id", mark, delay)
+
+
+def _micros(span: str | None) -> int | None:
+    return None if span is None else int(pd.Timedelta(span).total_seconds() * 1_000_000)
 
 
-def snapshot_then_tail(snapshot: DataFrame, stream: DataFrame, path: str, checkpoint: str):
+def snapshot_then_tail(snapshot: DataFrame, stream: DataFrame, path: str, checkpoint: str, keep: str | None = None, every: str = "10 seconds"):
     """A started query that writes the snapshot's events, then the stream's without those or repeats, below ``path``.
 
-    Each batch overwrites a folder of its own (``batch=<number>``, the snapshot ``batch=-1``), so a batch that runs again, or a query that
-    starts again, writes no event twice. An event is known by ``event_id``, however late its repeat comes.
+    The snapshot's ids are the initial state of the stream's, in which ids stay for ``keep`` of processing time, so no batch reads what was
+    written. With ``keep`` the query runs a batch ``every`` so often until it is stopped; with None ids stay for good, and it ends when all that is there was read. Each batch overwrites a folder of its own (``batch=<number>``, the snapshot ``batch=-1``), so a batch that runs again writes
+    no event twice. The snapshot is that of the first start: a query that starts again goes on from its state.
     """
-    spark = snapshot.sparkSession
-    snapshot.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    done = snapshot.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=-1/_SUCCESS")
+    if not done.getFileSystem(snapshot.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        snapshot.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    first = snapshot.sparkSession.read.schema(snapshot.schema).parquet(f"{path}/batch=-1")
+    micros = _micros(keep)
+    fresh = unseen(stream.select(*snapshot.columns), first, "event_id", None if micros is None else micros // 1000)
 
     def write(batch: DataFrame, number: int) -> None:
-        known = spark.read.parquet(path).filter(F.col("batch") != number).select("event_id")
-        batch.dropDuplicates(["event_id"]).join(known, "event_id", "left_anti").select(*snapshot.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"availableNow": True} if keep is None else {"processingTime": every}  # Spark has no last batch while ids can expire
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def on_change(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+def on_change(df: DataFrame, key: str, columns: list[str], order: list[str], delay: str = "1 hour", keep: str | None = None) -> DataFrame:
     """Rows in which some of ``columns`` differ from the row before of the same key (the first row too).
 
-    A stream keeps the last values of each key as state; its rows are put in order within a batch.
+    ``order`` is a time and a whole number. A stream is put in that order across batches: rows wait until the watermark, ``delay`` behind the newest
+    row, has passed them. The last values of a key are state, which is forgotten after ``keep`` without rows, in event time (None: never).
     """
     if df.isStreaming:
-        return _on_change_stream(df, key, columns, order)
+        said = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        return in_event_time(df, Changes(_micros(keep)), key, order[0], order[1], said, delay)
     w = Window.partitionBy(key).orderBy(*order)
     now = F.struct(*columns)
     before = F.lag(now).over(w)
     return df.withColumn("__before", before).filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(now)).drop("__before")
 
 
-def _on_change_stream(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        said = rows[columns].astype(object).map(lambda v: None if pd.isna(v) else str(v))
-        last, keep = (state.get[0] if state.exists else None), []
-        for now in map(list, said.itertuples(index=False)):
-            keep.append(last is None or list(last) != now)
-            last = now
-        state.update((last,))
-        yield rows[keep]
-
-    return df.groupBy(key).applyInPandasWithState(run, df.schema, "last array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
 def scan_requests(push: DataFrame, repos: DataFrame) -> DataFrame:
     """Push events joined with the repositories of their remote URL (stream with static table)."""
     known = repos.select("repo_id", normalize_remote_url(F.col("remote_url")).alias("__url")).groupBy("__url").agg(F.min("repo_id").alias("repo_id"))
@@ -134,6 +117,15 @@ def session_rates(events: DataFrame, gap: str = "30 minutes", watermark: str | N
     return rows.groupBy(F.session_window("created_at", gap).alias("w"), "scan_id").agg(F.count("*").alias("n")).select("scan_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators dropped behind the watermark, by its own progress.
+
+    In windowed counts Spark drops what each task has pre-aggregated: rows of one window and key that a task reads in one batch are one. Batches beyond
+    ``spark.sql.streaming.numRecentProgressUpdates`` are forgotten.
+    """
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def drained(query_of, spark, checkpoint: str, name: str, mode: str) -> DataFrame:
     """Run a stream over all that is there and return its result from memory (for tests and small results)."""
     q = query_of.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

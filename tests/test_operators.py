@@ -253,22 +253,6 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, rates.collect())) == sorted(map(tuple, streams.event_rates(df, "10 minutes").collect()))
 
 
-def test_events_end_with_the_first_terminal_one(spark, tmp_path):
-    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
-    rows = [(m % 3, m, "error" if m % 7 == 6 else "progress", at(m)) for m in range(40)]
-    df = spark.createDataFrame(rows, "scan_id long, event_id long, event_type string, created_at timestamp")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    ended = streams.drained(streams.until_terminal(stream), spark, str(tmp_path / "c"), "ended", "append").collect()
-    want = set()
-    for s in range(3):
-        for r in (r for r in rows if r[0] == s):
-            want.add(r[1])
-            if r[2] == "error":
-                break
-    assert {r["event_id"] for r in ended} == want
-
-
 def test_repeated_and_pathless_files_have_findings_of_their_own(spark):
     body = "x\npickle.loads(data)\ny"
     df = spark.createDataFrame([("r", "a.py", "python", body), ("r", "a.py", "python", body), (None, "b.py", "python", body), ("r", None, "python", body)], FILES)
@@ -293,34 +277,6 @@ def test_search_takes_what_is_no_expression_as_text(spark):
     assert [r["line_no"] for r in graph.search(df, "f(x").collect()] == [1] and [r["line_no"] for r in graph.search(df, "f[x").collect()] == [2]
 
 
-def _stream(spark, path, rows, schema):
-    df = spark.createDataFrame(rows, schema)
-    df.repartition(1).write.mode("append").parquet(str(path))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
-
-
-def test_snapshot_and_tail_survive_a_restart(spark, tmp_path):
-    schema = "scan_id long, event_id long, created_at timestamp"
-    at = datetime.datetime(2024, 1, 1)
-    snap = spark.createDataFrame([(1, 1, at)], schema)
-    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    for rows in ([(1, 1, at), (1, 2, at), (1, 2, at)], [(1, 3, at), (1, 2, at - datetime.timedelta(days=9))]):
-        streams.snapshot_then_tail(snap, _stream(spark, tmp_path / "in", rows, schema), out, ck).awaitTermination()
-    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
-
-
-def test_changes_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
-    rng = random.Random(8)
-    at = lambda m: datetime.datetime(2024, 1, 1, m // 60, m % 60)
-    rows = [(rng.randint(0, 3), m, rng.choice(["hunt", "ingest"]), rng.choice(["running", None]), at(m)) for m in range(120)]
-    schema = "scan_id long, event_id long, stage string, status string, created_at timestamp"
-    for k in range(0, 120, 40):
-        stream = _stream(spark, tmp_path / "in", rows[k : k + 40], schema)
-    args = "scan_id", ["stage", "status"], ["created_at", "event_id"]
-    got = streams.drained(streams.on_change(stream, *args), spark, str(tmp_path / "c"), "changes", "append").collect()
-    assert sorted(r["event_id"] for r in got) == sorted(r["event_id"] for r in streams.on_change(spark.createDataFrame(rows, schema), *args).collect())
-
-
 def test_scratch_tables_can_be_cleared(spark):
     from tessera.plans import scratch
 
