@@ -54,31 +54,34 @@ def _byte_step() -> np.ndarray:
     return c
 
 
+STEP = _byte_step()
+
+
+def after_blank(crc: np.ndarray) -> np.ndarray:
+    """The CRCs that ``crc`` turn into when a blank follows."""
+    state = ~crc
+    return ~(STEP[(state ^ np.uint32(32)) & np.uint32(255)] ^ (state >> np.uint32(8)))
+
+
 def zero_shifts(longest: int) -> np.ndarray:
     """``[n, k, b]``: the state whose byte ``k`` is ``b`` and whose others are zero, after ``n`` zero bytes. States add up by exclusive or."""
-    step = _byte_step()
     now = np.arange(256, dtype=np.uint32)[None, :] << (np.arange(4, dtype=np.uint32) * 8)[:, None]
     out = [now]
     for _ in range(longest):
-        now = (now >> np.uint32(8)) ^ step[now & np.uint32(255)]
+        now = (now >> np.uint32(8)) ^ STEP[now & np.uint32(255)]
         out.append(now)
     return np.stack(out)
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Head:
     """Frequent words and pairs, and the buckets of any features."""
 
     def __init__(self, words: list[bytes], pairs: list[tuple[bytes, bytes]], buckets: int) -> None:
         self.buckets, self.words = buckets, words
         self.crc = np.array([*map(zlib.crc32, words), 0], np.uint32)  # the last row stands for all other words
-        self.state = np.array([*(zlib.crc32(b" ", c) for c in self.crc[:-1].tolist()), 0], np.uint32)
+        self.state = after_blank(self.crc)
         self.length = np.array([*map(len, words), 0], np.int64)
-        self.code = _Codes((w, k) for k, w in enumerate(words))
+        self.code = {w: k for k, w in enumerate(words)}
         known = sorted((self.code[a] << 32 | self.code[b], zlib.crc32(b, int(self.state[self.code[a]])) % buckets) for a, b in pairs if a in self.code and b in self.code)
         self.pair_key, self.pair_bucket = np.array([*(k for k, _ in known), 1 << 62], np.int64), np.array([*(b for _, b in known), 0], np.int64)
         self.shift = zero_shifts(max(map(len, words), default=0))
@@ -94,10 +97,11 @@ class Head:
     def of(self, words: list[bytes], before: bytes | None = None) -> np.ndarray:
         """Buckets of all words and of all pairs of consecutive words, also of ``before`` and the first one."""
         every = words if before is None else [before, *words]
-        code = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
-        one = self.crc[code].astype(np.int64) % self.buckets
-        for i in np.flatnonzero(code < 0).tolist():
-            one[i] = zlib.crc32(every[i]) % self.buckets
+        get = self.code.get
+        code = np.array([get(w, -1) for w in every], np.int64)
+        crc = self.crc[code]
+        tail = np.flatnonzero(code < 0)
+        crc[tail] = [zlib.crc32(every[i]) for i in tail.tolist()]
         a, b = code[:-1], code[1:]
         two, head = np.empty(len(a), np.int64), (a >= 0) & (b >= 0)
         ha, hb = a[head], b[head]
@@ -106,9 +110,10 @@ class Head:
         found, seen = self.pair_bucket[at], self.pair_key[at] == key
         found[~seen] = self._together(ha[~seen], hb[~seen])
         two[head] = found
-        for i in np.flatnonzero(~head).tolist():
-            state = int(self.state[a[i]]) if a[i] >= 0 else zlib.crc32(b" ", zlib.crc32(every[i]))
-            two[i] = zlib.crc32(every[i + 1], state) % self.buckets
+        rest = np.flatnonzero(~head)
+        state = after_blank(crc[rest])
+        two[rest] = [zlib.crc32(every[i], c) % self.buckets for i, c in zip((rest + 1).tolist(), state.tolist(), strict=True)]
+        one = crc.astype(np.int64) % self.buckets
         return np.concatenate([one if before is None else one[1:], two])
 
     def features(self, text: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,20 +133,48 @@ def _thin(counts: Counter, most: int) -> None:
             del counts[k]
 
 
+class _PairCounts:
+    """Counts of the pairs of the most frequent words of a task, in a square table. The words are chosen anew whenever four times as many were seen."""
+
+    def __init__(self, most: int, side: int = 1024) -> None:
+        self.most, self.side, self.seen, self.due = most, side, 0, 256
+        self.hot, self.code, self.table, self.total = [], {}, np.zeros(side * side if most else 0, np.int64), Counter()
+
+    def flush(self) -> None:
+        at = np.flatnonzero(self.table)
+        for i, n in zip(at.tolist(), self.table[at].tolist(), strict=True):
+            self.total[self.hot[i // self.side], self.hot[i % self.side]] += n
+        self.table[at] = 0
+        _thin(self.total, self.most)
+
+    def add(self, block: list[bytes], words: Counter) -> None:
+        self.seen += len(block)
+        if self.seen >= self.due and self.most:
+            self.flush()
+            self.hot, self.due = [w for w, _ in words.most_common(self.side)], 4 * self.seen
+            self.code = {w: k for k, w in enumerate(self.hot)}
+        if self.hot:
+            get = self.code.get
+            code = np.array([get(w, -1) for w in block], np.int64)
+            a, b = code[:-1], code[1:]
+            head = (a >= 0) & (b >= 0)
+            np.add.at(self.table, a[head] * self.side + b[head], 1)
+
+
 def frequent(docs: DataFrame, text_col: str, head_words: int, head_pairs: int) -> tuple[list[bytes], list[tuple[bytes, bytes]]]:
-    """The words and pairs of words that are most frequent in all of ``docs``, as far as counters of ``4 * most`` entries a task can tell."""
+    """The words and pairs of words that are most frequent in all of ``docs``, as far as each task's bounded counters can tell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = Counter(), Counter()
+        words, pairs = Counter(), _PairCounts(head_pairs)
         for batch in batches:
             for text in batch.column(0):
                 for block in word_blocks((text.as_py() or "").encode()):
                     words.update(block)
-                    pairs.update(zip(block, block[1:], strict=False))
+                    pairs.add(block, words)
                     _thin(words, head_words)
-                    _thin(pairs, head_pairs)
+        pairs.flush()
         top = [(w, None, n) for w, n in words.most_common(head_words) if len(w) <= LONGEST]
-        top += [(*p, n) for p, n in pairs.most_common(head_pairs)]
+        top += [(*p, n) for p, n in pairs.total.most_common(head_pairs)]
         a, b, n = zip(*top, strict=True) if top else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
