@@ -424,7 +424,35 @@ def _with_group(keyed: DataFrame, of_group: DataFrame, crowd: DataFrame, large:
     return few.unionByName(keyed.join(F.broadcast(of_group.join(hot, ["k", "low"], "left_semi")), ["k", "low"]).select(*few.columns))
 
 
-def similarity_classes(
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``; the rest of the contract, and what ``how`` may hold, is that of ``text_classes``."""
+    return text_classes(docs, id_col, text_col, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without those that are similar to another one: of each class the row with the least id, then the least hash of its text.
+
+    Rows are judged by id and text together, so that unlike texts of one id all stay. Of rows with equal id and text one stays (which of them, where other
+    columns differ, is not defined). Rows without words, or null, all stay. A null id is the least. Columns are those of ``docs``.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
+    found = text_classes(docs, id_col, text_col, **how).withColumn("__id", F.coalesce("doc_id", F.lit(LEAST_ID))).withColumnRenamed("text_hash", "__th")
+    first = found.filter("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("__id", "__th")).alias("m")).select("m.*", F.lit(True).alias("__one"))
+    rest = found.filter("n_shingles = 0").select("__id", "__th").distinct().withColumn("__one", F.lit(False))
+    stay = materialize(first.unionByName(rest), "jac-stay")
+    keyed = docs.withColumn("__id", key).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = keyed.join(stay, ["__id", "__th"])
+    repeated = found.filter("n_shingles > 0").groupBy("__id", "__th").count().filter("count > 1")
+    if not repeated.isEmpty():
+        repeated = materialize(repeated.join(stay, ["__id", "__th"], "left_semi").select("__id", "__th"), "jac-repeated")
+        kept = kept.join(repeated, ["__id", "__th"], "left_anti").unionByName(kept.join(repeated, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+LEAST_ID = -(1 << 63)
+
+
+def text_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -433,21 +461,19 @@ def similarity_classes(
     hashes: int = 6,
     entries_a_bucket: int = 1_000_000,
 ) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
+    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, text_hash, class_id``.
 
     Rows link when the Jaccard similarity of their sets of distinct ``size``-word shingles is ``similarity`` (a ratio of whole
     numbers, below 1) or more; ``component_id`` is the least id that links reach. A text of fewer words has
     its whole sequence as one shingle; one without words, or null, has none and links with nothing. Each row is a
-    document of its own, also where ids repeat. A null id counts as the least. Other columns are ignored; an empty table
-    gives no rows.
+    document of its own, also where ids repeat: ``class_id`` tells classes apart (null without words), ``text_hash`` rows of one id. A null id counts as the
+    least. Other columns are ignored; an empty table gives no rows.
 
     hashes: minima a set is compared by in step 2. entries_a_bucket: index entries that one task reads at once;
     a single list is not split.
     """
     spark = docs.sparkSession
-    a, b = similarity
-    least_id = -(1 << 63)
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least_id)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     rows = docs.count()
     bits = min(24, max(14, math.ceil(math.log2(max(1, rows * 8)))))
@@ -461,8 +487,6 @@ def similarity_classes(
         .withColumn("sid", F.monotonically_increasing_id())
     )
     sets = materialize(sets, "jac-sets")
-    mins = per_doc.filter("n > 0").select("doc_id", "th", "mins").dropDuplicates(["doc_id", "th"])
-
     # the text of each set, written by bucket of its id, so that later joins don't shuffle it
     total = sets.agg(F.sum("n"), F.count("*")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total[0] or 0) / 4_000_000))
@@ -474,7 +498,22 @@ def similarity_classes(
         one.select("sid", "n", "text").repartition(buckets, "sid").write.option("compression", "zstd").option("path", path)
         .bucketBy(buckets, "sid").sortBy("sid").saveAsTable(name)
     )
-    texts = spark.table(name)
+    try:
+        final = _linked_sets(sets, per_doc, spark.table(name), levels, total[0] or 0, size, similarity, hashes, entries_a_bucket)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    back = lambda c: F.when(c == LEAST_ID, None).otherwise(c)
+    shown = back(F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    rows = per_doc.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id", F.col("th").alias("text_hash")).join(final, "set_id", "left")
+    return rows.select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", shown.alias("component_id"), "text_hash", F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id"))
+
+
+def _linked_sets(
+    sets: DataFrame, per_doc: DataFrame, texts: DataFrame, levels: np.ndarray, shingle_count: int, size: int, similarity: tuple[int, int], hashes: int, entries_a_bucket: int
+) -> DataFrame:
+    """``set_id, component_id, class_id`` of all ``sets``; ``texts`` is bucketed by set."""
+    a, b = similarity
+    mins = per_doc.filter("n > 0").select("doc_id", "th", "mins").dropDuplicates(["doc_id", "th"])
 
     # step 2: leaders
     following = F.transform("mins", lambda m, k: F.struct(k.alias("k"), m.alias("low"), F.get("mins", (k + 1) % hashes).alias("low2"), F.get("mins", (k + 2) % hashes).alias("low3")))
@@ -496,7 +535,7 @@ def similarity_classes(
     mine = led.filter("diff IS NOT NULL AND fame > 0").groupBy("x").agg(F.max_by(F.struct("y", "nx", "ny", "diff"), F.struct("fame", "y")).alias("m"))
     mine = mine.select(F.col("x").alias("sid"), F.col("m.y").alias("lead"), F.col("m.nx").alias("n"), F.col("m.ny").alias("nl"), F.col("m.diff").alias("diff"))
     mine = materialize(mine.select("*", *[_parity(w) for w in range(DIFF_WORDS)]), "jac-mine")  # once for each set
-    index_buckets = min(1 << 16, max(16, math.ceil((total[0] or 0) * (b - a) / b / entries_a_bucket)))
+    index_buckets = min(1 << 16, max(16, math.ceil(shingle_count * (b - a) / b / entries_a_bucket)))
     lead_buckets = max(16, math.ceil(index_buckets / 4))
     best = materialize(links_by_leader(mine, first_roots, similarity, lead_buckets, best=True), "jac-best")
     first_roots = materialize(components(first_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(best.toDF("a", "b"))), "jac-roots")
@@ -525,11 +564,4 @@ def similarity_classes(
         .select("set_id", "id", F.coalesce("r2", "r1").alias("r"))
     )
     least = placed.groupBy("r").agg(F.min("id").alias("component_id"))
-    final = materialize(placed.join(least, "r").select("set_id", "component_id"), "jac-classes")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    back = lambda c: F.when(c == least_id, None).otherwise(c)
-    return (
-        per_doc.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id")
-        .join(final, "set_id", "left")
-        .select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
-    )
+    return materialize(placed.join(least, "r").select("set_id", "component_id", F.col("r").alias("class_id")), "jac-classes")

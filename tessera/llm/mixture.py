@@ -86,11 +86,11 @@ def _inverse(gram: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(gram / np.outer(d, d), rcond=1e-12, hermitian=True) / np.outer(d, d)
 
 
-def fit_rates(soft: DataFrame, shares: list[float], total_tokens: float, tolerance: float, max_steps: int, steps_per_table: int, low: float = 0.0) -> DataFrame:
+def fit_rates(soft: DataFrame, shares: list[float], total_tokens: float, tolerance: float, max_steps: int, steps_per_table: int, low: float = 0.0, strict: bool = True) -> DataFrame:
     """Add ``rate``, at least ``low``, to ``soft (doc_id, tokens, p0, ...)`` so that expected tokens of domain k come to ``shares[k] * total_tokens``.
 
     Each total is met within ``tolerance`` of itself (of all tokens where a share is 0); a ``ValueError`` says which
-    are not. The step is taken in the metric that weighs a document by its tokens, and the misfit is scaled by
+    are not, or, unless ``strict``, the fit stands that is the nearest when it stops to improve. The step is taken in the metric that weighs a document by its tokens, and the misfit is scaled by
     the inverse of the domains' Gram matrix: no eigenvalue is above 1, rare domains move as fast as common
     ones, and without an active bound the first step is exact. Nesterov's momentum carries the previous
     rates along and starts again when the misfit grows.
@@ -129,29 +129,48 @@ def fit_rates(soft: DataFrame, shares: list[float], total_tokens: float, toleran
         now = now.withColumn("ahead", F.col("next") + push * (F.col("next") - F.col("rate"))).withColumn("rate", F.col("next")).drop("next")
         if (done + 1) % steps_per_table == 0:
             now = materialize(now, "mix-rates")
+    if not strict:
+        return materialize(now.drop("ahead"), "mix-rates")
     raise ValueError(f"after {done} steps domains miss their targets by a part of {[float(f'{x:.3g}') for x in miss]} (shares {shares}); allowed is {tolerance}")
 
 
-def fit_with_least(soft: DataFrame, shares: list[float], total: float, tolerance: float, max_steps: int, steps_per_table: int, low: float) -> DataFrame:
+def reachable(soft: DataFrame, shares: list[float]) -> list[float]:
+    """``shares`` themselves, or, where the posteriors of the domains move together, the nearest ones that some rates of documents can give."""
+    gram = _gram(soft, len(shares))
+    d = np.sqrt(np.diag(gram))
+    d = np.where(d > 0, d, 1.0)
+    value, vector = np.linalg.eigh(gram / np.outer(d, d))
+    vector = vector[:, value > 1e-9 * max(value.max(), 1e-300)]
+    if vector.shape[1] == len(shares):
+        return shares
+    near = np.maximum(d * (vector @ (vector.T @ (np.array(shares) / d))), 0.0)
+    return (near / near.sum()).tolist() if near.sum() > 0 else shares
+
+
+def fit_with_least(
+    soft: DataFrame, shares: list[float], total: float, tolerance: float, max_steps: int, steps_per_table: int, low: float, strict: bool = True
+) -> DataFrame:
     """``fit_rates`` with rates of at least ``low`` and the total scaled up until the shares can be met under it.
 
     The unbounded fit is ``p . mu`` for one ``mu``; where it is positive, the total is scaled so that the smallest
     of these rates is ``low``. Else the total grows from the least that any fit needs.
     """
     if not low:
-        return fit_rates(soft, shares, total, tolerance, max_steps, steps_per_table)
+        return fit_rates(soft, shares, total, tolerance, max_steps, steps_per_table, strict=strict)
     ids = range(len(shares))
     mu = _inverse(_gram(soft, len(shares))) @ (np.array(shares) * total)
     rate = sum((F.col(f"p{k}") * float(mu[k]) for k in ids), F.lit(0.0))
     sums = soft.filter("tokens > 0").agg(F.min(rate).alias("least"), *[F.sum(F.col("tokens") * F.col(f"p{k}")).alias(f"s{k}") for k in ids]).first()
     if sums["least"] > 0:
-        return fit_rates(soft, shares, total * max(1.0, low / sums["least"]), tolerance, max_steps, steps_per_table, low)
+        return fit_rates(soft, shares, total * max(1.0, low / sums["least"]), tolerance, max_steps, steps_per_table, low, strict)
     times = max(1.0, *(low * sums[f"s{k}"] / (shares[k] * total) for k in ids if shares[k] > 0))
     for grown in range(GROWTHS):
         try:
             return fit_rates(soft, shares, total * times * 1.5**grown, tolerance, max_steps, steps_per_table, low)
         except ValueError as missed:
             reason = missed
+    if not strict:
+        return fit_rates(soft, shares, total * times, tolerance, max_steps, steps_per_table, low, strict)
     raise ValueError(f"no total meets the targets with rates of {low} at least") from reason
 
 
@@ -173,11 +192,12 @@ def mix(
     min_copies: int = 0,
     seed: int = 7,
 ) -> DataFrame:
-    """One row for each id of ``docs``: ``doc_id, tokens, domain, posterior, rate, copies``.
+    """One row for each id of ``docs``: ``doc_id, tokens, domain, posterior, rate, copies, target_miss``.
 
     targets: the wanted share of tokens of each domain (scaled to sum 1; domains left out get 0); by
-    default the expected shares raised to ``temperature``. Each target is met within ``tolerance`` of itself, or a
-    ``ValueError`` is raised. The total stays that of ``docs``; with ``min_copies`` no rate is below it, and the
+    default the expected shares raised to ``temperature``. Each target that is asked for is met within ``tolerance`` of itself, or a
+    ``ValueError`` is raised. Default targets give way where the texts don't tell the domains apart: they are the nearest ones that posteriors can
+    reach, and if the fit still misses them it stands; ``target_miss``, alike in all rows, is the largest miss as a part of its target. The total stays that of ``docs``; with ``min_copies`` no rate is below it, and the
     total grows until the shares are met all the same. The table of
     likelihoods is learned from ``labelled`` (by default ``docs``), of whose rows with a label about
     ``fit_rows`` are used, chosen by hash: the bound of the classifier's sample. Posteriors, token totals and rates cover
@@ -199,7 +219,7 @@ def mix(
     if not domains:
         plain = docs.select(F.col(id_col).alias("doc_id"), F.size(words(F.col(text_col))).alias("n"))
         return plain.groupBy("doc_id").agg(F.sum("n").cast("long").alias("tokens")).select(
-            "doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(max(1, min_copies)).cast("long").alias("copies")
+            "doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(max(1, min_copies)).cast("long").alias("copies"), F.lit(0.0).alias("target_miss")
         )
     soft = materialize(posteriors(docs, model, text_col, id_col, buckets, flat), "mix-soft")
     ids = range(len(domains))
@@ -209,13 +229,18 @@ def mix(
     wanted = [targets.get(d, 0.0) for d in domains] if targets else [x**temperature if x > 0 else 0.0 for x in raw]
     whole = sum(wanted)
     shares = [x / whole for x in wanted] if whole else raw
-    rated = fit_with_least(soft, shares, total, tolerance, max_steps, steps_per_table, float(min_copies)) if total else soft.withColumn("rate", F.lit(1.0))
+    if not targets and total:
+        shares = reachable(soft, shares)
+    rated = fit_with_least(soft, shares, total, tolerance, max_steps, steps_per_table, float(min_copies), bool(targets)) if total else soft.withColumn("rate", F.lit(1.0))
+    got = rated.agg(*[F.sum(F.col("tokens") * F.col(f"p{k}") * F.col("rate")).alias(f"g{k}") for k in ids]).first()
+    given = sum(x or 0.0 for x in got)
+    miss = max((abs((got[k] or 0.0) / given - x) / (x if x > 0 else 1.0) for k, x in enumerate(shares)), default=0.0) if given else 0.0
     top = F.greatest(*[F.col(f"p{k}") for k in ids]) if len(domains) > 1 else F.col("p0")
     name = F.coalesce(*[F.when(F.col(f"p{k}") == top, d) for k, d in enumerate(domains)])
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
     copies = F.floor(F.col("rate")) + (chance < F.col("rate") - F.floor("rate")).cast("long")
     return rated.select(
-        "doc_id", "tokens", name.cast("string").alias("domain"), top.alias("posterior"), "rate", F.greatest(copies, F.lit(min_copies).cast("long")).alias("copies")
+        "doc_id", "tokens", name.cast("string").alias("domain"), top.alias("posterior"), "rate", F.greatest(copies, F.lit(min_copies).cast("long")).alias("copies"), F.lit(float(miss)).alias("target_miss")
     )
 
 

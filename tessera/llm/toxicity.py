@@ -1,7 +1,7 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
-A word may be disguised by look-alike signs (``1d10t``), separators between letters (``i d i o t``) or
-repeated letters (``idiooot``). A span that shows any of these is a lattice: each sign may be read as a letter that
+A word may be disguised by look-alike signs (``1d10t``), separators of any kind and number between letters (``i d i o t``, ``i/d/i/o/t``),
+signs that can't be seen, or repeated letters (``idiooot``, ``iidioot``). A span that shows any of these is a lattice: each sign may be read as a letter that
 looks like it, a run of one letter as the whole run or as a shorter one, and separators as nothing or as the end of a word. Viterbi decoding takes the
 path that is best under a character trigram model of all texts' words and the costs of the channel. The restored text is then
 scored by logistic regression on the words, and word beginnings, that tell labelled texts apart.
@@ -30,11 +30,15 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i",
 }
 SIGNS = "".join(LOOKS_LIKE)
-#: A look-alike sign, or a letter three times in a row: its token is a lattice.
-TRIGGER = re.compile(rf"[{re.escape(SIGNS)}]|([^\W\d_])\1\1")
-#: Three or more single letters or digits with separators between them: a lattice too, blanks and line breaks included.
-SPACED = re.compile(r"(?<!\w)[^\W_](?:[\s.\-_*]{1,4}[^\W_]){2,}(?!\w)")
-SEPARATORS = frozenset(" \t\r\n\f\v.-_*")
+#: Signs that can't be seen: soft hyphen, joiners, marks of direction. They are left out of all words.
+UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+#: A look-alike sign, a letter three times in a row, or two doubled letters in a word: its token is a lattice.
+TRIGGER = re.compile(rf"[{re.escape(SIGNS)}]|([^\W\d_])\1(?:\1|[^\W\d_]*?([^\W\d_])\2)")
+#: Three or more single letters or digits with any separators between them, however many: a lattice too, blanks and line breaks included.
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_]){2,}(?![^\W_])")
+#: A run of separators; a sign that looks like a letter may separate too, but stands by itself.
+PLACE = re.compile(rf"(?:(?![{re.escape(SIGNS)}])[\W_])+|(.)\1*", re.S)
+DOUBLED = re.compile(r"([^\W\d_])\1")
 EDGE = re.compile(r"^([^\w@$]*)(.*?)([.,;:?\"')\]}]*!*)$", re.S)
 #: A path that costs more than this for each character is no word: the span stays as it is.
 WORST = 3.9
@@ -88,13 +92,13 @@ def char_model(docs: DataFrame, text_col: str) -> CharModel:
     return CharModel({r["tri"]: r["n"] for r in parts.groupBy("tri").agg(F.sum("n").alias("n")).collect()})
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings ``(letters, channel cost)`` of each run of one character, or of separators, of a lower-case span."""
-    places = []
-    for m in re.finditer(r"[\s.\-_*]+|(.)\1*", token, re.S):
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """Readings ``(letters, channel cost)`` of each run of one character, or of separators, of a lower-case span. In a ``spaced`` one look-alike signs may separate as well."""
+    places, doubled = [], len(DOUBLED.findall(token)) > 1
+    for m in PLACE.finditer(token):
         c, n = m[1], len(m[0])
-        if c is None or c in SEPARATORS:
-            places.append([("", 0.25 + 0.25 * n), (" ", 0.5)])
+        if c is None:
+            places.append([("", 0.25 + 0.25 * min(n, 4)), (" ", 0.5)])
             continue
         letters = [(c, 0.0)] if c.isalpha() else []
         letters += [(x, 0.7) for x in LOOKS_LIKE.get(c, "")]
@@ -108,16 +112,18 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 if n >= 3 and length == n:
                     extra = 1.0 * (n - 2)  # three in a row are rarely meant
                 if n == 2 and length == 1:
-                    extra = 6.0
+                    extra = 4.0 if doubled else 6.0
                 readings[x * length] = min(readings.get(x * length, 1e9), cost * (1 if x == c else n) + extra)
+        if spaced and not c.isalnum():
+            readings |= {"": 0.25 + 0.25 * min(n, 4), " ": 0.5}
         places.append(sorted(readings.items()))
     return places
 
 
-def decode(token: str, model: CharModel) -> tuple[str, float]:
+def decode(token: str, model: CharModel, spaced: bool = False) -> tuple[str, float]:
     """The best path through the lattice of ``token``, and its cost. Time and memory follow the length."""
     best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-    for readings in lattice(token):
+    for readings in lattice(token, spaced):
         nxt: dict[str, tuple[float, tuple | None]] = {}
         for history, (cost, said) in best.items():
             for letters, channel in readings:
@@ -167,13 +173,13 @@ def _restored(span: str, model: CharModel) -> str:
     head, core, tail = EDGE.match(span).groups()
     if not core:
         return span
-    said, cost = decode(core, model)
+    said, cost = decode(core, model, SPACED.search(core) is not None)
     return f"{head}{said}{tail}" if any(c.isalpha() for c in said) and cost <= WORST * (len(said) + 1) else span
 
 
 def restore(text: str, model: CharModel, memo: dict[str, str]) -> str:
     """``text``, lower-cased, with disguised spans of any length decoded. Numbers, and spans no reading of which looks like words, stay."""
-    text = text.lower()
+    text = UNSEEN.sub("", text.lower())
     out, at = [], 0
     for a, b in _spans(text):
         span = text[a:b]

@@ -97,3 +97,21 @@ def test_written_shares_meet_the_targets_when_every_document_stays(spark):
         assert all(abs(x[c] / total - want[x["domain"]]) < near for x in p), p
     with pytest.raises(ValueError):
         mix(docs, {"a": 0.0, "b": 1.0}, min_copies=1, max_steps=5)
+
+
+def test_texts_that_do_not_tell_domains_apart_give_the_nearest_fit(spark):
+    same = spark.createDataFrame([(i, "one and the same text", "a" if i % 4 else "b") for i in range(20)], "doc_id long, text string, lang string")
+    out = mix(same).collect()
+    assert len(out) == 20 and {r["copies"] for r in out} == {1} and all(abs(r["rate"] - 1) < 1e-6 and r["target_miss"] < 1e-4 for r in out)
+    assert {r["copies"] for r in mix(same, min_copies=1).collect()} == {1}
+    with pytest.raises(ValueError):
+        mix(same, {"a": 0.2, "b": 0.8}, max_steps=30)
+    some = same.unionByName(spark.createDataFrame([(100 + i, "another kind of words", "c") for i in range(5)], same.schema))
+    rows = mix(some).collect()
+    assert len(rows) == 25 and max(r["target_miss"] for r in rows) < 1e-3
+    assert min(r["rate"] for r in rows if r["doc_id"] >= 100) > 1 > max(r["rate"] for r in rows if r["doc_id"] < 100)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "ant ask all " * 200_000, "a"), (2, "bee bit", "b"), (3, "ant", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["tokens"] for r in mix(docs).collect()} == {1: 600_000, 2: 2, 3: 1}

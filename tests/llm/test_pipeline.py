@@ -33,6 +33,18 @@ def test_each_stage_against_plain_python(spark, sf):
     assert langs[1]["es"] / langs[0]["es"] > langs[1]["en"] / langs[0]["en"] >= 1
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    near = a.replace("w39", "x")
+    start = [(1, a), (5, a), (5, b), (5, b), (6, near), (None, b + " more"), (None, None), (7, ""), (7, ""), (8, "few words"), (8, "few words"), (9, near), (8, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(start)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    left = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert sorted(rows(left), key=str) == sorted([(1, a), (None, b + " more"), (None, None), (7, ""), (7, ""), (8, "few words")], key=str)
+    unlike = docs.filter("n_chars IN (0, 1, 2)")
+    assert sorted(rows(corpus_pipeline.near_duplicates(spark, unlike, sf))) == [(1, a), (5, b)]
+
+
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0

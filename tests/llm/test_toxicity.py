@@ -45,6 +45,19 @@ def test_disguises_are_read_and_plain_text_stays():
         assert restore(same, CHARS, memo) == same
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["i     d     i     o     t", "i,d,i,o,t", "i/d/i/o/t", "i~d~i~o~t", "i|d|i|o|t", "i\u200bd\u200biot", "id\u00adiot", "iidioot", "i . , d ;; i -- o\n\n\n\n\n\nt", "i_d_i_o_t", "i=d=1=0=t", "i" + " " * 50 + "d i o t", "I·D·I·O·T", "i$d$i$o$t"],
+)
+def test_any_separators_and_doubled_letters(text):
+    assert restore(f"you {text} you", CHARS, {}) == "you idiot you" and restore(text, CHARS, {}) == "idiot"
+
+
+def test_lists_and_sums_stay():
+    for same in ["x + y = z", "1, 2, 3, 4", "a) b) c)", "x | y | z", "9 * 9 / 3"]:
+        assert restore(same, CHARS, {}) == same
+
+
 def test_features_match_plain_ones():
     """A word is a feature, and so are its first 4, 5 and 6 bytes if it is longer: equal features have equal numbers."""
     texts = ["an idiot, idiot", "", "stupidly stupid", "stupidity 12 é", "idio"]
