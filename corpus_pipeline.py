@@ -7,10 +7,9 @@ one gets. ``run`` applies them all to the table ``documents``, writing each stag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import clean_only
-from tessera.llm.jaccard_join import similarity_classes
+from tessera.llm.jaccard_join import one_of_each_class
 from tessera.llm.language_id import keep_identified
 from tessera.llm.mixture import apply_mix, mix
 from tessera.llm.registry import tokenizer_path
@@ -25,10 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents, the one with the least id stays (documents without words all stay)."""
-    classes = similarity_classes(docs).filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(classes.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left
+    """Of each class of similar texts, the row with the least id stays; rows without words all stay, and so do unlike texts that share an id."""
+    return one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
