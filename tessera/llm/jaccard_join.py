@@ -272,8 +272,8 @@ KINDS = ["<u4", "<u1", "<i8", "<i8", "<i8", "<u4", "<u4"]  # two parts of a hash
 WORDS = 8  # 64-bit words of a bitmap
 
 
-def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[int, int], buckets: int) -> DataFrame:
-    """Packed index entries ``bucket, data, maps`` of the prefix of each set of ``sets (sid, root, lead, crowded, text)``.
+def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[int, int], buckets: int, hot: int = 255) -> DataFrame:
+    """Packed index entries ``bucket, data, maps`` of the prefix of each set of ``sets (sid, root, lead, crowded, text)``, without shingles of a sketch level of ``hot`` or more.
 
     ``maps`` has, once for each crowded set of a packet, its parity bitmap: bit i says whether an odd number of its
     shingles falls on i.
@@ -283,6 +283,7 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
+        low = np.uint64(len(level) - 1)
         held: list[tuple[np.ndarray, int, int, int, int]] = []
         maps: dict[int, np.ndarray] = {}
         count = 0
@@ -293,6 +294,11 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
             sizes = [len(e[0]) for e in held]
             sid, root, lead, n = (np.repeat(np.array([e[k] for e in held], np.int64), sizes) for k in (1, 2, 3, 4))
             pos = np.concatenate([np.arange(x) for x in sizes])
+            cold = level[(h & low).astype(np.int64)] < hot
+            if not cold.all():
+                h, sid, root, lead, n, pos = (x[cold] for x in (h, sid, root, lead, n, pos))
+            if not len(h):
+                return
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -329,14 +335,79 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
     return sets.select("sid", "root", "lead", "crowded", "text").mapInArrow(run, "bucket long, data binary, maps binary")
 
 
+def hot_pairs(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[int, int], hot: int, longest: int) -> DataFrame:
+    """Candidate pairs ``x, y, nx, ny`` (x < y) that share an index list of a shingle of sketch level ``hot`` or more.
+
+    Sets with the leader that most sets of a list have need no answer among themselves; they and the others are dealt to blocks of
+    about ``longest`` entries, and two blocks meet in a task. So an entry of the common leader is repeated once for each block of the others, of which there are few.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(levels)  # 2 ** sketch_bits bytes
+    a, b = share
+
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
+        low = np.uint64(len(level) - 1)
+        for batch in batches:
+            sids, roots, leads = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "root", "lead"))
+            found = []
+            for s in shingles([t.encode() for t in batch.column("text").to_pylist()], size):
+                s = s[np.argsort(_rank(s, level), kind="stable")[: len(s) - -(-a * len(s) // b) + 1]] if len(s) else s
+                at = np.flatnonzero(level[(s & low).astype(np.int64)] >= hot)
+                found.append((s[at].view(np.int64), at))
+            of = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
+            n = _sizes(batch.column("n"))
+            cols = [np.concatenate([h for h, _ in found]) if found else np.empty(0, np.int64), sids[of], roots[of], leads[of], n[of], np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "sid", "root", "lead", "n", "p"])
+
+    rows = materialize(sets.select("sid", "root", "lead", "n", "text").mapInArrow(entries, "h long, sid long, root long, lead long, n long, p long"), "jac-hot")
+    by = rows.groupBy("h", "lead").agg(F.count("*").alias("m"))
+    lists = by.groupBy("h").agg(F.sum("m").alias("m"), F.max(F.struct("m", "lead")).alias("top")).filter("m > top.m")
+    blocks = lambda c: F.ceil(c / longest).cast("int")
+    lists = F.broadcast(lists.select("h", F.col("top.lead").alias("common"), blocks(F.col("top.m")).alias("c"), blocks(F.col("m") - F.col("top.m")).alias("r")))  # a row for `longest` shingles at most
+    met = rows.join(lists, "h")
+    mine = lambda parts: F.pmod(F.xxhash64("sid"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.expr(f"sequence(0, {parts} - 1)"))
+    shape = ["list", "side", "sid", "root", "lead", "n", "p"]
+    across = lambda i, j: F.xxhash64("h", F.lit(0), i, j).alias("list")
+    first = met.filter("lead = common").withColumn("i", every("r")).withColumn("j", mine("c")).withColumn("side", F.lit(0))
+    other = met.filter("lead <> common").withColumn("j", every("c")).withColumn("i", mine("r")).withColumn("side", F.lit(1))
+    among = met.filter("lead <> common").withColumn("j", every("r")).withColumn("i", mine("r")).withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1))
+    placed = first.withColumn("list", across(F.col("i"), F.col("j"))).select(*shape).unionByName(other.withColumn("list", across(F.col("i"), F.col("j"))).select(*shape))
+    placed = placed.unionByName(among.withColumn("list", F.xxhash64("h", F.lit(1), F.least("i", "j"), F.greatest("i", "j"))).select(*shape))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "p"], kind="stable")
+        sid, root, lead, n, p, side = (pdf[k].to_numpy() for k in ("sid", "root", "lead", "n", "p", "side"))
+        out = [np.empty((0, 4), np.int64)]
+        for u, v in list_pairs(root, n, p, share, leads=lead, side=side):
+            x, y = sid[u], sid[v]
+            turn = x > y
+            out.append(np.stack([np.where(turn, y, x), np.where(turn, x, y), np.where(turn, n[v], n[u]), np.where(turn, n[u], n[v])], 1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["x", "y", "nx", "ny"])
+
+    return placed.groupBy("list").applyInPandas(run, "x long, y long, nx long, ny long")
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def list_pairs(
-    roots: np.ndarray, n: np.ndarray, p: np.ndarray, share: tuple[int, int], row: np.ndarray | None = None, bits: np.ndarray | None = None, leads: np.ndarray | None = None
+    roots: np.ndarray,
+    n: np.ndarray,
+    p: np.ndarray,
+    share: tuple[int, int],
+    row: np.ndarray | None = None,
+    bits: np.ndarray | None = None,
+    leads: np.ndarray | None = None,
+    side: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate index pairs of one list, whose entries are sorted by set size, then position. Pairs of one component, or of one leader, are none.
 
     Entries of one size are a block. Two blocks are skipped when the smaller size can't reach the larger one's share; of
     a block that stays, only entries up to the last position that leaves enough shingles are read. Where both sets have a bitmap (``row`` in ``bits``,
-    else -1), the bits in which these differ are shingles in which the sets do, and too many of them skip the pair.
+    else -1), the bits in which these differ are shingles in which the sets do, and too many of them skip the pair. Entries of ``side`` 0 meet those of side 1
+    only, entries of side 2 meet all.
     """
     a, b = share
     edge = np.flatnonzero(np.diff(n)) + 1
@@ -354,6 +425,8 @@ def list_pairs(
                 ok = roots[u] != roots[v]
                 if leads is not None:
                     ok &= leads[u] != leads[v]
+                if side is not None:
+                    ok &= (side[u] != side[v]) | (side[u] == 2)
                 if i == j:
                     ok &= u < v
                 u, v = np.nonzero(ok)
@@ -460,6 +533,7 @@ def text_classes(
     similarity: tuple[int, int] = (80, 100),
     hashes: int = 6,
     entries_a_bucket: int = 1_000_000,
+    longest: int = 1 << 15,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, text_hash, class_id``.
 
@@ -469,8 +543,8 @@ def text_classes(
     document of its own, also where ids repeat: ``class_id`` tells classes apart (null without words), ``text_hash`` rows of one id. A null id counts as the
     least. Other columns are ignored; an empty table gives no rows.
 
-    hashes: minima a set is compared by in step 2. entries_a_bucket: index entries that one task reads at once;
-    a single list is not split.
+    hashes: minima a set is compared by in step 2. entries_a_bucket: index entries that one task reads at once. longest: lists of shingles
+    that may be in more texts are split into blocks that meet in tasks of their own.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -499,7 +573,7 @@ def text_classes(
         .bucketBy(buckets, "sid").sortBy("sid").saveAsTable(name)
     )
     try:
-        final = _linked_sets(sets, per_doc, spark.table(name), levels, total[0] or 0, size, similarity, hashes, entries_a_bucket)
+        final = _linked_sets(sets, per_doc, spark.table(name), levels, total[0] or 0, size, similarity, hashes, entries_a_bucket, longest)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     back = lambda c: F.when(c == LEAST_ID, None).otherwise(c)
@@ -509,7 +583,7 @@ def text_classes(
 
 
 def _linked_sets(
-    sets: DataFrame, per_doc: DataFrame, texts: DataFrame, levels: np.ndarray, shingle_count: int, size: int, similarity: tuple[int, int], hashes: int, entries_a_bucket: int
+    sets: DataFrame, per_doc: DataFrame, texts: DataFrame, levels: np.ndarray, shingle_count: int, size: int, similarity: tuple[int, int], hashes: int, entries_a_bucket: int, longest: int
 ) -> DataFrame:
     """``set_id, component_id, class_id`` of all ``sets``; ``texts`` is bucketed by set."""
     a, b = similarity
@@ -545,9 +619,14 @@ def _linked_sets(
     crowded = famed.select("sid", F.lit(True).alias("crowded")).distinct()
     marks = first_roots.withColumnRenamed("node", "sid").join(crowded, "sid", "full").join(mine.select("sid", "lead"), "sid", "full")
     tagged = texts.join(marks, "sid", "left").select(
-        "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "text"
+        "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "n", "text"
     )
-    pairs = materialize(candidates(index_entries(tagged, levels, size, similarity, index_buckets), similarity), "jac-pairs")
+    # shingles that so many texts hold that one task should not read their list; a sketch slot counts at least what is in it
+    hot = math.ceil(math.log2(longest))
+    found = candidates(index_entries(tagged, levels, size, similarity, index_buckets, hot), similarity)
+    if int(levels.max(initial=0)) >= hot:
+        found = found.unionByName(hot_pairs(tagged, levels, size, similarity, hot, longest)).distinct()
+    pairs = materialize(found, "jac-pairs")
     met = overlaps(pairs.select("x", "y"), texts, size).filter(linked).select("x", "y")
     more = materialize(met.unionByName(derived), "jac-links")
     root = first_roots.select(F.col("node"), F.col("root"))

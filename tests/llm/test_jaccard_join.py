@@ -62,7 +62,7 @@ def test_matches_brute_force(spark):
     rows = corpus(rng, 360)
     rows += [(2000, None), (2001, ""), (2002, " \n\t"), (2003, "Alpha Beta"), (2004, "alpha\nbeta"), (2005, "alpha  gamma"), (2006, "É é a b c"), (2007, "é é a b c"), (None, "solo text"), (2008, "SOLO text"), rows[5], rows[6]]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("sid", F.lit(1)).repartition(6)
-    for more in ({}, {"hashes": 1, "entries_a_bucket": 50}):
+    for more in ({}, {"hashes": 1, "entries_a_bucket": 50}, {"hashes": 1, "longest": 4}):
         got = sorted((tuple(r) for r in similarity_classes(docs, **more).collect()), key=str)
         assert got == brute(rows)
     assert len({r[2] for r in brute(rows)}) < 330
@@ -88,6 +88,7 @@ def test_near_copies_around_a_leader_match_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert len({r[2] for r in want}) > 10
     assert sorted((tuple(r) for r in similarity_classes(docs).collect()), key=str) == want
+    assert sorted((tuple(r) for r in similarity_classes(docs, longest=16).collect()), key=str) == want
     whole = jaccard_join.links_by_leader
     monkeypatch.setattr(jaccard_join, "links_by_leader", lambda *a, **k: whole(*a, **k, longest=7))
     monkeypatch.setattr(jaccard_join, "overlaps", lambda *a, f=jaccard_join.overlaps, **k: f(*a, **k, chunk=3))
