@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import glob_matches
-from tessera.operators.catalogue import BUILTINS, RISKY, SYMBOLS
-from tessera.operators.text import lines_of, to_lines
+from tessera.operators.catalogue import BUILTINS, RISKY
+from tessera.operators.scopes import declarations
+from tessera.operators.text import lines_of
 from tessera.plans.scratch import materialize
 
 KEYS = ["repo_id", "file_path"]
@@ -74,22 +75,19 @@ def _is_public(name: Column) -> Column:
 
 
 def extract_symbols(files: DataFrame, symbols: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
-    """Declarations: ``repo_id, file_path, language, name, kind, line_no, is_public, is_entry_point``, by line patterns of each language.
+    """Declarations: ``repo_id, file_path, language, name, kind, line_no, end_line, parent, is_public, is_entry_point``.
 
-    The first pattern of a line's language that matches decides. Entry points are functions named ``main`` (any case) or
+    By line patterns of each language, of which the first that matches decides, on files whose comments and strings are blank; blocks give the last line
+    and the declaration around it. A Python function is a method where a class is next around it. Entry points are functions named ``main`` (any case) or
     public functions of files whose path speaks of routes, handlers, an API or controllers.
     """
-    symbols = symbols or SYMBOLS
-    lines = to_lines(files.filter(F.col("language").isin(*symbols)).select(*KEYS, "language", "content"))
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for language, patterns in sorted(symbols.items()):
-        tests = [F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", p, 1).alias("name"))) for k, p in patterns]
-        found = F.when(F.col("language") == language, F.coalesce(*tests)).otherwise(found)
-    rows = lines.withColumn("s", found).filter("s IS NOT NULL AND s.name <> ''").withColumns({"name": F.col("s.name"), "kind": F.col("s.kind")})
+    rows = declarations(files, symbols)
+    python = (F.col("language") == "python") & F.col("kind").isin("function", "method")
+    rows = rows.withColumn("kind", F.when(python, F.when(F.col("parent_kind") == "class", "method").otherwise("function")).otherwise(F.col("kind")))
     public = _is_public(F.col("name"))
     callable_ = F.col("kind").isin("function", "method")
     entry = callable_ & ((F.lower("name") == "main") | (public & F.col("file_path").rlike("routes|handler|api|Controller")))
-    return rows.select(*KEYS, "language", "name", "kind", "line_no", public.alias("is_public"), entry.alias("is_entry_point"))
+    return rows.select(*KEYS, "language", "name", "kind", "line_no", "end_line", "parent", public.alias("is_public"), entry.alias("is_entry_point"))
 
 
 def structural_search(files: DataFrame, kind: str, name_regex: str = ".*") -> DataFrame:
