@@ -12,7 +12,6 @@ from tessera.functions.columns import assigned_variable, file_matches, fingerpri
 from tessera.operators import catalogue
 from tessera.operators.catalogue import Rule
 from tessera.operators.text import around, in_test_code, lines_of, to_lines
-from tessera.plans.scratch import materialize
 
 KEYS = ["repo_id", "file_path"]
 
@@ -138,40 +137,50 @@ def _patterns(table: dict[str, list[tuple[str, str]]], line: Column) -> Column:
     return out
 
 
+TAINTED = "array<struct<variable:string,source_line:int>>"
+
+
+def _first_of_each(sorted_rows: Column) -> Column:
+    """Of rows in order of ``variable`` the first of each."""
+    return F.aggregate(sorted_rows, F.array().cast(TAINTED), lambda acc, r: F.when(F.try_element_at(acc, F.lit(-1))["variable"].eqNullSafe(r["variable"]), acc).otherwise(F.concat(acc, F.array(r))))
+
+
+def _spread(seeds: Column, assigned: Column, rounds: int) -> Column:
+    """``(variable, source_line)`` of all names that ``seeds`` taint through ``assigned (line, variable)``: a fixed point inside the row.
+
+    Each round only looks for names that the round before has added; a name keeps what it was first tainted by.
+    """
+
+    def step(s: Column, _: Column) -> Column:
+        reaching = lambda a: F.filter(s["fresh"], lambda f: F.contains(a["line"], f["variable"]) & (a["variable"] != f["variable"]))
+        reached = F.flatten(F.transform(assigned, lambda a: F.transform(reaching(a), lambda f: F.struct(a["variable"].alias("variable"), f["source_line"].alias("source_line")))))
+        new = F.filter(reached, lambda r: ~F.exists(s["known"], lambda t: t["variable"] == r["variable"]) & ~F.exists(s["fresh"], lambda t: t["variable"] == r["variable"]))
+        return F.struct(F.concat(s["known"], s["fresh"]).alias("known"), _first_of_each(F.array_sort(new)).alias("fresh"))
+
+    start = F.struct(F.array().cast(TAINTED).alias("known"), seeds.alias("fresh"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.concat(s["known"], s["fresh"]))
+
+
 def taint_flows(files: DataFrame, rounds: int = 10, sources: dict | None = None, sinks: dict | None = None) -> DataFrame:
     """Flows inside files: ``repo_id, file_path, language, source_line, sink_line, sink_pattern, category, variable``.
 
     A line with a source taints the variable it assigns (a variable seeded more than once keeps the last such line). A line that assigns and holds a tainted name taints its variable too,
     for up to ``rounds`` rounds. A sink line that holds a tainted name is one flow for each sink pattern, from the tainted name with the least source line, then name. The order of lines is not looked at.
+    Each row is a file of its own, also where repository or path are null or repeat: all of it is found inside the row, and nothing is shuffled.
     """
     sources, sinks = sources or catalogue.SOURCES, sinks or catalogue.SINKS
-    lines = to_lines(files.filter(F.col("language").isin(*{*sources, *sinks})).select(*KEYS, "language", "content"))
-    marked = lines.select(
-        *KEYS, "language", "line_no", "line", _patterns(sources, F.col("line")).alias("from"), _patterns(sinks, F.col("line")).alias("to"), assigned_variable(F.col("line")).alias("variable")
-    ).filter("size(from) > 0 OR size(to) > 0 OR variable IS NOT NULL")
-    seeds = marked.filter("size(from) > 0 AND variable IS NOT NULL").groupBy(*KEYS, "variable").agg(F.max("line_no").alias("source_line"))
-    tainted = materialize(seeds.select(*KEYS, "variable", "source_line"), "taint")
-    with_seed = marked.join(tainted.select(*KEYS).distinct(), KEYS, "left_semi")  # only files with a source go on
-    assigned = materialize(with_seed.filter("variable IS NOT NULL").select(*KEYS, "line", "variable"), "taint-lines")
-    fresh = tainted
-    for _ in range(rounds):
-        seen = fresh.withColumnRenamed("variable", "v")
-        more = (
-            assigned.join(seen, KEYS)
-            .filter(F.col("line").contains(F.col("v")) & (F.col("variable") != F.col("v")))
-            .groupBy(*KEYS, "variable")
-            .agg(F.min("source_line").alias("source_line"))
-            .join(tainted.select(*KEYS, "variable"), [*KEYS, "variable"], "left_anti")
-        )
-        fresh = materialize(more, "taint-round")
-        if fresh.isEmpty():
-            break
-        tainted = tainted.unionByName(fresh)
-    hit = with_seed.filter("size(to) > 0").select(*KEYS, "language", "line_no", "line", F.explode("to").alias("s")).join(tainted, KEYS)
-    hit = hit.filter(F.col("line").contains(F.col("variable")))
-    return hit.groupBy(*KEYS, "language", F.col("line_no").alias("sink_line"), F.col("s.pattern").alias("sink_pattern"), F.col("s.category").alias("category")).agg(
-        F.min(F.struct("source_line", "variable")).alias("m")
-    ).select(*KEYS, "language", "m.source_line", "sink_line", "sink_pattern", "category", "m.variable")
+    rows = files.filter(F.col("language").isin(*{*sources, *sinks})).select(*KEYS, "language", lines_of(F.col("content")).alias("x"))
+    seen = F.transform("x", lambda v, i: F.struct((i + 1).alias("line_no"), v.alias("line"), (F.size(_patterns(sources, v)) > 0).alias("from"), _patterns(sinks, v).alias("to"), assigned_variable(v).alias("variable")))
+    rows = rows.select(*KEYS, "language", F.filter(seen, lambda m: m["from"] | (F.size(m["to"]) > 0) | m["variable"].isNotNull()).alias("m"))
+    seeds = F.transform(F.filter("m", lambda m: m["from"] & m["variable"].isNotNull()), lambda m: F.struct(m["variable"].alias("variable"), (-m["line_no"]).alias("source_line")))
+    rows = rows.withColumn("seeds", F.transform(_first_of_each(F.array_sort(seeds)), lambda s: F.struct(s["variable"].alias("variable"), (-s["source_line"]).alias("source_line"))))
+    rows = rows.filter("size(seeds) > 0").withColumn("assigned", F.filter("m", lambda m: m["variable"].isNotNull())).withColumn("ends", F.filter("m", lambda m: F.size(m["to"]) > 0)).filter("size(ends) > 0")
+    rows = rows.select(*KEYS, "language", "ends", _spread(F.col("seeds"), F.col("assigned"), rounds).alias("tainted"))
+    rows = rows.select(*KEYS, "language", "tainted", F.explode("ends").alias("e"))
+    held = F.filter("tainted", lambda t: F.contains(F.col("e.line"), t["variable"]))
+    least = F.array_min(F.transform(held, lambda t: F.struct(t["source_line"].alias("source_line"), t["variable"].alias("variable"))))
+    rows = rows.select(*KEYS, "language", F.col("e.line_no").alias("sink_line"), least.alias("t"), F.explode("e.to").alias("s")).filter("t IS NOT NULL")
+    return rows.select(*KEYS, "language", "t.source_line", "sink_line", F.col("s.pattern").alias("sink_pattern"), F.col("s.category").alias("category"), "t.variable")
 
 
 def taint_findings(flows: DataFrame) -> DataFrame:

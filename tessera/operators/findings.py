@@ -262,16 +262,23 @@ def scan_patches(patches: DataFrame, findings: DataFrame) -> DataFrame:
     return patches.join(findings.select("finding_id", "scan_id", "file_path"), "finding_id")
 
 
+def _newest(rows: DataFrame, value: Column, tie: Column) -> DataFrame:
+    """``finding_id, __v``: the ``value`` of each finding's newest row by ``created_at`` (if the column is there), then by ``tie``."""
+    time = [F.col("created_at")] if "created_at" in rows.columns else []
+    return rows.groupBy("finding_id").agg(F.max_by(value, F.struct(*time, tie)).alias("__v"))
+
+
 def apply_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Findings after reviewer verdicts (``finding_id, verdict``: a model's text that holds JSON with verdict, severity, reasoning).
 
     confirmed: confidence high, and the severity if it is a known one; false_positive: that status and low confidence;
-    anything else, also unreadable JSON, changes nothing but for the reasoning that is appended to the description. Adds ``outcome``.
+    anything else, also unreadable JSON, changes nothing but for the reasoning that is appended to the description. Adds ``outcome``. Of several
+    verdicts of a finding the newest by ``created_at`` counts, of equal ones (or without that column) the last in order of text.
     """
-    v = F.from_json(extract_json(F.col("verdict")), "verdict string, severity string, reasoning string")
-    got = verdicts.select("finding_id", v.alias("v")).select(
+    v = F.from_json(extract_json(F.col("__v")), "verdict string, severity string, reasoning string")
+    got = _newest(verdicts, F.col("verdict"), F.col("verdict")).select("finding_id", v.alias("v")).select(
         "finding_id", F.lower("v.verdict").alias("__verdict"), F.lower("v.severity").alias("__severity"), F.col("v.reasoning").alias("__why")
-    ).dropDuplicates(["finding_id"])
+    )
     both = findings.join(got, "finding_id", "left")
     sure, wrong = F.col("__verdict").eqNullSafe("confirmed"), F.col("__verdict").eqNullSafe("false_positive")
     return both.withColumns(
@@ -286,10 +293,16 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def apply_validation(findings: DataFrame, results: DataFrame) -> DataFrame:
-    """Sets ``poc_validated`` and ``poc_result`` (JSON) from ``results (finding_id, verdict, exit_code, output)``."""
-    got = results.select("finding_id", (F.col("verdict") == "confirmed").alias("__ok"), F.to_json(F.struct("verdict", "exit_code", "output")).alias("__json"))
-    both = findings.drop("poc_result").join(got, "finding_id", "left")
-    return both.withColumns({"poc_validated": F.coalesce("__ok", "poc_validated"), "poc_result": F.col("__json")}).drop("__ok", "__json")
+    """Sets ``poc_validated`` and ``poc_result`` (JSON) from ``results (finding_id, verdict, exit_code, output)``; a finding without a result keeps what it has.
+
+    Of several results of a finding the newest by ``created_at`` counts, of equal ones (or without that column) the last in order of verdict, exit code and output.
+    """
+    result = F.struct("verdict", "exit_code", "output")
+    got = _newest(results, result, result).select("finding_id", (F.col("__v.verdict") == "confirmed").alias("__ok"), F.to_json("__v").alias("__json"))
+    if "poc_result" not in findings.columns:
+        findings = findings.withColumn("poc_result", F.lit(None).cast("string"))
+    both = findings.join(got, "finding_id", "left")
+    return both.withColumns({"poc_validated": F.coalesce("__ok", "poc_validated"), "poc_result": F.coalesce("__json", "poc_result")}).drop("__ok", "__json")
 
 
 def eligible_jobs(jobs: DataFrame, now: Column, max_active: int = 2) -> DataFrame:
@@ -391,18 +404,70 @@ def cascade_delete(deleted: DataFrame, children: DataFrame, key: str, set_null:
     return marked.withColumn(key, F.when(F.col("__gone").isNull(), F.col(key))).select(*children.columns)
 
 
+def humanized(slug: Column) -> Column:
+    """Words of a slug with capital first letters: ``in_review`` is ``In Review``. Other letters stay."""
+    words = F.filter(F.split(slug, "_"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+
+
+#: Titles and tones of events, and what is said where an event has no text of its own.
+FEED = {
+    "status_change": ("Status updated", None, "The finding status was updated."),
+    "ai_explanation": ("AI explanation generated", "active", "Plain-language clarification is now available for this alert."),
+    "ai_verification": (None, None, "A second-pass verification review was recorded."),
+    "issue_linked": ("Repository issue linked", "success", "Repository issue linkage changed."),
+    "remediation_started": ("Fix PR agent started", "active", "Fix PR generation started."),
+    "remediation_pr_opened": ("Fix PR opened", "success", "A draft pull request was opened for this finding."),
+    "remediation_failed": ("Fix PR agent failed", "warning", "Fix PR generation failed before a pull request was opened."),
+}
+STATUS_TONE = {"confirmed": "success", "fixed": "success", "false_positive": "warning", "dismissed": "neutral"}
+VERDICT_TONE = {"confirmed": "success", "false_positive_likely": "warning"}
+
+
+def _lookup(table: dict[str, str], key: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
+
+
 def activity_feed(events: DataFrame) -> DataFrame:
-    """``title, detail, tone`` of finding events by type and values."""
-    kind = F.col("event_type")
-    title = (
-        F.when(kind == "status_changed", F.format_string("Status set to %s", "new_value"))
-        .when(kind == "severity_changed", F.format_string("Severity set to %s", "new_value"))
-        .when(kind == "comment", F.lit("Comment")).when(kind == "patch_applied", F.lit("Patch applied")).when(kind == "created", F.lit("Finding created"))
-        .otherwise(F.initcap(F.translate(kind, "_", " ")))
-    )
-    detail = F.when(kind.endswith("_changed") & F.col("old_value").isNotNull(), F.format_string("was %s", "old_value")).otherwise(F.coalesce("new_value", F.lit("")))
-    tone = F.when(F.col("new_value").isin("fixed", "confirmed") | (kind == "patch_applied"), "good").when(F.col("new_value").isin("critical", "open"), "bad").otherwise("neutral")
-    return events.withColumns({"feed_title": title, "detail": detail, "tone": tone})
+    """Adds ``feed_title, detail, tone`` of finding events by ``event_type, old_value, new_value, comment, metadata`` (JSON; missing columns count as null).
+
+    Texts of the metadata count only if they are strings, as does ``created`` only as a boolean; malformed metadata counts as none.
+    """
+    for c in ("old_value", "new_value", "comment", "metadata"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast("string"))
+    kind, old, new, comment = (F.col(c) for c in ("event_type", "old_value", "new_value", "comment"))
+    data = F.expr("try_parse_json(metadata)")
+
+    def text(field: str) -> Column:
+        is_text = F.schema_of_variant(F.try_variant_get(data, f"$.{field}", "variant")) == "STRING"
+        return F.when(is_text, F.try_variant_get(data, f"$.{field}", "string"))
+
+    made = F.schema_of_variant(F.try_variant_get(data, "$.created", "variant")) == "BOOLEAN"
+    made = F.coalesce(F.when(made, F.try_variant_get(data, "$.created", "boolean")), F.lit(False))
+    said = lambda k: F.coalesce(comment, F.lit(FEED[k][2]))
+    linked = F.when(made, F.concat(F.upper(text("provider")), F.lit(" issue #"), text("external_issue_number"), F.lit(" was created for this finding."))).otherwise(
+        F.concat(F.lit("Linked to existing "), F.upper(text("provider")), F.lit(" issue #"), text("external_issue_number"), F.lit(" for this finding."))
+    )
+    moved = F.when(old.isNotNull(), F.concat(F.lit("Triage moved from "), humanized(old), F.lit(" to "), humanized(new), F.lit("."))).otherwise(F.concat(F.lit("Triage moved to "), humanized(new), F.lit(".")))
+    started = F.concat(F.lit("Generating a fix branch `"), text("branch"), F.lit("` with `"), text("model"), F.lit("`."))
+    verdict = text("verdict")
+    detail = (
+        F.when(kind == "status_change", F.coalesce(moved, said("status_change")))
+        .when(kind == "ai_explanation", F.coalesce(text("summary"), said("ai_explanation")))
+        .when(kind == "ai_verification", F.coalesce(text("rationale"), said("ai_verification")))
+        .when(kind == "issue_linked", F.coalesce(linked, said("issue_linked")))
+        .when(kind == "remediation_started", F.coalesce(started, said("remediation_started")))
+        .when(kind == "remediation_pr_opened", F.coalesce(F.concat(F.lit("Draft pull request opened: "), text("pr_url")), said("remediation_pr_opened")))
+        .when(kind == "remediation_failed", F.coalesce(text("error"), said("remediation_failed")))
+        .otherwise(F.coalesce(comment, new, old, F.lit("Review activity was recorded.")))
+    )
+    title = F.when(kind == "ai_verification", F.concat(F.lit("AI verification: "), F.coalesce(humanized(verdict), F.lit("Needs Review"))))
+    tone = F.when(kind == "status_change", _lookup(STATUS_TONE, new, "active")).when(kind == "ai_verification", _lookup(VERDICT_TONE, verdict, "active"))
+    for k, (name, mood, _) in FEED.items():
+        title = title.when(kind == k, name) if name else title
+        tone = tone.when(kind == k, mood) if mood else tone
+    return events.withColumns({"feed_title": title.otherwise(humanized(kind)), "detail": detail, "tone": tone.otherwise("neutral")})
 
 
 def issue_texts(findings: DataFrame) -> DataFrame:
@@ -426,10 +491,11 @@ def mark_connected(remote: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def merge_new(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming findings whose fingerprint is not there yet, one for each fingerprint."""
-    fresh = incoming.join(existing.select("fingerprint"), "fingerprint", "left_anti")
+    """Incoming findings whose fingerprint is not there yet, one for each fingerprint. Findings without a fingerprint can't be told apart, so all of them are new."""
+    fresh = incoming.filter("fingerprint IS NOT NULL").join(existing.select("fingerprint"), "fingerprint", "left_anti")
     w = Window.partitionBy("fingerprint").orderBy(*[F.col(c) for c in incoming.columns if c in ("file_path", "line_start", "finding_id")])
-    return fresh.withColumn("__k", F.row_number().over(w)).filter("__k = 1").select(*incoming.columns)
+    fresh = fresh.withColumn("__k", F.row_number().over(w)).filter("__k = 1").select(*incoming.columns)
+    return fresh.unionByName(incoming.filter("fingerprint IS NULL"))
 
 
 def detector_summary(findings: DataFrame) -> DataFrame:

@@ -145,10 +145,12 @@ def call_names(files: DataFrame) -> DataFrame:
 
 
 def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Edges ``repo_id, file_path, caller, callee, line_no``: every function of a file to every function of it that is called somewhere in the file."""
-    functions = symbols.filter(F.col("kind").isin("function", "method")).select(*KEYS, "name", "line_no").distinct()
-    callees = calls.join(functions.select(*KEYS, "name").distinct(), [*KEYS, "name"], "left_semi").withColumnRenamed("name", "callee")
-    return functions.withColumnRenamed("name", "caller").join(callees, KEYS).filter("caller <> callee").select(*KEYS, "caller", "callee", "line_no")
+    """Edges ``repo_id, file_path, caller, callee, line_no``: every function of a file to every function of it that is called somewhere in the file. Null is a repository like any other."""
+    file = F.struct(*KEYS).alias("file")  # a struct's null fields are equal
+    functions = symbols.filter(F.col("kind").isin("function", "method")).select(file, "name", "line_no").distinct()
+    callees = calls.select(file, "name").join(functions.select("file", "name").distinct(), ["file", "name"], "left_semi").withColumnRenamed("name", "callee")
+    found = functions.withColumnRenamed("name", "caller").join(callees, "file").filter("caller <> callee")
+    return found.select("file.*", "caller", "callee", "line_no")
 
 
 def callers(edges: DataFrame, name: str) -> DataFrame:

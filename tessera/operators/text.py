@@ -9,9 +9,9 @@ from tessera.functions.columns import language_of
 
 
 def lines_of(content: Column) -> Column:
-    """Array of lines: one trailing line break makes no line, and a carriage return before a break is dropped."""
+    """Array of lines: one trailing line break makes no line, and a carriage return before a break is dropped (one at the end of a last line without a break is not)."""
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(F.regexp_replace(content, r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+        F.split(F.regexp_replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), r"\n\z", ""), "\n")
     )
 
 

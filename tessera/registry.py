@@ -51,9 +51,10 @@ PROSE_RULES = [
 ]
 PROSE_ABSENT = [Rule("no-license", "low", "CWE-1104", (), r"(?m)Licensed under", (), "Add one.", "absent", ("*.py", "*.go"))]
 LINES = r"""
-raw AS (SELECT doc_id, repo_id, file_path, language, CASE WHEN content LIKE '%' || chr(10) THEN left(content, length(content) - 1) ELSE content END AS c, coalesce(content, '') AS content FROM fx_files),
+raw0 AS (SELECT *, replace(content, chr(13) || chr(10), chr(10)) AS c0 FROM fx_files),
+raw AS (SELECT doc_id, repo_id, file_path, language, CASE WHEN c0 LIKE '%' || chr(10) THEN left(c0, length(c0) - 1) ELSE c0 END AS c, coalesce(content, '') AS content FROM raw0),
 arr AS (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(c, chr(10)) END AS x FROM raw),
-lines AS (SELECT repo_id, file_path, language, unnest(range(1, len(x) + 1)) AS line_no, regexp_replace(unnest(x), '\r$', '') AS line FROM arr)
+lines AS (SELECT repo_id, file_path, language, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM arr)
 """
 TEST_PATH = "(file_path LIKE '%/tests/%')"
 

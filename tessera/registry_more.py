@@ -34,8 +34,9 @@ def query(name: str, views: str = "", sql: str = "") -> Callable[[Query], Query]
 
 
 LINES = r"""
-raw AS (SELECT doc_id, repo_id, file_path, language, CASE WHEN content LIKE '%' || chr(10) THEN left(content, length(content) - 1) ELSE content END AS c, coalesce(content, '') AS content FROM fx_files),
-arr AS (SELECT * EXCLUDE (x0), list_transform(x0, lambda v: regexp_replace(v, '\r$', '')) AS x FROM (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(c, chr(10)) END AS x0 FROM raw)),
+raw0 AS (SELECT *, replace(content, chr(13) || chr(10), chr(10)) AS c0 FROM fx_files),
+raw AS (SELECT doc_id, repo_id, file_path, language, CASE WHEN c0 LIKE '%' || chr(10) THEN left(c0, length(c0) - 1) ELSE c0 END AS c, coalesce(content, '') AS content FROM raw0),
+arr AS (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(c, chr(10)) END AS x FROM raw),
 lines AS (SELECT repo_id, file_path, language, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM arr)
 """
 
@@ -151,6 +152,24 @@ def find_symbol(spark, root):
     return graph.find_symbol(_symbols(spark, root), "f7").select("repo_id", "file_path", "name")
 
 
+BREAKS = "length(t) - length(replace(t, chr(10), ''))"
+
+
+@query("declaration_ends", "files", f"""WITH d AS (SELECT file_path, replace(replace(replace(coalesce(content, ''), '"', ' '), chr(92), ' '), '*/', '  ') AS t FROM fx_files WHERE language IS NOT NULL)
+SELECT file_path, 'shown' AS name, 1 AS line_no, CAST(4 + {BREAKS} AS INT) AS end_line, '' AS parent FROM d UNION ALL SELECT file_path, 'Last', CAST(5 + {BREAKS} AS INT), CAST(6 + {BREAKS} AS INT), '' FROM d""")
+def declaration_ends(spark, root):
+    """Each file is a function around the document's text as a comment or string, in which a declaration is hidden, and a type."""
+    t = F.replace(F.replace(F.replace(F.coalesce("content", F.lit("")), F.lit('"'), F.lit(" ")), F.lit("\\"), F.lit(" ")), F.lit("*/"), F.lit("  "))
+    head = {"python": "def shown():", "javascript": "function shown() {", "go": "func shown() {", "java": "  public void shown() {", "rust": "fn shown() {"}
+    hidden = {"python": "def no(): pass", "javascript": "function no() {", "go": "func no() {", "java": "  public void no() {", "rust": "fn no() {"}
+    last = {"python": "class Last:\n  x = 1", "javascript": "class Last {\n}", "go": "type Last struct {\n}", "java": "class Last {\n}", "rust": "struct Last {\n}"}
+    of = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("language"))
+    python = F.col("language") == "python"
+    body = F.concat(of(head), F.lit("\n"), F.when(python, '  """').otherwise("/* "), t, F.lit("\n"), of(hidden), F.when(python, '"""\n  return 1\n').otherwise(" */\n}\n"), of(last))
+    found = graph.extract_symbols(fx(spark, root, "files").filter("language IS NOT NULL").withColumn("content", body))
+    return found.select("file_path", "name", "line_no", "end_line", F.coalesce("parent", F.lit("")).alias("parent"))
+
+
 @query("dependents", "files", """SELECT DISTINCT repo_id, file_path FROM fx_files WHERE language = 'go' AND content LIKE '%"token"%'""")
 def dependents(spark, root):
     return graph.dependents(graph.imports(fx(spark, root, "files")), "token")
@@ -210,11 +229,14 @@ def verdicts_apply(spark, root):
     return findings.apply_verdicts(f, _verdicts(f)).select("finding_id", "severity", "confidence", "status", "outcome", "description")
 
 
-@query("validation_apply", "findings", """SELECT finding_id, CASE WHEN line_start % 20 = 0 THEN line_start % 40 = 0 ELSE poc_validated END AS poc_validated, CASE WHEN line_start % 20 = 0 THEN '{"verdict":"' || CASE WHEN line_start % 40 = 0 THEN 'confirmed' ELSE 'failed' END || '","exit_code":' || line_start || ',"output":"' || title || '"}' END AS poc_result FROM fx_findings""")
+@query("validation_apply", "findings", """SELECT finding_id, CASE WHEN line_start % 20 = 0 THEN line_start % 40 = 0 ELSE poc_validated END AS poc_validated, CASE WHEN line_start % 20 = 0 THEN '{"verdict":"' || CASE WHEN line_start % 40 = 0 THEN 'confirmed' ELSE 'failed' END || '","exit_code":' || line_start || ',"output":"' || title || '"}' WHEN line_start % 30 = 0 THEN '{"stored":' || line_start || '}' END AS poc_result FROM fx_findings""")
 def validation_apply(spark, root):
-    f = fx(spark, root, "findings")
-    got = f.filter("line_start % 20 = 0").select("finding_id", F.when(F.col("line_start") % 40 == 0, "confirmed").otherwise("failed").alias("verdict"), F.col("line_start").alias("exit_code"), F.col("title").alias("output"))
-    return findings.apply_validation(f.withColumn("poc_result", F.lit(None).cast("string")), got).select("finding_id", "poc_validated", "poc_result")
+    """Some findings have a stored result; two in three of the results are older ones of the same findings."""
+    f = fx(spark, root, "findings").withColumn("poc_result", F.when(F.col("line_start") % 10 == 0, F.when(F.col("line_start") % 30 == 0, F.concat(F.lit('{"stored":'), "line_start", F.lit("}")))))
+    verdict = F.when((F.col("line_start") % 40 == 0) == (F.col("k") == 0), "confirmed").otherwise("failed")
+    got = f.filter("line_start % 20 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    got = got.select("finding_id", verdict.alias("verdict"), F.col("line_start").alias("exit_code"), F.col("title").alias("output"), F.date_sub("created_at", F.col("k")).alias("created_at"))
+    return findings.apply_validation(f, got).select("finding_id", "poc_validated", "poc_result")
 
 
 @query("merge_new", "findings", "WITH f AS (SELECT finding_id, title || ':' || file_path AS fingerprint, line_start, file_path FROM fx_findings) SELECT finding_id, fingerprint FROM f WHERE line_start % 20 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE line_start % 20 <> 0) QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY finding_id, file_path, line_start) = 1")
@@ -228,7 +250,10 @@ def detector_summary(spark, root):
     return findings.detector_summary(fx(spark, root, "findings").withColumn("source", F.col("cwe_id")))
 
 
-EVENT_SQL = "SELECT event_id, user_id AS finding_id, ts AS created_at, CASE event_id % 5 WHEN 0 THEN 'status_changed' WHEN 1 THEN 'severity_changed' WHEN 2 THEN 'comment' WHEN 3 THEN 'patch_applied' ELSE 'issue_linked' END AS event_type, CASE event_id % 3 WHEN 0 THEN 'open' END AS old_value, CASE event_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'critical' WHEN 2 THEN 'noted' END AS new_value FROM {events}"
+KINDS = ("status_change", "ai_explanation", "ai_verification", "issue_linked", "remediation_pr_opened", "comment", "remediation_failed")
+EVENT_SQL = f"""SELECT event_id, user_id AS finding_id, ts AS created_at, CASE event_id % {len(KINDS)} {' '.join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS))} END AS event_type,
+  CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'in_review' END AS old_value, CASE event_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'false_positive' WHEN 2 THEN 'noted' END AS new_value, CASE WHEN event_id % 2 = 0 THEN 'said' END AS comment,
+  CASE event_id % 5 WHEN 0 THEN concat('{{{{"summary":"s', CAST(event_id AS STRING), '","verdict":"confirmed","provider":"gitlab","external_issue_number":"', CAST(event_id AS STRING), '","created":true,"pr_url":"u"}}}}') WHEN 1 THEN 'broken' END AS metadata FROM {{events}}"""
 
 
 @query("latest_event", "", f"WITH e AS ({EVENT_SQL.format(events='events')}) SELECT finding_id, event_id, new_value FROM e WHERE event_type = 'comment' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY created_at DESC, event_id DESC) = 1")
@@ -238,8 +263,18 @@ def latest_event(spark, root):
 
 @query(
     "activity_feed", "",
-    f"""WITH e AS ({EVENT_SQL.format(events='events')}) SELECT event_id, CASE event_type WHEN 'status_changed' THEN 'Status set to ' || coalesce(new_value, 'null') WHEN 'severity_changed' THEN 'Severity set to ' || coalesce(new_value, 'null') WHEN 'comment' THEN 'Comment' WHEN 'patch_applied' THEN 'Patch applied' ELSE 'Issue Linked' END AS feed_title,
-  CASE WHEN event_type LIKE '%_changed' AND old_value IS NOT NULL THEN 'was ' || old_value ELSE coalesce(new_value, '') END AS detail, CASE WHEN new_value = 'fixed' OR event_type = 'patch_applied' THEN 'good' WHEN new_value = 'critical' THEN 'bad' ELSE 'neutral' END AS tone FROM e""",
+    f"""WITH e AS ({EVENT_SQL.format(events='events')}),
+v AS (SELECT *, CASE new_value WHEN 'fixed' THEN 'Fixed' WHEN 'false_positive' THEN 'False Positive' WHEN 'noted' THEN 'Noted' END AS n, CASE old_value WHEN 'open' THEN 'Open' WHEN 'in_review' THEN 'In Review' END AS o, event_id % 5 = 0 AS m FROM e)
+SELECT event_id, CASE event_type WHEN 'status_change' THEN 'Status updated' WHEN 'ai_explanation' THEN 'AI explanation generated' WHEN 'ai_verification' THEN 'AI verification: ' || CASE WHEN m THEN 'Confirmed' ELSE 'Needs Review' END
+    WHEN 'issue_linked' THEN 'Repository issue linked' WHEN 'remediation_pr_opened' THEN 'Fix PR opened' WHEN 'remediation_failed' THEN 'Fix PR agent failed' ELSE 'Comment' END AS feed_title,
+  CASE event_type WHEN 'status_change' THEN coalesce('Triage moved from ' || o || ' to ' || n || '.', 'Triage moved to ' || n || '.', comment, 'The finding status was updated.')
+    WHEN 'ai_explanation' THEN CASE WHEN m THEN 's' || event_id ELSE coalesce(comment, 'Plain-language clarification is now available for this alert.') END
+    WHEN 'ai_verification' THEN coalesce(comment, 'A second-pass verification review was recorded.')
+    WHEN 'issue_linked' THEN CASE WHEN m THEN 'GITLAB issue #' || event_id || ' was created for this finding.' ELSE coalesce(comment, 'Repository issue linkage changed.') END
+    WHEN 'remediation_pr_opened' THEN CASE WHEN m THEN 'Draft pull request opened: u' ELSE coalesce(comment, 'A draft pull request was opened for this finding.') END
+    WHEN 'remediation_failed' THEN coalesce(comment, 'Fix PR generation failed before a pull request was opened.') ELSE coalesce(comment, new_value, old_value, 'Review activity was recorded.') END AS detail,
+  CASE event_type WHEN 'status_change' THEN CASE new_value WHEN 'fixed' THEN 'success' WHEN 'false_positive' THEN 'warning' ELSE 'active' END WHEN 'ai_explanation' THEN 'active' WHEN 'ai_verification' THEN CASE WHEN m THEN 'success' ELSE 'active' END
+    WHEN 'issue_linked' THEN 'success' WHEN 'remediation_pr_opened' THEN 'success' WHEN 'remediation_failed' THEN 'warning' ELSE 'neutral' END AS tone FROM v""",
 )
 def activity_feed(spark, root):
     return findings.activity_feed(spark.sql(EVENT_SQL, events=table(spark, root, "events"))).select("event_id", "feed_title", "detail", "tone")

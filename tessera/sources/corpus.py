@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ def _skipped(path: Column) -> Column:
 def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """Text files below a folder: ``repo_id, file_path, content, byte_size, language``.
 
-    Skipped directories (which aren't opened), hidden files, files over ``MOST_BYTES`` and files that aren't UTF-8 are left out;
+    Skipped directories (which aren't opened), hidden files, links (to files or folders), files over ``MOST_BYTES`` and files that aren't UTF-8 are left out;
     names that begin with an underscore, which Spark's own listing drops, are read. ``root`` is an absolute path or a URI
     that pyarrow opens. Directories are listed level by level, and files read, in tasks.
     """
@@ -43,6 +44,7 @@ def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
         for pdf in batches:
             for folder in pdf["file_path"]:
                 found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base))
+                found = [e for e in found if not (isinstance(fs, pafs.LocalFileSystem) and os.path.islink(e.path))]
                 rows = [(e.path[len(base) :].lstrip("/"), e.base_name, e.type == pafs.FileType.Directory, e.size or 0) for e in found]
                 rows = [(p, d, n) for p, name, d, n in rows if not (name in skipped if d else name.startswith(".") or n > MOST_BYTES)]
                 yield pd.DataFrame(rows, columns=["file_path", "is_dir", "byte_size"])

@@ -153,6 +153,11 @@ def test_taint_matches_plain_python(spark):
                 if hit:
                     want.add((f"f{i}.py", n, p, *hit[0]))
     assert got == want and want
+    plan = detect.taint_flows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    odd = spark.createDataFrame([(None, "a.py", "python", "a = input()\nos.system(a)"), (None, "a.py", "python", "a = input()"), (None, None, "python", "os.system(a)"), ("r", "b.py", "python", None)], FILES)
+    assert [tuple(r)[:5] for r in detect.taint_flows(odd).collect()] == [(None, "a.py", "python", 1, 2)]
+
 
 
 def test_manifests_and_advisories(spark):
