@@ -218,14 +218,6 @@ def assigned_variable(line: Column) -> Column:
     return F.when(~bad, name)
 
 
-def version_key(v: Column) -> Column:
-    """A sortable key: numeric parts padded to ten digits, up to five; a release after its pre-releases."""
-    core = F.split(F.regexp_replace(v, r"^[^0-9]*", ""), r"[-+]")
-    parts = F.slice(F.concat(F.split(F.element_at(core, 1), r"\."), F.array_repeat(F.lit("0"), 5)), 1, 5)
-    key = F.array_join(F.transform(parts, lambda p: F.lpad(F.regexp_extract(p, "^[0-9]*", 0), 10, "0")), ".")
-    return F.concat(key, F.when(F.size(core) > 1, ".0").otherwise(".1"))
-
-
 def classify_cvss(severity: Column) -> Column:
     """Severity from an array of ``(type, score)``: of ``CVSS_V3`` the number after the last slash; high without one."""
     v3 = F.try_element_at(F.filter(severity, lambda s: s["type"] == "CVSS_V3"), F.lit(1))
@@ -238,11 +230,36 @@ def upgrade_target(declared: Column, fixed: Column) -> Column:
     return F.concat(F.regexp_extract(declared, r"^[^0-9]*", 0), fixed)
 
 
-def upgrade_summary(package: Column, fixed: Column) -> Column:
-    """What to do, by the number of fixed versions (an array)."""
-    n = F.size(fixed)
+#: The texts about a package's upgrade.
+NO_FIX = "No fixed version was published for `%s` `%s` in the OSV response. Review the advisory and consider removing, replacing, or isolating the package until a fix ships."
+ONE_FIX = "Upgrade `%s` from `%s` to `%s`."
+MORE_FIXES = "Upgrade `%s` from `%s` to a fixed release. Suggested target: `%s`. Other known fixed versions: %s."
+GUIDANCE = "// Upgrade `%s` in `%s`.\n// Current declaration:\n%s\n\n// Replace with:\n%s"
+NO_GUIDANCE = (
+    "// `%s` `%s` is vulnerable in `%s`.\n// No fixed version was published in the OSV response.\n// Next steps:\n// 1. Review the advisory and linked references.\n"
+    "// 2. Remove or replace the dependency if possible.\n// 3. Constrain exposure until an upstream fixed version is released."
+)
+
+
+def upgrade_summary(package: Column, version: Column, fixed: Column) -> Column:
+    """What to do, by the fixed versions (an array, the first of which is the target)."""
+    target = F.get(fixed, F.lit(0))
     return (
-        F.when(n == 0, F.format_string("No fixed version of %s is known.", package))
-        .when(n == 1, F.format_string("Upgrade %s to %s.", package, F.get(fixed, 0)))
-        .otherwise(F.format_string("Upgrade %s to %s, or another fixed version: %s.", package, F.get(fixed, 0), F.array_join(F.slice(fixed, 2, 99), ", ")))
+        F.when(F.coalesce(F.size(fixed), F.lit(0)) < 1, F.format_string(NO_FIX, package, version))
+        .when(F.size(fixed) == 1, F.format_string(ONE_FIX, package, version, target))
+        .otherwise(F.format_string(MORE_FIXES, package, version, target, F.array_join(fixed, ", ")))
     )
+
+
+def upgraded_snippet(package: Column, declared: Column, snippet: Column, target: Column) -> Column:
+    """The manifest entry with the declared version replaced, once, by the target in its style."""
+    spec = upgrade_target(F.coalesce(declared, F.lit("")), target)
+    at = F.instr(snippet, declared)
+    swapped = F.when(at > 0, F.concat(F.substr(snippet, F.lit(1), at - 1), spec, F.substr(snippet, at + F.length(declared), F.lit(1 << 30)))).otherwise(snippet)
+    return F.when(F.coalesce(declared, F.lit("")) == "", F.format_string("Set `%s` to `%s` in the manifest entry.", package, spec)).otherwise(swapped)
+
+
+def upgrade_guidance(package: Column, version: Column, path: Column, declared: Column, snippet: Column, fixed: Column) -> Column:
+    """A note for the code: the manifest entry as it is and as it should be, or next steps where no version is fixed."""
+    target = F.get(fixed, F.lit(0))
+    return F.when(target.isNull(), F.format_string(NO_GUIDANCE, package, version, path)).otherwise(F.format_string(GUIDANCE, package, path, snippet, upgraded_snippet(package, declared, snippet, target)))

@@ -339,6 +339,59 @@ def current_task(events: DataFrame) -> DataFrame:
     return events.groupBy("scan_id").agg(F.max(F.struct(order.alias("o"), "stage", "status")).alias("m")).select("scan_id", "m.stage", "m.status")
 
 
+#: Names of stages that differ from their slug, tones of events, statuses in which a scan is over, and what is said of a scan without events.
+STAGE_LABEL = {"vidarr": "Víðarr"}
+EVENT_TONE = {"completed": "success", "failed": "error", "running": "active", "warning": "warning"}
+TYPE_TONE = {"issue_automation": "active", "scan_failed": "error"}
+OVER = ("completed", "failed", "cancelled")
+WAITING = ("Waiting for activity", "No execution activity has been recorded yet.")
+
+
+def _label(slug: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGE_LABEL.items() for x in kv]), slug), humanized(slug))
+
+
+def scan_snapshot(scans: DataFrame, findings: DataFrame, events: DataFrame, newest: int = 80) -> DataFrame:
+    """One row for each of ``scans (scan_id, status, updated_at)``: ``scan_id, status, status_label, is_live, counts, current_task, fallback, stages, activity``.
+
+    ``activity`` holds the ``newest`` events by ``created_at``, then ``event_id``, newest first, with their tone; the current task is the newest of them that runs, else the
+    newest, else a notice. ``stages`` are all nine in order with their newest status (``pending`` without an event); ``fallback`` is the newest event of type ``provider_fallback``.
+    ``events`` has ``scan_id, event_id, stage, status, created_at``, and perhaps ``event_type, title, detail, progress_pct``. The newest events are found by a bounded rank, which Spark
+    already cuts before the shuffle (null for a scan without events), and all else by partial sums, so a scan with very many events is no task of its own.
+    """
+    for c, kind in (("event_type", "string"), ("title", "string"), ("detail", "string"), ("progress_pct", "int")):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast(kind))
+    order = F.struct("created_at", "event_id", "status")
+    latest = [F.max(F.when(F.col("stage") == s, order)).alias(f"s{k}") for k, s in enumerate(STAGES)]
+    back = F.max(F.when(F.col("event_type") == "provider_fallback", F.struct("created_at", "event_id", "detail"))).alias("fallback")
+    by_stage = events.groupBy("scan_id").agg(*latest, back)
+    count = findings.groupBy("scan_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+
+    w = Window.partitionBy("scan_id").orderBy(F.col("created_at").desc(), F.col("event_id").desc())
+    tone = F.coalesce(
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_TONE.items() for x in kv]), F.col("status")),
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_TONE.items() for x in kv]), F.col("event_type")), F.lit("neutral"),
+    )
+    shown = F.struct(F.col("k").alias("place"), "event_id", "event_type", tone.alias("tone"), "status", "stage", "title", "detail", "progress_pct", "created_at")
+    top = events.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= newest).groupBy("scan_id").agg(F.sort_array(F.collect_list(shown)).alias("activity"))
+
+    rows = scans.select("scan_id", "status", F.col("updated_at") if "updated_at" in scans.columns else F.lit(None).cast("timestamp").alias("updated_at"))
+    rows = rows.join(count, "scan_id", "left").join(by_stage, "scan_id", "left").join(top, "scan_id", "left")
+    task = lambda e: F.struct(e["stage"].alias("stage"), e["title"].alias("title"), e["detail"].alias("detail"), e["progress_pct"].alias("progress_pct"), e["created_at"].cast("timestamp").alias("created_at"))
+    running = F.try_element_at(F.filter("activity", lambda e: e["status"] == "running"), F.lit(1))
+    first = F.try_element_at(F.col("activity"), F.lit(1))
+    idle = F.struct(F.lit(None).cast("string").alias("stage"), F.lit(WAITING[0]).alias("title"), F.lit(WAITING[1]).alias("detail"), F.lit(None).cast("int").alias("progress_pct"), F.col("updated_at").cast("timestamp").alias("created_at"))
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), _label(F.lit(s)).alias("label"), F.coalesce(F.col(f"s{k}.status"), F.lit("pending")).alias("status"), F.col(f"s{k}.created_at").alias("created_at")) for k, s in enumerate(STAGES)])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return rows.select(
+        "scan_id", "status", _label(F.col("status")).alias("status_label"), (~F.coalesce(F.col("status").isin(*OVER), F.lit(False))).alias("is_live"),
+        F.struct(zero("total"), *[zero(s) for s in SEVERITIES]).alias("counts"),
+        F.when(running.isNotNull(), task(running)).when(first.isNotNull(), task(first)).otherwise(idle).alias("current_task"),
+        "fallback", stages.alias("stages"), "activity",
+    )
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo_id", "file_path"), mark: str = "content_hash") -> DataFrame:
     """``change`` of each file: added, deleted, modified or unchanged."""
     a = old.select(*keys, F.col(mark).alias("__a"), F.lit(True).alias("__ina"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.columns import version_key
+from tessera.functions.columns import upgrade_guidance, upgrade_summary
+from tessera.functions.versions import version_bin, version_key
 from tessera.operators.text import to_lines
 
 #: Ecosystem of a manifest's file name.
@@ -150,15 +151,32 @@ def report_location(occurrences: DataFrame, packages: DataFrame) -> DataFrame:
 def audit_packages(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """Occurrences that an advisory range covers. ``advisories`` has ``advisory_id, ecosystem, name, introduced`` and ``fixed`` or ``last_affected``.
 
-    ``introduced`` of ``0`` means from the start. Versions compare by ``version_key``; the join is on ecosystem and name.
+    ``introduced`` of ``0`` means from the start. Versions compare by the rules of their ecosystem. Ranges meet the distinct versions of a package, not its occurrences, and
+    only in the bins of first numbers that they reach, so a package with many versions and ranges has no join of all with all.
     """
     if "last_affected" not in advisories.columns:
         advisories = advisories.withColumn("last_affected", F.lit(None).cast("string"))
-    a = advisories.withColumns({"__lo": version_key(F.col("introduced")), "__hi": version_key(F.col("fixed")), "__last": version_key(F.col("last_affected"))})
-    p = packages.filter("version <> ''").withColumn("__v", version_key(F.col("version")))
-    inside = (F.col("introduced") == "0") | (F.col("__lo") <= F.col("__v"))
+    key = lambda c: version_key(F.col(c), F.col("ecosystem"))
+    start = F.when(F.col("introduced") == "0", "").otherwise(F.coalesce(key("introduced"), F.lit("")))
+    a = advisories.withColumns({"__lo": start, "__hi": key("fixed"), "__last": key("last_affected")})
+    v = packages.filter("version <> ''").select("ecosystem", "name", "version").distinct().withColumn("__v", key("version")).withColumn("__bin", version_bin(F.col("__v")))
+    bins = v.groupBy("ecosystem", "name").agg(F.collect_set("__bin").alias("__bins"))
+    upper = version_bin(F.coalesce("__hi", "__last", F.lit("~")))
+    a = a.join(bins, ["ecosystem", "name"]).withColumn("__bin", F.explode(F.filter("__bins", lambda b: (b >= version_bin(F.col("__lo"))) & (b <= upper)))).drop("__bins")
     below = F.coalesce(F.col("__v") < F.col("__hi"), F.col("__v") <= F.col("__last"), F.lit(True))
-    return p.join(a, ["ecosystem", "name"]).filter(inside & below).drop("__v", "__lo", "__hi", "__last")
+    hit = v.join(a, ["ecosystem", "name", "__bin"]).filter((F.col("__lo") <= F.col("__v")) & below)
+    return packages.join(hit.drop("__v", "__lo", "__hi", "__last", "__bin"), ["ecosystem", "name", "version"])
+
+
+def with_upgrade(found: DataFrame) -> DataFrame:
+    """Adds ``fix_summary`` and ``fix_guidance`` to audited occurrences (``name, version, manifest_path, declared, snippet, fixed_versions``)."""
+    c = F.col
+    return found.withColumns(
+        {
+            "fix_summary": upgrade_summary(c("name"), c("version"), c("fixed_versions")),
+            "fix_guidance": upgrade_guidance(c("name"), c("version"), c("manifest_path"), c("declared"), c("snippet"), c("fixed_versions")),
+        }
+    )
 
 
 def fixed_versions(advisories: DataFrame) -> DataFrame:

@@ -596,3 +596,44 @@ def stream_scan_requests(spark, root):
     body = F.to_json(F.struct(F.lit("refs/heads/main").alias("ref"), F.concat(F.lit("c"), "repo_id").alias("after"), F.struct(F.col("remote_url").alias("clone_url")).alias("repository")))
     pushed = repos.select(F.lit("push").alias("event_type"), body.alias("body"))
     return streamed(spark, pushed, lambda s: streams.scan_requests(s, repos), "append").select("repo_id", "commit")
+
+
+ODD_EVENTS = "CASE event_id % 13 WHEN 0 THEN 'provider_fallback' WHEN 1 THEN 'scan_failed' ELSE 'progress' END"
+
+
+@query(
+    "scan_snapshot", "events findings",
+    f"""WITH e AS (SELECT *, {ODD_EVENTS} AS event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE status END AS s FROM fx_events),
+t AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY created_at DESC, event_id DESC) AS k, CASE WHEN s = 'completed' THEN 'success' WHEN s = 'failed' THEN 'error' WHEN s = 'running' THEN 'active' WHEN event_type = 'scan_failed' THEN 'error' ELSE 'neutral' END AS tone FROM e QUALIFY k <= 80),
+a AS (SELECT scan_id, string_agg(event_id || ':' || tone, ',' ORDER BY k) AS activity, coalesce(arg_min(stage, k) FILTER (s = 'running'), arg_min(stage, k)) AS task FROM t GROUP BY 1),
+l AS (SELECT scan_id, stage, s FROM e QUALIFY row_number() OVER (PARTITION BY scan_id, stage ORDER BY created_at DESC, event_id DESC) = 1),
+g AS (SELECT unnest({list(findings.STAGES)!r}) AS stage, unnest(range(1, 10)) AS place),
+p AS (SELECT x.scan_id, string_agg(coalesce(l.s, 'pending'), ',' ORDER BY place) AS stages FROM (SELECT DISTINCT scan_id FROM e) x CROSS JOIN g LEFT JOIN l ON l.scan_id = x.scan_id AND l.stage = g.stage GROUP BY 1),
+b AS (SELECT scan_id, arg_max(event_id, (created_at, event_id)) AS fallback FROM e WHERE event_type = 'provider_fallback' GROUP BY 1),
+n AS (SELECT scan_id, count(*) AS total, count(*) FILTER (severity = 'high') AS high FROM fx_findings GROUP BY 1)
+SELECT a.scan_id, activity, task, stages, fallback, coalesce(total, 0) AS total, coalesce(high, 0) AS high FROM a JOIN p USING (scan_id) LEFT JOIN b USING (scan_id) LEFT JOIN n USING (scan_id)""",
+)
+def scan_snapshot(spark, root):
+    e = _events(spark, root).withColumn("event_type", F.expr(ODD_EVENTS)).withColumn("status", F.when(F.col("event_id") % 7 != 0, F.col("status")))
+    found = findings.scan_snapshot(e.select("scan_id").distinct().withColumn("status", F.lit("hunting")), fx(spark, root, "findings"), e)
+    return found.select(
+        "scan_id", F.array_join(F.transform("activity", lambda x: F.concat_ws(":", x["event_id"], x["tone"])), ",").alias("activity"), F.col("current_task.stage").alias("task"),
+        F.array_join(F.transform("stages", lambda x: x["status"]), ",").alias("stages"), F.col("fallback.event_id").alias("fallback"), "counts.total", "counts.high",
+    )
+
+
+def _parts(v: str) -> str:
+    return f"list_transform(string_split({v}, '.'), lambda x: CAST(x AS INT))"
+
+
+ROW_RANGE = "CAST(s_nationkey % 3 AS VARCHAR) || '.5.0' AS introduced, CAST(2 + s_nationkey % 3 AS VARCHAR) || '.3.9' AS last_affected"
+
+
+@query("audit_ranges", "packages", f"""WITH a AS (SELECT s_suppkey AS advisory, 'pkg' || (s_suppkey % 50) AS name, CASE s_suppkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'crates.io' END AS ecosystem, {ROW_RANGE} FROM supplier)
+SELECT p.occurrence_id, a.advisory FROM fx_packages p JOIN a ON p.name = a.name AND p.ecosystem = a.ecosystem WHERE {_parts('p.version')} >= {_parts('a.introduced')} AND {_parts('p.version')} <= {_parts('a.last_affected')}""")
+def audit_ranges(spark, root):
+    """Ranges that begin within a version line and end with a last affected one, by the rules of three ecosystems."""
+    a = fx(spark, root, "advisories").join(table(spark, root, "supplier"), F.expr("advisory_id = concat('ADV-', s_suppkey)"))
+    line = F.col("s_nationkey") % 3
+    a = a.select(F.col("s_suppkey").alias("advisory"), "name", "ecosystem", F.concat(line, F.lit(".5.0")).alias("introduced"), F.lit(None).cast("string").alias("fixed"), F.concat(line + 2, F.lit(".3.9")).alias("last_affected"))
+    return packages.audit_packages(fx(spark, root, "packages"), a).select("occurrence_id", "advisory")

@@ -13,6 +13,7 @@ from tessera.functions import columns as C
 from tessera.operators import catalogue, detect, findings, graph, packages
 from tessera.operators import text as T
 from tessera.sources import corpus
+from tessera.functions.versions import version_key
 from tessera.streaming import streams
 
 FILES = "repo_id string, file_path string, language string, content string"
@@ -50,7 +51,7 @@ def test_entropy_matches_plain_python(spark):
 
 def test_versions_sort(spark):
     order = ["0.9", "1.0.0-beta", "1.0.0", "1.0.1", "1.2", "1.10", "2"]
-    rows = spark.createDataFrame([(v,) for v in order], "v string").select("v", C.version_key(F.col("v")).alias("k")).orderBy("k").collect()
+    rows = spark.createDataFrame([(v,) for v in order], "v string").select("v", version_key(F.col("v")).alias("k")).orderBy("k").collect()
     assert [r["v"] for r in rows] == order
 
 

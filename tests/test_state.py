@@ -93,3 +93,18 @@ def test_edges_of_files_without_a_repository(spark):
     symbols = spark.createDataFrame([(r, p, n, "function", k) for r, p in ((None, "a"), (None, None), ("r", "a")) for k, n in enumerate("fg")], "repo_id string, file_path string, name string, kind string, line_no int")
     calls = spark.createDataFrame([(None, "a", "g"), (None, None, "f"), ("r", "b", "g")], "repo_id string, file_path string, name string")
     assert {tuple(r)[:4] for r in graph.call_edges(symbols, calls).collect()} == {(None, "a", "f", "g"), (None, None, "g", "f")}
+
+
+def test_snapshot_of_scans_without_and_with_many_events(spark):
+    scans = spark.createDataFrame([(1, "hunting", at(50)), (2, "completed", at(51)), (3, None, None)], "scan_id long, status string, updated_at timestamp")
+    none = spark.createDataFrame([], "scan_id long, severity string")
+    rows = [(1, k, "hunt", "running" if k == 5 else "completed", at(k % 60), "progress", f"t{k}", None, k) for k in range(200)] + [(2, 1, "vidarr", None, at(1), "scan_failed", "x", "d", None)]
+    events = spark.createDataFrame(rows, "scan_id long, event_id long, stage string, status string, created_at timestamp, event_type string, title string, detail string, progress_pct int")
+    df = findings.scan_snapshot(scans, none, events)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    one, two, three = df.orderBy("scan_id").collect()
+    assert [e["event_id"] for e in one["activity"]] == sorted(range(200), key=lambda k: (k % 60, k), reverse=True)[:80] and one["is_live"] and one["counts"]["total"] == 0
+    assert one["current_task"]["title"] == f"t{one['activity'][0]['event_id']}"  # the running one is older than the newest eighty
+    assert (two["activity"][0]["tone"], two["is_live"], two["status_label"]) == ("error", False, "Completed")
+    assert [s["label"] for s in two["stages"]][6] == "Víðarr" and [s["status"] for s in two["stages"]] == ["pending"] * 9
+    assert (three["current_task"]["title"], three["activity"], three["is_live"]) == ("Waiting for activity", None, True)
