@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.plans.scratch import materialize
+
 QUOTED_OR_BRACE = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
 
 
@@ -41,6 +43,24 @@ def extract_json(text: Column) -> Column:
     return F.coalesce(direct, valid(_balanced(F.when(direct.isNull(), whole))))
 
 
+def parse_models(models: DataFrame, id_col: str = "model_id", json_col: str = "model", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, keep..., m``: the maps of raw JSON of all models that are JSON objects, found as by ``extract_json`` and written once, so that any number of parts is read from one parse.
+
+    Only texts in which neither the whole nor a fence is JSON go to Python, which looks for the first balanced object.
+    """
+    trim = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    whole = trim(F.col(json_col))
+    fenced = F.when(whole.startswith("```"), trim(F.regexp_replace(whole, r"\A```(?:json|JSON)?|```\z", "")))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    maps = lambda c: F.from_json(c, "map<string,string>")
+    # what is generated is computed once, however often later columns name it
+    rows = models.select(id_col, *keep, whole.alias("__text"), F.explode(F.array(F.coalesce(valid(whole), valid(fenced)))).alias("__direct"))
+    rows = materialize(rows.select(id_col, *keep, maps(F.col("__direct")).alias("m"), F.when(F.col("__direct").isNull(), F.col("__text")).alias("__rest")), "models")
+    odd = rows.filter("__rest IS NOT NULL").select(id_col, *keep, F.explode(F.array(_balanced("__rest"))).alias("b"))
+    odd = odd.select(id_col, *keep, F.explode(F.array(valid(F.col("b")))).alias("b")).select(id_col, *keep, maps(F.col("b")).alias("m"))
+    return rows.filter("__rest IS NULL").select(id_col, *keep, "m").unionByName(odd).filter("m IS NOT NULL")
+
+
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
 
 
@@ -87,8 +107,12 @@ def validate_patches(patches: DataFrame, findings: DataFrame, files: DataFrame)
 
     end = F.col("line_end") if "line_end" in findings.columns else F.col("line_start")
     places = findings.select("finding_id", "repo_id", F.col("file_path").alias("__path"), F.coalesce("line_start", F.lit(1)).alias("__start"), F.coalesce(end, "line_start", F.lit(1)).alias("__end"))
-    body = files.groupBy("repo_id", F.col("file_path").alias("__path")).agg(F.max("content").alias("__content"))
-    both = patches.join(places, "finding_id", "left").join(body, ["repo_id", "__path"], "left")
+    file = lambda p: F.struct("repo_id", F.col(p).alias("path")).alias("__file")  # noqa: E731  a struct's null fields are equal
+    places = places.select("finding_id", "__path", "__start", "__end", file("__path"))
+    asked_for = places.join(patches.select("finding_id"), "finding_id", "left_semi").select("__file").distinct()
+    # only contents of files with a patch are shuffled on; where there are few, Spark broadcasts their names and shuffles no others
+    body = files.select(file("file_path"), F.col("content").alias("__content")).join(asked_for, "__file", "left_semi").groupBy("__file").agg(F.max("__content").alias("__content"))
+    both = patches.join(places, "finding_id", "left").join(body, "__file", "left")
     asked = F.coalesce(F.col("patch"), F.lit("")), F.coalesce(F.col("__path"), F.lit("")), F.coalesce("__start", F.lit(1)), F.coalesce("__end", F.lit(1)), F.coalesce("__content", F.lit(""))
     return both.withColumn("grounded", F.col("__path").isNotNull() & F.col("__content").isNotNull() & fits(*asked)).select(*patches.columns, "grounded")
 
@@ -159,6 +183,9 @@ HEAD = {
     "summary": ("summary", "overview", "description", "analysis_summary"), "scope": ("scope", "subject", "system_scope"),
     "subject": ("subject", "name", "application", "repo"), "system_type": ("system_type", "type", "architecture"),
 }
+#: Texts where a model says nothing of a threat, a surface, or an attack technique (bare, or without a reason).
+FILLERS = {"threats": "Threat identified by provider output.", "surfaces": "Threat surface identified by provider output."}
+RATIONALES = ("Mapping provided without structured detail.", "Mapping was present in provider output.")
 NO_SUMMARY, NO_SUBJECT = "Threat model synthesized from non-standard provider output.", "Modeled system"
 #: Keys of a threat's mappings to attack techniques, and of a mapping's fields.
 ATTACK_KEYS = ("mitre_attack", "mitre", "attack_mappings", "attck", "attack")
@@ -261,7 +288,7 @@ def _attack(table: Column) -> Column:
         got = {f: _first(o, keys) for f, keys in ATTACK.items()}
         got["tactic"] = F.coalesce(said, got["tactic"], F.lit("unknown"))
         got["confidence"] = F.when(said.isNotNull(), "low").otherwise(confidence_level(got["confidence"]))
-        got["rationale"] = F.when(said.isNotNull(), "Mapping provided without structured detail.").otherwise(F.coalesce(got["rationale"], F.lit("Mapping was present in provider output.")))
+        got["rationale"] = F.when(said.isNotNull(), RATIONALES[0]).otherwise(F.coalesce(got["rationale"], F.lit(RATIONALES[1])))
         return F.struct(*[c.alias(f) for f, c in got.items()])
 
     return F.transform(F.array_compact(found), one)
@@ -270,10 +297,9 @@ def _attack(table: Column) -> Column:
 def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "model") -> DataFrame:
     """One row for each threat model that is a JSON object: the id, ``summary``, and its scope: ``subject``, ``system_type`` and lists of strings.
 
-    A scope that is a string is its subject. Without a scope, subject and type are null and the lists are empty.
+    A scope that is a string is its subject. Without a scope, subject and type are null and the lists are empty. ``models`` may be parsed already (``parse_models``).
     """
-    whole = F.from_json(extract_json(F.col(json_col)), "map<string,string>")
-    rows = models.select(id_col, F.explode(F.array_compact(F.array(whole))).alias("m"))  # a filter would parse each text twice
+    rows = models if "m" in models.columns else parse_models(models, id_col, json_col)
     rows = rows.withColumn("raw", F.coalesce(*[F.col("m")[k] for k in HEAD["scope"]]))
     rows = rows.withColumn("o", F.when(_holds(F.col("raw"), "{"), F.from_json("raw", "map<string,string>")))
     o, said = F.col("o"), F.when(F.col("o").isNull(), F.trim("raw"))
@@ -285,17 +311,20 @@ def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "mo
     )
 
 
-def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col: str = "model") -> DataFrame:
-    """One row for each item of a ``part`` of threat models: the id, ``position`` from 1, and the part's fields (of threats also ``stride`` and ``mitre_attack``).
+def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col: str = "model", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each item of a ``part`` of threat models: the id, columns to ``keep``, ``position`` from 1, and the part's fields (of threats also ``stride`` and ``mitre_attack``).
 
     The first key of ``PARTS`` that holds an array counts. An item that is a string is its own name and description. Missing fields get
-    the defaults; levels, treatments and categories are brought to known values. Text that is no JSON object gives no rows.
+    the defaults; levels, treatments and categories are brought to known values. Text that is no JSON object gives no rows. ``models`` may be parsed
+    already (``parse_models``), which reads several parts from one parse.
     """
-    whole = F.from_json(extract_json(F.col(json_col)), "map<string,string>")
+    models = models if "m" in models.columns else parse_models(models, id_col, json_col, keep)
     raw = F.coalesce(*[F.when(F.col("m")[k].startswith("["), F.col("m")[k]) for k in PARTS[part]])
-    rows = models.select(id_col, whole.alias("m")).select(id_col, F.posexplode(F.from_json(raw, "array<string>")).alias("k", "item"))
+    rows = models.select(id_col, *keep, F.posexplode(F.from_json(raw, "array<string>")).alias("k", "item"))
     is_object = F.col("item").startswith("{")
-    rows = rows.filter("item IS NOT NULL").select(id_col, (F.col("k") + 1).alias("position"), F.when(~is_object, F.trim("item")).alias("said"), F.when(is_object, F.from_json("item", "map<string,string>")).alias("o"))
+    found = F.struct(F.when(~is_object, F.trim("item")).alias("said"), F.when(is_object, F.from_json("item", "map<string,string>")).alias("o"))
+    rows = rows.filter("item IS NOT NULL").select(id_col, *keep, (F.col("k") + 1).alias("position"), F.explode(F.array(found)).alias("f"))  # parsed once for all fields
+    rows = rows.select(id_col, *keep, "position", "f.said", "f.o")
     got = {f: _first(F.col("o"), keys) for f, keys in FIELDS[part].items()}
     said = F.col("said")
     if part in SAID:
@@ -308,7 +337,7 @@ def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col
             got[e] = F.coalesce(got[e], F.lit("unknown"))
         got["description"] = F.coalesce(said, got["description"], F.concat(got[ends[0]], F.lit(" -> "), got[ends[1]]))
     else:
-        filler = "Threat identified by provider output." if part == "threats" else "Threat surface identified by provider output."
+        filler = FILLERS[part]
         got["description"] = F.coalesce(said, got["description"], F.lit(filler))
     if part == "data_flows":
         got["sensitive_data"] = F.coalesce(got["sensitive_data"], F.lit("unknown"))
@@ -327,7 +356,7 @@ def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col
     if part == "threats":
         got["stride"] = stride(_list(F.col("o"), STRIDE_KEYS))
         got["mitre_attack"] = _attack(F.col("o"))
-    return rows.select(id_col, "position", *[c.alias(f) for f, c in got.items()])
+    return rows.select(id_col, *keep, "position", *[c.alias(f) for f, c in got.items()])
 
 
 def ground_surfaces(surfaces: DataFrame, files: DataFrame, longest: int = 8) -> DataFrame:

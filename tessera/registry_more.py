@@ -432,7 +432,7 @@ def model_mitigations(spark, root):
   CASE WHEN severity IN ('high', 'low') THEN severity ELSE 'medium' END AS confidence, file_path AS gaps FROM fx_findings""",
 )
 def model_checks(spark, root):
-    models = _plans(spark, root)
+    models = modeltext.parse_models(_plans(spark, root))
     parts = [modeltext.model_items(models, p) for p in ("assumptions", "validation_plan", "assurance_claims")]
     a, v, c = parts[0].select("model_id", "statement", "why_it_matters"), parts[1].select("model_id", "target", "method", "status"), parts[2].select("model_id", "claim", "confidence", F.array_join("gaps", ",").alias("gaps"))
     return a.join(v, "model_id").join(c, "model_id")
@@ -441,7 +441,7 @@ def model_checks(spark, root):
 @query("ground_surfaces", "findings", "SELECT finding_id AS model_id, file_path AS file FROM fx_findings WHERE line_start % 20 = 0")
 def ground_surfaces(spark, root):
     models = _models(spark, root)
-    surfaces = modeltext.model_items(models, "surfaces").join(models.select("model_id", "repo_id"), "model_id")
+    surfaces = modeltext.model_items(models, "surfaces", keep=("repo_id",))
     return modeltext.ground_surfaces(surfaces, models.select("repo_id", "file_path")).select("model_id", F.expr("substr(file, 3)").alias("file"))
 
 
