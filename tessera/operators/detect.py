@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,39 +49,85 @@ def _findings(hits: DataFrame, rules: list[Rule], source: str) -> DataFrame:
     )
 
 
+MARKS = "array<struct<line_no:int,rules:array<int>>>"
+
+
+def _guarded_lines(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Files ``(repo_id, file_path, language, content)`` that hold a guard of some rule, with ``marks``: the lines with one and the rules that these guards are for.
+
+    One automaton of all guards walks over a content once, so the time doesn't grow with the number of rules; the patterns are tested later, where a guard was found.
+    """
+    of: dict[str, list[int]] = {}
+    for k, r in enumerate(rules):
+        for g in r.guards:
+            of.setdefault(g, []).append(k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ahocorasick.Automaton()
+        for g, ks in of.items():
+            words.add_word(g, ks)
+        words.make_automaton()
+        kind = pa.list_(pa.struct([("line_no", pa.int32()), ("rules", pa.list_(pa.int32()))]))
+        for batch in batches:
+            keep, marks = [], []
+            for i, text in enumerate(batch.column("content")):
+                low = (text.as_py() or "").lower()
+                hits = [(end, ks) for end, ks in words.iter(low)] if low else []
+                if not hits:
+                    continue
+                lines: dict[int, set[int]] = {}
+                breaks = np.flatnonzero(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+                for line, (_, ks) in zip((np.searchsorted(breaks, [end for end, _ in hits]) + 1).tolist(), hits, strict=True):
+                    lines.setdefault(line, set()).update(ks)
+                keep.append(i)
+                marks.append([{"line_no": n, "rules": sorted(ks)} for n, ks in sorted(lines.items())])
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(marks, kind)], [*kept.schema.names, "marks"])
+
+    shape = files.select(*KEYS, "language", "content")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape.schema)
+    return shape.mapInArrow(run, f"{fields}, marks {MARKS}")
+
+
 def scan_code_rules(files: DataFrame, rules: list[Rule] | None = None, skip_tests: bool = True) -> DataFrame:
     """Findings of code rules in ``files (repo_id, file_path, language, content)``.
 
     A rule without languages is for every file, also of unknown language. Test files, and lines inside test code, are left out.
     Each row is a file of its own, also where paths repeat or are null. Lines, marks of test code and snippets are found inside
-    the row, so nothing is shuffled; only lines that hold some guard go on.
+    the row, so nothing is shuffled; only lines that hold some guard go on, with the rules of their guards.
     """
     rules = catalogue.CODE_RULES if rules is None else rules
     if skip_tests:
         files = files.filter(~F.coalesce(is_test_path(F.col("file_path")), F.lit(False)))
-    by_line, by_file = [r for r in rules if r.mode == "line"], [r for r in rules if r.mode == "file"]
+    guarded, by_file = [r for r in rules if r.mode == "line" and r.guards], [r for r in rules if r.mode == "file"]
+    unguarded = [r for r in rules if r.mode == "line" and not r.guards]
 
     def spoken(r: Rule) -> Column:
         return F.coalesce(F.col("language").isin(*r.languages), F.lit(False)) if r.languages else F.lit(True)
 
-    guards = sorted({g for r in by_line for g in r.guards})
-    open_rules = any(not r.guards for r in by_line)
-    base = files.select(*KEYS, "language", lines_of(F.col("content")).alias("lines"), F.col("content"))
-    if not open_rules:
-        base_lines = base.filter(_any([F.lower("content").contains(g) for g in guards]))
-    else:
-        base_lines = base
-    marks = F.when(F.lit(skip_tests) & (F.col("language") == "rust") & F.col("content").contains("#["), in_test_code(F.col("lines")))
-    rows = base_lines.select(*KEYS, "language", "lines", marks.alias("marks")).select(*KEYS, "language", "lines", "marks", F.posexplode("lines").alias("k", "line"))
-    rows = rows.filter(~F.coalesce(F.get("marks", F.col("k")), F.lit(False)))
-    if not open_rules:
-        rows = rows.filter(_any([F.lower("line").contains(g) for g in guards]))
-    hits = rows.select(*KEYS, (F.col("k") + 1).alias("line_no"), "lines", F.explode(_matching(by_line, F.col("line"), spoken)).alias("rule_id"))
-    hits = hits.select(*KEYS, "line_no", "rule_id", F.array_join(around(F.col("lines"), F.col("line_no"), 2, 2), "\n").alias("snippet"))
+    def in_lines(base: DataFrame) -> DataFrame:
+        """Adds the lines, and whether each is inside test code."""
+        tests = F.when(F.lit(skip_tests) & (F.col("language") == "rust") & F.col("content").contains("#["), in_test_code(F.col("lines")))
+        return base.withColumn("lines", lines_of(F.col("content"))).withColumn("tests", tests).drop("content")
+
+    snippet = F.array_join(around(F.col("lines"), F.col("line_no"), 2, 2), "\n").alias("snippet")
+    outside = ~F.coalesce(F.get("tests", F.col("line_no") - 1), F.lit(False))
+    found = []
+    if guarded:
+        rows = in_lines(_guarded_lines(files, guarded)).select(*KEYS, "language", "lines", "tests", F.explode("marks").alias("m"))
+        rows = rows.select(*KEYS, "language", "lines", "tests", F.col("m.line_no").alias("line_no"), F.get("lines", F.col("m.line_no") - 1).alias("line"), F.explode("m.rules").alias("r"))
+        met = F.when(F.lit(False), False)
+        for k, r in enumerate(guarded):
+            met = met.when(F.col("r") == k, spoken(r) & F.col("line").rlike(r.pattern))
+        name = F.get(F.array(*[F.lit(r.rule_id) for r in guarded]), F.col("r"))
+        found.append(rows.filter(met & outside).select(*KEYS, "line_no", name.alias("rule_id"), snippet))
+    if unguarded:
+        rows = in_lines(files.select(*KEYS, "language", "content")).select(*KEYS, "language", "lines", "tests", F.posexplode("lines").alias("k", "line")).withColumn("line_no", F.col("k") + 1)
+        found.append(rows.filter(outside).select(*KEYS, "line_no", F.explode(_matching(unguarded, F.col("line"), spoken)).alias("rule_id"), snippet))
     if by_file:
-        whole = base.select(*KEYS, F.lit(1).alias("line_no"), F.explode(_matching(by_file, F.col("content"), spoken)).alias("rule_id"), F.array_join(F.slice(F.col("lines"), 1, 3), "\n").alias("snippet"))
-        hits = hits.unionByName(whole)
-    return _findings(hits, rules, "static")
+        base = files.select(*KEYS, "language", "content", lines_of(F.col("content")).alias("lines"))
+        found.append(base.select(*KEYS, F.lit(1).alias("line_no"), F.explode(_matching(by_file, F.col("content"), spoken)).alias("rule_id"), F.array_join(F.slice(F.col("lines"), 1, 3), "\n").alias("snippet")))
+    return _findings(reduce(DataFrame.unionByName, found), rules, "static")
 
 
 def scan_config_rules(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

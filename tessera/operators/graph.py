@@ -222,25 +222,47 @@ def is_risky(name: Column) -> Column:
     return out
 
 
+def _distance_to(edges: DataFrame, risky: Column, depth: int) -> DataFrame:
+    """``f_repo, f_node, far``: how many calls every node is from a risky name, up to ``depth``; ``edges`` has ``e_repo, caller, callee``."""
+    front = edges.filter(risky).select(F.col("e_repo").alias("f_repo"), F.col("caller").alias("f_node")).distinct().withColumn("far", F.lit(1))
+    known = front = materialize(front, "chain-far")
+    for d in range(2, depth + 1):
+        more = edges.join(front, _same("callee", "f_node") & _same("e_repo", "f_repo"), "left_semi").select(F.col("e_repo").alias("r"), F.col("caller").alias("n")).distinct()
+        more = more.join(known, _same("r", "f_repo") & _same("n", "f_node"), "left_anti").select(F.col("r").alias("f_repo"), F.col("n").alias("f_node"), F.lit(d).alias("far"))
+        front = materialize(more, "chain-far")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    return known
+
+
 def risk_chains(entries: DataFrame, edges: DataFrame, depth: int = 4, cap: int | None = 80, risky: Column | None = None) -> DataFrame:
     """Shortest call paths from ``entries (repo_id, name)`` to risky names of the same repository: ``repo_id, entry, target, depth, path``, breadth first.
 
-    Of paths of one length to a node the one first in order of names is kept, so the frontier holds a node once for each entry.
+    Of paths of one length to a node the one first in order of names is kept, so the frontier holds a node once for each entry. A walk back from the risky names, whose
+    rows are nodes, says how far each node is from one; only nodes that can still get there are walked on.
     """
     risky = is_risky(F.col("callee")) if risky is None else risky
     e = _repo(edges).select(F.col("repo_id").alias("e_repo"), "caller", "callee").distinct()
     front = _repo(entries).select("repo_id", F.col("name").alias("entry"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
+    e = materialize(e, "chain-edges")
+    far = _distance_to(e, risky, depth)
+    front = front.join(far, _same("node", "f_node") & _same("repo_id", "f_repo"), "left_semi")
     seen, found = front.select("repo_id", "entry", "node"), None
     for d in range(1, depth + 1):
         step = front.join(e, _same("node", "caller") & _same("repo_id", "e_repo")).select("repo_id", "entry", "callee", F.concat("path", F.array("callee")).alias("path"))
         step = step.groupBy("repo_id", "entry", "callee").agg(F.min("path").alias("path"))
         past = seen.select(F.col("repo_id").alias("s_repo"), F.col("entry").alias("s_entry"), F.col("node").alias("s_node"))
         new = step.join(past, _same("repo_id", "s_repo") & _same("entry", "s_entry") & _same("callee", "s_node"), "left_anti")
+        if d < depth:
+            here = far.filter(F.col("far") <= depth - d)
+            new = new.join(here, _same("callee", "f_node") & _same("repo_id", "f_repo"), "left").withColumn("on", F.col("far").isNotNull())
+            new = materialize(new.filter(risky | F.col("on")).select("repo_id", "entry", "callee", "path", "on"), "chain")
         hits = new.filter(risky).select("repo_id", "entry", F.col("callee").alias("target"), F.lit(d).alias("depth"), F.array_join("path", " > ").alias("path"))
         found = hits if found is None else found.unionByName(hits)
         if d < depth:
-            front = materialize(new.select("repo_id", "entry", F.col("callee").alias("node"), "path"), "chain")
-            seen = seen.unionByName(front.select("repo_id", "entry", "node"))
+            seen = seen.unionByName(new.select("repo_id", "entry", F.col("callee").alias("node")))
+            front = new.filter("on").select("repo_id", "entry", F.col("callee").alias("node"), "path")
             if front.isEmpty():
                 break
     return found if cap is None else found.orderBy("depth", "repo_id", "entry", "target").limit(cap)
