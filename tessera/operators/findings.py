@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import (
-    SEVERITIES, clean_title, confidence_rank, cwe_of, group_fingerprint, looks_like_prose, normalize_remote_url, owasp_code, sarif_level, security_severity, severity_label, severity_rank, slugify, status_rank,
+    SEVERITIES, clean_title, confidence_percent, confidence_rank, cwe_of, group_fingerprint, looks_like_prose, normalize_remote_url, owasp_code, sarif_level, security_severity, severity_label, severity_rank, slugify, status_rank,
 )
 from tessera.operators.modeltext import extract_json
+from tessera.operators.text import lines_of, window_snippet
 
 #: Greatest loss and half-way weight of each severity, weight of each confidence, factor of a validated finding.
 LOSS = {"critical": (35.0, 2.0), "high": (30.0, 5.0), "medium": (18.0, 8.0), "low": (8.0, 20.0)}
@@ -142,13 +143,30 @@ def report_buckets(findings: DataFrame) -> DataFrame:
     )
 
 
+def _with(df: DataFrame, **kinds: str) -> DataFrame:
+    """``df`` with those of the named columns that it lacks, as nulls."""
+    return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
+
+
 def render_findings(findings: DataFrame, patches: DataFrame) -> DataFrame:
-    """Findings with clean title, CWE, OWASP code, severity label, and their first patch with whether it is prose."""
+    """Findings as a report shows them.
+
+    Adds ``clean_title, cwe, owasp_code, label, confidence_pct``, ``snippet_window`` (the lines of ``code_snippet`` around ``line_start``, whether they are cut, and how many there are; null
+    without a snippet), ``reference_urls`` (the strings of the JSON array ``references_json``; empty where it is none), and the first ``patch`` with whether it is prose.
+    """
     first = patches.groupBy("finding_id").agg(F.min_by("patch", F.struct("created_at", "patch_id")).alias("patch"))
+    rows = _with(findings, code_snippet="string", references_json="string")
     cwe = cwe_of(F.col("cwe_id"), F.col("title"))
-    return findings.join(first, "finding_id", "left").withColumns(
-        {"clean_title": clean_title(F.col("title")), "cwe": cwe, "owasp_code": owasp_code(cwe), "label": severity_label(F.col("severity")), "patch_is_prose": F.coalesce(looks_like_prose(F.col("patch")), F.lit(False))}
-    )
+    rows = window_snippet(rows.withColumn("__lines", lines_of(F.nullif("code_snippet", F.lit("")))), "__lines", "line_start")
+    window = F.struct(F.col("window").alias("lines"), "truncated", "original_line_count")
+    listed = F.from_json("references_json", "array<string>")
+    urls = F.when(F.try_parse_json("references_json").isNotNull() & F.trim("references_json").startswith("["), F.filter(listed, lambda u: u.isNotNull() & ~u.rlike(r"^[\[{]")))
+    return rows.join(first, "finding_id", "left").withColumns(
+        {
+            "clean_title": clean_title(F.col("title")), "cwe": cwe, "owasp_code": owasp_code(cwe), "label": severity_label(F.col("severity")), "confidence_pct": confidence_percent(F.col("confidence")),
+            "snippet_window": F.when(F.size("__lines") > 0, window), "reference_urls": F.coalesce(urls, F.array().cast("array<string>")), "patch_is_prose": F.coalesce(looks_like_prose(F.col("patch")), F.lit(False)),
+        }
+    ).drop("__lines", "window", "truncated", "original_line_count")
 
 
 def executive_summary(summary: DataFrame) -> DataFrame:
@@ -523,12 +541,71 @@ def activity_feed(events: DataFrame) -> DataFrame:
     return events.withColumns({"feed_title": title.otherwise(humanized(kind)), "detail": detail, "tone": tone.otherwise("neutral")})
 
 
+#: Most bytes of a snippet and of a patch in an issue.
+MOST_SNIPPET, MOST_PATCH = 1200, 1600
+
+
+def _cut(text: Column, most: int) -> Column:
+    """At most ``most`` bytes of a text, whole characters, with dots where it goes on; blanks around it go."""
+    head = F.regexp_replace(F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8"), "\ufffd+$", "")
+    return _trimmed(F.when(F.octet_length(text) > most, F.concat(head, F.lit("..."))).otherwise(text))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def _section(title: str, text: Column, fence: str | None = None) -> Column:
+    """A part of an issue's body; nothing for a null text."""
+    before, after = (f"### {title}\n\n", "\n\n") if fence is None else (f"### {title}\n\n```{fence}\n", "\n```\n\n")
+    return F.coalesce(F.concat(F.lit(before), text, F.lit(after)), F.lit(""))
+
+
+def _bullet(label: str, text: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f"- {label}: `"), text, F.lit("`\n")), F.lit(""))
+
+
+def _references(urls: Column) -> Column:
+    return F.when(F.size(urls) > 0, F.concat(F.lit("### References\n\n"), F.array_join(F.transform(urls, lambda u: F.concat(F.lit("- "), u)), "\n"), F.lit("\n"))).otherwise("")
+
+
+ISSUE = {"line_end": "int", "cve_id": "string", "description": "string", "code_snippet": "string", "suggested_patch": "string", "fingerprint": "string", "reference_urls": "array<string>"}
+
+
+def _lines_at() -> Column:
+    return F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
+
+
+def issue_bodies(findings: DataFrame) -> DataFrame:
+    """Adds ``issue_title`` and ``issue_body`` for an issue of each finding: a list of facts, then summary, evidence, patch and references as far as there are any."""
+    c = F.col
+    body = F.concat(
+        F.lit("## Finding\n\n"), _bullet("Severity", c("severity")), _bullet("Confidence", c("confidence")), _bullet("Fingerprint", c("fingerprint")),
+        F.lit("- Location: `"), F.coalesce("file_path", F.lit("")), F.lit("`:"), _lines_at(), F.lit("\n"), _bullet("CWE", c("cwe_id")), _bullet("CVE", c("cve_id")), F.lit("\n"),
+        _section("Summary", _trimmed(c("description"))), _section("Evidence", _cut(c("code_snippet"), MOST_SNIPPET), "text"), _section("Suggested Patch", _cut(c("suggested_patch"), MOST_PATCH), "diff"),
+        _references(F.coalesce("reference_urls", F.array().cast("array<string>"))),
+    )
+    rows = _with(findings, **ISSUE)
+    return rows.withColumns({"issue_title": F.format_string("[%s] %s", F.upper("severity"), "title"), "issue_body": _trimmed(body)}).select(*findings.columns, "issue_title", "issue_body")
+
+
 def issue_texts(findings: DataFrame) -> DataFrame:
-    """One text for each scan and title: a heading, the number of places and a list of them in triage order."""
+    """``scan_id, title, body``: one text for each scan and title: the facts of the group, a table of its places in triage order, and the first summary, evidence and patch that some of them has, and all references."""
+    rows = _with(findings, **ISSUE)
     w = Window.partitionBy("scan_id", "title").orderBy(*triage_columns())
-    placed = findings.withColumn("k", F.row_number().over(w)).groupBy("scan_id", "title").agg(F.sort_array(F.collect_list(F.struct("k", "file_path", "line_start"))).alias("p"))
-    places = F.array_join(F.transform("p", lambda x: F.format_string("- `%s:%d`", x["file_path"], x["line_start"])), "\n")
-    return placed.select("scan_id", "title", F.concat(F.lit("## "), "title", F.lit("\n\n"), F.size("p"), F.lit(" location(s)\n\n"), places).alias("body"))
+    place = F.concat(F.lit("| `"), F.coalesce("file_path", F.lit("")), F.lit("` | "), _lines_at(), F.lit(" | "), F.coalesce("confidence", F.lit("")), F.lit(" |"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("k"))).alias(c)
+    grouped = rows.withColumn("k", F.row_number().over(w)).withColumn("place", place).groupBy("scan_id", "title").agg(
+        F.max(severity_rank(F.col("severity"))).alias("rank"), F.sort_array(F.collect_list(F.struct("k", "place"))).alias("p"), first("cwe_id"), first("description"), first("code_snippet"), first("suggested_patch"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("reference_urls", F.array().cast("array<string>")))))).alias("urls"),
+    )
+    severity = F.coalesce(F.get(F.array(*[F.lit(s) for s in reversed(SEVERITIES)]), F.col("rank") - 1), F.lit("low"))
+    table = F.concat(F.lit("### Affected Locations\n\n| File | Line | Confidence |\n|------|------|------------|\n"), F.array_join(F.transform("p", lambda x: x["place"]), "\n"), F.lit("\n\n"))
+    body = F.concat(
+        F.lit("## Grouped Finding\n\n- Rule: **"), "title", F.lit("**\n"), _bullet("Severity", severity), F.lit("- Locations: **"), F.size("p").cast("string"), F.lit("**\n"), _bullet("CWE", F.col("cwe_id")), F.lit("\n"),
+        _section("Summary", _trimmed(F.col("description"))), table, _section("Example Evidence", _cut(F.col("code_snippet"), MOST_SNIPPET), "text"), _section("Suggested Patch", _cut(F.col("suggested_patch"), MOST_PATCH), "diff"), _references(F.col("urls")),
+    )
+    return grouped.select("scan_id", "title", _trimmed(body).alias("body"))
 
 
 def match_push(events: DataFrame, repos: DataFrame) -> DataFrame:

@@ -321,9 +321,27 @@ def issue_plan(spark, root):
     return findings.plan_issues(rows, f.filter("status = 'fixed'"), ("repo_id", "title")).select("repo_id", "finding_id", "action")
 
 
-@query("issue_texts", "findings", f"SELECT scan_id, title, '## ' || title || chr(10) || chr(10) || count(*) || ' location(s)' || chr(10) || chr(10) || string_agg('- `' || file_path || ':' || line_start || '`', chr(10) ORDER BY {TRIAGE}) AS body FROM fx_findings GROUP BY 1, 2")
+ISSUE_SQL = "CASE WHEN line_start % 20 = 0 THEN 'code of ' || title || chr(10) || 'second' END"
+
+
+@query("issue_texts", "findings", f"""WITH f AS (SELECT *, {ISSUE_SQL} AS s, row_number() OVER (PARTITION BY scan_id, title ORDER BY {TRIAGE}) AS k FROM fx_findings)
+SELECT scan_id, title, '## Grouped Finding' || chr(10) || chr(10) || '- Rule: **' || title || '**' || chr(10) || '- Severity: `' || ['low', 'medium', 'high', 'critical'][max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)] || '`' || chr(10)
+  || '- Locations: **' || count(*) || '**' || chr(10) || '- CWE: `' || arg_min(cwe_id, k) || '`' || chr(10) || chr(10) || '### Affected Locations' || chr(10) || chr(10) || '| File | Line | Confidence |' || chr(10) || '|------|------|------------|' || chr(10)
+  || string_agg('| `' || file_path || '` | ' || line_start || ' | ' || confidence || ' |', chr(10) ORDER BY k)
+  || coalesce(chr(10) || chr(10) || '### Example Evidence' || chr(10) || chr(10) || '```text' || chr(10) || max(s) || chr(10) || '```', '') AS body FROM f GROUP BY 1, 2""")
 def issue_texts(spark, root):
-    return findings.issue_texts(fx(spark, root, "findings"))
+    f = fx(spark, root, "findings")
+    return findings.issue_texts(f.withColumn("code_snippet", F.when(F.col("line_start") % 20 == 0, F.concat(F.lit(" code of "), "title", F.lit("\nsecond\n")))))
+
+
+@query("issue_bodies", "findings", f"""SELECT finding_id, '[' || upper(severity) || '] ' || title AS issue_title, '## Finding' || chr(10) || chr(10) || '- Severity: `' || severity || '`' || chr(10) || '- Confidence: `' || confidence || '`' || chr(10) || '- Fingerprint: `' || finding_id || '`' || chr(10)
+  || '- Location: `' || file_path || '`:' || line_start || '-' || (line_start + 2) || chr(10) || '- CWE: `' || cwe_id || '`' || coalesce(chr(10) || chr(10) || '### Evidence' || chr(10) || chr(10) || '```text' || chr(10) || {ISSUE_SQL} || chr(10) || '```', '')
+  || CASE WHEN line_start % 30 = 0 THEN chr(10) || chr(10) || '### References' || chr(10) || chr(10) || '- https://a' || chr(10) || '- https://b' ELSE '' END AS issue_body FROM fx_findings""")
+def issue_bodies(spark, root):
+    f = fx(spark, root, "findings").withColumns({"line_end": F.col("line_start") + 2, "fingerprint": F.col("finding_id")})
+    f = f.withColumn("code_snippet", F.when(F.col("line_start") % 20 == 0, F.concat(F.lit(" code of "), "title", F.lit("\nsecond\n"))))
+    urls = F.when(F.col("line_start") % 30 == 0, F.array(F.lit("https://a"), F.lit("https://b")))
+    return findings.issue_bodies(f.withColumn("reference_urls", urls)).select("finding_id", "issue_title", "issue_body")
 
 
 @query("upsert", "findings", "WITH b AS (SELECT scan_id, title, created_at, finding_id, line_start % 20 = 0 AS new FROM fx_findings) SELECT scan_id, title, created_at, finding_id FROM b QUALIFY row_number() OVER (PARTITION BY scan_id, title ORDER BY new DESC, created_at DESC, finding_id DESC) = 1")

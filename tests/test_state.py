@@ -108,3 +108,29 @@ def test_snapshot_of_scans_without_and_with_many_events(spark):
     assert (two["activity"][0]["tone"], two["is_live"], two["status_label"]) == ("error", False, "Completed")
     assert [s["label"] for s in two["stages"]][6] == "Víðarr" and [s["status"] for s in two["stages"]] == ["pending"] * 9
     assert (three["current_task"]["title"], three["activity"], three["is_live"]) == ("Waiting for activity", None, True)
+
+
+def test_rendered_findings_have_window_and_references(spark):
+    lines = "\n".join(f"line {k}" for k in range(1, 60)) + "\n" + "x" * 300
+    rows = [("1", "[CWE-89] bad", None, "high", "high", 30, lines, '["https://a", 5, {"b": 1}, null]'), ("2", "t", "CWE-79", "low", "?", 5, "", "{}"), ("3", "t", None, "low", "low", None, None, "no json"), ("4", "t", None, "low", "medium", 99, "only", None)]
+    f = spark.createDataFrame(rows, "finding_id string, title string, cwe_id string, severity string, confidence string, line_start int, code_snippet string, references_json string")
+    none = spark.createDataFrame([], "finding_id string, patch_id string, created_at timestamp, patch string")
+    one, two, three, four = findings.render_findings(f, none).orderBy("finding_id").collect()
+    assert (one["clean_title"], one["cwe"], one["confidence_pct"], one["reference_urls"][0]) == ("bad", "CWE-89", 95, "https://a")
+    w = one["snippet_window"]
+    assert [x["number"] for x in w["lines"]] == list(range(18, 49)) and w["truncated"] and w["original_line_count"] == 60
+    assert two["snippet_window"] is None and two["reference_urls"] == [] and two["confidence_pct"] == 75
+    assert three["snippet_window"] is None and three["reference_urls"] == [] and four["snippet_window"]["lines"][0]["text"] == "only"
+
+
+def test_issue_bodies_say_what_there_is(spark):
+    rows = [("1", "s", "t", "high", "medium", "a.py", 3, 4, "CWE-1", "CVE-2", " why \n", "é" * 700, "+x", ["u"], "fp"), ("2", "s", "t", "low", "low", "b.py", 9, None, None, None, None, None, None, None, None)]
+    schema = "finding_id string, scan_id string, title string, severity string, confidence string, file_path string, line_start int, line_end int, cwe_id string, cve_id string, description string, code_snippet string, suggested_patch string, reference_urls array<string>, fingerprint string"
+    f = spark.createDataFrame(rows, schema).withColumns({"status": F.lit("open"), "created_at": F.lit(at(0))})
+    one, two = findings.issue_bodies(f).orderBy("finding_id").collect()
+    assert one["issue_title"] == "[HIGH] t" and two["issue_body"] == "## Finding\n\n- Severity: `low`\n- Confidence: `low`\n- Location: `b.py`:9"
+    want = "## Finding\n\n- Severity: `high`\n- Confidence: `medium`\n- Fingerprint: `fp`\n- Location: `a.py`:3-4\n- CWE: `CWE-1`\n- CVE: `CVE-2`\n\n### Summary\n\nwhy\n\n### Evidence\n\n```text\n"
+    assert one["issue_body"] == want + "é" * 600 + "...\n```\n\n### Suggested Patch\n\n```diff\n+x\n```\n\n### References\n\n- u"
+    body = findings.issue_texts(f).first()["body"]
+    assert body.startswith("## Grouped Finding\n\n- Rule: **t**\n- Severity: `high`\n- Locations: **2**\n- CWE: `CWE-1`\n\n### Summary\n\nwhy\n\n### Affected Locations\n")
+    assert "| `a.py` | 3-4 | medium |\n| `b.py` | 9 | low |\n\n### Example Evidence" in body and body.endswith("### References\n\n- u")
