@@ -144,7 +144,15 @@ def scan_config_rules(files: DataFrame, rules: list[Rule] | None = None) -> Data
     if whole:
         first = F.array_join(F.slice("lines", 1, 12), "\n").alias("snippet")
         hits = hits.unionByName(base.select(*KEYS, F.lit(1).alias("line_no"), F.explode(F.array_compact(F.array(*whole))).alias("rule_id"), first))
-    return _findings(hits, rules, "config")
+    return _findings(hits, rules, "config").withColumn("fix", config_fix(F.col("rule_id"), F.col("fix")))
+
+
+def config_fix(rule_id: Column, own: Column) -> Column:
+    """Advice by the class of a configuration rule; of a rule in no class its own text."""
+    out = F.when(F.lit(False), own)
+    for parts, text in catalogue.CONFIG_FIXES:
+        out = out.when(_any([rule_id.contains(p) for p in parts]), text)
+    return out.otherwise(own)
 
 
 def scan_absent(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

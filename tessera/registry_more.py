@@ -91,9 +91,76 @@ def search_page(spark, root):
     return graph.search_page(graph.search(fx(spark, root, "files"), "the ", regex=False)).select("repo_id", "file_path", "line_no", "more")
 
 
-@query("find_routes", "files", f"WITH {LINES} SELECT repo_id, file_path, CAST(line_no AS INT) AS line_no FROM lines WHERE " + " OR ".join(f"contains(line, '{r}')" for r in detect.ROUTES) + " QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file_path, line_no) <= 100")
+#: Documents as lines of ``x``, after which lines of code are planted; ``n`` is the number of lines before these.
+PLANTED_SQL = "m AS (SELECT *, CAST(1 + length(coalesce(content, '')) - length(replace(coalesce(content, ''), chr(10), '')) AS INT) AS n FROM fx_files)"
+
+
+def _planted(spark, root, *lines: str) -> DataFrame:
+    """Files in which every line of a document is blanked, with one of ``lines`` (which may be several) after it, by ``doc_id``."""
+    after = F.get(F.array(*[F.lit(x) for x in lines]), (F.col("doc_id") % len(lines)).cast("int"))
+    return fx(spark, root, "files").withColumn("content", F.concat(F.regexp_replace(F.coalesce("content", F.lit("")), "[^\n]", "x"), F.lit("\n"), after))
+
+
+@query("find_routes", "files", f"WITH {PLANTED_SQL} SELECT repo_id, file_path, n + 1 AS line_no FROM m WHERE doc_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file_path, line_no) <= 100")
 def find_routes(spark, root):
-    return detect.find_routes(T.to_lines(fx(spark, root, "files"))).select("repo_id", "file_path", "line_no")
+    return detect.find_routes(T.to_lines(_planted(spark, root, '@app.route("/a")', "router.get('/b', f)", "get('/c')"))).select("repo_id", "file_path", "line_no")
+
+
+@query("config_hits", "files", f"WITH {PLANTED_SQL} SELECT repo_id, file_path, n + 1 AS line_no, CASE doc_id % 3 WHEN 0 THEN 'os.getenv' ELSE 'process.env' END AS pattern FROM m WHERE doc_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file_path, line_no) <= 30")
+def config_hits(spark, root):
+    return detect.config_hits(T.to_lines(_planted(spark, root, 'os.getenv("A")', "process.env.B", "c"))).select("repo_id", "file_path", "line_no", "pattern")
+
+
+@query("db_hits", "files", f"WITH {PLANTED_SQL} SELECT repo_id, file_path, n + k AS line_no, 'psycopg' AS pattern FROM m CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file_path, line_no) <= 30")
+def db_hits(spark, root):
+    """Files with four lines of one library, of which three count, and of another one that comes later in the list."""
+    return detect.db_hits(T.to_lines(_planted(spark, root, "psycopg\npsycopg 2\nuse psycopg, redis\npsycopg", "none"))).select("repo_id", "file_path", "line_no", "pattern")
+
+
+CONFIG_SQL = """SELECT *, CASE doc_id % 3 WHEN 0 THEN 'd' || doc_id || '/Dockerfile' WHEN 1 THEN 'k/x' || doc_id || '.yml' ELSE 'i' || doc_id || '.tf' END AS path FROM m"""
+
+
+@query(
+    "config_rules", "files",
+    f"""WITH {PLANTED_SQL}, c AS ({CONFIG_SQL}) SELECT path AS file_path, 'docker-latest-tag' AS rule_id, n + 1 AS line_start, 'low' AS severity, 'Pin the mutable dependency reference to a specific version or immutable digest.' AS fix FROM c WHERE doc_id % 3 = 0
+UNION ALL SELECT path, 'docker-no-healthcheck', 1, 'low', 'Add a health check so orchestration can detect unhealthy instances.' FROM c WHERE doc_id % 3 = 0
+UNION ALL SELECT path, 'k8s-privileged-container', n + 1, 'critical', 'Drop privileges and run the workload with the minimum permissions it actually needs.' FROM c WHERE doc_id % 3 = 1
+UNION ALL SELECT path, 'k8s-host-pid', n + 2, 'high', 'Tighten the exposed security boundary to the minimum allow-list required.' FROM c WHERE doc_id % 3 = 1
+UNION ALL SELECT path, 'tf-public-subnet-db', n + 1, 'medium', 'Keep the database inside.' FROM c WHERE doc_id % 3 = 2""",
+)
+def config_rules(spark, root):
+    """All configuration rules over files of three kinds: rules by line, and rules of what is absent."""
+    doc = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), doc, F.lit("/Dockerfile"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("k/x"), doc, F.lit(".yml"))).otherwise(F.concat(F.lit("i"), doc, F.lit(".tf")))
+    files = _planted(spark, root, "FROM a:latest\nUSER app", "  privileged: true\n  hostPID: true", " publicly_accessible = true").withColumn("file_path", path)
+    return detect.scan_config_rules(files).select("file_path", "rule_id", "line_start", "severity", "fix")
+
+
+@query("trace_flows", "files", """WITH s AS (SELECT doc_id AS d FROM fx_files WHERE content LIKE '%Licensed%'), o AS (SELECT d + 1 AS d FROM s WHERE d + 1 IN (SELECT doc_id FROM fx_files)),
+r AS (SELECT 1 AS depth, 'f' || d AS caller, 'f' || (d - 1) AS callee FROM o UNION ALL SELECT 2, 'f' || (d + 1), 'f' || d FROM o WHERE d NOT IN (SELECT d FROM s) AND d + 1 IN (SELECT doc_id FROM fx_files)) SELECT * FROM r ORDER BY depth, callee, caller LIMIT 200""")
+def trace_flows(spark, root):
+    """Each file has one function, which that of the next file calls; from those in files with a match, two calls up."""
+    files = fx(spark, root, "files").withColumn("repo_id", F.lit("all"))
+    name = F.concat(F.lit("f"), "doc_id")
+    symbols = files.select("repo_id", "file_path", name.alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("line_no"))
+    edges = files.select("repo_id", name.alias("caller"), F.concat(F.lit("f"), F.col("doc_id") - 1).alias("callee"))
+    return graph.trace_flows(files, symbols, edges, "Licensed").select("depth", "caller", "callee")
+
+
+BUDGETS, ALL_BUDGETS = {"critical": 60, "high": 40, "low": 30}, 110
+
+
+@query(
+    "pack_context", "findings",
+    f"""WITH i AS (SELECT repo_id, severity AS section, finding_id AS pos, title AS text, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS place, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 40 ELSE 30 END AS budget FROM fx_findings WHERE severity <> 'medium'),
+r AS (SELECT *, sum(length(text)) OVER (PARTITION BY repo_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM i),
+s AS (SELECT repo_id, section, place, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (run <= budget), '') AS text, count(*) FILTER (run > budget) AS omitted, coalesce(sum(length(text)) FILTER (run <= budget), 0) AS used FROM r GROUP BY 1, 2, 3),
+k AS (SELECT *, sum(used) OVER (PARTITION BY repo_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS every FROM s QUALIFY every <= {ALL_BUDGETS})
+SELECT repo_id, string_agg('## ' || section || chr(10) || text || CASE WHEN omitted > 0 THEN chr(10) || '(' || omitted || ' omitted)' ELSE '' END, chr(10) || chr(10) ORDER BY place) AS context FROM k GROUP BY 1""",
+)
+def pack_context(spark, root):
+    items = fx(spark, root, "findings").select("repo_id", F.col("severity").alias("section"), F.col("finding_id").alias("pos"), F.col("title").alias("text"))
+    return detect.pack_context(items, BUDGETS, ALL_BUDGETS)
 
 
 WORDS = ("token", "license", "the")
@@ -170,9 +237,10 @@ def declaration_ends(spark, root):
     return found.select("file_path", "name", "line_no", "end_line", F.coalesce("parent", F.lit("")).alias("parent"))
 
 
-@query("dependents", "files", """SELECT DISTINCT repo_id, file_path FROM fx_files WHERE language = 'go' AND content LIKE '%"token"%'""")
+@query("dependents", "files", "SELECT DISTINCT repo_id, file_path FROM fx_files WHERE language = 'go' AND doc_id % 4 = 0")
 def dependents(spark, root):
-    return graph.dependents(graph.imports(fx(spark, root, "files")), "token")
+    files = fx(spark, root, "files")
+    return graph.dependents(graph.imports(files.withColumn("content", F.concat(F.when(F.col("doc_id") % 4 == 0, 'import "lib/token"\n').otherwise('import "lib"\n'), F.regexp_replace("content", '"', "'")))), "lib/token")
 
 
 PATCH_SQL = "SELECT finding_id, concat('p', finding_id) AS patch_id, created_at, concat('+ fix ', title) AS patch FROM {findings}"

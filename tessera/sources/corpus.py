@@ -111,7 +111,7 @@ def write_snapshots(files: DataFrame, path: str) -> None:
 
 
 def snapshot_at(snapshots: DataFrame, scan_id, file_path: str) -> DataFrame:
-    return snapshots.filter((F.col("scan_id") == scan_id) & (F.col("file_path") == file_path)).limit(1)
+    return snapshots.filter((F.col("scan_id") == scan_id) & (F.col("file_path") == file_path)).orderBy("content_hash").limit(1)
 
 
 def append_findings(findings: DataFrame, path: str) -> None:
