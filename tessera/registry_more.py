@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tessera.plans.fixtures import fx, with_views
 from tessera.plans.scratch import new_dir
 from tessera.sources import corpus
 from tessera.sources.tables import table
+from tessera.sources import folder
 from tessera.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,3 +707,27 @@ def audit_ranges(spark, root):
     line = F.col("s_nationkey") % 3
     a = a.select(F.col("s_suppkey").alias("advisory"), "name", "ecosystem", F.concat(line, F.lit(".5.0")).alias("introduced"), F.lit(None).cast("string").alias("fixed"), F.concat(line + 2, F.lit(".3.9")).alias("last_affected"))
     return packages.audit_packages(fx(spark, root, "packages"), a).select("occurrence_id", "advisory")
+
+
+def _written_folder(spark, root) -> str:
+    """A folder in the shared one with a file for each document, written in tasks."""
+    base = new_dir(spark, "folder").removeprefix("file:")
+
+    def write(batches):
+        for pdf in batches:
+            for path, text in zip(pdf["file_path"], pdf["content"], strict=True):
+                fs, where = pafs.FileSystem.from_uri(f"{base}/{path}")
+                fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(where) as f:
+                    f.write((text or "").encode())
+            yield pdf[["file_path"]]
+
+    fx(spark, root, "files").select("file_path", "content").mapInPandas(write, "file_path string").write.format("noop").mode("overwrite").save()
+    return base
+
+
+@query("folder_source", "files", "SELECT file_path, CAST(strlen(coalesce(content, '')) AS BIGINT) AS byte_size, sha256(coalesce(content, '')) AS content_hash, language FROM fx_files WHERE file_path LIKE '%.py'")
+def folder_source(spark, root):
+    """Documents written as files and read back by the data source, which opens files of one kind only."""
+    files = folder.read_folder(spark, _written_folder(spark, root)).filter(F.col("file_path").endswith(".py"))
+    return files.select("file_path", "byte_size", F.sha2("content", 256).alias("content_hash"), "language")

@@ -29,6 +29,11 @@ def _skipped(path: Column) -> Column:
     return path.rlike(rf"(?:^|/)(?:{skipped})/") | path.rlike(r"(?:^|/)\.[^/]*$")
 
 
+def is_link(fs: pafs.FileSystem, path: str) -> bool:
+    """Whether a path is a link; only local file systems have any."""
+    return isinstance(fs, pafs.LocalFileSystem) and os.path.islink(path)
+
+
 def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """Text files below a folder: ``repo_id, file_path, content, byte_size, language``.
 
@@ -44,7 +49,7 @@ def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
         for pdf in batches:
             for folder in pdf["file_path"]:
                 found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base))
-                found = [e for e in found if not (isinstance(fs, pafs.LocalFileSystem) and os.path.islink(e.path))]
+                found = [e for e in found if not is_link(fs, e.path)]
                 rows = [(e.path[len(base) :].lstrip("/"), e.base_name, e.type == pafs.FileType.Directory, e.size or 0) for e in found]
                 rows = [(p, d, n) for p, name, d, n in rows if not (name in skipped if d else name.startswith(".") or n > MOST_BYTES)]
                 yield pd.DataFrame(rows, columns=["file_path", "is_dir", "byte_size"])
