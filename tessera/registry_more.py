@@ -449,7 +449,8 @@ def _models(spark, root) -> DataFrame:
     threat = F.to_json(F.struct(F.col("title"), F.concat(F.lit("very "), "severity").alias("severity"), F.array(F.lit("s"), F.lit("Denial"), F.lit("spoof")).alias("stride"), decision.alias("decision")))
     surface = F.to_json(F.struct(F.lit("c").alias("concern"), place.alias("location")))
     model = F.concat(o, quote, part, quote, F.lit(": ["), threat, F.lit(', "'), "cwe_id", F.lit('"], "attack_surfaces": ['), surface, F.lit("]"), c)
-    return f.select(F.col("finding_id").alias("model_id"), "repo_id", "file_path", model.alias("model"))
+    # the tables are one file split each: parsing is spread over all cores
+    return f.select(F.col("finding_id").alias("model_id"), "repo_id", "file_path", model.alias("model")).repartition(spark.sparkContext.defaultParallelism, "model_id")
 
 
 @query(
