@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from tessera.plans.scratch import materialize
 
+BLANKS = " \t\n\r\f\v"
 QUOTED_OR_BRACE = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
 
 
@@ -35,7 +36,7 @@ def _balanced(texts: pd.Series) -> pd.Series:
 
 def extract_json(text: Column) -> Column:
     """The JSON in a model's text: the whole text, else what a fence holds, else the first balanced object; null if none of these parses."""
-    trim = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    trim = lambda c: F.btrim(c, F.lit(BLANKS))
     whole = trim(text)
     fenced = F.when(whole.startswith("```"), trim(F.regexp_replace(whole, r"\A```(?:json|JSON)?|```\z", "")))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
@@ -48,7 +49,7 @@ def parse_models(models: DataFrame, id_col: str = "model_id", json_col: str = "m
 
     Only texts in which neither the whole nor a fence is JSON go to Python, which looks for the first balanced object.
     """
-    trim = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    trim = lambda c: F.btrim(c, F.lit(BLANKS))
     whole = trim(F.col(json_col))
     fenced = F.when(whole.startswith("```"), trim(F.regexp_replace(whole, r"\A```(?:json|JSON)?|```\z", "")))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
@@ -261,14 +262,19 @@ def _strings(c: Column) -> Column:
     return F.filter(listed, lambda v: v.isNotNull() & (v != "") & ~_holds(v, "[", "{"))
 
 
-def _first(table: Column, keys: tuple[str, ...]) -> Column:
-    """The first of ``keys`` that says something in a map of raw JSON: a scalar, or the scalars of a list with commas between them."""
+def _said(table: Column) -> Column:
+    """A map of raw JSON with what each key says: a scalar, or the scalars of a list with commas between them; null for all else."""
 
-    def said(v: Column) -> Column:
-        bracket = v.startswith("[") | v.startswith("{")
-        return F.nullif(F.when(~bracket, v).when(bracket, F.array_join(_strings(v), ", ")), F.lit(""))
+    def one(_: Column, raw: Column) -> Column:
+        plain = ~(raw.startswith("[") | raw.startswith("{"))
+        return F.nullif(F.when(plain, raw).otherwise(F.array_join(_strings(raw), ", ")), F.lit(""))
 
-    return F.coalesce(*[said(F.trim(table[k])) for k in keys])
+    return F.transform_values(F.transform_values(table, lambda _, v: F.trim(v)), one)
+
+
+def _first(said: Column, keys: tuple[str, ...]) -> Column:
+    """The first of ``keys`` that says something in a map of ``_said``, which is made once for all fields."""
+    return F.coalesce(*[said[k] for k in keys])
 
 
 def _list(table: Column, keys: tuple[str, ...]) -> Column:
@@ -282,16 +288,19 @@ def _attack(table: Column) -> Column:
     raw = lambda c: F.when(_holds(c, "["), F.from_json(c, "array<string>")).when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
     found = F.coalesce(*[F.when(F.map_contains_key(table, F.lit(k)), raw(table[k])) for k in ATTACK_KEYS], F.array().cast("array<string>"))
 
-    def one(item: Column) -> Column:
-        said = F.when(~_holds(item, "{"), F.trim(item))
-        o = F.when(said.isNull(), F.from_json(item, "map<string,string>"))
-        got = {f: _first(o, keys) for f, keys in ATTACK.items()}
+    def parts(item: Column) -> Column:
+        is_object = _holds(item, "{")
+        return F.struct(F.when(~is_object, F.trim(item)).alias("said"), _said(F.when(is_object, F.from_json(item, "map<string,string>"))).alias("s"))
+
+    def one(part: Column) -> Column:
+        said = part["said"]
+        got = {f: _first(part["s"], keys) for f, keys in ATTACK.items()}
         got["tactic"] = F.coalesce(said, got["tactic"], F.lit("unknown"))
         got["confidence"] = F.when(said.isNotNull(), "low").otherwise(confidence_level(got["confidence"]))
         got["rationale"] = F.when(said.isNotNull(), RATIONALES[0]).otherwise(F.coalesce(got["rationale"], F.lit(RATIONALES[1])))
         return F.struct(*[c.alias(f) for f, c in got.items()])
 
-    return F.transform(F.array_compact(found), one)
+    return F.transform(F.transform(F.array_compact(found), parts), one)  # each is parsed once for all fields
 
 
 def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "model") -> DataFrame:
@@ -302,11 +311,12 @@ def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "mo
     rows = models if "m" in models.columns else parse_models(models, id_col, json_col)
     rows = rows.withColumn("raw", F.coalesce(*[F.col("m")[k] for k in HEAD["scope"]]))
     rows = rows.withColumn("o", F.when(_holds(F.col("raw"), "{"), F.from_json("raw", "map<string,string>")))
-    o, said = F.col("o"), F.when(F.col("o").isNull(), F.trim("raw"))
+    rows = rows.withColumn("s", _said(F.col("o"))).withColumn("top", F.map_filter("m", lambda k, _: k.isin(*HEAD["summary"])))
+    o, s, said = F.col("o"), F.col("s"), F.when(F.col("o").isNull(), F.trim("raw"))
     there = F.col("raw").isNotNull()
     return rows.select(
-        id_col, F.coalesce(_first(F.col("m"), HEAD["summary"]), F.lit(NO_SUMMARY)).alias("summary"),
-        F.when(there, F.coalesce(said, _first(o, HEAD["subject"]), F.lit(NO_SUBJECT))).alias("subject"), F.when(there, F.coalesce(_first(o, HEAD["system_type"]), F.lit("unknown"))).alias("system_type"),
+        id_col, F.coalesce(_first(_said(F.col("top")), HEAD["summary"]), F.lit(NO_SUMMARY)).alias("summary"),
+        F.when(there, F.coalesce(said, _first(s, HEAD["subject"]), F.lit(NO_SUBJECT))).alias("subject"), F.when(there, F.coalesce(_first(s, HEAD["system_type"]), F.lit("unknown"))).alias("system_type"),
         *[_list(o, keys).alias(f) for f, keys in LISTS["scope"].items()],
     )
 
@@ -322,10 +332,10 @@ def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col
     raw = F.coalesce(*[F.when(F.col("m")[k].startswith("["), F.col("m")[k]) for k in PARTS[part]])
     rows = models.select(id_col, *keep, F.posexplode(F.from_json(raw, "array<string>")).alias("k", "item"))
     is_object = F.col("item").startswith("{")
-    found = F.struct(F.when(~is_object, F.trim("item")).alias("said"), F.when(is_object, F.from_json("item", "map<string,string>")).alias("o"))
-    rows = rows.filter("item IS NOT NULL").select(id_col, *keep, (F.col("k") + 1).alias("position"), F.explode(F.array(found)).alias("f"))  # parsed once for all fields
-    rows = rows.select(id_col, *keep, "position", "f.said", "f.o")
-    got = {f: _first(F.col("o"), keys) for f, keys in FIELDS[part].items()}
+    tables = F.transform(F.array(F.when(is_object, F.from_json("item", "map<string,string>"))), lambda o: F.struct(o.alias("o"), _said(o).alias("s")))
+    rows = rows.filter("item IS NOT NULL").select(id_col, *keep, (F.col("k") + 1).alias("position"), F.when(~is_object, F.trim("item")).alias("said"), F.explode(tables).alias("f"))
+    rows = rows.select(id_col, *keep, "position", "said", "f.o", "f.s")  # parsed once for all fields
+    got = {f: _first(F.col("s"), keys) for f, keys in FIELDS[part].items()}
     said = F.col("said")
     if part in SAID:
         for f in SAID[part]:

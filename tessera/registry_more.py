@@ -440,8 +440,14 @@ def patch_grounding(spark, root):
     return modeltext.validate_patches(p, f, files).select(F.col("finding_id").alias("doc_id"), "grounded")
 
 
+def _spread(spark, root) -> DataFrame:
+    """The findings of which models are made, over all cores: the tables are one file split each, and models are costly to build and to parse."""
+    f = fx(spark, root, "findings").select("finding_id", "repo_id", "file_path", "line_start", "title", "severity", "cwe_id")
+    return f.repartition(spark.sparkContext.defaultParallelism, "finding_id")
+
+
 def _models(spark, root) -> DataFrame:
-    f = fx(spark, root, "findings")
+    f = _spread(spark, root)
     quote, o, c = F.lit('"'), F.lit("{"), F.lit("}")
     part = F.when(F.col("line_start") % 20 == 0, "risks").otherwise("threats")
     decision = F.when(F.col("line_start") % 30 == 0, "Accepted").otherwise("x")
@@ -449,8 +455,7 @@ def _models(spark, root) -> DataFrame:
     threat = F.to_json(F.struct(F.col("title"), F.concat(F.lit("very "), "severity").alias("severity"), F.array(F.lit("s"), F.lit("Denial"), F.lit("spoof")).alias("stride"), decision.alias("decision")))
     surface = F.to_json(F.struct(F.lit("c").alias("concern"), place.alias("location")))
     model = F.concat(o, quote, part, quote, F.lit(": ["), threat, F.lit(', "'), "cwe_id", F.lit('"], "attack_surfaces": ['), surface, F.lit("]"), c)
-    # the tables are one file split each: parsing is spread over all cores
-    return f.select(F.col("finding_id").alias("model_id"), "repo_id", "file_path", model.alias("model")).repartition(spark.sparkContext.defaultParallelism, "model_id")
+    return f.select(F.col("finding_id").alias("model_id"), "repo_id", "file_path", model.alias("model"))
 
 
 @query(
@@ -465,7 +470,7 @@ def threat_items(spark, root):
 
 def _plans(spark, root) -> DataFrame:
     """A model for each finding: a head, an assumption, two mitigations, a check and a claim, under keys that vary with its line."""
-    f = fx(spark, root, "findings")
+    f = _spread(spark, root)
     odd = F.col("line_start") % 2 == 1
     state = F.when(F.col("line_start") % 3 == 0, "Implemented").when(F.col("line_start") % 3 == 1, "needs-validation").otherwise("odd")
     one = lambda **kv: F.struct(*[v.alias(k) for k, v in kv.items()])
@@ -511,9 +516,8 @@ def model_checks(spark, root):
 
 @query("ground_surfaces", "findings", "SELECT finding_id AS model_id, file_path AS file FROM fx_findings WHERE line_start % 20 = 0")
 def ground_surfaces(spark, root):
-    models = _models(spark, root)
-    surfaces = modeltext.model_items(models, "surfaces", keep=("repo_id",))
-    return modeltext.ground_surfaces(surfaces, models.select("repo_id", "file_path")).select("model_id", F.expr("substr(file, 3)").alias("file"))
+    surfaces = modeltext.model_items(_models(spark, root), "surfaces", keep=("repo_id",))
+    return modeltext.ground_surfaces(surfaces, fx(spark, root, "findings").select("repo_id", "file_path")).select("model_id", F.expr("substr(file, 3)").alias("file"))
 
 
 @query("ground_flows", "findings", "SELECT finding_id FROM fx_findings WHERE line_start % 20 = 0 OR line_start % 30 = 0")
