@@ -57,11 +57,6 @@ def triage_columns() -> list[Column]:
     return [status_rank(F.col("status")), severity_rank(F.col("severity")).desc(), F.col("created_at").desc(), F.col("finding_id")]
 
 
-def triage_order(df: DataFrame) -> DataFrame:
-    """By status, severity, newest first, id."""
-    return df.orderBy(*triage_columns())
-
-
 def paginate(df: DataFrame, order: list[Column], page: int = 1, per_page: int = 25, most: int = 100) -> DataFrame:
     """One page with ``position``, ``total`` and ``total_pages`` (1 when empty). The rows up to the page's end are all that is sorted."""
     page, per_page = max(1, page), min(most, max(1, per_page))

@@ -8,40 +8,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.book import LINES, SECRET_SQL, query
 from tessera.functions import columns as C
 from tessera.operators import detect, findings, graph, modeltext, packages
 from tessera.operators import text as T
-from tessera.plans.fixtures import fx, with_views
+from tessera.plans.fixtures import fx
 from tessera.plans.scratch import new_dir
-from tessera.sources import corpus
+from tessera.sources import corpus, folder
 from tessera.sources.tables import table
-from tessera.sources import folder
 from tessera.streaming import streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, views: str = "", sql: str = "") -> Callable[[Query], Query]:
-    """Register a query and, where there is one, its SQL over the fixture views ``fx_<view>``."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = with_views(views, sql)
-        return f
-
-    return add
-
-
-LINES = r"""
-raw0 AS (SELECT *, replace(content, chr(13) || chr(10), chr(10)) AS c0 FROM fx_files),
-raw AS (SELECT doc_id, repo_id, file_path, language, CASE WHEN c0 LIKE '%' || chr(10) THEN left(c0, length(c0) - 1) ELSE c0 END AS c, coalesce(content, '') AS content FROM raw0),
-arr AS (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(c, chr(10)) END AS x FROM raw),
-lines AS (SELECT repo_id, file_path, language, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM arr)
-"""
-
 
 @query("leading_excerpt", "files", f"WITH {LINES} SELECT file_path, array_to_string(list_slice(x, 1, 12), chr(10)) AS excerpt, CASE WHEN len(x) > 0 THEN CAST(least(len(x), 12) AS INT) END AS excerpt_end FROM arr")
 def leading_excerpt(spark, root):
@@ -647,9 +623,9 @@ def stream_parsed_events(spark, root):
     return streamed(spark, lines, streams.parse_scan_events, "append").select("scan_id", "event_id", F.col("data.status").alias("status"))
 
 
-@query("stream_secrets", "files", "")
+@query("stream_secrets", "files", SECRET_SQL.replace(" round(e, 4) AS entropy,", ""))
 def stream_secrets(spark, root):
-    """Secrets of landing files; the batch query ``secrets`` has the SQL."""
+    """Secrets of landing files: those of the batch query ``secrets``."""
     return streamed(spark, fx(spark, root, "files").select("repo_id", "file_path", "language", "content"), streams.scan_stream, "append").select("file_path", "line_start", "literal", "fingerprint")
 
 
