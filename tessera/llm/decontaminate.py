@@ -3,7 +3,8 @@
 A fixed mask such as ``110110111`` picks some of the words of a window and ignores the others, so two
 windows that differ only in ignored places have one hash. The seeds of the benchmark are joined with
 those of every document position; the join, the hashing and the test around each hit run in one
-pass over the documents, without a shuffle of their text. Around a hit the benchmark item is laid along
+pass over the documents, without a shuffle of their text. A benchmark too large for that meets the documents in a
+shuffle of seeds, of which a bitmap of all its seeds lets few through. Around a hit the benchmark item is laid along
 the document, and some window of ``window`` words must agree in ``similarity`` of its words. The masks are
 completed for each window size until every allowed choice of differing words leaves some mask intact, and all
 windows around a hit are tested, so nothing is missed.
@@ -93,6 +94,9 @@ def find_overlaps(
     min_words: int = 5,
     masks: tuple[str, ...] = MASKS,
     block_words: int = 200_000,
+    most_blocks: int = 4,
+    sieve_bits: int = 30,
+    salts: int = 8,
 ) -> DataFrame:
     """One row for each document and benchmark item that overlap: ``doc_id, text_key, item_id, matched`` (best share of a window).
 
@@ -100,8 +104,8 @@ def find_overlaps(
 
     Items shorter than ``window`` words are compared as a whole; items of fewer than ``min_words`` words
     match nothing, and so do null and empty texts. Repeated rows and repeated items change nothing.
-    The benchmark is broadcast in blocks of about ``block_words`` words, so what is broadcast is bounded
-    however large it is; every block is laid against all documents.
+    A benchmark of up to ``most_blocks`` blocks of about ``block_words`` words is broadcast block by block, each of which is laid
+    against all documents in a pass of its own. A larger one is shuffled: see ``_shuffled``. Both ways find the same.
     """
     items = (
         benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("item_words"))
@@ -127,6 +131,10 @@ def find_overlaps(
     keyed = at_words.select(
         "doc_id", "text_key", "doc_words", "doc_size", "at", F.explode(_seeds(used, "doc_words", "at", "doc_size")).alias("seed")
     ).filter("seed IS NOT NULL")
+    if blocks > most_blocks:
+        found = _shuffled(docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col), F.col(text_col).alias("text")), keyed, items, seeds, window, sieve_bits, salts)
+        found = found.select("doc_id", "text_key", "item_id", _matched(window).alias("matched")).filter(F.col("matched") >= similarity)
+        return found.groupBy("doc_id", "text_key", "item_id").agg(F.max("matched").alias("matched"))
     out = None
     for b in range(blocks):
         small = [F.broadcast(x.filter(F.col("block") == b).drop("block")) for x in (seeds, items)]
@@ -136,6 +144,33 @@ def find_overlaps(
     return out.groupBy("doc_id", "text_key", "item_id").agg(F.max("matched").alias("matched"))
 
 
+def _shuffled(docs: DataFrame, keyed: DataFrame, items: DataFrame, seeds: DataFrame, window: int, sieve_bits: int, salts: int) -> DataFrame:
+    """The hits of a benchmark of any size, in one pass over the documents and one shuffle of their texts.
+
+    A bitmap of ``2**sieve_bits`` bits, which is all that is broadcast, holds the seeds of the benchmark; only document seeds whose bit is set
+    are shuffled, dealt to ``salts`` tasks for each seed, so one that is in very many documents is no task of its own. A seed of the benchmark
+    brings the item's words as far as windows around it reach, not the whole item.
+    """
+    place = F.pmod("seed", F.lit(1 << sieve_bits))
+    bits = seeds.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bitmap"))
+    bits = bits.select("part", F.expr("transform(sequence(0, 511), k -> CAST(conv(hex(substring(bitmap, 8 * k + 1, 8)), 16, -10) AS BIGINT))").alias("longs"))  # eight bytes each, the first on top
+    at, long = (F.col("p") % 32768).cast("int"), F.expr("get(longs, CAST((p % 32768) DIV 64 AS INT))")
+    bit = (7 - F.shiftright(at, 3) % 8) * 8 + at % 8
+    sieved = keyed.select("doc_id", "text_key", "at", "seed", place.alias("p")).withColumn("part", F.shiftright("p", 15))
+    sieved = sieved.join(F.broadcast(bits), "part").filter(F.getbit(long, bit) == 1)
+    low, span = f"greatest(0, item_at - {window} + 1)", "item_size"
+    near = seeds.drop("block").join(items.select("item_key", "item_id", "item_words", "item_size"), "item_key").select(
+        "seed", "item_id", "item_at", F.expr(f"slice(item_words, {low} + 1, least({span}, item_at + {window}) - {low})").alias("item_words"), F.expr(low).alias("low")
+    )
+    near = near.select("seed", "item_id", F.col("item_at").alias("place"), (F.col("item_at") - F.col("low")).alias("item_at"), "item_words", F.size("item_words").alias("item_size"))
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = sieved.select("doc_id", "text_key", "at", "seed", F.pmod(F.xxhash64("text_key", "doc_id", "at"), F.lit(salts)).cast("int").alias("salt"))
+    hits = dealt.join(near, ["seed", "salt"]).dropDuplicates(["doc_id", "text_key", "at", "item_id", "place", "item_words"])
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), F.col("text"))
+    met = hits.join(texts, F.expr("doc_id <=> t_id AND text_key = t_key"))
+    return met.select("doc_id", "text_key", "item_id", "at", "item_at", "item_words", "item_size", words(F.col("text")).alias("doc_words"))
+
+
 def _matched(window: int) -> Column:
     """The best share of agreeing words in all windows of the item that hold the first word of the hit."""
     span = f"least({window}, item_size)"

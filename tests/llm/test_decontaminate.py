@@ -68,6 +68,24 @@ def test_matches_brute_force(spark):
     assert sorted((r["doc_id"] for r in clean_only(d, b).collect()), key=str) == sorted((k for k, x in want if not x), key=str)
 
 
+@pytest.mark.parametrize("sieve_bits", [16, 24])
+def test_a_benchmark_of_many_blocks_is_shuffled_and_gives_the_same(spark, sieve_bits):
+    docs, items = corpus(random.Random(8))
+    docs += [(900, None), (901, ""), (902, items[4][1]), (902, "other text"), (None, items[4][1]), (None, items[4][1]), (None, "clean"), (903, "word " * 60_000 + items[5][1])]
+    quoted = next(t for _, t in items if len(toks(t)) >= 15)
+    docs += [(1000 + i, f"start{i} {quoted}") for i in range(200)]
+    items += [(77, None), (78, ""), (79, "one two three"), items[0], (80, " ".join(f"long{i}" for i in range(500)))]
+    docs += [(1300, " ".join(f"long{i}" if i % 6 else "zz" for i in range(100, 130)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("seed", F.lit("x")).withColumn("p", F.lit("x"))
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("salt", F.lit("x"))
+    way = {"block_words": 60, "most_blocks": 1, "sieve_bits": sieve_bits}
+    got = sorted(((r["doc_id"], r["item_ids"]) for r in decontaminate(d, b, **way).collect()), key=str)
+    assert got == sorted(brute(docs, items), key=str) and sum(1 for _, x in got if x) > 200
+    one = {(r["doc_id"], tuple(r["item_ids"]), r["matched"]) for r in decontaminate(d, b).collect()}
+    assert {(r["doc_id"], tuple(r["item_ids"]), r["matched"]) for r in decontaminate(d, b, **way).collect()} == one
+    assert decontaminate(d.limit(0), b, **way).count() == 0
+
+
 def test_tolerates_substitutions_and_leaves_clean_documents(spark):
     item = [f"t{i}" for i in range(30)]
     changed = [w if i % 7 != 3 else "zz" for i, w in enumerate(item)]
