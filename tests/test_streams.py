@@ -148,3 +148,14 @@ def test_streams_equal_batches(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, of(df).collect()))
     assert sorted(map(tuple, streams.latest_stage(df).collect())) == sorted(map(tuple, streams.stage_state(df).select(*streams.latest_stage(df).columns).collect()))
     assert streams.event_rates(df.withColumn("created_at", F.lit(None).cast("timestamp"))).count() == 0
+
+
+def test_keys_share_buckets_so_state_does_not_grow_with_them(spark, tmp_path):
+    """Three hundred keys that all wait: state is kept by bucket, not by key or row."""
+    rows = [(m % 300, m, "error" if m > 560 else "progress", at(m // 100)) for m in range(600)]
+    for part in (rows[:300], rows[300:], [(-1, -1, "progress", at(10**6))]):
+        stream = land(spark, tmp_path / "in", part, EVENTS)
+    work = streams.in_event_time(stream, streams.UntilEnd(None), "scan_id", "created_at", "event_id", F.when(F.col("event_type") == "error", "end"), "1 hour", parts=8)
+    got, q = run(spark, work, tmp_path)
+    assert sorted(r["event_id"] for r in got) == sorted(until_end(rows))
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 8 * 8
