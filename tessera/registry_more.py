@@ -525,10 +525,17 @@ def _drain(spark: SparkSession, landed: str, schema, build: Callable[[DataFrame]
 
 
 def streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, parts: int = 4) -> DataFrame:
-    """``rows``, landed as files, run through ``build`` as a stream."""
+    """``rows``, landed as files, run through ``build`` as a stream in two batches.
+
+    Each task lands a file of its own rows, so files grow in number with the input and not in size; fewer than ``parts`` are dealt again.
+    """
     landed = new_dir(spark, "landing")
-    rows.repartition(parts).write.parquet(landed)
-    return _drain(spark, landed, rows.schema, build, mode, max(1, parts // 2))[1]
+    rows.write.parquet(landed)
+    files = len(spark.read.schema(rows.schema).parquet(landed).inputFiles())
+    if files < parts:
+        few, landed, files = spark.read.schema(rows.schema).parquet(landed), new_dir(spark, "landing"), parts
+        few.repartition(parts).write.parquet(landed)
+    return _drain(spark, landed, rows.schema, build, mode, -(-files // 2))[1]
 
 
 def streamed_in_order(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame, str], DataFrame], parts: int = 8, late: bool = False):

@@ -1,12 +1,16 @@
 import datetime
 import json
 import os
+import pathlib
 
 from pyspark.sql import functions as F
 
+from tessera import registry, registry_more
 from tessera.operators import findings, graph
 from tessera.operators.text import lines_of
+from tessera.plans import fixtures, scratch
 from tessera.sources import corpus
+from tessera.streaming import streams
 
 
 def at(minute):
@@ -134,3 +138,20 @@ def test_issue_bodies_say_what_there_is(spark):
     body = findings.issue_texts(f).first()["body"]
     assert body.startswith("## Grouped Finding\n\n- Rule: **t**\n- Severity: `high`\n- Locations: **2**\n- CWE: `CWE-1`\n\n### Summary\n\nwhy\n\n### Affected Locations\n")
     assert "| `a.py` | 3-4 | medium |\n| `b.py` | 9 | low |\n\n### Example Evidence" in body and body.endswith("### References\n\n- u")
+
+
+def test_joined_tables_are_dealt_by_their_size(spark, monkeypatch):
+    """Of large tables a task's share stays the same: partitions of the join, and of groups by its key, grow with the files."""
+    root = "/root/testdata/sf0.01"
+    want = {tuple(r) for r in registry.queries()["group_by_rule"](spark, root).collect()}
+    monkeypatch.setattr(fixtures, "PART_BYTES", 1 << 17)
+    got = registry.queries()["group_by_rule"](spark, root)
+    assert got.rdd.getNumPartitions() == -(-os.path.getsize(f"{root}/lineitem.parquet") // (1 << 17)) > 4
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_landed_files_grow_in_number_with_the_input(spark):
+    rows = spark.range(0, 900, 1, 9).toDF("scan_id").selectExpr("scan_id", "'high' AS severity")
+    assert registry_more.streamed(spark, rows, streams.live_counts, "complete").count() == 900
+    landed = max((p for p in pathlib.Path(scratch.shared_dir(spark).removeprefix("file:")).rglob("landing-*")), key=lambda p: p.stat().st_mtime)
+    assert len(list(landed.glob("*.parquet"))) == 9
