@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.tables import table
+from tessera.sources.tables import table, table_bytes
 
 FX: dict[str, tuple[list[str], str]] = {
     "files": (
@@ -74,11 +74,24 @@ FX: dict[str, tuple[list[str], str]] = {
     ),
 }
 
+#: Key of each table of a view that joins tables.
+JOINED = {"findings": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+PART_BYTES = 2 << 20
+
 
 def fx(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The view ``name`` over the tables of ``root``."""
+    """The view ``name`` over the tables of ``root``.
+
+    Tables of a view that joins them are dealt by key to partitions of ``PART_BYTES`` of file where these are more than Spark's setting, so that
+    a task's share of the join, and of what is grouped by its key afterwards, does not grow with the tables.
+    """
     tables, sql = FX[name]
-    return spark.sql(sql, **{t: table(spark, root, t) for t in tables})
+    found = {t: table(spark, root, t) for t in tables}
+    if name in JOINED:
+        parts = -(-max(table_bytes(spark, root, t) for t in tables) // PART_BYTES)
+        if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            found = {t: df.repartition(parts, JOINED[name][t]) for t, df in found.items()}
+    return spark.sql(sql, **found)
 
 
 def with_views(names: str, body: str) -> str:
