@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tessera.functions.columns import upgrade_guidance, upgrade_summary
 from tessera.functions.versions import version_bin, version_key
 from tessera.operators.text import to_lines
+from tessera.plans.scratch import materialize
 
 #: Ecosystem of a manifest's file name.
 MANIFESTS = {
@@ -148,24 +149,34 @@ def report_location(occurrences: DataFrame, packages: DataFrame) -> DataFrame:
     return out.withColumns({"report_path": F.when(found, F.col("__path")).otherwise(F.col("manifest_path")), "report_line": F.coalesce("__line", "line_start")}).drop("__path", "__line")
 
 
-def audit_packages(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+def audit_packages(packages: DataFrame, advisories: DataFrame, most: int = 1 << 20) -> DataFrame:
     """Occurrences that an advisory range covers. ``advisories`` has ``advisory_id, ecosystem, name, introduced`` and ``fixed`` or ``last_affected``.
 
     ``introduced`` of ``0`` means from the start. Versions compare by the rules of their ecosystem. Ranges meet the distinct versions of a package, not its occurrences, and
-    only in the bins of first numbers that they reach, so a package with many versions and ranges has no join of all with all.
+    only in the bins of first numbers that they reach, so a package with many versions and ranges has no join of all with all. A version whose occurrences
+    and ranges make more than ``most`` rows is cut into slices of its occurrences, and tasks are as many as rows and slices ask for: a task's
+    work does not grow with the result, which may be quadratic in the tables.
     """
     if "last_affected" not in advisories.columns:
         advisories = advisories.withColumn("last_affected", F.lit(None).cast("string"))
     key = lambda c: version_key(F.col(c), F.col("ecosystem"))
     start = F.when(F.col("introduced") == "0", "").otherwise(F.coalesce(key("introduced"), F.lit("")))
     a = advisories.withColumns({"__lo": start, "__hi": key("fixed"), "__last": key("last_affected")})
-    v = packages.filter("version <> ''").select("ecosystem", "name", "version").distinct().withColumn("__v", key("version")).withColumn("__bin", version_bin(F.col("__v")))
+    v = packages.filter("version <> ''").groupBy("ecosystem", "name", "version").agg(F.count("*").alias("__n")).withColumn("__v", key("version")).withColumn("__bin", version_bin(F.col("__v")))
     bins = v.groupBy("ecosystem", "name").agg(F.collect_set("__bin").alias("__bins"))
     upper = version_bin(F.coalesce("__hi", "__last", F.lit("~")))
     a = a.join(bins, ["ecosystem", "name"]).withColumn("__bin", F.explode(F.filter("__bins", lambda b: (b >= version_bin(F.col("__lo"))) & (b <= upper)))).drop("__bins")
     below = F.coalesce(F.col("__v") < F.col("__hi"), F.col("__v") <= F.col("__last"), F.lit(True))
     hit = v.join(a, ["ecosystem", "name", "__bin"]).filter((F.col("__lo") <= F.col("__v")) & below)
-    return packages.join(hit.drop("__v", "__lo", "__hi", "__last", "__bin"), ["ecosystem", "name", "version"])
+    hit = materialize(hit.drop("__v", "__lo", "__hi", "__last", "__bin"), "audit")
+    same = ["ecosystem", "name", "version"]
+    pairs = F.first("__n") * F.count("*")
+    sizes = materialize(hit.groupBy(*same).agg(pairs.alias("__pairs"), F.ceil(pairs / most).cast("int").alias("__slices")), "audit-sizes")
+    tasks = max(1, -(-(sizes.agg(F.sum("__pairs")).first()[0] or 0) // most))
+    spread = F.pmod(F.xxhash64(*packages.columns), F.col("__slices")).cast("int")
+    rows = packages.join(sizes.drop("__pairs"), same).withColumn("__slice", spread).drop("__slices").repartition(tasks, *same, "__slice")
+    hit = hit.drop("__n").join(sizes.drop("__pairs"), same).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))).drop("__slices").repartition(tasks, *same, "__slice")
+    return rows.join(hit, [*same, "__slice"]).drop("__slice")
 
 
 def with_upgrade(found: DataFrame) -> DataFrame:

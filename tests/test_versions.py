@@ -57,6 +57,14 @@ def test_a_package_with_thousands_of_versions_and_ranges_joins_by_bins(spark):
     assert audit_packages(packages, advisories).count() == n
 
 
+def test_a_version_with_many_occurrences_and_ranges_is_cut_into_slices(spark):
+    packages = spark.range(40).select("id", F.lit("npm").alias("ecosystem"), F.lit("hot").alias("name"), F.when(F.col("id") < 30, "1.0.0").otherwise("9.0.0").alias("version"))
+    advisories = spark.range(20).select(F.col("id").cast("string").alias("advisory_id"), F.lit("npm").alias("ecosystem"), F.lit("hot").alias("name"), F.lit("0").alias("introduced"), F.lit("2.0.0").alias("fixed"))
+    found = audit_packages(packages, advisories, most=50)
+    assert sorted((r["id"], int(r["advisory_id"])) for r in found.collect()) == [(i, a) for i in range(30) for a in range(20)]
+    assert len([n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]) > 3
+
+
 def test_upgrade_texts(spark):
     rows = [("a", "1.2", "p.json", "^1.2", '"a": "^1.2", "b": "^1.2"', ["1.3"]), ("b", "1.0", "r.txt", "", "b", ["2.0", "3.0"]), ("c", "1", "r.txt", "==1", "c==1", []), ("d", "1", "r.txt", None, "d", None)]
     got = with_upgrade(spark.createDataFrame(rows, "name string, version string, manifest_path string, declared string, snippet string, fixed_versions array<string>")).orderBy("name").collect()
