@@ -131,19 +131,27 @@ def scan_code_rules(files: DataFrame, rules: list[Rule] | None = None, skip_test
 
 
 def scan_config_rules(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Findings of configuration rules: by line in matching files, by whole file, and rules whose pattern is absent (at line 1)."""
+    """Findings of configuration rules: by line in matching files, by whole file, and rules whose pattern is absent (at line 1).
+
+    One pass: a path is held against the file patterns once, and lines are tested inside the file's row, so neither the content nor the rules
+    are laid out again for every line, and no generated method holds all patterns (the JVM compiles none of more than 8,000 bytes).
+    """
     rules = catalogue.CONFIG_RULES if rules is None else rules
-    every = sorted({f for r in rules for f in r.files})
-    base = files.filter(file_matches(F.col("file_path"), every)).select(*KEYS, "content", lines_of(F.col("content")).alias("lines"))
-    named = lambda r: file_matches(F.col("file_path"), list(r.files))
+    kinds = sorted({r.files for r in rules})
+    named = F.array(*[file_matches(F.col("file_path"), list(k)) for k in kinds]).cast("array<boolean>")
+    here = lambda r: F.get("named", F.lit(kinds.index(r.files)))
+    base = files.filter(file_matches(F.col("file_path"), sorted({f for k in kinds for f in k})))
+    # what is generated is computed once, however often later columns name it
+    base = base.select(*KEYS, "content", F.explode(F.array(named)).alias("named")).withColumn("lines", lines_of(F.col("content")))
     by_line = [r for r in rules if r.mode == "line"]
-    rows = base.select(*KEYS, "lines", F.posexplode("lines").alias("k", "line"))
-    hits = rows.select(*KEYS, (F.col("k") + 1).alias("line_no"), F.explode(_matching(by_line, F.col("line"), named)).alias("rule_id"), "lines")
-    hits = hits.select(*KEYS, "line_no", "rule_id", F.array_join(around(F.col("lines"), F.col("line_no"), 2, 2), "\n").alias("snippet"))
-    whole = [F.when(named(r) & (F.col("content").rlike(r.pattern) == F.lit(r.mode == "file")), F.lit(r.rule_id)) for r in rules if r.mode != "line"]
+    hit = lambda line_no, rule, whole: F.struct(line_no.alias("line_no"), rule.alias("rule_id"), F.lit(whole).alias("whole"))
+    marks = F.flatten(F.transform("lines", lambda line, k: F.transform(_matching(by_line, line, here), lambda r: hit(k + 1, r, False))))
+    whole = [F.when(here(r) & (F.col("content").rlike(r.pattern) == F.lit(r.mode == "file")), F.lit(r.rule_id)) for r in rules if r.mode != "line"]
     if whole:
-        first = F.array_join(F.slice("lines", 1, 12), "\n").alias("snippet")
-        hits = hits.unionByName(base.select(*KEYS, F.lit(1).alias("line_no"), F.explode(F.array_compact(F.array(*whole))).alias("rule_id"), first))
+        marks = F.concat(marks, F.transform(F.array_compact(F.array(*whole)), lambda r: hit(F.lit(1), r, True)))
+    hits = base.select(*KEYS, "lines", F.explode(marks).alias("m")).select(*KEYS, "lines", "m.*")
+    shown = F.when(F.col("whole"), F.slice("lines", 1, 12)).otherwise(around(F.col("lines"), F.col("line_no"), 2, 2))
+    hits = hits.select(*KEYS, "line_no", "rule_id", F.array_join(shown, "\n").alias("snippet"))
     return _findings(hits, rules, "config").withColumn("fix", config_fix(F.col("rule_id"), F.col("fix")))
 
 

@@ -76,7 +76,8 @@ PLANTED_SQL = "m AS (SELECT *, CAST(1 + length(coalesce(content, '')) - length(r
 def _planted(spark, root, *lines: str) -> DataFrame:
     """Files in which every line of a document is blanked, with one of ``lines`` (which may be several) after it, by ``doc_id``."""
     after = F.get(F.array(*[F.lit(x) for x in lines]), (F.col("doc_id") % len(lines)).cast("int"))
-    return fx(spark, root, "files").withColumn("content", F.concat(F.regexp_replace(F.coalesce("content", F.lit("")), "[^\n]", "x"), F.lit("\n"), after))
+    blank = F.array_join(F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.repeat(F.lit("x"), F.length(x))), "\n")  # by line: a pattern would run for every character
+    return fx(spark, root, "files").withColumn("content", F.concat(blank, F.lit("\n"), after))
 
 
 @query("find_routes", "files", f"WITH {PLANTED_SQL} SELECT repo_id, file_path, n + 1 AS line_no FROM m WHERE doc_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file_path, line_no) <= 100")
