@@ -383,18 +383,27 @@ def ground_surfaces(surfaces: DataFrame, files: DataFrame, longest: int = 8) ->
     return known.unionByName(rows.filter("__clean IS NULL OR __clean = ''")).drop("__clean", "__end")
 
 
+#: Slots of the beginnings of names; those in use are broadcast.
+SLOTS = 1 << 18
+
+
 def ground_flows(flows: DataFrame, files: DataFrame, gram: int = 3) -> DataFrame:
     """Flows ``(repo_id, source, sink, ...)`` of which an end names something generic or holds the name of a file of the repository.
 
-    Names and ends meet on the first ``gram`` characters of the name, so no flow is held against all files.
+    Names and ends meet on the first ``gram`` characters of the name, so no flow is held against all files. Of the pieces of an end only those are
+    shuffled in whose slot, by hash, some name begins; at most ``SLOTS`` slots are broadcast, and they only decide how much is compared.
     """
     rows = flows.withColumn("__ends", F.concat(F.lower("source"), F.lit("\n"), F.lower("sink"))).withColumn("__row", F.xxhash64("repo_id", "__ends"))
     generic = F.lit(False)
     for t in GENERIC:
         generic = generic | F.col("__ends").contains(t)
-    rest = rows.filter(~generic)
-    names = files.select(F.col("repo_id").alias("f_repo"), F.element_at(F.split("file_path", "/"), -1).alias("base")).filter("base <> ''").distinct().withColumn("g", F.left("base", F.lit(gram)))
-    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("__ends")), lambda k: F.substr("__ends", k, F.lit(n)))
-    grams = rest.select("repo_id", "__ends", "__row", F.explode(F.array_distinct(F.concat(*map(parts, range(1, gram + 1))))).alias("gram"))
-    named = grams.join(names, F.expr("repo_id <=> f_repo AND gram = g AND contains(__ends, base)"), "left_semi").select("__row").distinct()
-    return rows.filter(generic).unionByName(rest.join(named, "__row", "left_semi").select(*rows.columns)).drop("__ends", "__row")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
+    names = files.select(F.col("repo_id").alias("f_repo"), F.element_at(F.split("file_path", "/"), -1).alias("base")).filter("base <> ''").distinct()
+    names = materialize(names.withColumn("g", F.left("base", F.lit(gram))), "flow-names")
+    sizes = sorted(r[0] for r in names.select(F.length("g")).distinct().collect())  # 1 to ``gram``
+    parts = F.array(*[F.substr("__ends", "k", F.lit(n)) for n in sizes]).cast("array<string>")
+    places = rows.filter(~generic).select("repo_id", "__ends", "__row", F.explode(F.sequence(F.lit(1), F.length("__ends"))).alias("k"))
+    grams = places.select("repo_id", "__ends", "__row", F.explode(parts).alias("gram")).withColumn("slot", slot("gram"))
+    grams = grams.join(F.broadcast(names.select(slot("g")).distinct()), "slot", "left_semi")
+    named = grams.join(names, F.expr("repo_id <=> f_repo AND gram = g AND contains(__ends, base)"), "left_semi").select("__row", F.lit(True).alias("__named")).distinct()
+    return rows.join(named, "__row", "left").filter(generic | F.col("__named")).select(*flows.columns)
