@@ -34,32 +34,47 @@ def _balanced(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
 
+#: How JSON begins. Prose is told by it without a parse, which costs most where it fails.
+BEGINS = r'\A(?:[{\["\-0-9\x{FEFF}]|true|false|null)'
+
+
+def _valid(c: Column) -> Column:
+    return F.when(c.rlike(BEGINS), F.when(F.try_parse_json(c).isNotNull(), c))
+
+
+def _trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def _direct(whole: Column) -> Column:
+    """A trimmed text that is JSON, or what its fence holds if that is."""
+    fenced = F.when(whole.startswith("```"), _trimmed(F.regexp_replace(whole, r"\A```(?:json|JSON)?|```\z", "")))
+    return F.coalesce(_valid(whole), _valid(fenced))
+
+
 def extract_json(text: Column) -> Column:
     """The JSON in a model's text: the whole text, else what a fence holds, else the first balanced object; null if none of these parses."""
-    trim = lambda c: F.btrim(c, F.lit(BLANKS))
-    whole = trim(text)
-    fenced = F.when(whole.startswith("```"), trim(F.regexp_replace(whole, r"\A```(?:json|JSON)?|```\z", "")))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    direct = F.coalesce(valid(whole), valid(fenced))
-    return F.coalesce(direct, valid(_balanced(F.when(direct.isNull(), whole))))
+    whole = _trimmed(text)
+    direct = _direct(whole)
+    return F.coalesce(direct, _valid(_balanced(F.when(direct.isNull(), whole))))
 
 
-def parse_models(models: DataFrame, id_col: str = "model_id", json_col: str = "model", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, keep..., m``: the maps of raw JSON of all models that are JSON objects, found as by ``extract_json`` and written once, so that any number of parts is read from one parse.
+def with_json(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the JSON in ``text_col`` as ``extract_json`` finds it. What is generated is computed once, however often later columns name it."""
+    rows = df.withColumn("__whole", _trimmed(F.col(text_col)))
+    rows = rows.select("*", F.explode(F.array(_direct(F.col("__whole")))).alias("__direct"))
+    found = F.coalesce("__direct", _valid(_balanced(F.when(F.col("__direct").isNull(), F.col("__whole")))))
+    return rows.select(*df.columns, F.explode(F.array(found)).alias(out))
 
-    Only texts in which neither the whole nor a fence is JSON go to Python, which looks for the first balanced object.
-    """
-    trim = lambda c: F.btrim(c, F.lit(BLANKS))
-    whole = trim(F.col(json_col))
-    fenced = F.when(whole.startswith("```"), trim(F.regexp_replace(whole, r"\A```(?:json|JSON)?|```\z", "")))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    maps = lambda c: F.from_json(c, "map<string,string>")
-    # what is generated is computed once, however often later columns name it
-    rows = models.select(id_col, *keep, whole.alias("__text"), F.explode(F.array(F.coalesce(valid(whole), valid(fenced)))).alias("__direct"))
-    rows = materialize(rows.select(id_col, *keep, maps(F.col("__direct")).alias("m"), F.when(F.col("__direct").isNull(), F.col("__text")).alias("__rest")), "models")
-    odd = rows.filter("__rest IS NOT NULL").select(id_col, *keep, F.explode(F.array(_balanced("__rest"))).alias("b"))
-    odd = odd.select(id_col, *keep, F.explode(F.array(valid(F.col("b")))).alias("b")).select(id_col, *keep, maps(F.col("b")).alias("m"))
-    return rows.filter("__rest IS NULL").select(id_col, *keep, "m").unionByName(odd).filter("m IS NOT NULL")
+
+def _parsed(models: DataFrame, id_col: str, json_col: str, keep: tuple[str, ...]) -> DataFrame:
+    rows = with_json(models.select(id_col, *keep, F.col(json_col).alias("__text")), "__text", "__json")
+    return rows.select(id_col, *keep, F.explode(F.array(F.from_json("__json", "map<string,string>"))).alias("m")).filter("m IS NOT NULL")
+
+
+def parse_models(models: DataFrame, id_col: str = "model_id", json_col: str = "model", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, keep..., m``: the maps of raw JSON of all models that are JSON objects, found as by ``extract_json`` and written once, so that any number of parts is read from one parse."""
+    return materialize(_parsed(models, id_col, json_col, keep), "models")
 
 
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
@@ -212,11 +227,13 @@ def risk_level(c: Column) -> Column:
     return F.when(low.contains("critical"), "critical").when(low.contains("high"), "high").when(low == "medium", "medium").when(low.contains("low"), "low").otherwise("medium")
 
 
+def _lookup(words: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+
+
 def _named(c: Column, names: dict[str, tuple[str, ...]], other: str) -> Column:
-    low, out = F.translate(F.lower(F.trim(c)), "-", "_"), F.lit(other)
-    for name, words in names.items():
-        out = F.when(low.isin(*words), name).otherwise(out)
-    return out
+    known = _lookup({w: name for name, words in names.items() for w in words})
+    return F.coalesce(F.try_element_at(known, F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_"))), F.lit(other))
 
 
 def treatment(c: Column) -> Column:
@@ -235,17 +252,19 @@ def confidence_level(c: Column) -> Column:
 def stride(values: Column) -> Column:
     """STRIDE categories of an array of names, letters or phrases, each once, in order; others are left out."""
 
-    def one(v: Column) -> Column:
-        low = F.translate(F.lower(F.trim(v)), " -", "__")
+    known = _lookup({w: name for name, others, _ in STRIDE for w in (name, *others)})
+
+    def plain(v: Column) -> Column:
+        return F.replace(F.replace(F.lower(F.trim(v)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+
+    def one(low: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, _, parts in reversed(STRIDE):
             for p in parts:
                 out = F.when(low.contains(p), name).otherwise(out)
-        for name, others, _ in STRIDE:
-            out = F.when(low.isin(name, *others), name).otherwise(out)
-        return out
+        return F.coalesce(F.try_element_at(known, low), out)
 
-    return F.array_distinct(F.array_compact(F.transform(values, one)))
+    return F.array_distinct(F.array_compact(F.transform(F.transform(values, plain), one)))  # each is made plain once
 
 
 def _holds(c: Column, *brackets: str) -> Column:
@@ -308,7 +327,7 @@ def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "mo
 
     A scope that is a string is its subject. Without a scope, subject and type are null and the lists are empty. ``models`` may be parsed already (``parse_models``).
     """
-    rows = models if "m" in models.columns else parse_models(models, id_col, json_col)
+    rows = models if "m" in models.columns else _parsed(models, id_col, json_col, ())
     rows = rows.withColumn("raw", F.coalesce(*[F.col("m")[k] for k in HEAD["scope"]]))
     rows = rows.withColumn("o", F.when(_holds(F.col("raw"), "{"), F.from_json("raw", "map<string,string>")))
     rows = rows.withColumn("s", _said(F.col("o"))).withColumn("top", F.map_filter("m", lambda k, _: k.isin(*HEAD["summary"])))
@@ -321,14 +340,16 @@ def model_heads(models: DataFrame, id_col: str = "model_id", json_col: str = "mo
     )
 
 
-def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col: str = "model", keep: tuple[str, ...] = ()) -> DataFrame:
+def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col: str = "model", keep: tuple[str, ...] = (), keep_model: bool = False) -> DataFrame:
     """One row for each item of a ``part`` of threat models: the id, columns to ``keep``, ``position`` from 1, and the part's fields (of threats also ``stride`` and ``mitre_attack``).
 
     The first key of ``PARTS`` that holds an array counts. An item that is a string is its own name and description. Missing fields get
     the defaults; levels, treatments and categories are brought to known values. Text that is no JSON object gives no rows. ``models`` may be parsed
-    already (``parse_models``), which reads several parts from one parse.
+    already (``parse_models``), which reads several parts from one parse. With ``keep_model`` rows also have the parsed model ``m``, from which another
+    part can be read; a model without an item has no row.
     """
-    models = models if "m" in models.columns else parse_models(models, id_col, json_col, keep)
+    models = models if "m" in models.columns else _parsed(models, id_col, json_col, keep)
+    keep = (*keep, "m") if keep_model else keep
     raw = F.coalesce(*[F.when(F.col("m")[k].startswith("["), F.col("m")[k]) for k in PARTS[part]])
     rows = models.select(id_col, *keep, F.posexplode(F.from_json(raw, "array<string>")).alias("k", "item"))
     is_object = F.col("item").startswith("{")

@@ -95,3 +95,21 @@ def test_pieces_of_flows_are_shuffled_only_where_a_name_begins_so(spark):
     assert sorted(r["k"] for r in got.collect()) == [0, 1, 4, 6, 7]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "slot" in plan and "array_distinct" not in plan
+
+
+def test_several_parts_are_read_from_one_parse_without_a_join(spark):
+    text = 'So: {"assumptions": ["a", "b"], "validation": [{"threat": "t"}], "threats": [{"title": "x"}]}'
+    models = spark.createDataFrame([(1, text), (2, '{"assumptions": ["c"]}'), (3, "null"), (4, "nothing"), (5, "﻿{}"), (6, "tried"), (7, '{"assumptions": ["d"], "assumptions": ["e"]}')], "model_id int, model string")
+    rows = M.model_items(models, "assumptions", keep_model=True)
+    assert sorted((r["model_id"], r["position"], r["statement"]) for r in rows.collect()) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "c")]
+    both = M.model_items(rows.select("model_id", "m", "statement"), "validation_plan", keep=("statement",))
+    assert sorted((r["model_id"], r["statement"], r["target"]) for r in both.collect()) == [(1, "a", "t"), (1, "b", "t")]
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prose_is_not_parsed_as_json(spark):
+    texts = ["no verdict", "I think {\"a\": 1} so", "NaN", "Infinity", "true", " null ", "-1.5", '"s"', "trueish", "-x", "[1", "﻿1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("plain", F.when(F.try_parse_json(F.btrim("t", F.lit(M.BLANKS))).isNotNull(), F.btrim("t", F.lit(M.BLANKS))))
+    rows = M.with_json(df, "t", "j").withColumn("same", F.col("j").eqNullSafe(M.extract_json(F.col("t")))).collect()
+    assert all(r["same"] for r in rows)
+    assert [r["j"] for r in sorted(rows, key=lambda r: r["k"])] == [r["plain"] if r["plain"] is not None or "{" not in r["t"] else '{"a": 1}' for r in sorted(rows, key=lambda r: r["k"])]
