@@ -485,10 +485,11 @@ def model_mitigations(spark, root):
   CASE WHEN severity IN ('high', 'low') THEN severity ELSE 'medium' END AS confidence, file_path AS gaps FROM fx_findings""",
 )
 def model_checks(spark, root):
-    models = modeltext.parse_models(_plans(spark, root))
-    parts = [modeltext.model_items(models, p) for p in ("assumptions", "validation_plan", "assurance_claims")]
-    a, v, c = parts[0].select("model_id", "statement", "why_it_matters"), parts[1].select("model_id", "target", "method", "status"), parts[2].select("model_id", "claim", "confidence", F.array_join("gaps", ",").alias("gaps"))
-    return a.join(v, "model_id").join(c, "model_id")
+    """Each part is read from the row of the part before, so models are parsed once and not joined with themselves."""
+    rows = modeltext.model_items(_plans(spark, root), "assumptions", keep_model=True).select("model_id", "m", "statement", "why_it_matters")
+    rows = modeltext.model_items(rows, "validation_plan", keep=("statement", "why_it_matters"), keep_model=True).select("model_id", "m", "statement", "why_it_matters", "target", "method", "status")
+    rows = modeltext.model_items(rows, "assurance_claims", keep=("statement", "why_it_matters", "target", "method", "status"))
+    return rows.select("model_id", "statement", "why_it_matters", "target", "method", "status", "claim", "confidence", F.array_join("gaps", ",").alias("gaps"))
 
 
 @query("ground_surfaces", "findings", "SELECT finding_id AS model_id, file_path AS file FROM fx_findings WHERE line_start % 20 = 0")
