@@ -247,7 +247,7 @@ def risk_chains(entries: DataFrame, edges: DataFrame, depth: int = 4, cap: int |
     front = _repo(entries).select("repo_id", F.col("name").alias("entry"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
     e = materialize(e, "chain-edges")
     far = _distance_to(e, risky, depth)
-    front = front.join(far, _same("node", "f_node") & _same("repo_id", "f_repo"), "left_semi")
+    front = materialize(front.join(far, _same("node", "f_node") & _same("repo_id", "f_repo"), "left_semi"), "chain-start")
     seen, found = front.select("repo_id", "entry", "node"), None
     for d in range(1, depth + 1):
         step = front.join(e, _same("node", "caller") & _same("repo_id", "e_repo")).select("repo_id", "entry", "callee", F.concat("path", F.array("callee")).alias("path"))
@@ -292,11 +292,13 @@ def entry_list(symbols: DataFrame, extra: int = 30, cap: int = 50) -> DataFrame:
 def trace_callers(starts: DataFrame, edges: DataFrame, depth: int = 2, each: int = 20, cap: int | None = 200) -> DataFrame:
     """Callers of ``starts (repo_id, name)`` in their repository, level by level: ``repo_id, depth, caller, callee``. Of a function ``each`` callers at most, in order of name; each function once."""
     e = _repo(edges).select(F.col("repo_id").alias("e_repo"), "caller", "callee").distinct()
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("e_repo", "callee").orderBy("caller"))).filter(F.col("k") <= each).drop("k")
-    front, found = _repo(starts).select("repo_id", F.col("name").alias("node")).distinct(), None
+    # what more than one level reads is written once
+    e = materialize(e.withColumn("k", F.row_number().over(Window.partitionBy("e_repo", "callee").orderBy("caller"))).filter(F.col("k") <= each).drop("k"), "trace-edges")
+    front, found = materialize(_repo(starts).select("repo_id", F.col("name").alias("node")).distinct(), "trace"), None
     seen = front
     for d in range(1, depth + 1):
         step = front.join(e, _same("node", "callee") & _same("repo_id", "e_repo")).select("repo_id", F.lit(d).alias("depth"), "caller", "callee")
+        step = materialize(step, "trace-step") if d < depth else step
         found = step if found is None else found.unionByName(step)
         past = seen.select(F.col("repo_id").alias("s_repo"), F.col("node").alias("s_node"))
         front = step.select("repo_id", F.col("caller").alias("node")).distinct().join(past, _same("repo_id", "s_repo") & _same("node", "s_node"), "left_anti")

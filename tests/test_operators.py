@@ -292,3 +292,17 @@ def test_scratch_tables_can_be_cleared(spark):
     scratch.clear(spark)
     assert not os.path.exists(path)
     assert scratch.materialize(spark.range(3).toDF("x"), "clear").count() == 3
+
+
+def test_walks_over_calls_read_what_levels_share_from_written_tables(spark):
+    name = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    edges = spark.range(9).select(F.lit(1).alias("repo_id"), name(F.col("id")).alias("caller"), name(F.col("id") + 1).alias("callee"))
+    ends = spark.range(1).select(F.lit(1).alias("repo_id"), F.lit("f9").alias("name"))
+    back = graph.trace_callers(ends, edges, cap=None)
+    assert sorted((r["depth"], r["caller"]) for r in back.collect()) == [(1, "f8"), (2, "f7")]
+    starts = spark.range(1).select(F.lit(1).alias("repo_id"), F.lit("f0").alias("name"))
+    there = graph.risk_chains(starts, edges, cap=None, risky=F.col("callee") == "f3")
+    assert [(r["target"], r["depth"]) for r in there.collect()] == [("f3", 3)]
+    for df in (back, there):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range" not in plan and "Window" not in plan
