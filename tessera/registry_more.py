@@ -603,9 +603,9 @@ def stream_until_terminal(spark, root):
     return streamed_in_order(spark, rows, lambda s, delay: streams.until_terminal(s, delay, keep=None))[1].select("scan_id", "event_id")
 
 
-@query("stream_late_rows", "events", "WITH s AS (SELECT epoch(date_trunc('second', created_at)) AS t, min(epoch(date_trunc('second', created_at))) OVER () AS low, max(epoch(date_trunc('second', created_at))) OVER () AS high FROM fx_events) SELECT count(*) AS dropped FROM s WHERE t < low + (high - low + 16) // 4")
+@query("stream_late_rows", "events", """WITH m AS (SELECT CAST(epoch(date_trunc('second', created_at)) AS BIGINT) AS t FROM fx_events), s AS (SELECT t, min(t) OVER () AS low, max(t) OVER () AS high FROM m) SELECT count(*) AS dropped FROM s WHERE t < low + (high - low + 16) // 4""")
 def stream_late_rows(spark, root):
-    """The rows of the first quarter come again after all others: all of them are dropped behind the watermark, and no others."""
+    """The rows of the first quarter, in whole seconds, come again after all others: all of them are dropped behind the watermark, and no others."""
     q, _ = streamed_in_order(spark, _events(spark, root), lambda s, delay: streams.on_change(s, *CHANGES, delay=delay), late=True)
     return spark.range(1).select(F.lit(streams.late_rows(q)).cast("long").alias("dropped"))
 

@@ -2,9 +2,11 @@ import datetime
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import registry
 from tessera.streaming import streams
 
 EVENTS = "scan_id long, event_id long, event_type string, created_at timestamp"
@@ -159,3 +161,12 @@ def test_keys_share_buckets_so_state_does_not_grow_with_them(spark, tmp_path):
     got, q = run(spark, work, tmp_path)
     assert sorted(r["event_id"] for r in got) == sorted(until_end(rows))
     assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 8 * 8
+
+
+def test_a_row_at_the_second_in_which_the_first_quarter_ends_is_not_late(spark, tmp_path):
+    """The quarter of 1019 s is 254 whole seconds; the SQL must not count the row of second 254 either."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT range AS event_id, TIMESTAMP '2024-01-01' + to_seconds(range) AS ts, range % 7 AS user_id, 'view' AS event_type FROM range(1004)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert con.execute(registry.oracle_sql()["stream_late_rows"]).fetchall() == [(254,)]
+    assert [tuple(r) for r in registry.queries()["stream_late_rows"](spark, str(tmp_path)).collect()] == [(254,)]
