@@ -181,12 +181,35 @@ def _visible() -> dict[int, str]:
 
 
 VISIBLE = _visible()
+SPELLED = [VISIBLE.get(b, chr(b)) for b in range(256)]
 FIRST, NEWLINE, BLANK, MARKS = "\t", VISIBLE[10], VISIBLE[32], ".,;:!?"
 #: Before a blank between two visible characters.
 BREAK = re.compile(r"(?<=\S)(?= \S)")
+#: White space but for blank and line break.
+OTHER_WHITE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 _coders: dict[str, Coder] = {}
 
 
+class Memory:
+    """Ids by key, in two halves of ``most / 2`` keys, or of those that are asked for at once if these are more.
+
+    When the newer half is full it becomes the older one. Keys of the older one that are asked for go into the newer one again and the others are
+    forgotten at the next turn, so frequent keys stay.
+    """
+
+    def __init__(self, most: int):
+        self.half = most // 2
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def make_room(self, keys: int) -> bool:
+        """Whether the newer half began anew, as ``keys`` more would not have gone into it."""
+        if not self.newer or len(self.newer) + keys <= self.half:
+            return False
+        self.newer, self.older = {}, self.newer
+        return True
+
+
 class Coder:
     """A byte-level tokenizer with a bounded memory of pieces.
 
@@ -196,7 +219,7 @@ class Coder:
     added tokens is encoded by the tokenizer as a whole, since these are cut out by rules of their own.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
 
@@ -210,10 +233,10 @@ class Coder:
         self.words_of, self.merge = rule.pre_tokenize_str, tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.most = most
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # by the vocabulary's spelling
-        self.after_blank: dict[str, bytes] = {}  # letters after a blank
+        self.pieces = Memory(most * 3 // 5)
+        self.letters = Memory(most)  # letters with or without a blank before them
+        self.words: dict[str, bytes] = {}  # other words, by the vocabulary's spelling
+        self.most_words = most // 5
 
     def _bytes(self, found: list[int]) -> bytes:
         ids = array.array(self.code, found)
@@ -228,29 +251,36 @@ class Coder:
     def _word(self, shown: str) -> bytes:
         found = self.words.get(shown)
         if found is None:
+            if len(self.words) >= self.most_words:
+                self.words.clear()
             found = self.words[shown] = self._merged(shown)
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
+    def _letters(self, core: str) -> bytes:
+        if core.isascii():
+            return self._merged(BLANK + core[1:] if core[0] == " " else core)
+        return self._merged("".join([SPELLED[b] for b in core.encode()]))
 
     def _learn(self, new: set[str]) -> None:
-        known, after = self.pieces, self.after_blank
+        self.letters.make_room(len(new))
+        known, before, letters, letters_before = self.pieces.newer, self.pieces.older, self.letters.newer, self.letters.older
         for key in new:
-            if key[0] == FIRST:
-                known[key] = self._piece(key[1:])
-            elif key[0] == "\n":
-                known[key] = self._word(NEWLINE) + self._piece(key[1:])
-            else:
-                core = key.rstrip(MARKS)
-                if not core.isalpha():
-                    known[key] = self._piece(" " + key)
-                    continue
-                found = after.get(core)  # letters after a blank are one word, marks after them another
-                if found is None:
-                    shown = core if core.isascii() else core.encode().decode("latin-1").translate(VISIBLE)
-                    found = after[core] = self._merged(BLANK + shown)
-                known[key] = found if len(core) == len(key) else found + self._word(key[len(core) :])
+            found = before.get(key)
+            if found is None:
+                lead = key[0]
+                piece = key[1:] if lead == FIRST or lead == "\n" else " " + key
+                core = piece.rstrip(MARKS)
+                if core.isalpha() or core[1:].isalpha() and core[0] == " ":  # letters are one word, marks after them another
+                    found = letters.get(core)
+                    if found is None:
+                        found = letters[core] = letters_before.get(core) or self._letters(core)
+                    if len(core) < len(piece):
+                        found += self._word(piece[len(core) :])
+                else:
+                    found = b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
+                if lead == "\n":
+                    found = self._word(NEWLINE) + found
+            known[key] = found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in ``kind``.
@@ -263,35 +293,32 @@ class Coder:
         for k, t in enumerate(texts):
             if t and self.added and self.added.search(t):
                 whole[k] = self._bytes(self.whole.encode(t, add_special_tokens=False).ids)
+            keys: list[str] = []
             if not t or k in whole:
-                split.append([])
-                continue
-            words = t.split()
-            if words != t.replace("\n", " ").split(" "):  # white space side by side, at an end, or of another kind
-                first, *rest = BREAK.split(t)
-                keys = [FIRST + first, *[r[1:] for r in rest]]
-            elif "\n" in t:
-                keys = []
+                pass
+            elif _singly_spaced(t):
                 for at, line in enumerate(t.split("\n")):
                     parts = line.split(" ")
                     parts[0] = ("\n" if at else FIRST) + parts[0]
                     keys += parts
             else:
-                keys = words
-                keys[0] = FIRST + keys[0]
+                first, *rest = BREAK.split(t)
+                keys = [FIRST + first, *[r[1:] for r in rest]]
             split.append(keys)
-        known = self.pieces
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set().union(*split)
-        for memo in (self.words, self.after_blank):
-            if len(memo) > self.most:
-                memo.clear()
-        self._learn(new)
+        asked = set().union(*split)
+        new = asked.difference(self.pieces.newer)
+        self._learn(asked if self.pieces.make_room(len(new)) else new)
+        known = self.pieces.newer
         return [whole[k] if k in whole else b"".join(map(known.__getitem__, keys)) for k, keys in enumerate(split)]
 
 
+def _singly_spaced(text: str) -> bool:
+    """Whether all white space of a text is single blanks and line breaks between visible characters."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    return not any(c in text for c in OTHER_WHITE)
+
+
 def coder(path: str) -> Coder:
     """One coder for each worker process."""
     if path not in _coders:

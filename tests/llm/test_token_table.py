@@ -23,6 +23,17 @@ def test_pieces_give_the_ids_of_whole_texts(text):
     assert np.frombuffer(CODER.encode([text])[0], CODER.kind).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_stay_in_a_bounded_memory():
+    rng, coder, merged = random.Random(3), Coder(tokenizer_path(), most=200), []
+    merge = coder.merge
+    coder.merge = lambda shown: merged.append(shown) or merge(shown)
+    for _ in range(60):
+        text = "First often, häufig. " + " ".join("".join(rng.choices("abcdefé", k=9)) for _ in range(20)) + "\nnext line"
+        assert np.frombuffer(coder.encode([text])[0], coder.kind).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert merged.count("Ġoften") == merged.count("First") == 1
+    assert all(len(m.newer) + len(m.older) <= 200 for m in (coder.pieces, coder.letters)) and len(coder.words) <= 40
+
+
 def test_shard_round_trip_and_lookup(tmp_path):
     rng = random.Random(1)
     keys = sorted([key_of(i) for i in rng.sample(range(-5000, 5000), 1500)] + [key_of(7)] * 40 + [b""])
