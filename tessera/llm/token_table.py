@@ -18,7 +18,6 @@ from __future__ import annotations
 import array
 import bisect
 import os
-import re
 import struct
 import sys
 import uuid
@@ -27,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -182,11 +182,26 @@ def _visible() -> dict[int, str]:
 
 VISIBLE = _visible()
 SPELLED = [VISIBLE.get(b, chr(b)) for b in range(256)]
-FIRST, NEWLINE, BLANK, MARKS = "\t", VISIBLE[10], VISIBLE[32], ".,;:!?"
-#: Before a blank between two visible characters.
-BREAK = re.compile(r"(?<=\S)(?= \S)")
-#: White space but for blank and line break.
-OTHER_WHITE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+BLANK, MARKS = VISIBLE[32], ".,;:!?"
+
+
+def _table(of: Iterable[int]) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(of)] = True
+    return table
+
+
+#: Bytes that are white space, or that some rules take for it.
+WHITE = _table([*range(9, 14), *range(28, 33)])
+IS_MARK = _table(MARKS.encode())
+ASCII_LETTER = _table([*range(65, 91), *range(97, 123)])
+_longer = [c.encode() for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace()]
+#: Bytes with which white space of more than one byte begins, and its last bytes but one.
+WHITE_LEAD, LAST_BUT_ONE = _table(c[0] for c in _longer), _table(c[-2] for c in _longer)
+#: Pieces and words of more characters are not remembered.
+LONGEST = 64
+#: Bytes of the texts that are encoded at once.
+SLICE = 1 << 23
 _coders: dict[str, Coder] = {}
 
 
@@ -211,15 +226,15 @@ class Memory:
 
 
 class Coder:
-    """A byte-level tokenizer with a bounded memory of pieces.
+    """A byte-level tokenizer with a bounded memory of words.
 
-    A byte-level tokenizer starts a new word at every blank that stands between two visible characters, so
-    a text is encoded piece by piece from such blank to blank. Pieces that occurred before are looked up; a new one is
-    cut into words by the tokenizer's own rule, and only words that are new go through its merges. A text that holds one of the tokenizer's
+    A byte-level tokenizer starts a new word where white space or a mark follows a letter, so a text is encoded piece by piece
+    (see ``_cut``). Each piece of a slice of texts is encoded once. It is cut into words by the
+    tokenizer's own rule, and only words that are new go through its merges. A text that holds one of the tokenizer's
     added tokens is encoded by the tokenizer as a whole, since these are cut out by rules of their own.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
 
@@ -228,13 +243,12 @@ class Coder:
         if tokenizer.normalizer is not None or type(rule).__name__ != "ByteLevel" or rule.add_prefix_space:
             raise ValueError("only byte-level tokenizers without normalizer and prefix blank are cut at blanks")
         self.whole = tokenizer
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.words_of, self.merge = rule.pre_tokenize_str, tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.pieces = Memory(most * 3 // 5)
         self.letters = Memory(most)  # letters with or without a blank before them
+        self.pieces = Memory(most // 5)  # pieces of other kinds
         self.words: dict[str, bytes] = {}  # other words, by the vocabulary's spelling
         self.most_words = most // 5
 
@@ -253,7 +267,9 @@ class Coder:
         if found is None:
             if len(self.words) >= self.most_words:
                 self.words.clear()
-            found = self.words[shown] = self._merged(shown)
+            found = self._merged(shown)
+            if len(shown) <= LONGEST:
+                self.words[shown] = found
         return found
 
     def _letters(self, core: str) -> bytes:
@@ -261,62 +277,72 @@ class Coder:
             return self._merged(BLANK + core[1:] if core[0] == " " else core)
         return self._merged("".join([SPELLED[b] for b in core.encode()]))
 
-    def _learn(self, new: set[str]) -> None:
-        self.letters.make_room(len(new))
-        known, before, letters, letters_before = self.pieces.newer, self.pieces.older, self.letters.newer, self.letters.older
-        for key in new:
-            found = before.get(key)
-            if found is None:
-                lead = key[0]
-                piece = key[1:] if lead == FIRST or lead == "\n" else " " + key
-                core = piece.rstrip(MARKS)
-                if core.isalpha() or core[1:].isalpha() and core[0] == " ":  # letters are one word, marks after them another
-                    found = letters.get(core)
-                    if found is None:
-                        found = letters[core] = letters_before.get(core) or self._letters(core)
-                    if len(core) < len(piece):
-                        found += self._word(piece[len(core) :])
-                else:
-                    found = b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
-                if lead == "\n":
-                    found = self._word(NEWLINE) + found
-            known[key] = found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian, in ``kind``.
-
-        A piece is known by what follows its blank; one that begins a line by the line break and what follows,
-        and one that begins a text by ``FIRST`` and what follows.
-        """
-        split: list[list[str]] = []
-        whole: dict[int, bytes] = {}
-        for k, t in enumerate(texts):
-            if t and self.added and self.added.search(t):
-                whole[k] = self._bytes(self.whole.encode(t, add_special_tokens=False).ids)
-            keys: list[str] = []
-            if not t or k in whole:
-                pass
-            elif _singly_spaced(t):
-                for at, line in enumerate(t.split("\n")):
-                    parts = line.split(" ")
-                    parts[0] = ("\n" if at else FIRST) + parts[0]
-                    keys += parts
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of ``pieces``, which differ."""
+        self.letters.make_room(len(pieces))
+        self.pieces.make_room(len(pieces))
+        letters, letters_before, known, before = self.letters.newer, self.letters.older, self.pieces.newer, self.pieces.older
+        out = list(map(letters.get, pieces))
+        for k, found in enumerate(out):
+            if found is not None:
+                continue
+            piece = pieces[k]
+            if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():  # letters are one word
+                memory, found = letters, letters_before.get(piece) or self._letters(piece)
             else:
-                first, *rest = BREAK.split(t)
-                keys = [FIRST + first, *[r[1:] for r in rest]]
-            split.append(keys)
-        asked = set().union(*split)
-        new = asked.difference(self.pieces.newer)
-        self._learn(asked if self.pieces.make_room(len(new)) else new)
-        known = self.pieces.newer
-        return [whole[k] if k in whole else b"".join(map(known.__getitem__, keys)) for k, keys in enumerate(split)]
-
+                memory, found = known, known.get(piece) or before.get(piece) or b"".join([self._word(shown) for shown, _ in self.words_of(piece)])
+            if len(piece) <= LONGEST:
+                memory[piece] = found
+            out[k] = found
+        return out
 
-def _singly_spaced(text: str) -> bool:
-    """Whether all white space of a text is single blanks and line breaks between visible characters."""
-    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-        return False
-    return not any(c in text for c in OTHER_WHITE)
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian, in ``kind``."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        if texts.null_count:
+            texts = texts.fill_null("")
+        whole: dict[int, bytes] = {}
+        for added in self.added:
+            for k in np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)).tolist():
+                if k not in whole:
+                    whole[k] = self._bytes(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids)
+        if whole:
+            texts = pc.if_else(pa.array([k in whole for k in range(len(texts))]), "", texts)
+        pieces, first = _cut(texts)
+        found = pieces.dictionary_encode()
+        ids = pa.array(self._pieces(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(found.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int32)[first].tolist() if len(pieces) else [0] * len(first)
+        data = memoryview(data or b"")
+        return [whole[k] if k in whole else bytes(data[a:b]) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, one after the other, and the place of the first piece of each text, with that of the end.
+
+    A piece begins with its text, at a blank or line break right after a visible character, at a mark right after an ASCII letter, and
+    after a line break that stands alone. What may be white space of more than one byte
+    is taken for it: then the piece is longer, and its ids are the same.
+    """
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = pa.py_buffer(data or b"").slice(int(ends[0]), int(ends[-1] - ends[0]))
+    buf = np.frombuffer(raw, np.uint8)
+    ends = ends - ends[0]
+    begins = np.zeros(len(buf) + 1, bool)
+    begins[1:-1] = IS_MARK[buf[1:]] & ASCII_LETTER[buf[:-1]]
+    at = np.flatnonzero((buf == 32) | (buf == 10))
+    at = at[at > 0]
+    last = buf[at - 1]
+    at = at[~(WHITE[last] | ((last >= 128) & LAST_BUT_ONE[buf[at - 2]]))]
+    begins[at] = True
+    lines = at[(buf[at] == 10) & (at + 1 < len(buf))]
+    following = buf[lines + 1]
+    begins[lines[~(WHITE[following] | WHITE_LEAD[following])] + 1] = True
+    begins[ends] = True
+    places = np.flatnonzero(begins)
+    pieces = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int32)), raw)
+    return pieces, np.searchsorted(places, ends)
 
 
 def coder(path: str) -> Coder:
@@ -326,14 +352,13 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def _slices(texts: list[str], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """Texts of ``size`` bytes at most together, or one that is longer."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
-    while a < len(texts):
-        b, n = a, 0
-        while b < len(texts) and n < size:
-            n += len(texts[b])
-            b += 1
-        yield a, b
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield texts.slice(a, b - a)
         a = b
 
 
@@ -374,9 +399,10 @@ def write_token_table(
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in _slices(texts):
-                for doc_id, found in zip(ids[a:b], code.encode(texts[a:b]), strict=True):
+            ids = iter(batch.column("doc_id").to_pylist())
+            for texts in _slices(batch.column("text")):
+                for found in code.encode(texts):
+                    doc_id = next(ids)
                     if out is None:
                         name = f"{path}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
                         out = ShardWriter(fs.open_output_stream(f"{root}/{name.rsplit('/', 1)[1]}"), code.kind.itemsize)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
@@ -34,6 +35,24 @@ def test_frequent_words_stay_in_a_bounded_memory():
     assert all(len(m.newer) + len(m.older) <= 200 for m in (coder.pieces, coder.letters)) and len(coder.words) <= 40
 
 
+ODD = [" ", "  ", "\n", "\n\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", ".", ",", "'s", "'", "—", "’", "word", "Wort", "é", "ß", "ñ", "漢", "ก่", "a\u0301", "7", "²", "😀", "<|endoftext|>", "<|endof"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(ODD), max_size=12).map("".join)), max_size=6), st.integers(0, 2))
+def test_arrow_slices_give_the_ids_of_whole_texts(texts, skipped):
+    got = CODER.encode(pa.array(texts, pa.string()).slice(skipped))
+    assert [np.frombuffer(x, CODER.kind).tolist() for x in got] == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts[skipped:]]
+
+
+def test_memory_holds_words_once_and_nothing_long():
+    coder, texts = Coder(tokenizer_path()), ["often often, often.\noften", "x" * 5000 + "=" + "y" * 5000, "often"]
+    for x, t in zip(coder.encode(texts), texts, strict=True):
+        assert np.frombuffer(x, coder.kind).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+    assert set(coder.letters.newer) == {"often", " often"}
+    assert not any(len(k) > 100 for m in (coder.letters, coder.pieces) for k in (*m.newer, *m.older)) and not any(len(k) > 100 for k in coder.words)
+
+
 def test_shard_round_trip_and_lookup(tmp_path):
     rng = random.Random(1)
     keys = sorted([key_of(i) for i in rng.sample(range(-5000, 5000), 1500)] + [key_of(7)] * 40 + [b""])
