@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.textnum import BASE, mix, shingles
+from tessera.plans.batches import small_batches
 from tessera.plans.scratch import materialize, new_dir
 
 SEGMENT = 1 << 14
@@ -324,7 +325,7 @@ def index_entries(sets: DataFrame, levels: np.ndarray, size: int, share: tuple[i
                         odd = (np.bincount((s >> np.uint64(8)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1).astype(bool)
                         maps[sids[k]] = np.packbits(odd, bitorder="little").view("<u8")
                     count += keep
-                    if count >= 2_000_000:
+                    if count >= 1_000_000:
                         yield from flush()
                         held.clear()
                         maps.clear()
@@ -547,6 +548,7 @@ def text_classes(
     that may be in more texts are split into blocks that meet in tasks of their own.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     rows = docs.count()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.textnum import LETTER, chunks
+from tessera.plans.batches import small_batches
 
 GRAMS = (2, 3, 4, 5)
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -139,6 +140,7 @@ def identify(
     labelled rows and score 0. Extra columns, repeated rows and ids change nothing. An empty table gives no rows.
     Columns of ``docs`` called like the two new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     marks = [c for c in (id_col, text_col) if c in known.columns]
     share = min(1.0, fit_rows / max(1, known.count()))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.plans.batches import small_batches
 from tessera.plans.scratch import materialize, new_dir
 
 MAGIC = b"tesssst1"
@@ -379,6 +380,7 @@ def write_token_table(
     A shard ends with its task or after ``shard_bytes``. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_dir(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))

@@ -1,5 +1,9 @@
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as overlapping
 from tests.llm.test_jaccard_join import brute as classes
@@ -45,6 +49,19 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf):
     assert sorted(rows(corpus_pipeline.near_duplicates(spark, unlike, sf))) == [(1, a), (5, b)]
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.token_output])
+def test_stages_send_texts_to_python_in_small_batches(spark, sf, stage):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(5), sf)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    long = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("some words "), 400).alias("text"))
+    assert max(r["n"] for r in long.mapInArrow(sizes, "n long").collect()) <= 9 << 20
+
+
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
