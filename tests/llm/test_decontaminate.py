@@ -129,3 +129,17 @@ def test_masks_leave_no_choice_of_substitutions_out(size, similarity):
     choices = itertools.combinations(range(size), most) if size < 14 else [rng.sample(range(size), most) for _ in range(2000)]
     for changed in choices:
         assert any(all(c == "0" or at + i not in changed for i, c in enumerate(m)) for m in masks for at in range(size - len(m) + 1))
+
+
+@pytest.mark.parametrize("way", [{}, {"block_words": 60, "most_blocks": 1}])
+def test_a_long_text_that_quotes_all_along_is_held_in_pieces(spark, way):
+    """Each hit held the whole text, as often as the benchmark repeats the item, until the text was done."""
+    said = [f"q{i}" for i in range(120)]
+    docs = [(1, " ".join(said * 100)), (2, " ".join(["pad"] * 122 + said[:13])), (3, " ".join(["pad"] * 5000 + said[100:112] + ["pad"])), (4, " ".join(said[::2] * 50))]
+    items = [(100 + k, " ".join(said)) for k in range(30)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_items"], r["item_ids"], r["matched"]) for r in decontaminate(d, b, **way).collect()}
+    ids = [k for k, _ in items]
+    assert got == {1: (30, ids, 1.0), 2: (30, ids, 1.0), 3: (30, ids, round(12 / 13, 6)), 4: (0, [], 0.0)}
+    assert [r["doc_id"] for r in clean_only(d, b, **way).collect()] == [4]
