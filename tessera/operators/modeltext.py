@@ -393,15 +393,20 @@ def model_items(models: DataFrame, part: str, id_col: str = "model_id", json_col
 def ground_surfaces(surfaces: DataFrame, files: DataFrame, longest: int = 8) -> DataFrame:
     """Surfaces ``(repo_id, file, ...)`` without a file, or whose file is a path of the repository or the end of one.
 
-    Both sides meet on the last ``longest`` characters, so no surface is held against all files.
+    Both sides meet on the last ``longest`` characters, or all of a shorter name, so no surface is held against all files. Surfaces are
+    written once, as they may come from a parse; then a path meets them under ends of only those lengths that some name has.
     """
-    ends = files.select(F.col("repo_id").alias("f_repo"), "file_path").distinct().select(
-        "f_repo", "file_path", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("file_path"))), lambda n: F.right("file_path", n))).alias("end")
-    )
     clean = F.regexp_replace(F.regexp_replace("file", "^/+", ""), r"^(?:\./)+", "")
-    rows = surfaces.withColumn("__clean", clean).withColumn("__end", F.right("__clean", F.least(F.lit(longest), F.length("__clean"))))
-    known = rows.filter("__clean <> ''").join(ends, F.expr("repo_id <=> f_repo AND __end = end AND endswith(file_path, __clean)"), "left_semi")
-    return known.unionByName(rows.filter("__clean IS NULL OR __clean = ''")).drop("__clean", "__end")
+    rows, tail = materialize(surfaces, "surfaces"), F.right(clean, F.lit(longest))
+    named = rows.filter(clean != "")
+    sizes = sorted(r[0] for r in named.select(F.length(tail)).distinct().collect())  # 1 to ``longest``
+    paths = files.select(F.col("repo_id").alias("f_repo"), "file_path").distinct()
+    # clean names and ends are made again on both sides of the shuffle, so they are not shuffled with the rows
+    if len(sizes) > 1:
+        paths = paths.withColumn("__size", F.explode(F.array(*[F.lit(n) for n in sizes]))).filter(F.col("__size") <= F.length("file_path"))
+    end = F.expr(f"right(file_path, {'__size' if len(sizes) > 1 else (sizes or [longest])[0]})")
+    known = named.join(paths, F.expr("repo_id <=> f_repo") & (tail == end) & F.endswith("file_path", clean), "left_semi")
+    return known.unionByName(rows.filter(clean.isNull() | (clean == "")))
 
 
 #: Slots of the beginnings of names; those in use are broadcast.

@@ -79,6 +79,14 @@ JOINED = {"findings": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
 PART_BYTES = 2 << 20
 
 
+def dealt(spark: SparkSession, root: str, name: str) -> int:
+    """To how many partitions the tables of a view that joins them are dealt by key; 0 where that is left to Spark's setting."""
+    if name not in JOINED:
+        return 0
+    parts = -(-max(table_bytes(spark, root, t) for t in FX[name][0]) // PART_BYTES)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
 def fx(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The view ``name`` over the tables of ``root``.
 
@@ -87,10 +95,8 @@ def fx(spark: SparkSession, root: str, name: str) -> DataFrame:
     """
     tables, sql = FX[name]
     found = {t: table(spark, root, t) for t in tables}
-    if name in JOINED:
-        parts = -(-max(table_bytes(spark, root, t) for t in tables) // PART_BYTES)
-        if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
-            found = {t: df.repartition(parts, JOINED[name][t]) for t, df in found.items()}
+    if parts := dealt(spark, root, name):
+        found = {t: df.repartition(parts, JOINED[name][t]) for t, df in found.items()}
     return spark.sql(sql, **found)
 
 

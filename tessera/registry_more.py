@@ -12,7 +12,7 @@ from tessera.book import LINES, SECRET_SQL, query
 from tessera.functions import columns as C
 from tessera.operators import detect, findings, graph, modeltext, packages
 from tessera.operators import text as T
-from tessera.plans.fixtures import fx
+from tessera.plans.fixtures import dealt, fx
 from tessera.plans.scratch import new_dir
 from tessera.sources import corpus, folder
 from tessera.sources.tables import table
@@ -418,9 +418,10 @@ def patch_grounding(spark, root):
 
 
 def _spread(spark, root) -> DataFrame:
-    """The findings of which models are made, over all cores: the tables are one file split each, and models are costly to build and to parse."""
+    """The findings of which models are made, over all cores: small tables are one file split each, and models are costly to build and to parse. Large ones are dealt out already."""
     f = fx(spark, root, "findings").select("finding_id", "repo_id", "file_path", "line_start", "title", "severity", "cwe_id")
-    return f.repartition(spark.sparkContext.defaultParallelism, "finding_id")
+    cores = spark.sparkContext.defaultParallelism
+    return f if dealt(spark, root, "findings") >= cores else f.repartition(cores, "finding_id")
 
 
 def _models(spark, root) -> DataFrame:

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import registry_more
 from tessera.operators import findings
 from tessera.operators import modeltext as M
+from tessera.plans import fixtures
 
 FENCE = "```"
 
@@ -113,3 +115,25 @@ def test_prose_is_not_parsed_as_json(spark):
     rows = M.with_json(df, "t", "j").withColumn("same", F.col("j").eqNullSafe(M.extract_json(F.col("t")))).collect()
     assert all(r["same"] for r in rows)
     assert [r["j"] for r in sorted(rows, key=lambda r: r["k"])] == [r["plain"] if r["plain"] is not None or "{" not in r["t"] else '{"a": 1}' for r in sorted(rows, key=lambda r: r["k"])]
+
+
+def test_paths_meet_surfaces_under_ends_of_lengths_that_occur_only(spark):
+    files = spark.createDataFrame([("r", "src/auth/login.py"), ("r", "src/auth/login.py"), ("r", "run"), (None, "a/Üb.py")], "repo_id string, file_path string")
+    long = [("r", "auth/login.py"), ("r", "./login.py"), ("r", "x/login.py"), ("q", "login.py"), (None, "//./login.py"), ("r", None), ("r", "/")]
+    short = [("r", "n"), ("r", "./run"), ("r", "un.py"), (None, "b.py"), (None, "Üb.py"), ("r", "brun"), (None, "n")]
+    named = lambda rows: spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "repo_id string, file string, k int")
+    got = M.ground_surfaces(named(long), files)
+    assert got.columns == ["repo_id", "file", "k"] and sorted(r["k"] for r in got.collect()) == [0, 1, 5, 6]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["k"] for r in M.ground_surfaces(named(long + short), files).collect()) == [0, 1, 5, 6, 7, 8, 10, 11]
+    assert sorted(r["k"] for r in M.ground_surfaces(named(long).filter("file IS NULL"), files).collect()) == [5]
+    assert M.ground_surfaces(named(long).limit(0), files).count() == 0
+
+
+def test_findings_that_are_dealt_by_key_are_not_shuffled_again_for_models(spark, sf, monkeypatch):
+    plan = lambda: registry_more._spread(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan().count("RepartitionByExpression") == 1
+    rows = registry_more._spread(spark, sf).count()
+    monkeypatch.setattr(fixtures, "PART_BYTES", 10_000)
+    assert plan().count("RepartitionByExpression") == 2 and "RepartitionByExpression [finding_id" not in plan()
+    assert registry_more._spread(spark, sf).count() == rows
